@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, pieces, sharding
+
+#: Vocabulary files of public tokenizers; a parameter of the operators.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
 OP3_SQL = r"""
@@ -27,9 +37,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode_pieces(_documents(spark, sf_dir).select("doc_id", "text"), PIECE_MODEL)
+    digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return pieces.decode_pieces(digests, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_pieces": op5_pieces,
+        "op8_sharding": op8_sharding,
     }
 
 
