@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pieces, sharding
+from . import exact_dedup, pieces, quality, sharding
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(quality.training_rows(docs), quality.training_rows(labels))
+    return quality.score_quality(docs, model).select(
+        "doc_id", (quality.remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = pieces.encode_pieces(_documents(spark, sf_dir).select("doc_id", "text"), PIECE_MODEL)
     digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
@@ -50,6 +58,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op5_pieces": op5_pieces,
         "op8_sharding": op8_sharding,
     }
