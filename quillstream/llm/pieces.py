@@ -30,7 +30,7 @@ from .arrow_text import binary_array, in_pieces, ragged
 SPACE = "▁"
 LONG_WORD = 256
 #: Distinct words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
