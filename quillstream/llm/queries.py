@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, pieces, quality, sharding
+from . import exact_dedup, html_extract, packing, pieces, quality, sharding
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,6 +51,17 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode_pieces(digests, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """One row per piece, with the digest of its ids instead of the ids."""
+    found = packing.window_pieces(docs, WORD_MODEL)
+    digests = found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digests, docs.count())
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -64,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
         "op5_pieces": op5_pieces,
+        "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_html_extract": op9_html_extract,
     }
