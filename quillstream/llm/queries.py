@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, packing, pieces, quality, sharding
+from . import exact_dedup, html_extract, langid, packing, pieces, quality, sharding
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = quality.remainder(4) == 2
+    learned = langid.learn(docs.select("doc_id", "text", "lang").where(~held_out))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), learned)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -72,6 +79,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_langid": op2_langid,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
         "op5_pieces": op5_pieces,
