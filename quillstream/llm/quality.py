@@ -140,11 +140,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, most_
     ``docs`` and ``labels`` must hold training rows alone. At most 2 * per_label *
     most_bytes bytes of text reach the driver.
     """
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(labels.select("doc_id", "quality"), "doc_id")
+    short = docs.where(F.octet_length("text") <= most_bytes)
+    sized = short.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id")  # no texts move
     found = []
     for label in (0, 1):
-        found += rows.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_label).collect()
-    return fit_quality([r.text for r in found], [r.quality for r in found])
+        ids = [r.doc_id for r in sized.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
+        # a repeated id teaches with its first text
+        texts = short.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
+        found += [(r.text, label) for r in sorted(texts.collect())]
+    return fit_quality([t for t, _ in found], [label for _, label in found])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
