@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, packing, pieces, quality, sharding, topk
+from . import exact_dedup, html_extract, langid, near_dedup, packing, pieces, quality, sharding, topk
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,6 +77,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode_pieces(digests, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), 3, 85, 100)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """One row per piece, with the digest of its ids instead of the ids."""
     found = packing.window_pieces(docs, WORD_MODEL)
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_quality": op4_quality,
         "op5_pieces": op5_pieces,
+        "op6_near_dedup": op6_near_dedup,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_html_extract": op9_html_extract,
