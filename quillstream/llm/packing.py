@@ -11,6 +11,7 @@ packed each on its own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,10 @@ GROUP_DOCS = 20_000
 #: Distinct words that a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 400_000
 
+#: Words that the tokenizer surely splits into their letters and their punctuation alone.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
+LINE_WORDS = 400
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -38,11 +43,38 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        ids = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(ids.values()) + 1, bool)
+        self.ends_word[[i for t, i in ids.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.index, self.flat, self.counts = _Index(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of distinct words.
+
+        Plain words (letters, then punctuation) go in lines of many: each of their one or two
+        parts ends with a token that ends a word, which tells where a word's ids stop.
+        """
+        forms = [_PLAIN.fullmatch(w) for w in words]
+        plain = [k for k, m in enumerate(forms) if m]
+        other = [k for k, m in enumerate(forms) if not m]
+        lines = [" ".join(words[k] for k in plain[i : i + LINE_WORDS]) for i in range(0, len(plain), LINE_WORDS)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.zeros(0, np.uint32)])
+        parts = np.cumsum([1 + bool(forms[k][1]) for k in plain], dtype=np.int64)
+        stops = np.concatenate([[0], np.flatnonzero(self.ends_word[ids])[parts - 1] + 1]) if plain else np.zeros(1, np.int64)
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(stops)
+        counts[other] = [len(x) for x in single]
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        starts = np.cumsum(counts) - counts
+        flat[ragged(starts[plain], counts[plain])] = ids
+        flat[ragged(starts[other], counts[other])] = np.fromiter((i for x in single for i in x), np.uint32)
+        return flat, counts
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; each distinct word goes to the tokenizer once."""
         if len(self.index) > CACHE_WORDS:
@@ -55,10 +87,9 @@ class WordTokens:
             words += own
         number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         new, self.index.new = self.index.new, []
-        for k in range(0, len(new), 50_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 50_000], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32)])
-            self.counts = np.concatenate([self.counts, np.fromiter(map(len, found), np.int64, len(found))])
+        if new:
+            ids, sizes = self._encode_words(new)
+            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, sizes])
         starts = np.cumsum(self.counts) - self.counts
         sizes = self.counts[number]
         ends = np.concatenate([[0], np.cumsum(sizes)])
