@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, near_dedup, packing, pieces, quality, sharding, topk
+from . import exact_dedup, html_extract, langid, near_dedup, packing, pieces, quality, sharding, suffix_dedup, topk
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -100,6 +100,11 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_documents(spark, sf_dir), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_html_extract": op9_html_extract,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
