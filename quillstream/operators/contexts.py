@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def score_contexts(contexts: DataFrame, text: str, title, doi=None, year=None, venue=None) -> DataFrame:
+def score_contexts(contexts: DataFrame, text: str, title: str, doi: str = "", year: int | None = None, venue: str = "") -> DataFrame:
     """``contexts`` with score, confidence and hit counts for the target they cite."""
-    parts = X.context_parts(text, title, doi, year, venue)
-    scored = contexts.withColumns({
-        "score": parts["score"], "keyword_hits": F.size(parts["keyword_hits"]), "phrase_hits": F.size(parts["phrase_hits"]),
-        "mentions_doi": parts["mentions_doi"], "mentions_year": parts["mentions_year"], "mentions_venue": parts["mentions_venue"],
-    })
+    terms = X.target_terms(contexts.sparkSession, title, doi, year, venue)
+    parts = X.context_parts(F.col("_normal"), **{k: terms[k] for k in ("kw", "ph", "doi", "year", "venues")})
+    scored = contexts.withColumn("_normal", X.norm_ctx(text)).withColumns(parts).drop("_normal")
     return scored.withColumn("confidence", X.confidence_of(F.col("score")))
 
 

@@ -45,7 +45,7 @@ CTX_SQL = f"WITH {A.MARKED_SQL}, {SCORED_SQL} "
 
 
 def scored(spark, sf_dir):
-    return C.score_contexts(A.marked(spark, sf_dir), "text", F.lit(TITLE), F.lit(DOI), F.lit(YEAR), F.lit(VENUE))
+    return C.score_contexts(A.marked(spark, sf_dir), "text", TITLE, DOI, YEAR, VENUE)
 
 
 @query(CTX_SQL + "SELECT doc_id, seq, CAST(k AS INTEGER) AS keyword_hits, CAST(p AS INTEGER) AS phrase_hits, doi AS mentions_doi, yr AS mentions_year, vn AS mentions_venue, score, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM scored")
