@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Python-side batches are cut so that one holds at most about this many bytes of text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

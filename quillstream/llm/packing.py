@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .arrow_text import in_pieces, ragged
+from .arrow_text import in_pieces, ragged, release
 from .pieces import _Index
 
 WINDOW, END_ID = 2048, 1
 #: Documents whose rests one group packs on average.
 GROUP_DOCS = 20_000
 #: Distinct words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 #: Words that the tokenizer surely splits into their letters and their punctuation alone.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
 LINE_WORDS = 400
+#: Words that go to the tokenizer at once; its results are many times larger than ids.
+NEW_WORDS = 20_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -87,8 +89,8 @@ class WordTokens:
             words += own
         number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         new, self.index.new = self.index.new, []
-        if new:
-            ids, sizes = self._encode_words(new)
+        for k in range(0, len(new), NEW_WORDS):
+            ids, sizes = self._encode_words(new[k : k + NEW_WORDS])
             self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, sizes])
         starts = np.cumsum(self.counts) - self.counts
         sizes = self.counts[number]
@@ -122,6 +124,8 @@ def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
                         total.append(len(own))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, start, length, ids, total), kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        del words
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

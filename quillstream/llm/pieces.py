@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..session import ship
-from .arrow_text import binary_array, in_pieces, ragged
+from .arrow_text import binary_array, in_pieces, ragged, release
 
 SPACE = "▁"
 LONG_WORD = 256
 #: Distinct words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
@@ -284,6 +284,8 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", ids: str =
                 encoder = encoder or Encoder(Vocabulary(model.value))
                 column = _list_array(*encoder.encode(batch.column(text).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), column], schema.names)
+        del encoder
+        release()
 
     return df.mapInArrow(run, schema)
 

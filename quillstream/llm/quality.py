@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import crf
-from .arrow_text import in_pieces, utf8
+from .arrow_text import in_pieces, release, utf8
 
 #: The model learns from at most so many documents of each label, of at most so many bytes.
 TRAIN_DOCS, TRAIN_BYTES = 1000, 16_384
@@ -162,6 +162,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
             for batch in in_pieces(whole, text):
                 scores = pa.array(model.value.score(batch.column(text).cast(pa.string())), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), scores], schema.names)
+        release()
 
     return docs.mapInArrow(run, schema)
 

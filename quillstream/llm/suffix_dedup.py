@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpointed, ship
-from .arrow_text import binary_array, in_pieces, ragged, utf8
+from .arrow_text import binary_array, in_pieces, ragged, release, utf8
 from .near_dedup import _mixed
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text for each shard of anchors and each bucket of documents.
-SHARD_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: Contexts in a message, bytes of a suffix array, different contexts of an anchor at most.
-MESSAGE_ROWS, ARRAY_BYTES, HOT_CONTEXTS = 400_000, 1 << 21, 4096
+MESSAGE_ROWS, ARRAY_BYTES, HOT_CONTEXTS = 150_000, 1 << 20, 4096
 BLOCK = 1 << 16
 LOWEST = -(1 << 63)
 
@@ -212,6 +212,8 @@ def _send(length: int, shard_bits: int):
                     held = []
         if held:
             yield from flush(held).to_batches()
+        del held
+        release()
 
     return run, schema
 
