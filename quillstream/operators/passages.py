@@ -35,7 +35,7 @@ def split_pages(pages: DataFrame) -> DataFrame:
 def packed_sentences(text: Column, least: int = 350) -> Column:
     """Sentences packed into paragraphs of ``least`` characters or more (the last may be shorter)."""
     # Spark's split has no look-behind trouble: Java supports it
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\[])"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\[])"), lambda x: F.trim(x)), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("size"))
 
     def step(acc: Column, s: Column) -> Column:

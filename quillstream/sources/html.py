@@ -23,7 +23,7 @@ def pdf_links(html: Column) -> Column:
 def text_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Non-empty texts between tags, numbered; scripts and styles left out."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    parts = F.filter(F.transform(F.split(F.regexp_replace(bare, "<[^>]*>", "\u0001"), "\u0001"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(bare, "<[^>]*>", "\u0001"), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
     return pages.select(key, F.posexplode(parts).alias("at", "text")).select(key, (F.col("at") + 1).alias("seq"), "text")
 
 
