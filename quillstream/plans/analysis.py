@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import findings as M
 from ..operators import passages as S
 from ..operators import semantics
+from ..session import checkpointed
 
 
 def sections(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +47,8 @@ def numbered_hits(body: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def candidate_spans(pages: DataFrame, title: str, doi: str = "", contexts: DataFrame | None = None, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Ranked spans with their surroundings, and the citation numbers of the documents."""
-    body, references = sections(pages)
-    numbers = citation_numbers(references, title, doi)
+    body, references = map(checkpointed, sections(pages))  # cut once, used by every generator
+    numbers = checkpointed(citation_numbers(references, title, doi))
     place = ["doc_id", "seq", "page", "span_index"]
     none = F.lit(None).cast("double").alias("overlap")
     parts = [S.neighbour_spans(numbered_hits(body, numbers)).select(*place, "match_type", F.col("score").cast("double").alias("score"), F.lit(0).alias("ord"), none)]
@@ -67,6 +68,7 @@ def candidate_spans(pages: DataFrame, title: str, doi: str = "", contexts: DataF
 def analyse_papers(pages: DataFrame, title: str, doi: str = "", contexts: DataFrame | None = None, provider: Callable[[str], dict] = semantics.offline_provider, top: int = 8) -> DataFrame:
     """doc_id, status, spans and findings of every document; failures are statuses, not errors."""
     spans, numbers = candidate_spans(pages, title, doi, contexts)
+    spans = checkpointed(spans)
     found = semantics.analyse(spans.where(F.col("place") <= top).select("doc_id", "page", "span_index", F.col("window_text").alias("text")), provider).where("keep")
     counts = found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("mention_type") == "explicit_citation").alias("strong"))
     first = spans.groupBy("doc_id").agg(
