@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -15,9 +16,12 @@ def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers, once per Spark application.
 
     Functions used by ``mapInArrow`` and friends are pickled by reference, so the workers
-    need the package; it is zipped and distributed with ``addPyFile``.
+    need the package; it is zipped and distributed with ``addPyFile``. Arrow batches are made
+    smaller where nobody has set their size, so that a batch of whole texts stays small.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:  # rows hold whole texts; a setting of one's own stays
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, "_quillstream_shipped", False):
         return spark
     target = os.path.join(tempfile.mkdtemp(), "quillstream_pkg.zip")
