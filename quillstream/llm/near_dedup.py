@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ship
-from .arrow_text import in_pieces, ragged, utf8
+from .arrow_text import in_pieces, ragged, release, utf8
 from .components import connected_components
 
 HASHES = 144
@@ -116,7 +116,7 @@ def _describe(words: int, depth: int, orders: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in in_pieces(whole, "text", 4 << 20):
+            for batch in in_pieces(whole, "text", 1 << 20):
                 value, made = shingles(*utf8(batch.column("text")), words)
                 ends = np.cumsum(made)
                 unique = [np.unique(value[e - m : e]) for e, m in zip(ends.tolist(), made.tolist(), strict=True)]
@@ -133,6 +133,7 @@ def _describe(words: int, depth: int, orders: int):
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * orders, pa.int32()), pa.array(keys.view(np.int64).ravel())),
                 ], names)
+        release()
 
     return run
 
@@ -219,11 +220,12 @@ def _sets_of(docs: DataFrame, members: DataFrame, rows: int, words: int, broadca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in in_pieces(whole, "text", 4 << 20):
+            for batch in in_pieces(whole, "text", 1 << 20):
                 value, made = shingles(*utf8(batch.column("text")), words)
                 ends = np.cumsum(made)
                 items = [np.unique(value[e - m : e]).tobytes() for e, m in zip(ends.tolist(), made.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(items, pa.binary())], schema.names)
+        release()
 
     return joined.mapInArrow(run, schema)
 

@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in in_pieces(whole, text):
+            for batch in in_pieces(whole, text, 1 << 20):
                 scores = pa.array(model.value.score(batch.column(text).cast(pa.string())), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), scores], schema.names)
         release()
