@@ -43,7 +43,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text for each shard of anchors and each bucket of documents.
-SHARD_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+SHARD_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Contexts in a message, bytes of a suffix array, different contexts of an anchor at most.
 MESSAGE_ROWS, ARRAY_BYTES, HOT_CONTEXTS = 150_000, 1 << 20, 4096
 BLOCK = 1 << 16
@@ -118,7 +118,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
             stop = np.minimum(stop, np.append(bad, len(place))[np.searchsorted(bad, begin)])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * _INVERSE[: len(b)], dtype=np.uint64)])
         end = stop + length - 1
-        anchor.append(gram[place[begin]])
+        anchor.append(_mixed(gram[place[begin]] + _BYTE[0]))  # smallest hashes lie close together; shards need them spread
         digest.append(_mixed((sums[end] - sums[begin]) * _POWER[begin] + (end - begin).astype(np.uint64) * _BYTE[7]))
         at.append(begin + s)
         count.append(stop - begin)
@@ -202,7 +202,7 @@ def _send(length: int, shard_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for whole in batches:
-            for batch in in_pieces(whole, "text"):
+            for batch in in_pieces(whole, "text", 1 << 20):
                 data, offsets = utf8(batch.column("text"))
                 ids = batch.column("doc_id").fill_null(LOWEST).to_numpy()
                 anchor, digest, text, pos, n = contexts(data, offsets, length)
@@ -345,7 +345,9 @@ def _match(length: int, buckets: int, array_bytes: int):
         doc.append(w["window_doc"][order[again]])
         pos.append(w["window_pos"][order[again]].astype(np.int64))
         cut = _merged(np.concatenate(doc), np.concatenate(pos), length)
-        return _batch([{"bucket": b} | _packed({k: c[own] for k, c in cut.items()}) for b, own in _by_key(bucket_of(cut["doc"], buckets))], schema)
+        found = _batch([{"bucket": b} | _packed({k: c[own] for k, c in cut.items()}) for b, own in _by_key(bucket_of(cut["doc"], buckets))], schema)
+        release()
+        return found
 
     return run, schema
 
@@ -406,15 +408,13 @@ def remove_repeats(
     send, send_schema = _send(length, shard_bits)
     sort, sort_schema = _sort(length, buckets, hot_contexts)
     sorted_ = checkpointed(docs.mapInArrow(send, send_schema).groupBy("to").applyInArrow(sort, sort_schema))
-    placed = docs.withColumn("bucket", bucket_column(buckets))
+    placed = with_others.withColumn("bucket", bucket_column(buckets))  # one exchange serves both uses
     deliver, deliver_schema = _deliver(length, shard_bits)
     asked = sorted_.where("length(need_doc) > 0").select("bucket", *_NEED)
     sent = placed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(deliver, deliver_schema)
     match, match_schema = _match(length, buckets, array_bytes)
-    found = checkpointed(sent.groupBy("shard").applyInArrow(match, match_schema))
+    found = sent.groupBy("shard").applyInArrow(match, match_schema)
     cuts = found.unionByName(sorted_.where("length(doc) > 0").select("bucket", *_CUT))
-    if carry:
-        placed = with_others.withColumn("bucket", bucket_column(buckets))
     schema = T.StructType([T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in _RESULT] + list(others.schema.fields))
     return placed.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(_remove(with_text, list(carry)), schema)
 
