@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ordering import with_position
 
 
 def score_contexts(contexts: DataFrame, text: str, title: str, doi: str = "", year: int | None = None, venue: str = "") -> DataFrame:
@@ -43,8 +44,10 @@ def reorder(papers: DataFrame, contexts: DataFrame) -> DataFrame:
     )
     trust = F.coalesce(F.element_at(F.create_map(F.lit("high"), F.lit(2), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(0)), F.col("c.confidence")), F.lit(0))
     joined = papers.withColumn("title_key", X.title_key("title")).join(last, "title_key", "left")
-    order = Window.orderBy(F.col("c").isNull(), F.when(F.col("c").isNotNull(), -F.col("c.score")).otherwise(0), F.when(F.col("c").isNotNull(), -trust).otherwise(0), F.coalesce("c.rank", "ord"), "ord")
-    return joined.withColumn("position", F.row_number().over(order)).drop("title_key", "c")
+    found = F.col("c").isNotNull()
+    joined = joined.select("*", (~found).alias("_none"), F.when(found, -F.col("c.score")).otherwise(0).alias("_score"), F.when(found, -trust).otherwise(0).alias("_trust"), F.coalesce("c.rank", "ord").alias("_rank"))
+    order = ["_none", "_score", "_trust", "_rank", "ord"]
+    return with_position(joined, [F.col(c) for c in order]).drop("title_key", "c", *order[:-1])
 
 
 def fallback_contexts(papers: DataFrame, contexts: DataFrame, k: int = 5) -> DataFrame:

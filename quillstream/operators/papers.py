@@ -51,10 +51,9 @@ def top_papers(papers: DataFrame, limit: int, sort: str = "recent") -> DataFrame
     return papers.orderBy(*order_by(sort)).limit(limit)
 
 
-def with_ids(papers: DataFrame, partition: str | None = None) -> DataFrame:
-    """Stable ids P001, P002, ... in the session's order (column ``position``)."""
-    window = Window.partitionBy(partition or F.lit(0)).orderBy("position")
-    return papers.withColumn("id", F.format_string("P%03d", F.row_number().over(window)))
+def with_ids(papers: DataFrame, session: str) -> DataFrame:
+    """Stable ids P001, P002, ... in each session's order (column ``position``)."""
+    return papers.withColumn("id", F.format_string("P%03d", F.row_number().over(Window.partitionBy(session).orderBy("position"))))
 
 
 def carry_over(current: DataFrame, prior: DataFrame, state: list[str]) -> DataFrame:

@@ -28,7 +28,7 @@ def match_people(authors: DataFrame, registry: DataFrame) -> DataFrame:
         .otherwise("name_variant")
     )
     confirmed = F.exists("affiliations", lambda t: X.norm_ref("affiliation").contains(t))
-    return authors.join(F.broadcast(meets), "author").select(
+    return authors.join(meets, "author").select(
         "paper", "author", "name", "tag_type", "variant", how.alias("match_type"), F.coalesce(confirmed, F.lit(False)).alias("affiliation_match")
     )
 
@@ -70,7 +70,7 @@ def match_institutions(rows: DataFrame, registry: DataFrame, affiliation: str =
     found = pairs.where((small != "") & F.when(F.length(small) <= 4, alone).otherwise(X.norm_name("raw").contains(small)))
     place = F.row_number().over(Window.partitionBy("raw").orderBy("ord", "name_ord"))
     first = found.withColumn("place", place).where("place = 1").select(F.col("raw").alias(affiliation), "institution", F.col("known").alias("matched_name"))
-    return rows.join(F.broadcast(first), affiliation, "left")
+    return rows.join(first, affiliation, "left")
 
 
 def merge_authors(own: DataFrame, foreign: DataFrame) -> DataFrame:
