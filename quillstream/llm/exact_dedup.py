@@ -34,6 +34,8 @@ MESSAGE_ROWS = 200_000
 OWNER_ROWS = 500_000
 #: Suspect ids are broadcast up to this count (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Parts into which the rows of a group are dealt when they join their keeper.
+SALTS = 8
 
 _SENT = "seq long, owner int, n int, bits int, unary binary, low binary, uids binary, heads binary"
 
@@ -159,7 +161,8 @@ def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_
     )
     first = F.min(F.struct((-F.col("points")).alias("points"), "doc_id", "uid")).alias("first")
     groups = suspects.groupBy("print", "sha").agg(first).join(same, ["print", "sha"])
-    members = suspects.select("uid", "print", "sha").join(groups, ["print", "sha"]).select("uid", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one text may hold a third of all rows
+    members = suspects.select("uid", "print", "sha", F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["print", "sha", "salt"]).select("uid", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size")
     return prints.join(members, "uid", "left").select(
         "doc_id",
         F.when(F.col("keep_uid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -44,6 +44,8 @@ TOLERANCE = 0.15
 DENSE_ORDERS, DEEPER = 4, 3
 #: Members are broadcast up to this count; beyond it their texts are found by a shuffled join.
 BROADCAST_ROWS = 300_000
+#: Parts into which the rows of one set are dealt when they join its component.
+SALTS = 8
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -337,7 +339,10 @@ def near_duplicates(
         links = links.unionByName(_dense_links(crowded, numerator, denominator, depth, region_rows))
     parts = connected_components(links).withColumnRenamed("node", "rep")
     merged = reps.select(*same, F.col("doc_id").alias("rep")).join(parts, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    return rows.select("doc_id", *same).join(merged, same, "left").select(
+    # many rows may have one set; they are dealt over salts when they join its component
+    salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return dealt.join(salted, [*same, "salt"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),

@@ -11,6 +11,7 @@ packed each on its own; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -21,66 +22,93 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .arrow_text import in_pieces, ragged, release
-from .pieces import _Index
+from .pieces import PairTable, _Index
 
 WINDOW, END_ID = 2048, 1
 #: Documents whose rests one group packs on average.
 GROUP_DOCS = 20_000
-#: Distinct words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 200_000
+#: Distinct words, and parts of words, that a worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PARTS = 250_000, 300_000
 
 #: Words that the tokenizer surely splits into their letters and their punctuation alone.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
-LINE_WORDS = 400
-#: Words that go to the tokenizer at once; its results are many times larger than ids.
-NEW_WORDS = 20_000
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)?")
+LONG_WORD = 200
+#: Parts of words that merge at once.
+NEW_WORDS = 50_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 class WordTokens:
-    """Token ids of texts by a tokenizer that never joins across white space."""
+    """Token ids of texts by a tokenizer that never joins across white space.
+
+    Words of plain letters and punctuation are merged here, in rounds over many words at once
+    and in the library's order; all others go to the library itself.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         ids = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(ids.values()) + 1, bool)
-        self.ends_word[[i for t, i in ids.items() if t.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
+        merges = [m if isinstance(m, list) else m.split(" ") for m in json.loads(tokenizer_json)["model"]["merges"]]
+        width = max(ids.values()) + 1
+        self.table = PairTable({ids[a] * width + ids[b]: (r, ids[a + b]) for r, (a, b) in enumerate(merges)}, width)
+        # byte-level alphabets write printable bytes as themselves and the rest from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        char = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*printable}))}
+        self.inner = np.array([ids[char[b]] for b in range(256)], np.int64)
+        self.final = np.array([ids[char[b] + "</w>"] for b in range(256)], np.int64)
+        self._clear_words()
+        self._clear_parts()
+
+    def _clear_words(self) -> None:
         self.index, self.flat, self.counts = _Index(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and counts of distinct words.
+    def _clear_parts(self) -> None:
+        self.parts, self.part_flat, self.part_counts = _Index(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.parts[""] = 0
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of distinct runs of letters or of punctuation, by merge rounds."""
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sym = self.inner[data]
+        last = np.cumsum(size) - 1
+        sym[last] = self.final[data[last]]
+        ids, word = self.table.merge(sym, np.repeat(np.arange(len(parts)), size))
+        return ids.astype(np.uint32), np.bincount(word, minlength=len(parts))
 
-        Plain words (letters, then punctuation) go in lines of many: each of their one or two
-        parts ends with a token that ends a word, which tells where a word's ids stop.
-        """
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of distinct words; plain ones are put together from their parts."""
         forms = [_PLAIN.fullmatch(w) for w in words]
-        plain = [k for k, m in enumerate(forms) if m]
-        other = [k for k, m in enumerate(forms) if not m]
-        lines = [" ".join(words[k] for k in plain[i : i + LINE_WORDS]) for i in range(0, len(plain), LINE_WORDS)]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-        ids = np.concatenate([*found, np.zeros(0, np.uint32)])
-        parts = np.cumsum([1 + bool(forms[k][1]) for k in plain], dtype=np.int64)
-        stops = np.concatenate([[0], np.flatnonzero(self.ends_word[ids])[parts - 1] + 1]) if plain else np.zeros(1, np.int64)
+        plain = [k for k, m in enumerate(forms) if m and len(words[k]) <= LONG_WORD]
+        other = [k for k, m in enumerate(forms) if not m or len(words[k]) > LONG_WORD]
+        parts = [p for k in plain for p in (forms[k][1].lower(), forms[k][2] or "")]
+        number = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        new, self.parts.new = self.parts.new, []
+        for k in range(0, len(new), NEW_WORDS):
+            ids, sizes = self._encode_parts(new[k : k + NEW_WORDS])
+            self.part_flat, self.part_counts = np.concatenate([self.part_flat, ids]), np.concatenate([self.part_counts, sizes])
         single = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        sizes = self.part_counts[number]
         counts = np.zeros(len(words), np.int64)
-        counts[plain] = np.diff(stops)
+        counts[plain] = sizes.reshape(-1, 2).sum(1)
         counts[other] = [len(x) for x in single]
         flat = np.zeros(int(counts.sum()), np.uint32)
         starts = np.cumsum(counts) - counts
-        flat[ragged(starts[plain], counts[plain])] = ids
+        at = np.cumsum(self.part_counts) - self.part_counts
+        flat[ragged(starts[plain], counts[plain])] = self.part_flat[ragged(at[number], sizes)]
         flat[ragged(starts[other], counts[other])] = np.fromiter((i for x in single for i in x), np.uint32)
         return flat, counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; each distinct word goes to the tokenizer once."""
         if len(self.index) > CACHE_WORDS:
-            self._clear()
+            self._clear_words()
+        if len(self.parts) > CACHE_PARTS:
+            self._clear_parts()
         words: list[str] = []
         counts = []
         for t in texts:
@@ -109,7 +137,7 @@ def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words = None
         for whole in batches:
-            for batch in in_pieces(whole, "text"):
+            for batch in in_pieces(whole, "text", 1 << 20):
                 words = words or WordTokens(shared.value)
                 flat, at = words.encode(batch.column("text").to_pylist())
                 doc, start, length, ids, total = [], [], [], [], []

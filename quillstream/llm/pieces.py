@@ -30,11 +30,64 @@ from .arrow_text import binary_array, in_pieces, ragged, release
 SPACE = "▁"
 LONG_WORD = 256
 #: Distinct words that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
 
+class PairTable:
+    """Rank and result of merging two symbols: pairs maps left * width + right to (rank, merged)."""
+
+    def __init__(self, pairs: dict[int, tuple[int, int]], width: int):
+        self.width = width
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
+        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE: no pair) and merged symbol of each pair of symbols."""
+        key = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.width + right)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.ranks[at], NONE), self.merged[at]
+
+    def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their words after all merges, in word order.
+
+        ``word`` ascends. A round merges the leftmost best pair of every word at once.
+        """
+        done_sym, done_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        same = np.append(word[1:] == word[:-1], False)
+        rank, merged = self.look_up(sym, np.where(same, np.append(sym[1:], -1), -1)) if len(sym) else (sym, sym)
+        while len(sym):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(rank, starts)
+            spread = np.repeat(best, np.diff(starts, append=len(word)))
+            stay = spread < NONE
+            if not stay.all():
+                done_sym.append(sym[~stay])
+                done_word.append(word[~stay])
+                sym, word, rank, merged, spread = sym[stay], word[stay], rank[stay], merged[stay], spread[stay]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == spread)
+            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of each word
+            sym[at] = merged[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            moved = np.cumsum(keep) - 1
+            sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
+            changed = moved[at]
+            before = changed - 1
+            before = before[(before >= 0) & (word[before] == word[changed])]
+            changed = np.concatenate([changed, before])
+            right = np.minimum(changed + 1, len(sym) - 1)
+            rank[changed], merged[changed] = self.look_up(sym[changed], np.where((right > changed) & (word[right] == word[changed]), sym[right], -1))
+        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        return sym[order], word[order]
+
+
 class Vocabulary:
     """Pieces, pair ranks and byte ids of a model file's bytes."""
 
@@ -59,10 +112,7 @@ class Vocabulary:
                 left, right = symbol.get(text[i][:k]), symbol.get(text[i][k:])
                 if left is not None and right is not None:
                     pairs[left * self.width + right] = (ranks[score[i]], i)
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
-        self.pairs = pairs
+        self.pairs, self.table = pairs, PairTable(pairs, self.width)
         self.of_char = np.full(0x110000, -1, np.int32)
         for s, i in symbol.items():
             if len(s) == 1:
@@ -84,13 +134,6 @@ class Vocabulary:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.spaced = np.array([t.startswith(SPACE) for t in text])
 
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE: no pair) and merged piece of each pair of symbols."""
-        key = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.width + right)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.merged[at]
-
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and their counts."""
         long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
@@ -98,43 +141,13 @@ class Vocabulary:
         sizes = np.array([0 if len(w) > LONG_WORD else len(w) for w in words], np.int64)
         sym = self.of_char[points]
         sym = np.where(sym < 0, -1 - points, sym).astype(np.int64)
-        done_sym, done_word = [], []
+        merged, word = self.table.merge(sym, np.repeat(np.arange(len(words)), sizes))
+        done_sym, done_word = [merged], [word]
         for i in long:
             own = self._heap(words[i])
             done_sym.append(own)
             done_word.append(np.full(len(own), i))
-        word = np.repeat(np.arange(len(words)), sizes)
-        rank, merged = self._pair_ranks(sym, word)
-        while len(sym):
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            best = np.minimum.reduceat(rank, starts)
-            spread = np.repeat(best, np.diff(starts, append=len(word)))
-            stay = spread < NONE
-            if not stay.all():
-                done_sym.append(sym[~stay])
-                done_word.append(word[~stay])
-                sym, word, rank, merged, spread = sym[stay], word[stay], rank[stay], merged[stay], spread[stay]
-                if not len(sym):
-                    break
-            at = np.flatnonzero(rank == spread)
-            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of each word
-            sym[at] = merged[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-            changed = moved[at]
-            changed = np.unique(np.concatenate([changed, changed[changed > 0] - 1]))
-            right = np.minimum(changed + 1, len(sym) - 1)
-            r, m = self.look_up(sym[changed], np.where((right > changed) & (word[right] == word[changed]), sym[right], -1))
-            rank[changed], merged[changed] = r, m
-        return self._spelled(np.concatenate([*done_sym, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*done_word, np.zeros(0, np.int64)]).astype(np.int64), len(words))
-
-    def _pair_ranks(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sym):
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        same = np.append(word[1:] == word[:-1], False)
-        return self.look_up(sym, np.where(same, np.append(sym[1:], -1), -1))
+        return self._spelled(np.concatenate(done_sym).astype(np.int64), np.concatenate(done_word), len(words))
 
     def _spelled(self, sym: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """In word order, with symbols that are no pieces turned into byte ids."""
