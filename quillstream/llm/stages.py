@@ -54,8 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcas
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that start earlier as well; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = suffix_dedup.remove_repeats(docs, carry=tuple(others))
-    text = found.withColumn("text", suffix_dedup.whole_characters("kept"))
+    text = suffix_dedup.remove_repeats(docs, carry=tuple(others), characters=True).withColumnRenamed("kept", "text")
     return text.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -355,10 +354,12 @@ def _match(length: int, buckets: int, array_bytes: int):
 _RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
 
-def _remove(with_text: bool, carried: list[str]):
+def _remove(with_text: bool, characters: bool, carried: list[str]):
+    kind = pa.string() if characters else pa.binary()
+
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table([*(pa.array([], pa.binary() if n == "kept" else pa.int64()) for n in _RESULT), *(docs.column(c) for c in carried)], names=_RESULT + carried)
+            return pa.table([*(pa.array([], kind if n == "kept" else pa.int64()) for n in _RESULT), *(docs.column(c) for c in carried)], names=_RESULT + carried)
         ids, data, offsets, order = _texts(docs)
         cut = _joined(cuts, _CUT)
         change = np.zeros(len(data) + 1, np.int32)
@@ -377,24 +378,29 @@ def _remove(with_text: bool, carried: list[str]):
         left = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         spans = np.diff(np.concatenate([[0], np.cumsum(edge)])[offsets])
         kept = binary_array(data[~gone], left)
-        if not with_text:
+        if characters:
+            kept = pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], kind)
+        elif not with_text:
             kept = pa.array([hashlib.sha256(k).digest() for k in kept.to_pylist()], pa.binary())
         size = np.diff(offsets)
         ids = pa.array(ids, pa.int64(), mask=ids == LOWEST)
         others = docs.select(carried).take(pa.array(order))
-        return pa.table([ids, pa.array(size), pa.array(size - np.diff(left)), pa.array(spans), kept, *others.columns], names=_RESULT + carried)
+        found = pa.table([ids, pa.array(size), pa.array(size - np.diff(left)), pa.array(spans), kept, *others.columns], names=_RESULT + carried)
+        release()
+        return found
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, with_text: bool = True, carry: tuple[str, ...] = (),
+    docs: DataFrame, length: int = LENGTH, with_text: bool = True, carry: tuple[str, ...] = (), characters: bool = False,
     shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES, hot_contexts: int = HOT_CONTEXTS,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` of each document.
 
     ``kept`` holds the bytes that stay (which may cut characters), or with
-    ``with_text=False`` only their SHA-256. Columns named in ``carry`` pass through; their
+    ``with_text=False`` only their SHA-256, or with ``characters=True`` the text of those
+    that stay, without the characters that lost bytes. Columns named in ``carry`` pass through; their
     names must not be those of the result.
     """
     ship(docs.sparkSession)
@@ -415,15 +421,6 @@ def remove_repeats(
     match, match_schema = _match(length, buckets, array_bytes)
     found = sent.groupBy("shard").applyInArrow(match, match_schema)
     cuts = found.unionByName(sorted_.where("length(doc) > 0").select("bucket", *_CUT))
-    schema = T.StructType([T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in _RESULT] + list(others.schema.fields))
-    return placed.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(_remove(with_text, list(carry)), schema)
-
-
-def whole_characters(kept: str):
-    """Column: the text of the bytes that stayed; characters that lost bytes go."""
-
-    @F.pandas_udf(T.StringType())
-    def decoded(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decoded(kept)
+    kept = T.StringType() if characters else T.BinaryType()
+    schema = T.StructType([T.StructField(n, kept if n == "kept" else T.LongType()) for n in _RESULT] + list(others.schema.fields))
+    return placed.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(_remove(with_text, characters, list(carry)), schema)
