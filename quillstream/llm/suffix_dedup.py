@@ -17,11 +17,13 @@ anchor, its run of window starts, and the bytes that these windows cover.
    uneven; their windows are matched by digests of the windows themselves instead.
 5. The buckets of documents receive all repeated ranges and cut their union.
 
-Digests of contexts and windows have 64 bits.
+Digests of contexts, windows and rows have 64 bits.
 
-Defined results: null and empty texts have nothing to remove; a null doc_id sorts before all
-others; rows sharing a doc_id count as one document, so a repeated row is no repetition of
-itself, and ranges found in one are cut from each; other columns are ignored.
+Defined results: null and empty texts have nothing to remove. Rows are told apart by a digest
+of doc_id and text: each text is a document of its own, in the order of doc_id (null before all
+others) and, within an id or without one, of the digest. Rows with doc_id and text both equal
+(a null id equals a null id) count as one document: none is a repetition of another, and all
+lose the same ranges. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import types as T
 from ..session import checkpointed, ship
 from .arrow_text import binary_array, in_pieces, ragged, release, utf8
 from .near_dedup import _mixed
+from .rows import row_key
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 20
@@ -45,13 +48,14 @@ LENGTH, GRAM = 100, 20
 SHARD_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Contexts in a message, bytes of a suffix array, different contexts of an anchor at most.
 MESSAGE_ROWS, ARRAY_BYTES, HOT_CONTEXTS = 150_000, 1 << 20, 4096
+#: What a row without text takes in a bucket.
+ROW_BYTES = 64
 BLOCK = 1 << 16
 LOWEST = -(1 << 63)
 
 _RANDOM = np.random.default_rng(20240610)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
-_MODULUS, _FACTOR = (1 << 31) - 1, 48_271
 
 
 def _powers(base: int) -> np.ndarray:
@@ -63,13 +67,37 @@ def _powers(base: int) -> np.ndarray:
 _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def bucket_of(doc_id: np.ndarray, buckets: int) -> np.ndarray:
-    return doc_id % _MODULUS * _FACTOR % _MODULUS % buckets
+class Buckets:
+    """Buckets of rows by their key. A key whose rows overfill a bucket has several in a row.
 
+    Its rows are dealt over them, and what is sent to the key goes to each of them.
+    """
 
-def bucket_column(buckets: int):
-    m = F.lit(_MODULUS)
-    return F.pmod(F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), m) * _FACTOR, m), F.lit(buckets)).cast("int")
+    def __init__(self, count: int, spread: dict[int, int]):
+        self.count, self.spread = count, {k: min(v, count) for k, v in spread.items()}
+        self.wide = np.array(sorted(self.spread), np.int64)
+        self.width = np.array([self.spread[k] for k in self.wide.tolist()], np.int64)
+
+    def column(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (row_key, ...) with the column ``bucket``."""
+        first = F.pmod("row_key", F.lit(self.count))
+        if not self.spread:
+            return docs.withColumn("bucket", first.cast("int"))
+        wide = docs.sparkSession.createDataFrame(list(self.spread.items()), "_wide long, _width long")
+        rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(wide), F.col("row_key") == F.col("_wide"), "left")
+        dealt = F.pmod("_row", F.coalesce("_width", F.lit(1)))
+        return rows.withColumn("bucket", F.pmod(first + dealt, F.lit(self.count)).cast("int")).drop("_row", "_wide", "_width")
+
+    def by_key(self, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket with the positions in ``key`` of what goes there."""
+        if not len(self.wide):
+            yield from _by_key(key % self.count)
+            return
+        at = np.minimum(np.searchsorted(self.wide, key), len(self.wide) - 1)
+        times = np.where(self.wide[at] == key, self.width[at], 1)
+        own = np.repeat(np.arange(len(key)), times)
+        for bucket, which in _by_key((key[own] % self.count + ragged(np.zeros(len(key), np.int64), times)) % self.count):
+            yield bucket, own[which]
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -156,11 +184,11 @@ def _by_key(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 #: Packed columns of each exchange: name and numpy type.
-_MESSAGE = {"anchor": "<u8", "digest": "<u8", "doc": "<i8", "pos": "<u4", "n": "<u1"}
-_CUT = {"doc": "<i8", "pos": "<u4", "size": "<u4"}
-_NEED = {"need_doc": "<i8", "need_pos": "<u4", "need_n": "<u1", "need_anchor": "<u8", "hot": "<u1"}
-_CONTEXT = {"anchor": "<u8", "doc": "<i8", "pos": "<u4", "n": "<u1"}
-_WINDOW = {"window": "<u8", "window_doc": "<i8", "window_pos": "<u4"}
+_MESSAGE = {"anchor": "<u8", "digest": "<u8", "doc": "<i8", "row": "<i8", "pos": "<u4", "n": "<u1"}
+_CUT = {"row": "<i8", "pos": "<u4", "size": "<u4"}
+_NEED = {"need_doc": "<i8", "need_row": "<i8", "need_pos": "<u4", "need_n": "<u1", "need_anchor": "<u8", "hot": "<u1"}
+_CONTEXT = {"anchor": "<u8", "doc": "<i8", "row": "<i8", "pos": "<u4", "n": "<u1"}
+_WINDOW = {"window": "<u8", "window_doc": "<i8", "window_row": "<i8", "window_pos": "<u4"}
 
 
 def _schema(key: str, *packed: dict[str, str], extra: str = "") -> str:
@@ -172,30 +200,30 @@ def _batch(rows: list[dict], schema: str) -> pa.Table:
     return pa.table({n: pa.array([r.get(n, b"") for r in rows], pa.int32() if k == 0 else pa.binary()) for k, n in enumerate(names)})
 
 
-def _repeats(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by anchor, digest, document and position; where a context is new; where it is seen again."""
-    order = np.lexsort((pos, doc, digest, anchor))
-    a, g, d, p = anchor[order], digest[order], doc[order], pos[order]
+def _repeats(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by anchor, digest, document, row and position; where a context is new; where it is seen again."""
+    order = np.lexsort((pos, row, doc, digest, anchor))
+    a, g, r, p = anchor[order], digest[order], row[order], pos[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
-    return order, new, ~new & ((d != d[first]) | (p != p[first]))
+    return order, new, ~new & ((r != r[first]) | (p != p[first]))
 
 
 def _send(length: int, shard_bits: int):
     schema = _schema("to", _MESSAGE, {"cut_" + k: v for k, v in _CUT.items()})
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.Table:
-        anchor, digest, doc, pos, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, new, again = _repeats(anchor, digest, doc, pos)
+        anchor, digest, doc, row, pos, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, new, again = _repeats(anchor, digest, doc, row, pos)
         rows, keep, drop = [], order[new], order[again]
         for shard, own in _by_key((anchor[keep] >> np.uint64(64 - shard_bits)).astype(np.int64)):
             at = keep[own]
-            rows.append({"to": shard} | _packed({"anchor": anchor[at], "digest": digest[at], "doc": doc[at], "pos": pos[at].astype(np.uint32), "n": n[at].astype(np.uint8)}))
+            rows.append({"to": shard} | _packed({"anchor": anchor[at], "digest": digest[at], "doc": doc[at], "row": row[at], "pos": pos[at].astype(np.uint32), "n": n[at].astype(np.uint8)}))
         # repeated inside this message: known already, and only passed on by some shard
-        for shard, own in _by_key(bucket_of(doc[drop], 1 << shard_bits)):
+        for shard, own in _by_key(row[drop] & ((1 << shard_bits) - 1)):
             at = drop[own]
-            rows.append({"to": shard} | _packed({"cut_doc": doc[at], "cut_pos": pos[at].astype(np.uint32), "cut_size": (n[at] + length - 1).astype(np.uint32)}))
+            rows.append({"to": shard} | _packed({"cut_row": row[at], "cut_pos": pos[at].astype(np.uint32), "cut_size": (n[at] + length - 1).astype(np.uint32)}))
         return _batch(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +232,9 @@ def _send(length: int, shard_bits: int):
             for batch in in_pieces(whole, "text", 1 << 20):
                 data, offsets = utf8(batch.column("text"))
                 ids = batch.column("doc_id").fill_null(LOWEST).to_numpy()
+                keys = batch.column("row_key").to_numpy()
                 anchor, digest, text, pos, n = contexts(data, offsets, length)
-                held.append((anchor, digest, ids[text], pos, n))
+                held.append((anchor, digest, ids[text], keys[text], pos, n))
                 if sum(len(h[0]) for h in held) >= MESSAGE_ROWS:
                     yield from flush(held).to_batches()
                     held = []
@@ -217,37 +246,37 @@ def _send(length: int, shard_bits: int):
     return run, schema
 
 
-def _sort(length: int, buckets: int, hot_contexts: int):
+def _sort(length: int, buckets: Buckets, hot_contexts: int):
     schema = _schema("bucket", _CUT, _NEED)
 
     def run(table: pa.Table) -> pa.Table:
         m = _joined(table, _MESSAGE)
         passed = _joined(table, {"cut_" + k: v for k, v in _CUT.items()})
-        order, new, again = _repeats(m["anchor"], m["digest"], m["doc"], m["pos"])
+        order, new, again = _repeats(m["anchor"], m["digest"], m["doc"], m["row"], m["pos"])
         drop = order[again]
-        cut = [np.concatenate(x) for x in zip((m["doc"][drop], m["pos"][drop], m["n"][drop].astype(np.uint32) + np.uint32(length - 1)), passed.values(), strict=True)]
+        cut = [np.concatenate(x) for x in zip((m["row"][drop], m["pos"][drop], m["n"][drop].astype(np.uint32) + np.uint32(length - 1)), passed.values(), strict=True)]
         first = order[new]
         anchor = m["anchor"][first]
         head = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)) != 0)
         several = np.repeat(np.diff(head, append=len(anchor)), np.diff(head, append=len(anchor)))
         need, many = first[several > 1], several[several > 1]
         rows: dict[int, dict] = {}
-        for bucket, own in _by_key(bucket_of(cut[0], buckets)):
+        for bucket, own in buckets.by_key(cut[0]):
             rows.setdefault(bucket, {"bucket": bucket}).update(_packed({k: c[own] for k, c in zip(_CUT, cut, strict=True)}))
-        for bucket, own in _by_key(bucket_of(m["doc"][need], buckets)):
+        for bucket, own in buckets.by_key(m["row"][need]):
             at = need[own]
-            rows.setdefault(bucket, {"bucket": bucket}).update(_packed({"need_doc": m["doc"][at], "need_pos": m["pos"][at], "need_n": m["n"][at], "need_anchor": m["anchor"][at], "hot": (many[own] > hot_contexts).astype(np.uint8)}))
+            rows.setdefault(bucket, {"bucket": bucket}).update(_packed({"need_doc": m["doc"][at], "need_row": m["row"][at], "need_pos": m["pos"][at], "need_n": m["n"][at], "need_anchor": m["anchor"][at], "hot": (many[own] > hot_contexts).astype(np.uint8)}))
         return _batch(list(rows.values()), schema)
 
     return run, schema
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids in order, bytes and offsets of their texts, and the order."""
-    ids = table.column("doc_id").fill_null(LOWEST).to_numpy()
-    order = np.argsort(ids, kind="stable")
+    """Row keys in order, bytes and offsets of their texts, and the order."""
+    keys = table.column("row_key").to_numpy()
+    order = np.argsort(keys, kind="stable")
     data, offsets = utf8(table.column("text").take(pa.array(order)))
-    return ids[order], data, offsets, order
+    return keys[order], data, offsets, order
 
 
 def _deliver(length: int, shard_bits: int):
@@ -256,24 +285,26 @@ def _deliver(length: int, shard_bits: int):
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         need = _joined(asked, _NEED)
-        if not len(need["need_doc"]) or not docs.num_rows:
+        if not len(need["need_row"]) or not docs.num_rows:
             return _batch([], schema)
-        ids, data, offsets, _ = _texts(docs)
-        row = np.searchsorted(ids, need["need_doc"])
+        keys, data, offsets, _ = _texts(docs)
+        row = np.searchsorted(keys, need["need_row"])
+        here = keys[np.minimum(row, len(keys) - 1)] == need["need_row"]  # a bucket of a wide key may hold no row of it
+        need, row = {k: v[here] for k, v in need.items()}, row[here]
         start = offsets[row] + need["need_pos"]
         size = need["need_n"].astype(np.int64) + length - 1
         rows: dict[int, dict] = {}
         cold, hot = np.flatnonzero(need["hot"] == 0), np.flatnonzero(need["hot"] == 1)
         for shard, own in _by_key((need["need_anchor"][cold] >> np.uint64(64 - shard_bits)).astype(np.int64)):
             at = cold[own]
-            rows[shard] = {"shard": shard, "bytes": data[ragged(start[at], size[at])].tobytes()} | _packed({"anchor": need["need_anchor"][at], "doc": need["need_doc"][at], "pos": need["need_pos"][at], "n": need["need_n"][at]})
+            rows[shard] = {"shard": shard, "bytes": data[ragged(start[at], size[at])].tobytes()} | _packed({"anchor": need["need_anchor"][at], "doc": need["need_doc"][at], "row": need["need_row"][at], "pos": need["need_pos"][at], "n": need["need_n"][at]})
         if len(hot):
             window = np.concatenate(window_digests([data[s : s + k].tobytes() for s, k in zip(start[hot].tolist(), size[hot].tolist(), strict=True)], length))
             n = need["need_n"][hot].astype(np.int64)
-            doc = np.repeat(need["need_doc"][hot], n)
+            doc, key = np.repeat(need["need_doc"][hot], n), np.repeat(need["need_row"][hot], n)
             pos = ragged(need["need_pos"][hot], n).astype(np.uint32)
             for shard, own in _by_key((window >> np.uint64(64 - shard_bits)).astype(np.int64)):
-                rows.setdefault(shard, {"shard": shard}).update(_packed({"window": window[own], "window_doc": doc[own], "window_pos": pos[own]}))
+                rows.setdefault(shard, {"shard": shard}).update(_packed({"window": window[own], "window_doc": doc[own], "window_row": key[own], "window_pos": pos[own]}))
         return _batch(list(rows.values()), schema)
 
     return run, schema
@@ -300,17 +331,17 @@ def repeated_windows(parts: list[bytes], counts: np.ndarray, length: int) -> np.
     return again[ragged(start, counts)]
 
 
-def _merged(doc: np.ndarray, pos: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Ranges that windows at (doc, pos) cover; neighbours joined."""
-    order = np.lexsort((pos, doc))
-    d, p = doc[order], pos[order].astype(np.int64)
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
+def _merged(row: np.ndarray, pos: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Ranges that windows at (row, pos) cover; neighbours joined."""
+    order = np.lexsort((pos, row))
+    r, p = row[order], pos[order].astype(np.int64)
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
     at = np.flatnonzero(new)
-    return {"doc": d[at], "pos": p[at].astype(np.uint32), "size": (np.diff(at, append=len(d)) + length - 1).astype(np.uint32)}
+    return {"row": r[at], "pos": p[at].astype(np.uint32), "size": (np.diff(at, append=len(r)) + length - 1).astype(np.uint32)}
 
 
-def _match(length: int, buckets: int, array_bytes: int):
+def _match(length: int, buckets: Buckets, array_bytes: int):
     schema = _schema("bucket", _CUT)
 
     def run(table: pa.Table) -> pa.Table:
@@ -318,7 +349,7 @@ def _match(length: int, buckets: int, array_bytes: int):
         size = m["n"].astype(np.int64) + length - 1
         data = b"".join(table.column("bytes").to_pylist())
         start = np.cumsum(size) - size
-        doc, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        row, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(m["anchor"], kind="stable")
         last = np.flatnonzero(np.diff(m["anchor"][order], append=np.uint64(0)) != 0) + 1 if len(order) else []
         begin, filled, before = 0, 0, 0
@@ -331,20 +362,22 @@ def _match(length: int, buckets: int, array_bytes: int):
             before = e
         for a, e in cuts:
             own = order[a:e]
+            own = own[np.lexsort((m["pos"][own], m["row"][own], m["doc"][own]))]
+            # several buckets of a wide key may deliver one context
+            own = own[(np.diff(m["row"][own], prepend=0) != 0) | (np.diff(m["pos"][own].astype(np.int64), prepend=-1) != 0)]
             if len(own) < 2:
                 continue
-            own = own[np.lexsort((m["pos"][own], m["doc"][own]))]
             parts = [data[s : s + k] for s, k in zip(start[own].tolist(), size[own].tolist(), strict=True)]
             n = m["n"][own].astype(np.int64)
             again = repeated_windows(parts, n, length)
-            doc.append(np.repeat(m["doc"][own], n)[again])
+            row.append(np.repeat(m["row"][own], n)[again])
             pos.append(ragged(m["pos"][own], n)[again])
         w = _joined(table, _WINDOW)
-        order, _, again = _repeats(w["window"], np.zeros(len(w["window"]), np.uint64), w["window_doc"], w["window_pos"])
-        doc.append(w["window_doc"][order[again]])
+        order, _, again = _repeats(w["window"], np.zeros(len(w["window"]), np.uint64), w["window_doc"], w["window_row"], w["window_pos"])
+        row.append(w["window_row"][order[again]])
         pos.append(w["window_pos"][order[again]].astype(np.int64))
-        cut = _merged(np.concatenate(doc), np.concatenate(pos), length)
-        found = _batch([{"bucket": b} | _packed({k: c[own] for k, c in cut.items()}) for b, own in _by_key(bucket_of(cut["doc"], buckets))], schema)
+        cut = _merged(np.concatenate(row), np.concatenate(pos), length)
+        found = _batch([{"bucket": b} | _packed({k: c[own] for k, c in cut.items()}) for b, own in buckets.by_key(cut["row"])], schema)
         release()
         return found
 
@@ -360,16 +393,14 @@ def _remove(with_text: bool, characters: bool, carried: list[str]):
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([*(pa.array([], kind if n == "kept" else pa.int64()) for n in _RESULT), *(docs.column(c) for c in carried)], names=_RESULT + carried)
-        ids, data, offsets, order = _texts(docs)
+        keys, data, offsets, order = _texts(docs)
         cut = _joined(cuts, _CUT)
         change = np.zeros(len(data) + 1, np.int32)
-        low, high = np.searchsorted(ids, cut["doc"], "left"), np.searchsorted(ids, cut["doc"], "right")
-        for shift in range(int((high - low).max(initial=0))):  # once, but for repeated ids
-            on = np.flatnonzero(low + shift < high)
-            row = low[on] + shift
-            a = np.minimum(offsets[row] + cut["pos"][on], offsets[row + 1])
-            np.add.at(change, a, 1)
-            np.add.at(change, np.minimum(a + cut["size"][on], offsets[row + 1]), -1)
+        low, high = np.searchsorted(keys, cut["row"], "left"), np.searchsorted(keys, cut["row"], "right")
+        row, on = ragged(low, high - low), np.repeat(np.arange(len(low)), high - low)  # one row a cut, but for repeated rows
+        a = np.minimum(offsets[row] + cut["pos"][on], offsets[row + 1])
+        np.add.at(change, a, 1)
+        np.add.at(change, np.minimum(a + cut["size"][on], offsets[row + 1]), -1)
         gone = np.cumsum(change[:-1]) > 0
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
@@ -383,9 +414,8 @@ def _remove(with_text: bool, characters: bool, carried: list[str]):
         elif not with_text:
             kept = pa.array([hashlib.sha256(k).digest() for k in kept.to_pylist()], pa.binary())
         size = np.diff(offsets)
-        ids = pa.array(ids, pa.int64(), mask=ids == LOWEST)
         others = docs.select(carried).take(pa.array(order))
-        found = pa.table([ids, pa.array(size), pa.array(size - np.diff(left)), pa.array(spans), kept, *others.columns], names=_RESULT + carried)
+        found = pa.table([docs.column("doc_id").take(pa.array(order)), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans), kept, *others.columns], names=_RESULT + carried)
         release()
         return found
 
@@ -405,22 +435,26 @@ def remove_repeats(
     """
     ship(docs.sparkSession)
     others = docs.select(*carry)
-    with_others = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shard_bits = max(5, int(np.ceil(np.log2(total / shard_bytes + 1))))
-    buckets = max(16, -(-total // bucket_bytes))
+    with_others = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row_key"), *carry)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row_key"))
+    room = F.octet_length("text").cast("long") + ROW_BYTES
+    held = docs.groupBy("row_key").agg(F.count("*").alias("n"), F.sum(room).alias("room"))
+    wide = F.when((F.col("n") > 1) & (F.col("room") > bucket_bytes), F.struct("row_key", F.ceil(F.col("room") / bucket_bytes)))
+    total, rows, wide = held.agg(F.sum("room"), F.sum("n"), F.collect_list(wide)).first()  # less than one wide key for each bucket_bytes
+    total, rows = total or 0, rows or 0
+    shard_bits = max(5, int(np.ceil(np.log2((total - rows * ROW_BYTES) / shard_bytes + 1))))
+    buckets = Buckets(max(16, -(-total // bucket_bytes)), dict(map(tuple, wide)))
 
     send, send_schema = _send(length, shard_bits)
     sort, sort_schema = _sort(length, buckets, hot_contexts)
     sorted_ = checkpointed(docs.mapInArrow(send, send_schema).groupBy("to").applyInArrow(sort, sort_schema))
-    placed = with_others.withColumn("bucket", bucket_column(buckets))  # one exchange serves both uses
+    placed = buckets.column(with_others)  # one exchange serves both uses
     deliver, deliver_schema = _deliver(length, shard_bits)
-    asked = sorted_.where("length(need_doc) > 0").select("bucket", *_NEED)
+    asked = sorted_.where("length(need_row) > 0").select("bucket", *_NEED)
     sent = placed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(deliver, deliver_schema)
     match, match_schema = _match(length, buckets, array_bytes)
     found = sent.groupBy("shard").applyInArrow(match, match_schema)
-    cuts = found.unionByName(sorted_.where("length(doc) > 0").select("bucket", *_CUT))
+    cuts = found.unionByName(sorted_.where("length(row) > 0").select("bucket", *_CUT))
     kept = T.StringType() if characters else T.BinaryType()
     schema = T.StructType([T.StructField(n, kept if n == "kept" else T.LongType()) for n in _RESULT] + list(others.schema.fields))
     return placed.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(_remove(with_text, characters, list(carry)), schema)

@@ -65,3 +65,19 @@ def test_edges(spark):
     alone = {(r.doc_id, r.n_bytes, r.n_removed) for r in S.remove_repeats(docs.dropDuplicates()).collect()}
     assert got == alone and (None, 30, 0) in got and (5, 0, 0) in got
     assert S.remove_repeats(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3}])
+def test_rows_that_lack_or_share_an_id(spark, limits):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    passage = text(50)
+    rows = [(d, f"{passage} {text(40)}" if i % 2 else f"{text(30)} {passage} {text(rng.randrange(60))}") for i, d in enumerate([None] * 12 + [4] * 6 + [9, 2, -3])]
+    rows += [(None, rows[0][1])] * 30 + [(4, rows[13][1])] * 20 + [(None, None), (None, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keys = {(r.doc_id, r.text): r.key for r in docs.select("doc_id", "text", S.row_key().alias("key")).collect()}
+    distinct = sorted(keys, key=lambda r: (r[0] is not None, r[0] or 0, keys[r]))
+    cut = dict(zip(distinct, brute(list(enumerate(t for _, t in distinct))), strict=True))
+    got = sorted((tuple(r) for r in S.remove_repeats(docs, **limits).collect()), key=repr)
+    assert got == sorted(((r[0], *cut[r][1:4], bytearray(cut[r][4])) for r in rows), key=repr)
+    assert sum(g[2] > 0 for g in got) > 20
