@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ship
+from .rows import row_key
 
 #: Rows whose fingerprints one message holds at most.
 MESSAGE_ROWS = 200_000
@@ -122,11 +123,12 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
-def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_rows: int = OWNER_ROWS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_rows: int = OWNER_ROWS, keys: bool = False) -> DataFrame:
     """One row per document: its group's keeper, the group's size, whether it stays, its digest.
 
     Of equal texts the row with the most code points in the original text stays, then the
-    one with the smallest doc_id.
+    one with the smallest doc_id. With ``keys``, the column row_key tells which row it is, where
+    ids are null or repeated.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -136,6 +138,7 @@ def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_
             F.monotonically_increasing_id().alias("uid"),
             F.xxhash64(norm).alias("print"),
             "doc_id",
+            row_key().alias("row_key"),
             F.coalesce(F.char_length("text"), F.lit(0)).alias("points"),
             F.unhex(F.sha2(norm, 256)).alias("sha"),
         )
@@ -148,11 +151,11 @@ def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_
     marked = sent.select("seq", "owner", "n", "uids", "heads").join(replies, ["seq", "owner"])
     suspects = checkpointed(prints.join(marked.mapInArrow(_suspects, "uid long"), "uid", "left_semi"))
 
-    ids = suspects.select("doc_id").distinct()
+    ids = suspects.select("row_key").distinct()
     if suspects.count() <= broadcast_ids:
         ids = F.broadcast(ids)
     same = (
-        docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+        docs.withColumn("row_key", row_key()).join(ids, "row_key", "left_semi")
         .select(norm.alias("norm"))
         .groupBy(F.xxhash64("norm").alias("print"), "norm")
         .agg(F.count("*").alias("group_size"))
@@ -169,4 +172,5 @@ def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("uid") == F.col("keep_uid"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *(["row_key"] if keys else []),
     )

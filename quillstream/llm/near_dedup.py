@@ -17,7 +17,8 @@
 
 Defined results: null, empty and blank texts have the empty set, are linked with nothing and
 stay; a document of fewer words than a shingle has one shingle of all its words; repeated rows
-with one doc_id give one row each with the same component; other columns are ignored.
+with one doc_id give one row each with the same component; rows that lack an id belong to no
+component, unless rows are compared by key; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, ship
 from .arrow_text import in_pieces, ragged, release, utf8
 from .components import connected_components
+from .rows import row_key
 
 HASHES = 144
 #: Representatives of a region whose signatures are compared with each other at most.
@@ -114,7 +116,7 @@ def forest_shape(numerator: int, denominator: int) -> tuple[int, int]:
 
 
 def _describe(words: int, depth: int, orders: int):
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"]
+    names = ["id", "doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,7 +133,7 @@ def _describe(words: int, depth: int, orders: int):
                         keys[:, t] = _mixed(keys[:, t] * _STEP + sig[:, t * depth + k] + np.uint64(t))
                 sketch = (sig >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array(size), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
+                    batch.column("id"), batch.column("doc_id"), pa.array(size), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * orders, pa.int32()), pa.array(keys.view(np.int64).ravel())),
                 ], names)
@@ -304,19 +306,24 @@ def _dense_links(items: DataFrame, numerator: int, denominator: int, depth: int,
 
 def near_duplicates(
     docs: DataFrame, words: int = 3, numerator: int = 85, denominator: int = 100,
-    region_rows: int = REGION_ROWS, cluster_rows: int = CLUSTER_ROWS, broadcast_rows: int = BROADCAST_ROWS,
+    region_rows: int = REGION_ROWS, cluster_rows: int = CLUSTER_ROWS, broadcast_rows: int = BROADCAST_ROWS, by_row: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row.
 
     Documents are linked when denominator * intersection >= numerator * union of their sets.
+    With ``by_row``, rows without an id are compared as well, and each row is told by the column
+    row_key: of a component only the row with the smallest doc_id (null after all others), then
+    the smallest row_key, is kept.
     """
     spark = ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # inside, a row's key stands for it; ids come in again at the end
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), row_key().alias("doc_id"), "text")
     depth, orders = forest_shape(numerator, denominator)
-    rows = checkpointed(docs.mapInArrow(_describe(words, depth, orders), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, keys array<long>"))
+    rows = checkpointed(docs.mapInArrow(_describe(words, depth, orders), "id long, doc_id long, n_shingles long, set_a long, set_b long, sketch binary, keys array<long>"))
     same = ["n_shingles", "set_a", "set_b"]
-    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")))
+    full = rows.where("n_shingles > 0" if by_row else "n_shingles > 0 AND id IS NOT NULL")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
+    reps = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")))
 
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
@@ -338,12 +345,18 @@ def near_duplicates(
         crowded = _sets_of(docs, dense.join(reps.select("doc_id", "sketch"), "doc_id"), n, words, broadcast_rows).dropDuplicates(["doc_id"])
         links = links.unionByName(_dense_links(crowded, numerator, denominator, depth, region_rows))
     parts = connected_components(links).withColumnRenamed("node", "rep")
-    merged = reps.select(*same, F.col("doc_id").alias("rep")).join(parts, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    linked_ = reps.select(F.col("doc_id").alias("rep"), "first").join(parts, "rep")
+    parts = checkpointed(parts.join(linked_.groupBy("component").agg(F.min("first").alias("least")), "component").select("rep", "least"))
+    merged = reps.select(*same, "first", F.col("doc_id").alias("rep")).join(parts, "rep", "left").select(*same, F.coalesce("least", "first").alias("least"))
     # many rows may have one set; they are dealt over salts when they join its component
     salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return dealt.join(salted, [*same, "salt"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    dealt = (rows if by_row else rows.where("id IS NOT NULL")).select("id", "doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = dealt.join(salted, [*same, "salt"], "left")
+    if by_row:
+        return found.select(
+            F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
+            F.coalesce(F.col("least.row") == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("doc_id").alias("row_key"),
+        )
+    component = F.coalesce("least.id", "id")
+    found = found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return found.unionByName(rows.where("id IS NULL").select(F.col("id").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from . import exact_dedup, near_dedup, packing, quality, suffix_dedup
 from .queries import WORD_MODEL
+from .rows import row_key
 
-#: Ids of rows to drop are broadcast up to this count; beyond it the join shuffles.
+#: Keys of rows to drop are broadcast up to this count; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: Near duplicates: word shingles of this length, of this similarity or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _matching(docs: DataFrame, ids: DataFrame, kind: str, broadcast_ids: int) -> DataFrame:
-    """``docs`` with ('left_semi') or without ('left_anti') the rows of these distinct ids."""
-    ids = ids.select(F.col("doc_id").alias("id_to_match"))
-    if ids.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id_to_match"]), kind)
+def _matching(docs: DataFrame, rows: DataFrame, kind: str, broadcast_ids: int) -> DataFrame:
+    """``docs`` with ('left_semi') or without ('left_anti') the rows of these distinct keys (doc_id, row_key)."""
+    rows = rows.select(F.col("doc_id").alias("id_to_match"), F.col("row_key").alias("key_to_match"))
+    if rows.count() <= broadcast_ids:
+        rows = F.broadcast(rows)
+    return docs.join(rows, (row_key() == rows["key_to_match"]) & docs["doc_id"].eqNullSafe(rows["id_to_match"]), kind)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,22 +34,22 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """One document of each group of equal texts; of rows that repeat an id and a text, one."""
-    found = exact_dedup.exact_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("stays"), F.min("kept").alias("once"))
+    """One row of each group of equal texts, whether or not ids are null or repeated."""
+    found = exact_dedup.exact_duplicates(docs, keys=True).groupBy("doc_id", "row_key").agg(F.max("kept").alias("stays"), F.min("kept").alias("once"))
     found = checkpointed(found.where("NOT stays OR NOT once"))
     rest = _matching(docs, found.where("NOT stays"), "left_anti", broadcast_ids)
     repeated = found.where("stays")
     if repeated.isEmpty():
         return rest
-    again = _matching(rest, repeated, "left_semi", broadcast_ids).withColumn("_text", exact_dedup.normalised())
-    once = again.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    again = _matching(rest, repeated, "left_semi", broadcast_ids)
+    once = again.dropDuplicates(["doc_id", "text"])
     return _matching(rest, repeated, "left_anti", broadcast_ids).unionByName(once)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near duplicates."""
-    found = near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT, 100)
-    return _matching(docs, checkpointed(found.where("NOT kept").select("doc_id").distinct()), "left_anti", broadcast_ids)
+    """One document (the smallest doc_id, null after all others) of each group of near duplicates."""
+    found = near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_PERCENT, 100, by_row=True)
+    return _matching(docs, checkpointed(found.where("NOT kept").select("doc_id", "row_key").distinct()), "left_anti", broadcast_ids)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

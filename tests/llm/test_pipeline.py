@@ -62,3 +62,22 @@ def test_stages_against_brute_force(spark):
 def test_copies_with_repeated_rows(spark, broadcast_ids):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "ab"), (3, "c"), (None, "d"), (None, "d"), (4, None), (5, " ")], "doc_id long, text string")
     assert texts(stages.drop_copies(spark, docs, "", broadcast_ids)) == [(None, "d"), (1, "a b"), (3, "c"), (5, " ")]
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 1000])
+def test_copies_of_rows_that_lack_or_share_an_id(spark, broadcast_ids):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a  b"), (None, "c"), (None, "d"), (1, "e f"), (1, "e  f g"), (2, "e   f"), (3, "d  "), (None, "c")], "doc_id long, text string")
+    got = stages.drop_copies(spark, docs, "", broadcast_ids)
+    assert texts(got) == [(None, "a  b"), (None, "c"), (1, "e  f g"), (2, "e   f"), (3, "d  ")]
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 1000])
+def test_near_copies_of_rows_that_lack_or_share_an_id(spark, broadcast_ids):
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, text(0)), (None, text(0) + " more"), (None, text(1)), (5, text(1) + " more"), (4, text(2)), (4, text(3)), (4, text(3) + " more"), (6, text(2) + " more"), (None, None), (None, "")]
+    got = texts(stages.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "", broadcast_ids).fillna("", "text"))
+    assert len(got) == 6
+    assert [r for r in got if r[0] is None and not r[1]] == [(None, "")] * 2
+    assert [r[1] in (text(0), text(0) + " more") for r in got if r[0] is None and r[1]] == [True]
+    assert [r for r in got if r[0] == 5] == [(5, text(1) + " more")] and not [r for r in got if r[0] == 6]
+    assert sorted(r[1].split()[0] for r in got if r[0] == 4) == ["w2x0", "w3x0"]
