@@ -3,21 +3,25 @@
 A text is cut into words before each run of spaces; no piece of a BPE model crosses such a
 place, so words encode on their own. All distinct words of a batch lie in flat numpy arrays
 of symbols. A round finds the best (lowest) pair rank of every word with a segmented minimum,
-merges the leftmost pair of that rank in all words at once, looks up the ranks of the pairs
-that changed, and compacts the arrays; words without a mergeable pair leave. This is the
-order in which the library merges, so the ids are the library's. Words longer than
-``LONG_WORD`` symbols would need as many rounds as merges and go through a heap instead,
-which merges in the same order.
+merges the pairs of that rank in all words at once, from the left, looks up the ranks of the
+pairs that changed, and compacts the arrays; words without a mergeable pair leave. A round
+stops in a word where the library would turn to another pair, so the ids are the library's,
+whatever the length of a word.
+
+Encoding and decoding share one Python worker in ``round_trip``: two that feed one another in
+a task cost memory and can wait for each other.
 
 Defined results: null and empty texts have no ids and decode to the empty text; characters
-unknown to the model become byte pieces; other columns pass through unchanged.
+unknown to the model become byte pieces; repeated rows are encoded one by one; other columns
+pass through unchanged, but one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,6 @@ from ..session import ship
 from .arrow_text import binary_array, in_pieces, ragged, release
 
 SPACE = "▁"
-LONG_WORD = 256
 #: Distinct words that a worker remembers; beyond it, it starts anew.
 CACHE_WORDS = 250_000
 NONE = np.iinfo(np.int32).max
@@ -54,7 +57,10 @@ class PairTable:
     def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their words after all merges, in word order.
 
-        ``word`` ascends. A round merges the leftmost best pair of every word at once.
+        ``word`` ascends. The library merges the leftmost best pair of a word, again and
+        again. A round does so with all pairs of a word's best rank at once, from the left, up
+        to the first that brings a new pair of this rank or a better one, so the order of
+        merges stays the same and a long word takes no more rounds than it has ranks.
         """
         done_sym, done_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         same = np.append(word[1:] == word[:-1], False)
@@ -71,18 +77,33 @@ class PairTable:
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == spread)
-            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of each word
-            sym[at] = merged[at]
+            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-9) != 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]  # of overlapping pairs every other one, from the left
+            made, own = merged[at], word[at]
+            # the neighbours at the time of each merge: merged already on the left, not yet on the right
+            joint = np.append(False, (np.diff(at) == 2) & (own[1:] == own[:-1]))
+            before = np.maximum(at - 1, 0)
+            left = np.where((at > 0) & (word[before] == own), np.where(joint, np.append(0, made[:-1]), sym[before]), -1)
+            after = np.minimum(at + 2, len(sym) - 1)
+            right = np.where((at + 2 < len(sym)) & (word[after] == own), sym[after], -1)
+            left_rank, left_made = self.look_up(left, made)
+            right_rank, right_made = self.look_up(made, right)
+            early = (np.minimum(left_rank, right_rank) <= rank[at]).astype(np.int64)
+            if early.any():  # what follows such a merge in its word waits for the next round
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                passed = np.cumsum(early) - early
+                fit = passed == np.repeat(passed[first], np.diff(first, append=len(own)))
+                at, made, own, joint = at[fit], made[fit], own[fit], joint[fit]
+                left, left_rank, left_made, right_rank, right_made = left[fit], left_rank[fit], left_made[fit], right_rank[fit], right_made[fit]
+            sym[at] = made
+            rank[at], merged[at] = right_rank, right_made
+            inside = left >= 0
+            # a merged symbol's pair with a merged left neighbour starts at that neighbour
+            where = np.where(joint, at - 2, at - 1)[inside]
+            rank[where], merged[where] = left_rank[inside], left_made[inside]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
             sym, word, rank, merged = sym[keep], word[keep], rank[keep], merged[keep]
-            changed = moved[at]
-            before = changed - 1
-            before = before[(before >= 0) & (word[before] == word[changed])]
-            changed = np.concatenate([changed, before])
-            right = np.minimum(changed + 1, len(sym) - 1)
-            rank[changed], merged[changed] = self.look_up(sym[changed], np.where((right > changed) & (word[right] == word[changed]), sym[right], -1))
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], word[order]
@@ -112,7 +133,7 @@ class Vocabulary:
                 left, right = symbol.get(text[i][:k]), symbol.get(text[i][k:])
                 if left is not None and right is not None:
                     pairs[left * self.width + right] = (ranks[score[i]], i)
-        self.pairs, self.table = pairs, PairTable(pairs, self.width)
+        self.table = PairTable(pairs, self.width)
         self.of_char = np.full(0x110000, -1, np.int32)
         for s, i in symbol.items():
             if len(s) == 1:
@@ -136,18 +157,11 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and their counts."""
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-        points = np.frombuffer("".join("" if len(w) > LONG_WORD else w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([0 if len(w) > LONG_WORD else len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.of_char[points]
         sym = np.where(sym < 0, -1 - points, sym).astype(np.int64)
-        merged, word = self.table.merge(sym, np.repeat(np.arange(len(words)), sizes))
-        done_sym, done_word = [merged], [word]
-        for i in long:
-            own = self._heap(words[i])
-            done_sym.append(own)
-            done_word.append(np.full(len(own), i))
-        return self._spelled(np.concatenate(done_sym).astype(np.int64), np.concatenate(done_word), len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return self._spelled(*self.table.merge(sym, np.repeat(np.arange(len(words)), sizes)), len(words))
 
     def _spelled(self, sym: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """In word order, with symbols that are no pieces turned into byte ids."""
@@ -165,32 +179,6 @@ class Vocabulary:
             sym, word = out, np.repeat(word, counts)
         return sym.astype(np.int32), np.bincount(word, minlength=n)
 
-    def _heap(self, text: str) -> np.ndarray:
-        """The symbols of one long word: pairs merge by rank, then from the left."""
-        sym = [int(self.of_char[ord(c)]) if self.of_char[ord(c)] >= 0 else -1 - ord(c) for c in text]
-        after, before = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i] if i >= 0 else -1
-            if j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (found := self.pairs.get(sym[i] * self.width + sym[j])):
-                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
-
-        gone = [False] * len(sym)
-        for i in range(len(sym)):
-            offer(i)
-        while heap:
-            _, i, a, b, piece = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j], after[i] = piece, True, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return np.array([s for s, g in zip(sym, gone, strict=True) if not g], np.int64)
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts of flat ids cut at the n + 1 offsets."""
         sizes = self.raw_len[ids].copy()
@@ -276,33 +264,91 @@ class Encoder:
         return self.flat[ragged(starts[number], sizes)], ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def _list_array(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def list_array(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
+def id_digests(ids: np.ndarray, offsets: np.ndarray, width: int) -> list[str]:
+    """SHA-256 of each text's decimal ids joined by commas."""
+    names = [f"{i},".encode() for i in range(width)]
+    size = np.array([len(n) for n in names], np.int64)
+    at = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(names), np.uint8)[ragged(at[ids], size[ids])].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size[ids])])[offsets].tolist()
+    return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@dataclass
+class Encoded:
+    """What the texts of a batch became: flat ids, and the bytes that they spell."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
+    ends: np.ndarray
+    vocabulary: Vocabulary
+
+    def digests(self) -> list[pa.Array]:
+        """n_tokens, ids_sha256 and decoded_sha256 of each text."""
+        raw, ends = self.data.tobytes(), self.ends.tolist()
+        return [
+            pa.array(np.diff(self.offsets), pa.int64()),
+            pa.array(id_digests(self.ids, self.offsets, self.vocabulary.size), pa.string()),
+            pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string()),
+        ]
+
+    def whole(self) -> list[pa.Array]:
+        """The ids and the decoded text."""
+        return [list_array(self.ids, self.offsets), binary_array(self.data, self.ends, pa.binary()).cast(pa.string())]
+
+
+#: Columns that the forms of a round trip add.
+WHOLE, DIGESTS = "ids array<int>, decoded string", "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def _model(path: str, df: DataFrame):
     with open(path, "rb") as f:
         return ship(df.sparkSession).sparkContext.broadcast(f.read())
 
 
-def encode_pieces(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` without the column ``text`` and with the column ``ids``: array<int>."""
+def _mapped(df: DataFrame, model_path: str, text: str, added: str, columns: Callable[[Encoder, pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``df`` without ``text`` and with the ``added`` columns, made of pieces of batches."""
     model = _model(model_path, df)
-    schema = T.StructType([f for f in df.schema.fields if f.name not in (text, ids)] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    new = T.StructType.fromDDL(added)
+    kept = [f for f in df.schema.fields if f.name != text and f.name not in new.names]
+    schema = T.StructType([*kept, *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for whole in batches:
             for batch in in_pieces(whole, text):
                 encoder = encoder or Encoder(Vocabulary(model.value))
-                column = _list_array(*encoder.encode(batch.column(text).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), column], schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns(encoder, batch)], schema.names)
         del encoder
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def encode_pieces(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` without the column ``text`` and with the column ``ids``: array<int>."""
+    return _mapped(df, model_path, text, f"`{ids}` array<int>", lambda encoder, batch: [list_array(*encoder.encode(batch.column(text).to_pylist()))])
+
+
+def round_trip(df: DataFrame, model_path: str, text: str = "text", added: str = WHOLE, form: Callable[[Encoded], list[pa.Array]] = Encoded.whole) -> DataFrame:
+    """``df`` without ``text``, with what the texts' ids and the ids' texts give.
+
+    By default these are the columns ids and decoded; with ``DIGESTS`` and
+    ``Encoded.digests`` their number and digests, so that no ids leave the worker.
+    """
+
+    def columns(encoder: Encoder, batch: pa.RecordBatch) -> list[pa.Array]:
+        ids, offsets = encoder.encode(batch.column(text).to_pylist())
+        return form(Encoded(ids, offsets, *encoder.vocabulary.decode(ids, offsets), encoder.vocabulary))
+
+    return _mapped(df, model_path, text, added, columns)
+
+
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` without the column ``ids`` and with the text that they spell."""
     model = _model(model_path, df)

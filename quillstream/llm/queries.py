@@ -72,9 +72,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = pieces.encode_pieces(_documents(spark, sf_dir).select("doc_id", "text"), PIECE_MODEL)
-    digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return pieces.decode_pieces(digests, PIECE_MODEL).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), PIECE_MODEL, added=pieces.DIGESTS, form=pieces.Encoded.digests)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
