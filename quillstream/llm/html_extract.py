@@ -3,7 +3,8 @@
 A page becomes the sequence of its DOM leaf blocks (text between block-level boundaries).
 Each block has features of its ancestors (tags, and words of their class, id and role) and of
 its own text; the chain, trained on labelled pages, decodes by Viterbi which blocks are main
-text. The labelled pages are made here: layouts of many kinds filled with random words, whose
+text. Tags end at the first ``>`` outside quotes of any length; one whose quotes never close, at
+the first ``>``. The labelled pages are made here: layouts of many kinds filled with random words, whose
 blocks carry their labels by construction.
 
 Defined results: a null or empty page, and a page without main text, give the empty text;
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +32,13 @@ from .arrow_text import in_pieces
 #: Labelled pages that the model learns from.
 TRAIN_PAGES = 600
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|svg|iframe|object|select|option)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?]", re.DOTALL)
+_ATTRIBUTES = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+(?=>)")
+_QUOTED = re.compile(r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
+#: Elements without main text; those of the first kind hold no tags, so they end nowhere but at their own end tag.
+RAW = frozenset("script style title textarea iframe".split())
+DROPPED = RAW | frozenset("noscript template svg object select".split())
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in sorted(DROPPED)}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -92,6 +94,35 @@ class Paths:
         return found
 
 
+class TagEnds:
+    """Finds where tags end: at the first ``>`` outside quotes, or, with none, at the first at all.
+
+    Time stays linear in the page: a search that fails is remembered with the quotes it
+    passed, and a tag that begins outside of these would fail in the same way. There are three
+    such searches at most, one for each state (plain, in either kind of quotes) at the end.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.failed: list[tuple[int, list[int], list[int]]] = []
+
+    def __call__(self, at: int) -> int | None:
+        """Place of the ``>`` of the tag whose attributes begin at ``at``."""
+        if at > self.last:
+            return None
+        for begin, opens, closes in self.failed:
+            if at >= begin:
+                k = bisect_right(opens, at) - 1
+                if k < 0 or closes[k] <= at:
+                    return self.page.find(">", at)
+        if m := _ATTRIBUTES.match(self.page, at):
+            return m.end()
+        spans = [q.span() for q in _QUOTED.finditer(self.page, at)]
+        self.failed.append((at, [x for x, _ in spans], [y for _, y in spans]))
+        return self.page.find(">", at)
+
+
 def leaf_blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
     """(ancestor chain, text, share of the text in links) of each non-empty leaf block."""
     blocks: list[tuple[int, str, float]] = []
@@ -100,7 +131,7 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
     held: list[str] = []
     linked = 0
     in_link = False
-    here = at = 0
+    here = at = after = 0
 
     def flush() -> None:
         nonlocal linked
@@ -129,22 +160,39 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
             if in_link:
                 linked += len(piece)
 
-    for m in _TOKEN.finditer(page):
+    ends, missing = TagEnds(page), set()
+    while m := _TOKEN.search(page, after):
+        tag, closing = (m[2] or "").lower(), bool(m[1])
+        if m[0].startswith("<!--"):
+            close = m.end() - 1
+        elif (close := ends(m.end()) if tag else page.find(">", m.end())) in (None, -1):
+            break  # no tag ends any more
         text_until(m.start())
-        at = m.end()
-        if (tag := m[3]) is None:
+        at = after = close + 1
+        if not tag:
+            continue
+        attributes = page[m.end() : close]
+        if tag in DROPPED and not closing and tag not in missing and (tag in RAW or not attributes.endswith("/")):
+            if end := _END[tag].search(page, at):
+                at = after = end.end()
+                continue
+            if tag in RAW:
+                at = len(page)
+                break
+            missing.add(tag)
+        if tag == "option" and not closing:
+            at = after = (page.find("<", at) + 1 or len(page) + 1) - 1
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = not m[2]
+                in_link = not closing
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 held.append(" ")
             continue
         flush()
-        if m[2]:
+        if closing:
             if open_tags.get(tag):
                 close_to(tag)
             continue
@@ -158,8 +206,8 @@ def leaf_blocks(page: str, paths: Paths) -> list[tuple[int, str, float]]:
                 if name in SCOPES:
                     break
         in_link = False
-        here = paths.child(here, tag, m[4] or "")
-        if m[4] and m[4].endswith("/"):
+        here = paths.child(here, tag, attributes)
+        if attributes.endswith("/"):
             here = stack[-1][1] if stack else 0
             continue
         stack.append((tag, here))

@@ -2,6 +2,7 @@ import html
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -57,3 +58,28 @@ def test_pages_table(spark):
         inner = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"</?[bi]>", "", re.sub(r"<(?!/?[bi]>)[^>]*>", " ", inner))).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_attributes_of_any_length_and_open_quotes():
+    article = "<article><h1>Title of it</h1><p>A paragraph of text, with words.</p></article>"
+    want = "Title of it A paragraph of text, with words."
+    assert extract(f'<div data-x="{"a > b " * 900}">{article}</div>') == want
+    assert extract(f"<div data-x='{'a > b ' * 30_000}'>{article}</div>") == want
+    assert extract(article.replace("<p>", '<p title="it>')) == want  # a quote that never closes
+    assert extract(article + "<form><select><option>A<option>B</select></form><datalist><option>C<option>D</datalist>") == want
+    assert extract(article.replace("<p>", "<svg/><p>")) == want
+    assert extract(article.replace("<p>", "<select><p>")) == want  # no end tag anywhere
+    assert extract("<title>t</title>" + article + "<textarea>never ended " + article) == want
+
+
+@pytest.mark.parametrize("part", ['<a b=">"', "<a b='>\"", '<a "', "<a ", "<a b=\">' ", "<!x ", "<script ", "<select>", "<svg>x", "<!-- ", '<p title="a>b" c=\'">'])
+def test_time_stays_linear(part):
+    begun = time.time()
+    H.leaf_blocks(part * (1_000_000 // len(part)), H.Paths())
+    assert time.time() - begun < 20
+
+
+def test_clashing_and_repeated_rows_with_extra_columns(spark):
+    page = "<article><h1>T</h1><p>Some text here.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page, 3, "x")] * 2, "page_id long, url string, html string, text int, doc_id string")
+    assert [tuple(r) for r in H.extract_main_text(pages).collect()] == [(1, "u", "T Some text here.", 17)] * 2
