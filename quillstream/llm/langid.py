@@ -4,14 +4,19 @@ For each language a suffix automaton of labelled text recognises every substring
 text is parsed greedily into the longest phrases that the automaton knows (an unknown
 character is a phrase of its own); the language with the fewest phrases, each costing log2 of
 the labelled text's length and normalised by the length of the text, wins. The automata are
-laid out as one dense transition table in which a failing step goes back to the root and sets
-a flag, so texts parse in lockstep: one table look-up for each character and language.
+laid out as a transition table in which a failing step goes back to the root and sets a flag,
+so texts parse in lockstep: one look-up for each character and language. The table is dense
+for the most frequent letters and sparse (sorted keys) for all others.
 
-Texts are parsed whole, in segments of ``SEGMENT`` characters at which a phrase ends. Letters
-count in lower case; all other characters look the same.
+Texts are parsed whole. For speed, the parse of each ``SEGMENT`` characters begins before it
+is known where a phrase of the segment before ends; that phrase and those after it are then
+followed into the segment up to a place where both parses begin a phrase, from where on they
+are one. So the count is that of one parse of the unbroken text. Letters count in lower case;
+all other characters look the same.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; ties go to
-the language that sorts first; with nothing to learn from, all texts are ``und``.
+the language that sorts first; with nothing to learn from, all texts are ``und``; repeated
+rows are judged one by one, and other columns pass through, but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from .arrow_text import in_pieces
 #: Learned from: windows of so many characters, of at most so many rows a language.
 WINDOW_CHARS, ROWS_A_LANGUAGE = 256, 128
 SEGMENT = 1024
-#: Different letters that the automata tell apart; rarer ones match nothing.
-LETTERS = 250
+#: Bytes of the dense part of the table at most; rarer letters have sparse transitions.
+TABLE_BYTES = 128 << 20
 FLAG = np.uint32(1 << 31)
 
 
@@ -74,59 +79,153 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Parser:
     """Counts the phrases of texts for each language."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], table_bytes: int = TABLE_BYTES):
         self.languages = sorted(texts)
         seen = Counter(c for parts in texts.values() for t in parts for c in t.lower() if c.isalpha())
-        self.code = np.where(_letters(), 0, 1).astype(np.uint8)
-        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+        self.code = np.where(_letters(), 0, 1).astype(np.uint32)
+        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             for form in (c, c.upper()):
                 if len(form) == 1:
                     self.code[ord(form)] = k + 2
-        self.width = 2 + min(LETTERS, len(seen))
-        self.cost, tables, base = [], [], 0
+        codes = {name: [k for t in texts[name] for k in [*self._codes(t).tolist(), 0]] for name in self.languages}
+        states = sum(2 * len(own) + 1 for own in codes.values())  # at most
+        self.width = min(2 + len(seen), max(2, table_bytes // (4 * max(1, states))))
+        self.cost = [np.log2(len(codes[name])) for name in self.languages]
+        tables, keys, targets, roots, base = [], [], [], [], 0
         self.begin = []
         for name in self.languages:
-            codes = [k for t in texts[name] for k in [*self._codes(t).tolist(), 0]]
-            moves = suffix_automaton(codes)
-            ended = len(moves)  # the state after an unknown character: any next one starts a phrase
-            table = np.full((ended + 1, self.width), ended, np.uint32)
-            for c, s in moves[0].items():
-                table[0, c] = s
-            table[:] = table[0] | FLAG
-            for s, own in enumerate(moves):
-                for c, to in own.items():
-                    table[s, c] = to
-            table[:, 0] = FLAG | np.uint32(ended)  # neither the joints nor unknown letters match
-            tables.append(table + np.uint32(base))
+            own, rare = suffix_automaton(codes[name]), []
+            ended = len(own)  # the state after an unknown character: any next one starts a phrase
+            root = np.full(2 + len(seen), FLAG | np.uint32(base + ended), np.uint32)
+            for c, s in own[0].items():
+                root[c] = FLAG | np.uint32(base + s)
+            root[0] = FLAG | np.uint32(base + ended)  # neither the joints nor unknown letters match
+            table = np.tile(root[: self.width], (ended + 1, 1))
+            for s, steps in enumerate(own):
+                for c, to in steps.items():
+                    if c == 0:
+                        continue
+                    if c < self.width:
+                        table[s, c] = base + to
+                    else:
+                        rare.append(((base + s) * (2 + len(seen)) + c, base + to))
+            rare = np.array(rare, np.int64).reshape(-1, 2)
+            keys.append(rare[:, 0])
+            targets.append(rare[:, 1])
+            tables.append(table)
+            roots.append(root)
             self.begin.append(base + ended)
-            self.cost.append(np.log2(len(codes)))
             base += ended + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
+        self.roots = np.stack(roots) if roots else np.zeros((0, 2), np.uint32)
+        keys, targets = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *targets])
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], targets[order].astype(np.uint32)
 
     def _codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
+    def _step(self, state: np.ndarray, code: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The next state of each lane, flagged where a phrase begins."""
+        rare = code >= self.width
+        to = self.table[state.astype(np.int64) * self.width + np.where(rare, 0, code)]
+        if rare.any():
+            at = np.flatnonzero(rare)
+            key = state[at].astype(np.int64) * self.roots.shape[1] + code[at]
+            found = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            hit = self.keys[found] == key if len(self.keys) else np.zeros(len(at), bool)
+            to[at] = self.roots[language[at], code[at]]
+            to[at[hit]] = self.targets[found[hit]]
+        return to
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages) phrase counts."""
-        codes = self._codes("".join(texts))
         lengths = np.array([len(t) for t in texts], np.int64)
+        many = len(self.languages)
+        if not many or not lengths.sum():
+            return np.zeros((len(texts), many), np.int64)
+        codes = self._codes("".join(texts))
         lanes = -(-lengths // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), lanes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         starts = (np.cumsum(lengths) - lengths)[owner] + place * SEGMENT
         sizes = np.minimum(SEGMENT, lengths[owner] - place * SEGMENT)
+        dense = not bool((codes >= self.width).any())
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes, owner = starts[order], sizes[order], owner[order]
+        first, size = starts[order], sizes[order]
         state = np.repeat(np.array(self.begin, np.uint32)[:, None], len(owner), 1)
-        count = np.zeros(state.shape, np.int64)
-        alive = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
+        tongue = np.repeat(np.arange(many)[:, None], len(owner), 1)
+        begins = np.zeros((many, len(codes)), bool)  # where the parse of each segment begins a phrase
+        alive = np.searchsorted(-size, -np.arange(int(size[0])), "left")
         for t, n in enumerate(alive.tolist()):
-            at = state[:, :n] * np.uint32(self.width)
-            at += codes[starts[:n] + t]
-            to = self.table[at]
-            count[:, :n] += to >> 31
+            here = codes[first[:n] + t]
+            if dense:
+                at = state[:, :n] * np.uint32(self.width)
+                at += here
+                to = self.table[at]
+            else:
+                to = self._step(state[:, :n].ravel(), np.tile(here, many), tongue[:, :n].ravel()).reshape(many, n)
+            begins[:, first[:n] + t] = to >> 31
             np.bitwise_and(to, ~FLAG, out=state[:, :n])
-        return np.stack([np.bincount(owner, c, len(texts)) for c in count], 1) if len(self.languages) else np.zeros((len(texts), 0))
+        ended = np.empty_like(state)
+        ended[:, order] = state
+        self._join(codes, begins, ended, place, starts, sizes)
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        return np.stack([np.diff(np.concatenate([[0], np.cumsum(b)])[edges]) for b in begins], 1)
+
+    def _join(self, codes: np.ndarray, begins: np.ndarray, ended: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Follow the last phrase of each segment into the next, in ``begins`` itself."""
+        joint = np.flatnonzero(place > 0)
+        language = np.repeat(np.arange(len(begins)), len(joint))
+        lane = np.tile(joint, len(begins))
+        state = ended[language, lane - 1].copy()
+        at, end = starts[lane], starts[lane] + sizes[lane]
+        late = []
+        while len(lane):
+            to = self._step(state, codes[at], language)
+            new = to >> 31 > 0
+            done = new & begins[language, at]
+            begins[language[~done], at[~done]] = new[~done]
+            at = at + 1
+            over = ~done & (at == end)  # still apart at the end of the segment
+            late += zip(lane[over].tolist(), language[over].tolist(), (to[over] & ~FLAG).tolist(), strict=True)
+            stay = ~done & ~over
+            language, lane, at, end, state = language[stay], lane[stay], at[stay], end[stay], to[stay] & ~FLAG
+        taken = set()
+        for k, which, now in sorted(late):  # one after another, in the order of the text
+            if (k, which) in taken:
+                continue
+            while k + 1 < len(place) and place[k + 1]:
+                k += 1
+                now, apart = self._alone(codes, begins[which], which, now, int(starts[k]), int(sizes[k]))
+                taken.add((k, which))  # what was found for it began in a wrong state
+                if not apart:
+                    break
+
+    def _alone(self, codes: np.ndarray, begins: np.ndarray, language: int, state: int, start: int, size: int) -> tuple[int, bool]:
+        """Go through one segment from ``state`` until the parses meet: the state and whether they are apart."""
+        again = self._segment(codes, language, self.begin[language], start, size)[0]
+        flags, now = self._segment(codes, language, state, start, size)
+        both = np.flatnonzero(again & flags)
+        meet = int(both[0]) if len(both) else size
+        begins[start : start + size] = np.where(np.arange(size) < meet, flags, again)
+        return now, not len(both)
+
+    def _segment(self, codes: np.ndarray, language: int, state: int, start: int, size: int) -> tuple[np.ndarray, int]:
+        flags, width, whole = np.zeros(size, bool), self.width, self.roots.shape[1]
+        table = memoryview(self.table)
+        for t, c in enumerate(codes[start : start + size].tolist()):
+            if c < width:
+                to = table[state * width + c]
+            else:
+                key = state * whole + c
+                k = int(np.searchsorted(self.keys, key))
+                to = int(self.targets[k]) if k < len(self.keys) and self.keys[k] == key else int(self.roots[language, c])
+            if to >> 31:
+                flags[t] = True
+                to &= 0x7FFFFFFF
+            state = to
+        return flags, state
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and certainty of each text."""
@@ -134,10 +233,10 @@ class Parser:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         bits = self.phrases(texts) * np.array(self.cost)
+        if not texts:
+            return [], np.zeros(0)
         best = bits.argmin(1)
         score = 1 / np.exp2(np.minimum(0, bits.min(1, keepdims=True) - bits) / 4).sum(1)
-        if not texts:
-            return [], score
         lettered = [bool(t) and bool(_letters()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in texts]
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), lettered, strict=True)], np.where(lettered, score, 0.0)
 
