@@ -8,7 +8,9 @@ curve fitted on the same training documents turns it into the score.
 
 Defined results: a null or empty text is one empty line and gets that line's score; with no
 training documents of a class every score is the share of label 1 among the training
-documents (0.5 with none at all); null labels teach nothing; other columns are ignored.
+documents (0.5 with none at all); null labels and labels other than 0 and 1 teach nothing, nor
+do rows without an id; repeated rows are scored one by one; other columns pass through, but for
+one with the name of the result.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import crf
 from .arrow_text import in_pieces, release, utf8
 
-#: The model learns from at most so many documents of each label, of at most so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 1000, 16_384
+#: The model learns from at most so many documents of each label, whole, of so many bytes together.
+TRAIN_DOCS, TRAIN_BYTES = 1000, 4 << 20
 
 _CLASSES = ("upper", "lower", "digit", "space", "bang", "bar", "symbol", "stop", "mark", "lead", "trail", "other")
 _OF_BYTE = np.full(256, 11, np.uint8)
@@ -53,8 +55,6 @@ def _repeats(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(line, same, len(starts)) / np.maximum(np.bincount(line, minlength=len(starts)), 1)
 
 
-
-
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line with its neighbours', lines of each document, bytes of each line."""
     ended = pc.binary_join_element_wise(pc.fill_null(texts, ""), "\n", "")
@@ -135,20 +135,27 @@ def fit_quality(texts: list[str], labels: list[int]) -> QualityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> QualityModel:
-    """Fit on a bounded sample: of each label the documents whose ids hash lowest.
+    """Fit on a bounded sample: of each label the documents whose ids hash lowest, of any length.
 
-    ``docs`` and ``labels`` must hold training rows alone. At most 2 * per_label *
-    most_bytes bytes of text reach the driver.
+    ``docs`` and ``labels`` must hold training rows alone. Of each label at most ``per_label``
+    documents and ``most_bytes`` bytes of whole texts reach the driver: one that no longer fits
+    is passed over. An id that both labels have, or that several rows share, teaches nothing
+    certain: its smallest label and its shortest text count.
     """
-    short = docs.where(F.octet_length("text") <= most_bytes)
-    sized = short.select("doc_id").join(labels.select("doc_id", "quality"), "doc_id")  # no texts move
-    found = []
-    for label in (0, 1):
-        ids = [r.doc_id for r in sized.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
-        # a repeated id teaches with its first text
-        texts = short.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text"))
-        found += [(r.text, label) for r in sorted(texts.collect())]
-    return fit_quality([t for t, _ in found], [label for _, label in found])
+    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))  # no texts move
+    sized = sizes.join(marked, "doc_id").groupBy("quality", "doc_id").agg(F.min("size").alias("size"))
+    lowest = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen: dict[int, int] = {}
+    held = [0, 0]
+    for r in sorted(sized.withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= per_label).collect(), key=lambda r: (r["quality"], r["at"])):
+        if held[r["quality"]] + r["size"] <= most_bytes:
+            held[r["quality"]] += r["size"]
+            chosen[r["doc_id"]] = r["quality"]
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min_by(text, F.struct(F.octet_length(text), text)).alias("text"))
+    found = sorted((chosen[r.doc_id], r.text) for r in texts.collect())
+    return fit_quality([t for _, t in found], [label for label, _ in found])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

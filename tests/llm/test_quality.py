@@ -42,3 +42,49 @@ def test_edges(spark):
     assert quality.score_quality(docs.limit(0), model).collect() == []
     nothing = quality.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality.score_quality(docs, nothing).collect()} == {0.5}
+
+
+def test_long_documents_teach_and_repeated_ids_are_settled(spark):
+    good, bad = "A calm and even line of prose.\n" * 3000, "BUY!! $$$ NOW | CLICK\n" * 3000
+    rows = [(i, good if i % 2 else bad) for i in range(20)] + [(1, "short"), (3, None), (None, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, i % 2) for i in range(20)] + [(5, 0), (5, 1), (7, None), (8, 3), (None, 1), (99, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    seen = []
+    fit, quality.fit_quality = quality.fit_quality, lambda texts, given: seen.append((texts, given)) or quality.QualityModel(None, 0.0, 0.5)
+    try:
+        quality.learn(docs, labels)
+        quality.learn(docs, labels, per_label=3)
+        quality.learn(docs, labels, most_bytes=200_000)
+    finally:
+        quality.fit_quality = fit
+    (texts, given), (few, _), (small, _) = seen
+    assert sorted(zip(given, texts)) == sorted([(0, bad)] * 10 + [(0, good)] + [(1, good)] * 7 + [(1, "short"), (1, "")])
+    assert len(few) == 6 and all(sum(len(t.encode()) for t, g in zip(small, seen[2][1]) if g == k) <= 200_000 for k in (0, 1))
+    assert len([t for t in small if len(t) > 16_384]) >= 4
+
+
+def plain_scores(model, text):
+    """Forward and backward sums over the lines of one text, one by one."""
+    lines = (text or "").split("\n")
+    x, n, size = quality.line_features(pa.array([text], pa.string()))
+    assert n.tolist() == [len(lines)] and size.tolist() == [len(t.encode()) for t in lines]
+    own = np.stack([np.zeros(len(x)), model.chain.odds(x)], 1)
+    forward, backward = [own[0]], [np.zeros(2)]
+    for o in own[1:]:
+        forward.append(o + np.logaddexp(*(forward[-1][:, None] + model.chain.transitions)))
+    for o in own[:0:-1]:
+        backward.append(np.logaddexp(*(o + backward[-1] + model.chain.transitions).T))
+    both = np.array(forward) + np.array(backward[::-1])
+    chance = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+    evidence = (chance * (size + 1)).sum() / (size + 1).sum()
+    return 1 / (1 + np.exp(-(model.slope * evidence + model.offset)))
+
+
+def test_scores_against_a_plain_version(spark):
+    good, bad = ["Good line.\nMore of it, and more.", "A text.\n\nIn parts."], ["BAD!! BAD!!\n$$$", "x | y | z\n1 2 3"]
+    model = quality.fit_quality(good * 6 + bad * 6, [1] * 12 + [0] * 12)
+    texts = [*good, *bad, None, "", "\n", "a\n" * 700 + "B!!", "é ü\n" * 40]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain_scores(model, t) for t in texts], abs=1e-9)
