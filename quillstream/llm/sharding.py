@@ -1,15 +1,21 @@
 """Sharding by sampled splitters: quantiles of a size-weighted key sample cut ranges of equal bytes.
 
-The key of a record is (hash of its text, doc_id), so copies of a text lie side by side. A
-size-weighted sample of keys gives the splitters of many fine ranges; ranges that come out
-overfull are sampled again and subdivided. Exact byte counts per range, carried on as prefix
-sums, then place the shard boundaries inside the ranges, so shards differ by about one
-document and not by the sampling error. Copies of a text share a shard unless they hold more
-than ``split_share`` of a shard's bytes; such a hot text is cut between its rows.
-
-Defined results: a null text has size 8 like an empty one; rows repeating a doc_id are placed
-each on its own; an empty table gives an empty result; fewer documents than shards leave
-shards empty; other columns of the input are ignored.
+The key of a record is (hash of its text, number of its row), so copies of a text lie side by
+side. A size-weighted sample of keys gives the splitters of many fine ranges; ranges that
+come out overfull are sampled again and subdivided. Exact byte counts per range, carried on as
+prefix sums, then place the shard boundaries inside the ranges, so shards differ by about one
+document and not by the sampling error.
+
+Copies of a text share a shard wherever one can hold them. Small groups never straddle a
+boundary. Groups of more than ``BIG_SHARE`` of a shard (or of half a range: so few that
+the driver may know them) are dealt to shards first, the largest to the emptiest, and
+the line of all other records fills what these leave. Only a group larger than a whole shard
+is cut, between its rows.
+
+Defined results: a null text has size 8 like an empty one and the group of the empty text;
+rows repeating a doc_id are placed each on its own, and rows equal in all columns too; an
+empty table gives an empty result; fewer documents than shards leave shards empty; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +30,20 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 #: Ranges for each shard, and rows that a range holds at most on average.
-RANGES_A_SHARD, RANGE_ROWS = 8, 1_000_000
+RANGES_A_SHARD, RANGE_ROWS = 8, 2_000_000
 #: Sampled keys for each range.
 SAMPLES_A_RANGE = 40
-#: A text whose copies hold more than this part of a shard may be cut between shards.
-SPLIT_SHARE = 0.01
+#: A text whose copies hold more than this part of a shard is placed as a whole, before all others.
+BIG_SHARE = 0.01
 
 LOWEST = -(1 << 63)
 
 
-def splitters(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of weighted keys (hash, doc_id, weight).
+def splitters(sample: list[tuple[int, int, float]], ranges: int, cut: set[int] | None = None) -> list[tuple[int, int]]:
+    """Quantile boundaries of weighted keys (hash, row, weight).
 
-    A boundary stands before all rows of its hash, unless several fall on one hot hash.
+    A boundary stands before all rows of its hash, unless several fall on one hot hash; with
+    ``cut``, the only hashes that may be hot.
     """
     sample = sorted(sample)
     total, passed, cuts = sum(w for *_, w in sample), 0.0, []
@@ -44,84 +51,131 @@ def splitters(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[i
         if passed > 0 and int(passed * ranges / total) < int((passed + w) * ranges / total):
             cuts.append((h, d))
         passed += w
-    hashes = [h for h, _ in cuts]
-    return sorted({c if hashes.count(c[0]) > 1 else (c[0], LOWEST) for c in cuts})
+    hot = {a for (a, _), (b, _) in zip(cuts[:-1], cuts[1:], strict=True) if a == b and (cut is None or a in cut)}
+    return sorted({c if c[0] in hot else (c[0], LOWEST) for c in cuts})
 
 
 def _range_of(cuts: list[tuple[int, int]]):
     heads = np.array([h for h, _ in cuts], np.int64)
-    hot = {h for h in heads if (heads == h).sum() > 1}
+    hot = {int(h) for h in heads[1:][heads[1:] == heads[:-1]]}
 
     @F.pandas_udf("int")
-    def number(h: pd.Series, doc_id: pd.Series) -> pd.Series:
+    def number(h: pd.Series, row: pd.Series) -> pd.Series:
         out = np.searchsorted(heads, h.to_numpy(), "right")
-        for i in np.flatnonzero(h.isin(hot).to_numpy()):
-            out[i] = bisect_right(cuts, (int(h.iloc[i]), int(doc_id.iloc[i])))
+        for i in np.flatnonzero(h.isin(hot).to_numpy()) if hot else ():
+            out[i] = bisect_right(cuts, (int(h.iloc[i]), int(row.iloc[i])))
         return pd.Series(out.astype(np.int32))
 
-    return number(F.col("h"), F.coalesce("doc_id", F.lit(LOWEST)))
+    return number(F.col("h"), F.col("row"))
 
 
 def _sample(records: DataFrame, total: int, wanted: int, seed: int) -> list[tuple[int, int, float]]:
     """About ``wanted`` keys, drawn with chances in proportion to size."""
     chance = F.col("size") * F.lit(wanted / total)
-    drawn = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = records.where(drawn < chance).select("h", F.coalesce("doc_id", F.lit(LOWEST)), F.greatest(F.col("size").cast("double"), F.lit(total / wanted)))
+    drawn = F.pmod(F.xxhash64("row", "h", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = records.where(drawn < chance).select("h", "row", F.greatest(F.col("size").cast("double"), F.lit(total / wanted)))
     return [(r[0], r[1], r[2]) for r in rows.collect()]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, split_share: float = SPLIT_SHARE, range_rows: int = RANGE_ROWS) -> DataFrame:
+def deal_groups(groups: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[int, int], list[float]]:
+    """Shards of whole groups (hash, bytes), and where the shards begin on the line of all the rest.
+
+    The largest group goes to the emptiest shard. The rest then levels the shards: each takes
+    what it lacks to the lowest level at which all of the rest finds room.
+    """
+    load, where = [0] * shards, {}
+    for h, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        k = min(range(shards), key=lambda s: (load[s], s))
+        where[h] = k
+        load[k] += size
+    rest, level, below = total - sum(load), 0.0, sorted(load)
+    for n in range(1, shards + 1):
+        level = (rest + sum(below[:n])) / n
+        if n == shards or level <= below[n]:
+            break
+    begins, at = [], 0.0
+    for own in load:
+        begins.append(at)
+        at += max(0.0, level - own)
+    return where, begins
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SHARE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     records = checkpointed(
-        docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    )
+        docs.select(
+            "doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"),
+        )
+    )
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    held = records.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     ranges = max(RANGES_A_SHARD * shards, -(-n // range_rows))
-    cuts = splitters(_sample(records, total, SAMPLES_A_RANGE * ranges, 0), ranges) if total else []
+    least = min(big_share, shards / (2 * ranges))  # of a shard; never more than half a range
+    several = held.where((F.col("n") > 1) & (F.col("bytes") * shards > least * total)).collect()
+    big, cut = [r for r in several if r["bytes"] * shards <= total], {r["h"] for r in several if r["bytes"] * shards > total}
+    where, begins = deal_groups([(r["h"], r["bytes"]) for r in big], shards, total)
+    # rows of big groups are numbered in parts of bounded size; the parts come after all ranges
+    parts, part_of = 0, []
+    for r in big:
+        own = -(-r["n"] // range_rows)
+        part_of.append((r["h"], where[r["h"]], parts, own))
+        parts += own
+    layout = F.broadcast(spark.createDataFrame(part_of, "h long, big_shard int, first_part int, parts int"))
+    records = records.join(layout, "h", "left")
+
+    line_bytes, line_rows = total - sum(r["bytes"] for r in big), n - sum(r["n"] for r in big)
+    line = records.where("big_shard IS NULL")
+    cuts = splitters(_sample(line, line_bytes, SAMPLES_A_RANGE * ranges, 0), ranges, cut) if line_rows else []
     for seed in range(1, 6):
-        tagged = records.withColumn("range", _range_of(cuts))
+        tagged = line.withColumn("range", _range_of(cuts))
         found = {r["range"]: (r["n"], r["bytes"]) for r in tagged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
-        full = {k: b for k, (rows, b) in found.items() if rows > 1 and (b > 2 * total / ranges or rows > 2 * range_rows)}
+        full = {k: b for k, (rows, b) in found.items() if rows > 1 and (b > 2 * line_bytes / ranges or rows > 2 * range_rows)}
         if not full or seed == 5:
             break
         more = []
         inside = _sample(tagged.where(F.col("range").isin(list(full))), sum(full.values()), SAMPLES_A_RANGE * 2 * len(full), seed)
-        for k, held in full.items():
-            own = [x for x in inside if bisect_right(cuts, x[:2]) == k]
-            more += splitters(own, max(2, round(held * ranges / total)))
+        of_range: dict[int, list] = {}
+        for x in inside:
+            of_range.setdefault(bisect_right(cuts, x[:2]), []).append(x)
+        for k, size in full.items():
+            more += splitters(of_range.get(k, []), max(2, round(size * ranges / line_bytes)), cut)
         if set(more) <= set(cuts):
             break
         cuts = sorted({*cuts, *more})
 
-    bases, rows, held = [], 0, 0
+    passed, bases = 0, []
     for k in sorted(found):
-        bases.append((k, rows, held))
-        rows, held = rows + found[k][0], held + found[k][1]
-    base = spark.createDataFrame(bases or [(0, 0, 0)], "range int, rows_before long, bytes_before long")
-    line = Window.partitionBy("range").orderBy("h", "doc_id", "text_crc32", "size")
+        bases.append((k, passed))
+        passed += found[k][1]
+    base = F.broadcast(spark.createDataFrame(bases, "range int, bytes_before long"))
+    order = Window.partitionBy("range").orderBy("h", "row")
     copies = Window.partitionBy("range", "h")
+    first = F.when(F.col("h").isin(list(cut)), F.col("before")).otherwise(F.min("before").over(copies)) if cut else F.min("before").over(copies)
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = (
-        tagged.withColumn("row", F.row_number().over(line))
-        .withColumn("before", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-        .withColumn("copies", F.sum("size").over(copies))
-        .withColumn("before", F.when(F.col("copies") * shards > split_share * total, F.col("before")).otherwise(F.min("before").over(copies)))
-        .join(F.broadcast(base), "range")
-        .select(
-            "doc_id", "size", "text_crc32",
-            F.least(F.lit(shards - 1), ((F.col("bytes_before") + F.col("before")) * shards / F.lit(max(1, total))).cast("int")).alias("shard"),
-            (F.col("rows_before") + F.col("row")).alias("at"),
-        )
+        tagged.withColumn("number", F.row_number().over(order)).withColumn("before", before).join(base, "range")
+        # small groups go where they begin; those larger than a shard are cut
+        .withColumn("before", F.col("bytes_before") + first)
+        .withColumn("shard", (F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= F.col("before"))) - 1).cast("int"))
+        .select("doc_id", "size", "text_crc32", "shard", "range", "number")
     )
-    placed = checkpointed(placed)
-    first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # one row a shard
-    return placed.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    part = F.col("first_part") + F.pmod("row", F.col("parts")).cast("int") + F.lit(1 + max(found, default=0))
+    dealt = records.where("big_shard IS NOT NULL").withColumn("range", part)
+    dealt = dealt.select("doc_id", "size", "text_crc32", F.col("big_shard").alias("shard"), "range", F.row_number().over(order).alias("number"))
+    placed = checkpointed(placed.unionByName(dealt))
+    # rows of a shard and a range are numbered without gaps; the ranges of a shard follow one another
+    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("number").alias("lowest"))
+    ahead = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("shard", "range", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("lowest")).alias("shift"))
+    return placed.join(firsts, ["shard", "range"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("shift") + F.col("number")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, shards: int = 24) -> None:
-    """Write the documents as one folder a shard, ordered by slot within each file."""
+    """Write documents of unique ids as one folder a shard, ordered by slot within each file."""
     rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
     rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

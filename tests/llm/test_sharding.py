@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quillstream.llm.sharding import shard_documents, splitters
+from quillstream.llm.sharding import deal_groups, shard_documents, splitters
 
 
 def rows_of(kind):
@@ -46,3 +46,68 @@ def test_empty_table(spark):
 def test_splitters_cut_a_hot_hash_by_id():
     cuts = splitters([(5, i, 1.0) for i in range(100)] + [(9, 1, 1.0)], 10)
     assert len(cuts) > 5 and all(h == 5 and d >= 0 for h, d in cuts if h == 5)
+
+
+def plain_deal(groups, shards):
+    """Largest first, to the emptiest, as one would by hand."""
+    load, where = [0] * shards, {}
+    for h, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        where[h] = load.index(min(load))
+        load[where[h]] += size
+    return where, load
+
+
+def test_dealing_levels_the_shards():
+    groups = [(h, 10 * h) for h in range(1, 30)]
+    where, begins = deal_groups(groups, 6, 6000)
+    plain, load = plain_deal(groups, 6)
+    assert where == plain
+    ends = [*begins[1:], 6000 - sum(load)]
+    assert [round(own + e - b, 6) for own, b, e in zip(load, begins, ends)] == [1000] * 6
+    where, begins = deal_groups([(1, 900), (2, 10)], 4, 1000)  # nothing more fits beside the first
+    assert where == {1: 0, 2: 1} and begins == [0, 0, pytest.approx(23.33, abs=0.01), pytest.approx(56.67, abs=0.01)]
+
+
+def by_group(rows, got):
+    key = {d: t or "" for d, t in rows}
+    where, sizes = defaultdict(set), Counter()
+    for r in got:
+        where[key[r.doc_id]].add(r.shard)
+        sizes[key[r.doc_id]] += r["size"]
+    return where, sizes
+
+
+@pytest.mark.parametrize("kind", ["copies", "hot", "mixed"])
+def test_groups_stay_whole_where_a_shard_holds_them(spark, kind):
+    if kind == "copies":
+        rows = [(i, f"copy {i % 40} " * 5 if i % 15 == 0 else f"own text {i} of {i * 7}") for i in range(24_000)]
+    elif kind == "hot":
+        rows = [(i, "the same text everywhere" if i % 3 == 0 else f"own {i}" * 3) for i in range(6000)]
+    else:
+        rows = [(i, ("a" * 300 if i % 24 == 0 else f"g{i % 11}" * 20 if i % 3 == 0 else f"own {i}")) for i in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = shard_documents(docs, range_rows=500).collect()
+    assert len(got) == len(rows)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    mean = sum(load.values()) / 24
+    where, sizes = by_group(rows, got)
+    for text, shards in where.items():
+        assert len(shards) == 1 or sizes[text] > mean, text[:30]
+    largest = max([s for s in sizes.values() if s <= mean])
+    assert max(load.values()) - min(load[s] for s in range(24)) <= max(largest, 0.02 * mean)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, None, 1, "a")] * 300 + [(7, "x" * 50, 2, "b")] * 300, "doc_id long, text string, shard int, h string")
+    got = shard_documents(docs, range_rows=20).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == {(None, 8): 300, (7, 58): 300}
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert max(load.values()) - min(load[s] for s in range(24)) <= 2 * 58  # one hot key is cut between its rows
