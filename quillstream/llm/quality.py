@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import crf
@@ -162,7 +163,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out:
     """``docs`` with the column ``out``: the chance of label 1."""
     model = ship(docs.sparkSession).sparkContext.broadcast(model)  # a few kilobytes
     keep = [f for f in docs.schema.fields if f.name != out]
-    schema = docs.select([f.name for f in keep]).withColumn(out, F.lit(0.0)).schema
+    schema = T.StructType([*keep, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -1,4 +1,14 @@
-"""The operators as stages that take documents and return documents (or packed pieces)."""
+"""The operators as stages that take documents and return documents (or packed pieces).
+
+Defined results, for all stages: documents need the columns doc_id and text; any others pass
+through the stages that return documents, whatever their names (n_chars, if present, is that
+of the text that stays). A null text counts as empty. A row is a document of its own: rows
+that lack an id, or share one, are told apart by their texts, and rows equal in both are kept
+or dropped as one document that occurs once. An empty table gives an empty result.
+``keep_good`` scores a null or empty text as one empty line; ``drop_copies`` keeps one of all
+empty texts; ``drop_near_copies`` keeps every text without words; ``cut_repeats`` turns a null
+text into an empty one; ``pack`` gives an empty text the end token alone.
+"""
 
 from __future__ import annotations
 
@@ -18,19 +28,29 @@ BROADCAST_IDS = 500_000
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _matching(docs: DataFrame, rows: DataFrame, kind: str, broadcast_ids: int) -> DataFrame:
     """``docs`` with ('left_semi') or without ('left_anti') the rows of these distinct keys (doc_id, row_key)."""
-    rows = rows.select(F.col("doc_id").alias("id_to_match"), F.col("row_key").alias("key_to_match"))
+    id_name, key_name = _free(docs, "id_to_match"), _free(docs, "key_to_match")
+    rows = rows.select(F.col("doc_id").alias(id_name), F.col("row_key").alias(key_name))
     if rows.count() <= broadcast_ids:
         rows = F.broadcast(rows)
-    return docs.join(rows, (row_key() == rows["key_to_match"]) & docs["doc_id"].eqNullSafe(rows["id_to_match"]), kind)
+    return docs.join(rows, (row_key() == F.col(key_name)) & F.col("doc_id").eqNullSafe(F.col(id_name)), kind)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(quality.training_rows(docs), quality.training_rows(labels))
-    return quality.score_quality(docs, model, out="_quality").where(F.col("_quality") >= 0.5).drop("_quality")
+    score = _free(docs, "score")
+    return quality.score_quality(docs, model, out=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -55,8 +75,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcas
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that start earlier as well; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    text = suffix_dedup.remove_repeats(docs, carry=tuple(others), characters=True).withColumnRenamed("kept", "text")
-    return text.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    carried = [f"carried_{k}" for k in range(len(others))]  # no column of the operator has such a name
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(others, carried, strict=True)))
+    found = suffix_dedup.remove_repeats(plain, carry=tuple(carried), characters=True)
+    back = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long"), "doc_id": F.col("doc_id")} | {c: F.col(n) for c, n in zip(others, carried, strict=True)}
+    return found.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

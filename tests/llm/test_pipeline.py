@@ -81,3 +81,50 @@ def test_near_copies_of_rows_that_lack_or_share_an_id(spark, broadcast_ids):
     assert [r[1] in (text(0), text(0) + " more") for r in got if r[0] is None and r[1]] == [True]
     assert [r for r in got if r[0] == 5] == [(5, text(1) + " more")] and not [r for r in got if r[0] == 6]
     assert sorted(r[1].split()[0] for r in got if r[0] == 4) == ["w2x0", "w3x0"]
+
+
+def clash(spark, rows):
+    """Documents with extra columns that have names used inside the operators."""
+    names = ["kept", "n_bytes", "n_removed", "n_spans", "_text", "_quality", "score", "row_key", "id_to_match", "key_to_match", "carried_0", "bucket", "size", "lang", "n_chars", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` {'long' if n == 'n_chars' else 'string'}" for n in names)
+    return spark.createDataFrame([(d, t, *[None if n == "n_chars" else f"{n}-{d}" for n in names]) for d, t in rows], schema)
+
+
+STAGES = {"quality": stages.keep_good, "exact": stages.drop_copies, "near": stages.drop_near_copies, "suffix": stages.cut_repeats}
+
+
+def passage(k, n=60):
+    return " ".join(f"word{k}x{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, tmp_path, name):
+    rows = [(1, passage(1)), (1, passage(1)), (2, passage(1)), (None, passage(2)), (None, None), (4, ""), (5, None), (6, passage(3, 20_000)), (7, "é ü")]
+    spark.createDataFrame([(1, None), (2, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = clash(spark, rows)
+    got = STAGES[name](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and [f.dataType for f in got.schema.fields] == [f.dataType for f in docs.schema.fields]
+    found = got.collect()
+    assert all(r["kept"] == f"kept-{r.doc_id}" and r["a.b"] == f"a.b-{r.doc_id}" and r["_quality"] == f"_quality-{r.doc_id}" for r in found)
+    ids = sorted([r.doc_id for r in found], key=str)
+    if name == "quality":  # one label alone teaches its share: all stay
+        assert len(found) == len(rows)
+    elif name == "exact":
+        assert len(found) == 5 and [i for i in ids if i in (1, 2)] == [1] and 6 in ids and 7 in ids
+    elif name == "near":
+        assert [i for i in ids if i in (1, 2)] == [1, 1] and ids.count(None) == 2 and {4, 5, 6, 7} <= set(ids)
+    else:
+        assert len(found) == len(rows)
+        text = {r.doc_id: r.text for r in found}
+        assert text[1] == passage(1) and text[2] == "" and text[5] == text[4] == "" and text[6] == passage(3, 20_000)
+        assert all(r.n_chars == len(r.text) for r in found)
+    again = STAGES[name](spark, docs.limit(0), str(tmp_path))
+    assert again.columns == docs.columns and again.collect() == []
+
+
+def test_packing_stage_edges(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, None), (2, "")]
+    got = stages.pack(spark, clash(spark, rows), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.doc_tokens) for r in got if r.doc_tokens == 1) == [(False, 2, 1), (True, None, 1)]
+    assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
+    assert stages.pack(spark, clash(spark, []), "").collect() == []
