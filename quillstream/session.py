@@ -39,11 +39,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) a temporary one is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    local session (tests, notebooks) gets a temporary one; on a cluster, whose machines do
+    not share local folders, this is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
