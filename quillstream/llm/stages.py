@@ -45,12 +45,18 @@ def _matching(docs: DataFrame, rows: DataFrame, kind: str, broadcast_ids: int) -
     return docs.join(rows, (row_key() == F.col(key_name)) & F.col("doc_id").eqNullSafe(F.col(id_name)), kind)
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column but doc_id and text under a name that no operator uses; new names to old ones."""
+    names = {c if c in ("doc_id", "text") else f"carried_{k}": c for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(quality.training_rows(docs), quality.training_rows(labels))
-    score = _free(docs, "score")
-    return quality.score_quality(docs, model, out=score).where(F.col(score) >= 0.5).drop(score)
+    plain, names = _renamed(docs)
+    return quality.score_quality(plain, model).where("score >= 0.5").drop("score").toDF(*names.values())
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -74,12 +80,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcas
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that start earlier as well; n_chars follows the text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    carried = [f"carried_{k}" for k in range(len(others))]  # no column of the operator has such a name
-    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(others, carried, strict=True)))
-    found = suffix_dedup.remove_repeats(plain, carry=tuple(carried), characters=True)
-    back = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long"), "doc_id": F.col("doc_id")} | {c: F.col(n) for c, n in zip(others, carried, strict=True)}
-    return found.select(*(back[c].alias(c) for c in docs.columns))
+    plain, names = _renamed(docs)
+    carried = tuple(n for n, c in names.items() if c not in ("doc_id", "text", "n_chars"))
+    found = suffix_dedup.remove_repeats(plain, carry=carried, characters=True)
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return found.select(*(new.get(c, F.col(n)).alias(c) for n, c in names.items()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
