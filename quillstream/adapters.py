@@ -6,7 +6,7 @@ definition in DuckDB SQL (``*_SQL``), so every query can be compared on whole ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VENUES = [
@@ -196,3 +196,26 @@ AUTHORS_SQL = f"""authors AS (
   SELECT doc_id AS paper, author_ord, ({_quoted(AUTHORS)})[CAST(k % {len(AUTHORS)} AS INTEGER) + 1] AS author,
          ({_quoted(AFFILIATIONS)})[CAST((k + doc_id) % {len(AFFILIATIONS)} AS INTEGER) + 1] AS affiliation
   FROM (SELECT doc_id, author_ord, doc_id * 5 + author_ord * 7 AS k FROM (SELECT doc_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS author_ord FROM documents)))"""
+
+
+_KINDS = ["citation_index_exact", "context_similarity", "citation_index_grouped", "keyword_fallback", "citation_index_neighbor"]
+
+
+def spans(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """The ``k`` top spans of each labelled document, made of its paragraphs."""
+    n = F.col("doc_id") * 7 + F.col("seq")
+    rows = paragraphs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", (F.floor((F.col("seq") - 1) / 6) + 1).cast("int").alias("page"), ((F.col("seq") - 1) % 6).cast("int").alias("span_index"), pick(_KINDS, n % 5).alias("match_type"),
+        (n % 37).cast("int").alias("score"), F.when(n % 4 == 0, (n % 23 + 1).cast("string")).alias("citation_index"), F.when(n % 2 == 0, F.array(pick(_KINDS, n % 5), F.lit("context_similarity"))).otherwise(F.array(pick(_KINDS, n % 5))).alias("evidence"),
+        F.when(n % 3 == 0, F.array(F.lit("widget"))).otherwise(F.array().cast("array<string>")).alias("keyword_hits"), "text", F.when(n % 2 == 0, F.concat("text", F.lit(" | "), "text")).otherwise("").alias("window_text"),
+    )
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "page", "span_index"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
+SPANS_SQL = PARAGRAPHS_SQL + f""", spans0 AS (SELECT doc_id, CAST((seq - 1) // 6 + 1 AS INTEGER) AS page, CAST((seq - 1) % 6 AS INTEGER) AS span_index, ({_quoted(_KINDS)})[CAST(n % 5 AS INTEGER) + 1] AS match_type,
+    CAST(n % 37 AS INTEGER) AS score, CASE WHEN n % 4 = 0 THEN CAST(n % 23 + 1 AS VARCHAR) END AS citation_index,
+    CASE WHEN n % 2 = 0 THEN [({_quoted(_KINDS)})[CAST(n % 5 AS INTEGER) + 1], 'context_similarity'] ELSE [({_quoted(_KINDS)})[CAST(n % 5 AS INTEGER) + 1]] END AS evidence,
+    CASE WHEN n % 3 = 0 THEN ['widget'] ELSE CAST([] AS VARCHAR[]) END AS keyword_hits, text, CASE WHEN n % 2 = 0 THEN text || ' | ' || text ELSE '' END AS window_text
+  FROM (SELECT *, doc_id * 7 + seq AS n FROM paragraphs WHERE doc_id IN (SELECT doc_id FROM labels))),
+spans AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, span_index) AS place FROM spans0 QUALIFY place <= 20)"""

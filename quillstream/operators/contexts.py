@@ -57,3 +57,22 @@ def fallback_contexts(papers: DataFrame, contexts: DataFrame, k: int = 5) -> Dat
     place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "text"))
     kept = once.withColumn("place", place).where(F.col("place") <= k)
     return papers.select("ord", key(F.col("title")).alias("key")).join(kept, "key").select("ord", "place", "text")
+
+
+def filtered_contexts(papers: DataFrame, contexts: DataFrame, k: int = 20) -> DataFrame:
+    """The first ``k`` usable contexts of each paper (ord, title), the best one first, each wording once.
+
+    ``contexts``: citing_title, rank, is_best and text with the columns of ``score_contexts``. They
+    meet on the lower-case title.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    good = contexts.where(usable()).select(key(F.col("citing_title")).alias("key"), X.norm_span("text").alias("wording"), F.struct((~F.col("is_best")).alias("later"), "rank", "text").alias("x")).where("wording <> ''")
+    once = good.groupBy("key", "wording").agg(F.min("x").alias("x"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("x"))
+    kept = once.withColumn("place", place).where(F.col("place") <= k)
+    return papers.select("ord", key(F.col("title")).alias("key")).join(kept, "key").select("ord", "place", F.col("x.text").alias("text"))
+
+
+def top_citing(contexts: DataFrame, paper: str, k: int = 20) -> DataFrame:
+    """The ``k`` citing papers with the highest best context, in order of score, then of appearance."""
+    return best_context(contexts, paper).orderBy(F.col("score").desc(), paper).limit(k)

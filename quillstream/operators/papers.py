@@ -145,19 +145,38 @@ def download_queries() -> Column:
     return F.when(F.size(once) > 0, once).otherwise(F.array(F.lit("unknown")))
 
 
+#: Least length of a compact title that is looked for inside another.
+CONTAINED = 24
+
+
 def same_work(papers: DataFrame, works: DataFrame) -> DataFrame:
     """Foreign works of papers: by DOI, else by equal title, else by a long title that contains it.
 
-    Containment is tried only between titles that share their longest word, which an equal
-    part of at least 24 characters nearly always leaves whole, so no cross join is needed.
-    ``works``: work, doi, title. Returns ord, work, how.
+    A compact title of ``CONTAINED`` characters or more lies inside another only where its first
+    ``CONTAINED`` characters do, so both sides meet on these in an equality join and are then
+    compared. Equal titles meet once. ``works``: work, doi, title. Returns ord, work, how.
     """
-    p = papers.select("ord", X.norm_doi("doi").alias("d"), X.title_match("title").alias("t"), "title")
-    w = works.select("work", X.norm_doi("doi").alias("wd"), X.title_match("title").alias("wt"), F.col("title").alias("work_title"))
+    p = papers.select("ord", X.norm_doi("doi").alias("d"), X.title_match("title").alias("t"))
+    w = works.select("work", X.norm_doi("doi").alias("wd"), X.title_match("title").alias("wt"))
     by_doi = p.join(w, (p.d == w.wd) & (p.d != "")).select("ord", "work", F.lit(1).alias("how"))
     by_title = p.join(w, (p.t == w.wt) & (p.t != "")).select("ord", "work", F.lit(2).alias("how"))
-    words = lambda c: F.explode(F.array_distinct(F.filter(X.tokens(X.title_key(c)), lambda x: F.length(x) >= 4)))
-    pw, ww = p.where(F.length("t") >= 24).select("ord", "t", words("title").alias("word")), w.where(F.length("wt") >= 24).select("work", "wt", words("work_title").alias("word"))
-    inside = pw.join(ww, "word").where(F.col("t").contains(F.col("wt")) | F.col("wt").contains(F.col("t"))).select("ord", "work", F.lit(3).alias("how")).distinct()
+    own, foreign = p.where(F.length("t") >= CONTAINED).select("t").distinct(), w.where(F.length("wt") >= CONTAINED).select("wt").distinct()
+    head = lambda c: F.substring(c, 1, CONTAINED).alias("gram")
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (CONTAINED - 1)), lambda i: F.substring(F.col(c), i, F.lit(CONTAINED))))).alias("gram")
+    around = own.select("t", grams("t")).join(foreign.select("wt", head("wt")), "gram").where(F.col("t").contains(F.col("wt")))
+    within = own.select("t", head("t")).join(foreign.select("wt", grams("wt")), "gram").where(F.col("wt").contains(F.col("t")))
+    pairs = around.select("t", "wt").unionByName(within.select("t", "wt")).distinct()
+    # of the works that hold a title the first is enough
+    first = pairs.join(w.groupBy("wt").agg(F.min("work").alias("work")), "wt").groupBy("t").agg(F.min("work").alias("work"))
+    inside = p.join(first, "t").select("ord", "work", F.lit(3).alias("how"))
     place = F.row_number().over(Window.partitionBy("ord").orderBy("how", "work"))
     return by_doi.unionByName(by_title).unionByName(inside).withColumn("place", place).where("place = 1").drop("place")
+
+
+def first_by_authors(papers: DataFrame, authors: DataFrame, k: int = 3) -> DataFrame:
+    """The earliest paper that has a year, with its first ``k`` authors (paper, author_ord, author) and a sign of more."""
+    first = first_citing(papers)
+    named = authors.join(F.broadcast(first.select(F.col("ord").alias("paper"))), "paper").groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("author_ord", "author"))).alias("a"))
+    names = F.transform("a", lambda x: x["author"])
+    shown = F.concat(F.array_join(F.slice(names, 1, k), ", "), F.when(F.size(names) > k, " 等").otherwise(""))
+    return first.join(named.select(F.col("paper").alias("ord"), shown.alias("authors")), "ord", "left").withColumn("authors", F.coalesce("authors", F.lit("")))

@@ -107,3 +107,31 @@ def merge_registry(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return a.join(b, ["tag_type", "key"], "full_outer").select(
         "tag_type", F.coalesce("a_name", "b_name").alias("name"), F.array_distinct(F.concat(F.coalesce("a_aliases", none), F.coalesce("b_aliases", none))).alias("aliases"), note.alias("note"), change.alias("change")
     )
+
+
+def merge_candidates(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """Candidates of one id in one session become one: lists united in order, notes appended once.
+
+    ``rows``: session, candidate_id, ord, paper, affiliation, source_link, note, status. ``prior``
+    (session, candidate_id, status, review_note) holds what a reviewer has decided. Lists hold
+    what a session's papers name.
+    """
+    key = ["session", "candidate_id"]
+
+    def united(c: str) -> DataFrame:
+        once = rows.where(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").groupBy(*key, c).agg(F.min("ord").alias("ord"))
+        return once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c]).alias(f"{c}s"))
+
+    # a note that repeats adds nothing, so of equal notes the first is enough
+    notes = rows.where(F.coalesce("note", F.lit("")) != "").groupBy(*key, "note").agg(F.min("ord").alias("ord"))
+    listed = notes.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "note"))), lambda x: x["note"]).alias("n"))
+    joined = F.aggregate("n", F.lit(""), lambda a, n: F.when(a.contains(n), a).when(a == "", n).otherwise(F.concat(a, F.lit("；"), n)))
+    found = rows.groupBy(*key).agg(F.count("*").alias("evidence_count"), F.min_by("status", "ord").alias("own_status"))
+    for part in (united("paper"), united("affiliation"), united("source_link"), listed.select(*key, joined.alias("note"))):
+        found = found.join(part, key, "left")
+    decided = prior.select(*key, F.col("status").alias("prior_status"), "review_note")
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    return found.join(decided, key, "left").select(
+        *key, "evidence_count", "papers", "affiliations", "source_links", F.coalesce("note", F.lit("")).alias("note"),
+        F.coalesce(said("prior_status"), said("own_status"), F.lit("pending")).alias("status"), F.coalesce("review_note", F.lit("")).alias("review_note"),
+    )

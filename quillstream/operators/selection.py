@@ -14,7 +14,6 @@ STOP = "the and for with from into using based paper model models method methods
 LEAST, CLOSE = 24, 10
 
 
-
 def ordinal(raw: Column) -> Column:
     """1 to 99 in Arabic or Chinese numerals; null if it is none."""
     digit = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for p in NUMERALS.items() for x in p]), F.substring(raw, k, 1))
@@ -44,24 +43,102 @@ def paper_aliases(papers: DataFrame) -> DataFrame:
     return rows.select("id", "title", n.alias("normal"), F.array_distinct(F.array(n, X.norm_ref(head))).alias("aliases"), F.slice(F.array_distinct(words), 1, 8).alias("keywords"))
 
 
+#: Characters of the grams by which parts of texts are found inside messages.
+GRAM = 5
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
+def _meeting(said: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pairs (said, id) of which one alias or keyword may lie in the message.
+
+    What is found inside a message (five characters and more) shows its first ``GRAM``
+    characters there; shorter keywords count as whole words only. Both are equality joins.
+    """
+    long = lambda c: F.filter(c, lambda x: F.length(x) >= GRAM)
+    starts = aliases.select("id", F.explode(F.array_distinct(F.transform(long(F.concat("aliases", "keywords")), lambda x: F.substring(x, 1, GRAM)))).alias("gram"))
+    grams = said.where(F.length("said") >= GRAM).select("said", F.explode(_grams(F.col("said"))).alias("gram"))
+    short = aliases.select("id", F.explode(F.filter("keywords", lambda x: F.length(x) < GRAM)).alias("word"))
+    words = said.select("said", F.explode(F.array_distinct(X.tokens(F.col("said")))).alias("word"))
+    return grams.join(starts, "gram").select("said", "id").unionByName(words.join(short, "word").select("said", "id")).distinct()
+
+
 def score_messages(messages: DataFrame, papers: DataFrame) -> DataFrame:
-    """Scores of papers that messages seem to name (message, text; id, title).
+    """Scores of papers that messages seem to name (message, text; id, title), with the keywords found.
 
-    A paper is a candidate of a message only if they share a word of its title, found by an
-    equality join; a title or keyword inside a longer word alone does not make one.
+    Equal messages are scored once.
     """
     aliases = paper_aliases(papers)
-    words = F.array_distinct(X.tokens(X.norm_ref("text")))
-    m = messages.select("message", X.norm_ref("text").alias("said"), words.alias("words"))
-    pairs = m.select("message", F.explode("words").alias("word")).join(aliases.select("id", F.explode(F.array_distinct(X.tokens(F.col("normal")))).alias("word")), "word").select("message", "id").distinct()
-    rows = pairs.join(m, "message").join(aliases, "id")
+    m = messages.select("message", X.norm_ref("text").alias("said"))
+    said = m.select("said").distinct()
+    rows = _meeting(said, aliases).join(aliases, "id").withColumn("words", F.array_distinct(X.tokens(F.col("said"))))
     title = F.when((F.length("normal") >= 6) & F.col("said").contains(F.col("normal")), 120).otherwise(0)
-    fitting = F.filter("aliases", lambda a: (F.length(a) >= 5) & F.col("said").contains(a))
+    fitting = F.filter("aliases", lambda a: (F.length(a) >= GRAM) & F.col("said").contains(a))
     by_alias = F.when(F.size(fitting) > 0, 80 + F.least(F.array_max(F.transform(fitting, lambda a: F.length(a))), F.lit(30))).otherwise(0)
-    found = F.filter("keywords", lambda k: F.array_contains("words", k) | ((F.length(k) >= 5) & F.col("said").contains(k)))
+    found = F.filter("keywords", lambda k: F.array_contains("words", k) | ((F.length(k) >= GRAM) & F.col("said").contains(k)))
     longest = F.least(F.coalesce(F.array_max(F.transform("found", lambda k: F.length(k))), F.lit(0)), F.lit(20))
     by_words = F.when(F.size("found") > 0, 16 * F.size("found") + longest + F.when(F.size("found") >= 2, 20).otherwise(0)).otherwise(0)
-    return rows.withColumn("found", found).withColumn("score", F.greatest(title, by_alias) + by_words).where(F.col("score") >= LEAST).select("message", "id", "score")
+    scored = rows.withColumn("found", found).withColumn("score", F.greatest(title, by_alias) + by_words).where(F.col("score") >= LEAST)
+    return m.join(scored.select("said", "id", "score", "found"), "said").select("message", "id", "score", "found")
+
+
+def relaxed_matches(messages: DataFrame, papers: DataFrame) -> DataFrame:
+    """Papers that share words of four and more characters with messages; the score is their number."""
+    words = lambda c: F.explode(F.array_distinct(F.filter(X.tokens(X.norm_ref(c)), lambda w: F.length(w) >= 4))).alias("word")
+    pairs = messages.select("message", words("text")).join(papers.select("id", words("title")), "word")
+    return pairs.groupBy("message", "id").agg(F.count("*").cast("int").alias("score"))
+
+
+def _ids(rows: DataFrame, name: str, order: list, k: int | None = None) -> DataFrame:
+    """The ids of each message in order, the first ``k`` of them."""
+    if k:
+        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("message").orderBy(*order, "id"))).where(F.col("_at") <= k)
+    listed = F.array_sort(F.collect_list(F.struct(*order, "id")))
+    return rows.groupBy("message").agg(F.transform(listed, lambda x: x["id"]).alias(name))
+
+
+def resolve(messages: DataFrame, papers: DataFrame) -> DataFrame:
+    """What each message selects: message, status (ok, ambiguous or no_match), ids, and up to three matches.
+
+    ``messages``: message, text, ids array (explicit ids come first), top_n (then the first
+    papers). ``papers``: ord, id, title. Otherwise scores decide, and where nothing scores
+    enough, single shared words. Lists of a message hold what it names, in order.
+    """
+    told = messages.where(F.size(F.coalesce("ids", F.array().cast("array<string>"))) > 0)
+    counted = messages.join(told.select("message"), "message", "left_anti").where(F.coalesce("top_n", F.lit(0)) > 0)
+    free = messages.join(told.select("message"), "message", "left_anti").where(F.coalesce("top_n", F.lit(0)) <= 0)
+    named = told.select("message", F.posexplode("ids").alias("at", "id")).join(papers.select("id"), "id")
+    by_id = told.select("message").join(_ids(named, "ids", ["at"]), "message", "left")
+    most = counted.agg(F.max("top_n")).first()[0] or 0
+    first = [r["id"] for r in papers.orderBy("ord").limit(most).collect()]  # as many ids as a message may ask for
+    by_count = counted.select("message", F.slice(F.array(*map(F.lit, first)).cast("array<string>"), F.lit(1), F.greatest("top_n", F.lit(1))).alias("ids"))
+    plain = by_id.unionByName(by_count).select("message", F.when(F.size(F.coalesce("ids", F.array().cast("array<string>"))) > 0, "ok").otherwise("no_match").alias("status"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.array().cast("array<string>").alias("matches"))
+
+    scored = score_messages(free, papers).withColumn("down", -F.col("score"))
+    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("message").orderBy("down", "id")))
+    two = top.where("place <= 2").groupBy("message").agg(F.max(F.when(F.col("place") == 1, F.struct("score", "id"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    said = free.select("message", F.coalesce("text", F.lit("")).rlike(MULTI_CUE).alias("many"))
+    kind = F.when(F.col("many"), "many").when(F.coalesce(F.col("second") >= F.greatest(F.lit(LEAST), F.col("best.score") - CLOSE), F.lit(False)), "ambiguous").otherwise("one")
+    judged = two.join(said, "message").select("message", kind.alias("kind"), F.col("best.id").alias("best_id"))
+    every = _ids(scored.join(judged.where("kind = 'many'").select("message"), "message", "left_semi"), "every", ["down"])
+    three = _ids(scored.join(judged.where("kind = 'ambiguous'").select("message"), "message", "left_semi"), "three", ["down"], 3)
+    none = F.array().cast("array<string>")
+    by_score = judged.join(every, "message", "left").join(three, "message", "left").select(
+        "message", F.when(F.col("kind") == "ambiguous", "ambiguous").otherwise("ok").alias("status"),
+        F.when(F.col("kind") == "many", F.col("every")).when(F.col("kind") == "one", F.array("best_id")).otherwise(none).alias("ids"), F.coalesce("three", none).alias("matches"),
+    )
+
+    rest = free.join(judged.select("message"), "message", "left_anti")
+    loose = relaxed_matches(rest, papers).withColumn("down", -F.col("score"))
+    few = _ids(loose, "three", ["down"], 3)
+    by_word = rest.select("message").join(few, "message", "left").select(
+        "message", F.when(F.col("three").isNull(), "no_match").when(F.size("three") == 1, "ok").otherwise("ambiguous").alias("status"),
+        F.when(F.size("three") == 1, F.col("three")).otherwise(none).alias("ids"), F.when(F.size("three") > 1, F.col("three")).otherwise(none).alias("matches"),
+    )
+    return plain.unionByName(by_score).unionByName(by_word)
 
 
 def select_papers(messages: DataFrame, papers: DataFrame) -> DataFrame:

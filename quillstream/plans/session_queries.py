@@ -228,20 +228,21 @@ def message_ids(spark, sf_dir):
 _NR = "trim(regexp_replace(lower({0}), '[^a-z0-9一-鿿]+', ' ', 'g'))"
 
 
-@query(f"""WITH p AS (SELECT item_id AS id, left(text, 40) AS title FROM benchmark), m AS (SELECT conv_id * 100 + turn AS message, text, {_NR.format("coalesce(text, '')")} AS said FROM conversations WHERE role = 'user'),
-a AS (SELECT id, title, {_NR.format('title')} AS n, {_NR.format("trim(list_filter(regexp_split_to_array(title, '[:：|/-]'), lambda x: trim(x) <> '')[1])")} AS h FROM p),
+SELECT_SQL = f"""WITH p AS (SELECT item_id AS id, text AS title FROM benchmark), m AS (SELECT conv_id * 100 + turn AS message, text, {_NR.format("coalesce(text, '')")} AS said FROM conversations WHERE role = 'user'),
+a AS (SELECT id, title, {_NR.format('title')} AS n, {_NR.format("trim(list_filter(regexp_split_to_array(title, '[:：|/-]'), lambda x: trim(x) <> '')[1])")} AS h FROM p WHERE trim(title) <> ''),
 k0 AS (SELECT *, list_filter(string_split(n, ' '), lambda w: (length(w) >= 3 OR regexp_full_match(w, '[0-9]+')) AND NOT list_contains({A._quoted(N.STOP)}, w)) AS ws FROM a),
 k AS (SELECT id, n, h, list_slice(list_filter(ws, lambda x, i: list_position(ws, x) = i), 1, 8) AS kw FROM k0),
 w AS (SELECT message, said, list_distinct(list_filter(string_split(said, ' '), lambda x: x <> '')) AS words FROM m),
-pairs AS (SELECT * FROM w JOIN k ON list_has_any(words, list_filter(string_split(n, ' '), lambda x: x <> ''))),
 f AS (SELECT *, list_filter(kw, lambda x: list_contains(words, x) OR (length(x) >= 5 AND contains(said, x))) AS found,
-  greatest(CASE WHEN length(n) >= 6 AND contains(said, n) THEN 120 ELSE 0 END, CASE WHEN length(n) >= 5 AND contains(said, n) THEN 80 + least(length(n), 30) ELSE 0 END, CASE WHEN length(h) >= 5 AND contains(said, h) THEN 80 + least(length(h), 30) ELSE 0 END) AS base FROM pairs),
-s AS (SELECT message, id, base + CASE WHEN len(found) > 0 THEN 16 * len(found) + least(list_max(list_transform(found, lambda x: length(x))), 20) + CASE WHEN len(found) >= 2 THEN 20 ELSE 0 END ELSE 0 END AS score FROM f),
-r AS (SELECT *, row_number() OVER (PARTITION BY message ORDER BY score DESC, id) AS place FROM s WHERE score >= 24),
+  greatest(CASE WHEN length(n) >= 6 AND contains(said, n) THEN 120 ELSE 0 END, CASE WHEN length(n) >= 5 AND contains(said, n) THEN 80 + least(length(n), 30) ELSE 0 END, CASE WHEN length(h) >= 5 AND contains(said, h) THEN 80 + least(length(h), 30) ELSE 0 END) AS base FROM w CROSS JOIN k),
+s AS (SELECT message, id, base + CASE WHEN len(found) > 0 THEN 16 * len(found) + least(list_max(list_transform(found, lambda x: length(x))), 20) + CASE WHEN len(found) >= 2 THEN 20 ELSE 0 END ELSE 0 END AS score FROM f)"""
+
+
+@query(SELECT_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY message ORDER BY score DESC, id) AS place FROM s WHERE score >= 24),
 g AS (SELECT message, count(*) AS n, max(id) FILTER (place = 1) AS best, max(score) FILTER (place = 1) AS b, max(score) FILTER (place = 2) AS s2 FROM r GROUP BY 1)
 SELECT message, n, best, CAST(b AS INTEGER) AS best_score, CASE WHEN regexp_matches(m.text, '[、,/，]|以及|和|及|还有') THEN 'several' WHEN s2 >= greatest(24, b - 10) THEN 'ambiguous' ELSE 'ok' END AS state FROM g JOIN m USING (message)""")
 def paper_selection(spark, sf_dir):
-    papers = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("title"))
+    papers = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
     messages = A.table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("message"), "text")
     return N.select_papers(messages, papers)
 
