@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import spread
+
 VENUES = [
     "ICML",
     "IEEE International Conference on Software Maintenance and Evolution",
@@ -63,7 +65,7 @@ def pick(values: list[str], number: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = lambda x: x.cast("string")
     return table(spark, sf_dir, "documents").select(
         d.alias("ord"),
-        F.substring(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), 1, 60).alias("title"),
+        F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("title"),
         F.when(d % 17 != 0, 2000 + d % 25).cast("int").alias("year"),
         pick(VENUES, d % 9).alias("venue"),
         F.when(d % 4 == 0, F.concat(F.lit("C"), digits(d % 300))).alias("corpus_id"),
@@ -83,7 +85,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAPERS_SQL = f"""papers AS (
-  SELECT doc_id AS ord, left(split_part(coalesce(text, ''), chr(10), 1), 60) AS title,
+  SELECT doc_id AS ord, split_part(coalesce(text, ''), chr(10), 1) AS title,
          CAST(CASE WHEN doc_id % 17 <> 0 THEN 2000 + doc_id % 25 END AS INTEGER) AS year,
          ({_quoted(VENUES)})[CAST(doc_id % 9 AS INTEGER) + 1] AS venue,
          CASE WHEN doc_id % 4 = 0 THEN 'C' || (doc_id % 300) END AS corpus_id,

@@ -5,8 +5,6 @@ Paragraphs are rows (doc_id, page, seq, text) with ``seq`` the order within the
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,20 +20,28 @@ def priority(match_type: Column | str) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), c), F.lit(0)) - 1, F.lit(99)).cast("int")
 
 
+#: Characters from which a page without blank lines is cut into packed sentences.
+ROUGH_CHARS = 300
+
+
 def split_pages(pages: DataFrame) -> DataFrame:
-    """Paragraphs of pages (doc_id, page, text): blank lines part them, blanks are squeezed."""
-    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), r"\n\s*\n")
-    rows = pages.select("doc_id", "page", F.posexplode(parts).alias("at", "raw"))
-    clean = rows.withColumn("text", F.regexp_replace(F.regexp_replace("raw", "[ \t]+", " "), r"(?U)^\s+|\s+$", "")).where("text <> ''")
-    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("at"))
+    """Paragraphs of pages (doc_id, page, text): blank lines part them, blanks are squeezed.
+
+    A page of one paragraph and more than ``ROUGH_CHARS`` characters falls into packed sentences.
+    """
+    whole = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    squeezed = F.transform(F.split("_text", r"\n\s*\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
+    rows = pages.select("doc_id", "page", whole.alias("_text")).withColumn("_parts", F.filter(squeezed, lambda x: x != ""))
+    rough = F.when((F.size("_parts") <= 1) & (F.length("_text") > ROUGH_CHARS), packed_sentences(F.col("_text")))
+    parts = F.when(F.size(F.coalesce(rough, F.array().cast("array<string>"))) > 0, rough).otherwise(F.col("_parts"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at"))
-    return clean.select("doc_id", "page", place.alias("span_index"), order.alias("seq"), "text")
+    return rows.select("doc_id", "page", F.posexplode(parts).alias("at", "text")).select("doc_id", "page", (F.col("at") + 1).alias("span_index"), order.alias("seq"), "text")
 
 
 def packed_sentences(text: Column, least: int = 350) -> Column:
     """Sentences packed into paragraphs of ``least`` characters or more (the last may be shorter)."""
     # Spark's split has no look-behind trouble: Java supports it
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\[])"), lambda x: F.trim(x)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\[])"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("size"))
 
     def step(acc: Column, s: Column) -> Column:

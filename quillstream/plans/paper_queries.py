@@ -121,12 +121,13 @@ def session_ids(spark, sf_dir):
 _STATE_KEY = "coalesce('doi:' || nullif(lower(trim(doi)), ''), 'title:' || nullif(trim(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', ' ', 'g')), ''))"
 
 
-@query(f"""WITH {A.PAPERS_SQL}, prior AS (SELECT {_STATE_KEY} AS key, arg_min(status, ord) AS status FROM (SELECT *, CASE ord % 3 WHEN 0 THEN 'local_available' WHEN 1 THEN 'manual_required' ELSE 'auto_downloadable' END AS status FROM papers WHERE ord % 2 = 0) WHERE {_STATE_KEY} IS NOT NULL GROUP BY 1)
-SELECT p.ord, coalesce(prior.status, 'not_probed') AS status FROM (SELECT *, {_STATE_KEY} AS key FROM papers WHERE ord % 2 = 1) p LEFT JOIN prior USING (key)""")
+@query(f"""WITH {A.PAPERS_SQL}, prior AS (SELECT {_STATE_KEY} AS key, arg_min(status, ord) AS status FROM (SELECT *, CASE ord % 3 WHEN 0 THEN 'local_available' WHEN 1 THEN 'manual_required' ELSE 'auto_downloadable' END AS status FROM (SELECT * REPLACE (CASE WHEN ord % 2 = 0 THEN doi ELSE '10.9/' || ord END AS doi) FROM papers)) WHERE {_STATE_KEY} IS NOT NULL GROUP BY 1)
+SELECT p.ord, coalesce(prior.status, 'not_probed') AS status FROM (SELECT *, {_STATE_KEY} AS key FROM papers) p LEFT JOIN prior USING (key)""")
 def state_carry_over(spark, sf_dir):
     papers = A.papers(spark, sf_dir)
-    old = papers.where("ord % 2 = 0").withColumn("status", A.pick(["local_available", "manual_required", "auto_downloadable"], F.col("ord") % 3))
-    new = papers.where("ord % 2 = 1").withColumn("status", F.lit("not_probed"))
+    doi = F.when(F.col("ord") % 2 == 0, F.col("doi")).otherwise(F.concat(F.lit("10.9/"), F.col("ord").cast("string")))  # some are not known any more
+    old = papers.withColumn("doi", doi).withColumn("status", A.pick(["local_available", "manual_required", "auto_downloadable"], F.col("ord") % 3))
+    new = papers.withColumn("status", F.lit("not_probed"))
     return P.carry_over(new, old, ["status"]).select("ord", "status")
 
 
@@ -139,29 +140,29 @@ def download_query_list(spark, sf_dir):
 _TM = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 
 
-@query(f"""WITH {A.PAPERS_SQL}, p AS (SELECT ord, lower(trim(coalesce(doi, ''))) AS d, {_TM.format('title')} AS t FROM papers WHERE ord % 2 = 0),
-w AS (SELECT ord AS work, CASE WHEN ord % 6 = 1 THEN regexp_replace(lower('https://doi.org/' || coalesce(doi, '')), '^https://doi.org/', '') ELSE '' END AS wd, {_TM.format("title || CASE WHEN ord % 5 = 0 THEN ' extended' ELSE '' END")} AS wt FROM papers WHERE ord % 2 = 1),
+@query(f"""WITH {A.PAPERS_SQL}, p AS (SELECT ord, lower(trim(coalesce(doi, ''))) AS d, {_TM.format('title')} AS t FROM papers),
+w AS (SELECT ord AS work, CASE WHEN ord % 6 = 1 THEN regexp_replace(lower('https://doi.org/' || coalesce(doi, '')), '^https://doi.org/', '') ELSE '' END AS wd, {_TM.format("CASE WHEN ord % 2 = 0 THEN 'On ' || ord || ' ' ELSE '' END || title || CASE WHEN ord % 5 = 0 THEN ' extended' ELSE '' END")} AS wt FROM papers),
 u AS (SELECT ord, work, 1 AS how FROM p JOIN w ON d = wd AND d <> '' UNION ALL SELECT ord, work, 2 FROM p JOIN w ON t = wt AND t <> ''
   UNION ALL SELECT ord, work, 3 FROM p JOIN w ON length(t) >= 24 AND length(wt) >= 24 AND (contains(t, wt) OR contains(wt, t)))
 SELECT ord, work, how FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY how, work) AS place FROM u) WHERE place = 1""")
 def enrichment_match(spark, sf_dir):
     papers = A.papers(spark, sf_dir)
-    works = papers.where("ord % 2 = 1").select(
+    works = papers.select(
         F.col("ord").alias("work"), F.when(F.col("ord") % 6 == 1, F.concat(F.lit("https://doi.org/"), F.coalesce("doi", F.lit("")))).otherwise("").alias("doi"),
-        F.concat("title", F.when(F.col("ord") % 5 == 0, " extended").otherwise("")).alias("title"),
+        F.concat(F.when(F.col("ord") % 2 == 0, F.format_string("On %s ", F.col("ord").cast("string"))).otherwise(""), "title", F.when(F.col("ord") % 5 == 0, " extended").otherwise("")).alias("title"),
     )
-    return P.same_work(papers.where("ord % 2 = 0"), works)
+    return P.same_work(papers, works)
 
 
 _TK = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"""WITH b AS (SELECT item_id, {_TK.format("left(text, 80)")} AS k, list_distinct(list_filter(string_split({_TK.format("left(text, 80)")}, ' '), lambda w: w <> '')) AS words FROM benchmark),
+@query(f"""WITH b AS (SELECT item_id, {_TK.format("text")} AS k, list_distinct(list_filter(string_split({_TK.format("text")}, ' '), lambda w: w <> '')) AS words FROM benchmark),
 x AS (SELECT item_id, k, words, unnest(words) AS word FROM b), s AS (SELECT a.item_id, c.item_id AS other, count(*) AS shared, any_value(len(a.words)) AS la, any_value(len(c.words)) AS lb, any_value(a.k = c.k) AS same FROM x a JOIN x c ON a.word = c.word AND a.item_id <> c.item_id GROUP BY 1, 2),
 r AS (SELECT *, CASE WHEN same THEN 1.0 ELSE CAST(shared AS DOUBLE) / greatest(la, lb) END AS similarity FROM s)
 SELECT item_id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other) AS place FROM r) WHERE place = 1""")
 def title_similarity_best(spark, sf_dir):
-    items = A.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("title"))
+    items = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
     words = items.select("item_id", "title", F.explode(F.array_distinct(X.tokens(X.title_key("title")))).alias("word"))
     pairs = words.alias("a").join(words.alias("b"), "word").where("a.item_id <> b.item_id").select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), F.col("a.title").alias("t"), F.col("b.title").alias("u")).distinct()
     scored = pairs.withColumn("similarity", X.title_similarity("t", "u"))

@@ -37,9 +37,22 @@ REF_SCORE = (
 MARKED = f"WITH {A.MARKED_SQL} "
 
 
-@query(f"WITH {A.PARAGRAPHS_SQL} SELECT doc_id, count(*) AS n, min(seq) AS first_seq, max(length(text)) AS longest FROM paragraphs GROUP BY doc_id")
+# Texts in which every third line end is a blank line. A page of one paragraph falls into packed sentences.
+_SPLIT_SQL = r"""t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13), chr(10)), chr(10), CASE WHEN doc_id % 3 = 0 THEN chr(10) || '  ' || chr(10) ELSE chr(10) END) AS text FROM documents),
+p0 AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS ps FROM t),
+s0 AS (SELECT doc_id, ps, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS ss, len(ps) <= 1 AND length(text) > 300 AS rough FROM p0),
+r AS (SELECT doc_id, ps, ss, rough, 1 AS i, CAST([] AS VARCHAR[]) AS done, '' AS held, 0 AS size FROM s0)"""
+
+
+@query(f"""WITH RECURSIVE {_SPLIT_SQL}, g AS (SELECT * FROM r UNION ALL SELECT doc_id, ps, ss, rough, i + 1,
+  CASE WHEN size + length(ss[i]) >= 350 THEN list_append(done, CASE WHEN held = '' THEN ss[i] ELSE held || ' ' || ss[i] END) ELSE done END, CASE WHEN size + length(ss[i]) >= 350 THEN '' WHEN held = '' THEN ss[i] ELSE held || ' ' || ss[i] END, CASE WHEN size + length(ss[i]) >= 350 THEN 0 ELSE size + length(ss[i]) END FROM g WHERE rough AND i <= len(ss)),
+f AS (SELECT doc_id, CASE WHEN rough AND len(ss) > 0 THEN CASE WHEN held = '' THEN done ELSE list_append(done, held) END ELSE ps END AS parts FROM g WHERE NOT rough OR i = len(ss) + 1),
+u AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS k FROM f)
+SELECT doc_id, CAST(k AS INTEGER) AS span_index, CAST(length(text) AS INTEGER) AS chars, md5(text) AS text_md5 FROM u""")
 def paragraph_split(spark, sf_dir):
-    return A.paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max(F.length("text")).cast("long").alias("longest"))
+    joint = F.when(F.col("doc_id") % 3 == 0, "\n  \n").otherwise("\n")
+    pages = A.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("\n")), F.lit("\n"), joint).alias("text"))
+    return S.split_pages(pages).select("doc_id", "span_index", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH {A.PARAGRAPHS_SQL}, x AS (SELECT CASE WHEN seq % 3 = 0 THEN 'citation_index_exact' WHEN seq % 3 = 1 THEN 'context_similarity' ELSE 'keyword_fallback' END AS match_type,
@@ -177,11 +190,11 @@ def mention_islands(spark, sf_dir):
     return S.islands(A.findings(spark, sf_dir))
 
 
-@query(f"""WITH {A.PARAGRAPHS_SQL}, c AS (SELECT * FROM (SELECT doc_id, seq, left(text, 300) AS block, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM paragraphs) WHERE place <= 4),
+@query(f"""WITH {A.PARAGRAPHS_SQL}, c AS (SELECT * FROM (SELECT doc_id, seq, left(text, 1800) AS block, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM paragraphs) WHERE place <= 4),
 u AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM c)
-SELECT doc_id, seq, CAST(used AS BIGINT) AS used, CAST(least(length(block), 900 - used) AS INTEGER) AS chars, md5(left(block, CAST(900 - used AS BIGINT))) AS block_md5 FROM u WHERE used < 900""")
+SELECT doc_id, seq, CAST(used AS BIGINT) AS used, CAST(least(length(block), 9000 - used) AS INTEGER) AS chars, md5(left(block, CAST(9000 - used AS BIGINT))) AS block_md5 FROM u WHERE used < 9000""")
 def char_budget(spark, sf_dir):
-    rows = S.within_budget(A.paragraphs(spark, sf_dir), 900, 4, 300)
+    rows = S.within_budget(A.paragraphs(spark, sf_dir), 9000, 4, 1800)
     return rows.select("doc_id", "seq", F.col("used").cast("long").alias("used"), F.length("block").alias("chars"), F.md5("block").alias("block_md5"))
 
 

@@ -64,11 +64,12 @@ def usable_contexts(spark, sf_dir):
 
 
 _KEY = "trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'))"
-_RANKED = f"""ctx AS (SELECT ord AS rank, title AS citing_title, {_KEY} AS k, CAST((ord * 7) % 13 AS INTEGER) AS score, coalesce(confidence, '') AS confidence FROM papers WHERE ord % 3 = 0)"""
+_RANKED = f"""ctx AS (SELECT rank, {_KEY} AS k, score, confidence FROM (SELECT ord AS rank, CASE WHEN ord % 3 = 0 THEN title ELSE 'Unseen ' || ord END AS title, CAST((ord * 7) % 13 AS INTEGER) AS score, coalesce(confidence, '') AS confidence FROM papers))"""
 
 
 def ranked(spark, sf_dir):
-    return A.papers(spark, sf_dir).where("ord % 3 = 0").select(F.col("ord").alias("rank"), F.col("title").alias("citing_title"), ((F.col("ord") * 7) % 13).cast("int").alias("score"), F.coalesce("confidence", F.lit("")).alias("confidence"))
+    title = F.when(F.col("ord") % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("Unseen "), F.col("ord").cast("string")))
+    return A.papers(spark, sf_dir).select(F.col("ord").alias("rank"), title.alias("citing_title"), ((F.col("ord") * 7) % 13).cast("int").alias("score"), F.coalesce("confidence", F.lit("")).alias("confidence"))
 
 
 @query(f"""WITH {A.PAPERS_SQL}, {_RANKED}, last AS (SELECT k, arg_max(score, rank) AS score, arg_max(CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END, rank) AS trust, max(rank) AS rank FROM ctx WHERE k <> '' GROUP BY k)
@@ -170,31 +171,33 @@ def institution_first_match(spark, sf_dir):
     return E.match_institutions(A.authors(spark, sf_dir), known).select("paper", "author_ord", "affiliation", "institution", "matched_name")
 
 
-@query(f"""WITH {A.AUTHORS_SQL}, rows AS (SELECT paper, lower(trim(author)) AS k, author, affiliation AS i, author_ord AS ord, 0 AS side FROM authors WHERE author_ord <= 1
-UNION ALL SELECT paper, lower(trim(upper(author))), upper(author), CASE WHEN paper % 2 = 0 THEN upper(affiliation) ELSE affiliation || ' X' END, author_ord, 1 FROM authors WHERE author_ord >= 1),
+@query(f"""WITH {A.AUTHORS_SQL}, rows AS (SELECT paper, lower(trim(author)) AS k, author, affiliation AS i, author_ord AS ord, 0 AS side FROM authors
+UNION ALL SELECT paper, lower(trim(upper(author || CASE WHEN author_ord = 0 THEN ' jr' ELSE '' END))), upper(author || CASE WHEN author_ord = 0 THEN ' jr' ELSE '' END), CASE WHEN paper % 2 = 0 THEN upper(affiliation) ELSE affiliation || ' X' END, author_ord, 1 FROM authors),
 names AS (SELECT paper, k, arg_min(author, side * 10 + ord) AS author, min(side * 10 + ord) AS o FROM rows GROUP BY 1, 2),
 items AS (SELECT paper, k, lower(trim(i)) AS low, arg_min(i, side * 10 + ord) AS i, min(side * 10 + ord) AS o FROM rows GROUP BY 1, 2, 3),
 lists AS (SELECT paper, k, string_agg(i, '|' ORDER BY o, i) AS institutions FROM items GROUP BY 1, 2)
 SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY o) AS INTEGER) AS place, author, institutions FROM names JOIN lists USING (paper, k)""")
 def author_merge(spark, sf_dir):
     rows = A.authors(spark, sf_dir)
-    own = rows.where("author_ord <= 1").select("paper", "author", F.col("affiliation").alias("institution"), F.col("author_ord").alias("ord"))
-    other = rows.where("author_ord >= 1").select("paper", F.upper("author").alias("author"), F.when(F.col("paper") % 2 == 0, F.upper("affiliation")).otherwise(F.concat("affiliation", F.lit(" X"))).alias("institution"), F.col("author_ord").alias("ord"))
+    foreign = F.upper(F.concat("author", F.when(F.col("author_ord") == 0, " jr").otherwise("")))
+    own = rows.select("paper", "author", F.col("affiliation").alias("institution"), F.col("author_ord").alias("ord"))
+    other = rows.select("paper", foreign.alias("author"), F.when(F.col("paper") % 2 == 0, F.upper("affiliation")).otherwise(F.concat("affiliation", F.lit(" X"))).alias("institution"), F.col("author_ord").alias("ord"))
     return E.merge_authors(own, other)
 
 
 @query("""WITH a AS (SELECT p_brand AS tag_type, 'Name ' || (p_partkey % 40) AS name, p_type AS alias, CASE WHEN p_size % 3 = 0 THEN 'note' || p_size ELSE '' END AS note, p_partkey FROM part),
-x AS (SELECT tag_type, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, arg_min(name, p_partkey) AS name, arg_min(alias, p_partkey) AS alias, arg_min(note, p_partkey) AS note FROM a WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
-y AS (SELECT tag_type, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, arg_min(name, p_partkey) AS name, arg_min(alias, p_partkey) AS alias, arg_min(note, p_partkey) AS note FROM a WHERE p_partkey % 2 = 1 GROUP BY 1, 2)
+x AS (SELECT tag_type, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, arg_min(name, p_partkey) AS name, arg_min(alias, p_partkey) AS alias, arg_min(note, p_partkey) AS note FROM a GROUP BY 1, 2),
+y AS (SELECT tag_type, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, arg_max(name, p_partkey) AS name, arg_max(alias, p_partkey) AS alias, arg_max(note, p_partkey) AS note FROM (SELECT * REPLACE ('Name ' || (p_partkey % 50 + 10) AS name) FROM a) GROUP BY 1, 2)
 SELECT tag_type, coalesce(x.name, y.name) AS name, CASE WHEN x.name IS NULL THEN y.alias WHEN y.name IS NULL OR x.alias = y.alias THEN x.alias ELSE x.alias || '|' || y.alias END AS aliases,
 CASE WHEN coalesce(y.note, '') = '' THEN coalesce(x.note, '') WHEN coalesce(x.note, '') = '' THEN y.note WHEN contains(x.note, y.note) THEN x.note ELSE x.note || '；' || y.note END AS note,
 CASE WHEN x.name IS NULL THEN 'added' WHEN y.name IS NULL THEN 'kept' ELSE 'updated' END AS change FROM x FULL JOIN y USING (tag_type, k)""")
 def registry_merge_upsert(spark, sf_dir):
     part = A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("tag_type"), F.concat(F.lit("Name "), (F.col("p_partkey") % 40).cast("string")).alias("name"), F.col("p_type").alias("alias"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("note"), F.col("p_size").cast("string"))).otherwise("").alias("note"), "p_partkey")
 
-    def side(k):
-        first = lambda c: F.min_by(c, "p_partkey").alias(c)
-        rows = part.where(F.col("p_partkey") % 2 == k).groupBy("tag_type", X.norm_name("name").alias("k")).agg(first("name"), first("alias"), first("note"))
+    def side(part, best):
+        first = lambda c: best(c, "p_partkey").alias(c)
+        rows = part.groupBy("tag_type", X.norm_name("name").alias("k")).agg(first("name"), first("alias"), first("note"))
         return rows.select("tag_type", "name", F.array("alias").alias("aliases"), "note")
 
-    return E.merge_registry(side(0), side(1)).withColumn("aliases", F.array_join("aliases", "|"))
+    later = part.withColumn("name", F.concat(F.lit("Name "), (F.col("p_partkey") % 50 + 10).cast("string")))
+    return E.merge_registry(side(part, F.min_by), side(later, F.max_by)).withColumn("aliases", F.array_join("aliases", "|"))

@@ -44,13 +44,13 @@ def finding_normalize(spark, sf_dir):
 
 
 _DOCS = """docs AS (SELECT l.doc_id, l.doc_id % 2 = 0 AS has_index, l.doc_id % 3 AS index_hits, l.doc_id % 6 AS top_score, (['citation_index_exact', 'context_similarity', 'keyword_fallback', 'citation_index_neighbor'])[CAST(l.doc_id % 4 AS INTEGER) + 1] AS top_kind,
-  coalesce(f.n, 0) AS findings, coalesce(f.strong, 0) AS strong FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (mention_type = 'explicit_citation') AS strong FROM normal WHERE doc_id % 5 <> 0 GROUP BY 1) f USING (doc_id)),
+  coalesce(f.n, 0) AS findings, coalesce(f.strong, 0) AS strong FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (mention_type = 'explicit_citation') AS strong FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id) FROM normal) GROUP BY 1) f USING (doc_id)),
 statuses AS (SELECT doc_id, CASE WHEN strong > 0 THEN 'fulltext_analyzed' WHEN findings > 0 THEN 'mention_only' WHEN has_index AND index_hits = 0 THEN 'reference_only' WHEN top_kind LIKE 'citation_index%' THEN 'mention_only' WHEN top_score >= 3 THEN 'mention_only' ELSE 'fulltext_no_finding' END AS status FROM docs) """
 
 
 def statuses(spark, sf_dir):
     d = F.col("doc_id")
-    counts = normal(spark, sf_dir).where("doc_id % 5 <> 0").groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("mention_type") == "explicit_citation").alias("strong"))
+    counts = normal(spark, sf_dir).withColumn("doc_id", F.when(d % 5 == 0, -1 - d).otherwise(d)).groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("mention_type") == "explicit_citation").alias("strong"))
     docs = A.table(spark, sf_dir, "labels").select(
         "doc_id", (d % 2 == 0).alias("has_index"), (d % 3).alias("index_hits"), (d % 6).alias("top_score"),
         F.array(A.pick(["citation_index_exact", "context_similarity", "keyword_fallback", "citation_index_neighbor"], d % 4)).alias("top_evidence"),
@@ -68,17 +68,18 @@ def status_counts(spark, sf_dir):
     return statuses(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-SUMMARY = NORMAL + ", " + _DOCS + """, o AS (SELECT doc_id, page, span_index, min(ord) AS ord FROM normal GROUP BY 1, 2, 3),
+SUMMARY = NORMAL.replace("WITH ", f"WITH {A.SPANS_SQL}, ", 1) + ", " + _DOCS + """, top AS (SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g')) AS char_length, greatest(1, len(list_filter(regexp_split_to_array(text, '[。！？!?；;]+'), lambda p: trim(p) <> ''))) AS sentence_count FROM spans WHERE place = 1), o AS (SELECT doc_id, page, span_index, min(ord) AS ord FROM normal GROUP BY 1, 2, 3),
 s AS (SELECT *, CASE WHEN lag(page) OVER w = page AND lag(span_index) OVER w + 1 = span_index THEN 0 ELSE 1 END AS starts FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 isl AS (SELECT doc_id, count(*) AS occurrences, CAST(sum(starts) AS BIGINT) AS islands, min(page) AS page_start, max(page) AS page_end FROM s GROUP BY doc_id),
 lab AS (SELECT doc_id, list_sort(list(DISTINCT l)) AS labels FROM (SELECT doc_id, aspect AS l FROM normal UNION ALL SELECT doc_id, mention_type FROM normal WHERE mention_type <> 'explicit_citation') WHERE l <> '' GROUP BY 1),
-summary AS (SELECT n.doc_id, l.labels, bool_or(regexp_matches(lower(citation_text), 'for the first time|our work is the first|we are the first|first to')) AS first_claim, max(confidence) AS confidence, any_value(occurrences) AS occurrences, any_value(islands) AS islands, any_value(page_start) AS page_start, any_value(page_end) AS page_end, any_value(status) AS status
-  FROM normal n JOIN isl USING (doc_id) JOIN lab l USING (doc_id) JOIN statuses USING (doc_id) GROUP BY 1, 2) """
+summary AS (SELECT n.doc_id, l.labels, bool_or(regexp_matches(lower(citation_text), 'for the first time|our work is the first|we are the first|first to')) AS first_claim, max(confidence) AS confidence, any_value(char_length) AS char_length, any_value(sentence_count) AS sentence_count, any_value(occurrences) AS occurrences, any_value(islands) AS islands, any_value(page_start) AS page_start, any_value(page_end) AS page_end, any_value(status) AS status
+  FROM normal n JOIN isl USING (doc_id) JOIN lab l USING (doc_id) JOIN statuses USING (doc_id) JOIN top USING (doc_id) GROUP BY 1, 2) """
 
 
 def summary(spark, sf_dir):
     rows = normal(spark, sf_dir)
-    return M.method_summary(rows, S.islands(rows)).join(statuses(spark, sf_dir), "doc_id").withColumn("char_length", F.lit(0)).withColumn("sentence_count", F.lit(0))
+    top = A.spans(spark, sf_dir).where("place = 1").select("doc_id", X.visible_length("text").alias("char_length"), X.sentence_count("text").alias("sentence_count"))
+    return M.method_summary(rows, S.islands(rows)).join(statuses(spark, sf_dir), "doc_id").join(top, "doc_id")
 
 
 @query(SUMMARY + "SELECT doc_id, array_to_string(labels, ',') AS labels, first_claim, confidence, occurrences, islands, page_start, page_end FROM summary")
@@ -87,7 +88,7 @@ def method_summary(spark, sf_dir):
 
 
 @query(SUMMARY + """, g AS (SELECT unnest(list_filter([CASE WHEN status = 'reference_only' THEN 'reference_only' END, CASE WHEN list_contains(labels, 'background') THEN 'background' END, CASE WHEN list_contains(labels, 'baseline') THEN 'baseline' END,
-  CASE WHEN list_contains(labels, 'application') THEN 'application' END, CASE WHEN list_contains(labels, 'extension') THEN 'extension' END, CASE WHEN occurrences >= 2 OR islands >= 2 THEN 'large_scale' END, CASE WHEN first_claim THEN 'first_claim' END, CASE WHEN status = 'mention_only' THEN 'mention_only' END], lambda x: x IS NOT NULL)) AS method FROM summary),
+  CASE WHEN list_contains(labels, 'application') THEN 'application' END, CASE WHEN list_contains(labels, 'extension') THEN 'extension' END, CASE WHEN occurrences >= 2 OR islands >= 2 OR char_length >= 500 OR sentence_count >= 4 THEN 'large_scale' END, CASE WHEN first_claim THEN 'first_claim' END, CASE WHEN status = 'mention_only' THEN 'mention_only' END], lambda x: x IS NOT NULL)) AS method FROM summary),
 n AS (SELECT method, count(*) AS n FROM g GROUP BY 1)
 SELECT group_ord, m.method, coalesce(n, 0) AS n FROM (VALUES (0, 'reference_only'), (1, 'background'), (2, 'baseline'), (3, 'application'), (4, 'extension'), (5, 'large_scale'), (6, 'first_claim'), (7, 'mention_only')) m(group_ord, method) LEFT JOIN n USING (method)""")
 def method_group_stats(spark, sf_dir):
@@ -123,20 +124,21 @@ def overview_counts(spark, sf_dir):
     return d.agg(F.count_if(F.col("download_status") == "local_available").alias("downloaded"), F.count("*").alias("analyzed"), F.count_if(F.col("status").isin(M.QA_STATUSES)).alias("qa_ready"))
 
 
-@query(NORMAL + ", " + _DOCS + "SELECT doc_id, status FROM statuses WHERE doc_id IN (SELECT doc_id FROM normal WHERE keep) AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+@query(NORMAL + ", " + _DOCS + "SELECT doc_id, status FROM statuses WHERE doc_id IN (SELECT doc_id FROM normal WHERE keep) AND doc_id IN (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END FROM documents)")
 def qa_ready_semi(spark, sf_dir):
-    spans = A.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
+    d = F.col("doc_id")
+    spans = A.table(spark, sf_dir, "documents").select(F.when(d % 3 == 0, -1 - d).otherwise(d).alias("doc_id"))  # some spans are of unknown documents
     return M.qa_ready(statuses(spark, sf_dir), spans, normal(spark, sf_dir).where("keep"))
 
 
 @query("""WITH g AS (SELECT 'Target' AS target, 'Doc  ' || doc_id AS citing, CASE quality WHEN 1 THEN 'fulltext_analyzed' ELSE 'mention_only' END AS gold_status, doc_id % 7 = 0 AS review FROM labels),
-r AS (SELECT 'doc ' || doc_id AS citing, CASE WHEN text LIKE '%!!%' THEN 'mention_only' ELSE 'fulltext_analyzed' END AS status FROM documents WHERE doc_id % 4 <> 1),
+r AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'unknown ' ELSE 'doc ' END || doc_id AS citing, CASE WHEN text LIKE '%!!%' THEN 'mention_only' ELSE 'fulltext_analyzed' END AS status FROM documents),
 c AS (SELECT g.gold_status, r.status FROM g LEFT JOIN r ON regexp_replace(lower(g.citing), '\\s+', ' ', 'g') = r.citing WHERE NOT review)
 SELECT count(*) AS gold_count, count(status) AS matched, count(*) FILTER (status = gold_status) AS status_match, CASE WHEN count(status) > 0 THEN round(count(*) FILTER (status = gold_status) / count(status), 4) ELSE 0.0 END AS match_rate FROM c""")
 def gold_match_rate(spark, sf_dir):
     d = F.col("doc_id").cast("string")
     gold = A.table(spark, sf_dir, "labels").select(F.lit("Target").alias("target"), F.concat(F.lit("Doc  "), d).alias("citing"), F.when(F.col("quality") == 1, "fulltext_analyzed").otherwise("mention_only").alias("gold_status"), (F.col("doc_id") % 7 == 0).alias("needs_review"))
-    runs = A.table(spark, sf_dir, "documents").where("doc_id % 4 <> 1").select(F.lit("target").alias("target"), F.concat(F.lit("doc "), d).alias("citing"), F.when(F.col("text").contains("!!"), "mention_only").otherwise("fulltext_analyzed").alias("status"), F.col("doc_id").alias("ord"))
+    runs = A.table(spark, sf_dir, "documents").select(F.lit("target").alias("target"), F.concat(F.when(F.col("doc_id") % 4 == 1, "unknown ").otherwise("doc "), d).alias("citing"), F.when(F.col("text").contains("!!"), "mention_only").otherwise("fulltext_analyzed").alias("status"), F.col("doc_id").alias("ord"))
     return M.gold_report(gold, runs)
 
 
@@ -250,21 +252,39 @@ def paper_selection(spark, sf_dir):
 # tasks
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT user_id, count(*) AS requests, arg_max(event_type, n) AS last_request, CAST(count(*) FILTER (n % 2 = 1) AS BIGINT) AS started FROM e GROUP BY user_id""")
+TASKS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, ts, event_id, CASE (event_id * 7 + user_id) % 4 WHEN 2 THEN 'succeed' WHEN 3 THEN 'fail' ELSE 'start' END AS kind FROM events),
+b AS (SELECT *, coalesce(lag(kind) OVER w = 'start', FALSE) AS busy FROM e WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)),
+a AS (SELECT *, busy <> (kind = 'start') AS accepted FROM b),
+st AS (SELECT session, ts, event_id, accepted, coalesce(last_value(CASE WHEN accepted THEN CASE kind WHEN 'start' THEN 'running' WHEN 'succeed' THEN 'succeeded' ELSE 'failed' END END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'idle') AS state FROM a) """
+
+
+def requests(spark, sf_dir):
+    kind = F.when((F.col("event_id") * 7 + F.col("user_id")) % 4 == 2, "succeed").when((F.col("event_id") * 7 + F.col("user_id")) % 4 == 3, "fail").otherwise("start")
+    return A.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), kind.alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("ord"))
+
+
+@query(TASKS + "SELECT session, event_id AS ord, state, accepted FROM st")
 def task_state(spark, sf_dir):
-    return T.task_summary(A.table(spark, sf_dir, "events"))
+    return T.task_states(requests(spark, sf_dir)).select("session", "ord", "state", "accepted")
+
+
+@query(TASKS + "SELECT session, count(*) AS requests, count(*) FILTER (NOT accepted) AS refused, max(state) FILTER (back = 1) AS state FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS back FROM st) GROUP BY session")
+def task_status(spark, sf_dir):
+    return T.task_status(requests(spark, sf_dir)).select("session", "requests", "refused", "state")
 
 
-@query()
+@query(f"""WITH {A.MARKED_SQL}, l AS (SELECT doc_id, seq, lower(text) AS t FROM marked),
+f AS (SELECT doc_id, CAST(1 AS INTEGER) AS page, seq AS span_index, contains(t, '[') AS marked, contains(t, 'improve') AS good, CASE WHEN regexp_matches(t, 'extend|build on|builds on') THEN 'extension' WHEN regexp_matches(t, 'baseline|compared|outperform') THEN 'baseline' WHEN regexp_matches(t, 'apply|applied|use of') THEN 'application'
+  WHEN regexp_matches(t, 'versus|unlike|in contrast') THEN 'comparison' WHEN contains(t, 'the') THEN 'background' ELSE 'other' END AS aspect FROM l)
+SELECT doc_id, page, span_index, marked AND aspect <> 'other' AS keep, aspect, CASE WHEN good THEN 'positive' ELSE 'neutral' END AS stance, CASE WHEN marked THEN 0.8 ELSE 0.35 END::DOUBLE AS confidence, CASE WHEN marked THEN 'explicit_citation' ELSE 'weak_body_mention' END AS mention_type FROM f""")
 def semantic_stub(spark, sf_dir):
     from ..operators import semantics
 
-    spans = A.marked(spark, sf_dir).where("seq <= 4").select("doc_id", F.lit(1).alias("page"), F.col("seq").alias("span_index"), "text")
+    spans = A.marked(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.col("seq").alias("span_index"), "text")
     return semantics.analyse(spans)
 
 
-@query()
+@query("""SELECT conv_id, turn, '{"findings": [{"page": 1, "span_index": ' || turn || '}]}' AS json FROM conversations""")
 def json_recover(spark, sf_dir):
     from ..operators import semantics
 

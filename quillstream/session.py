@@ -36,6 +36,26 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes for each core up to which an input counts as small.
+SMALL_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores where its files are so small that a scan would use a few only.
+
+    A small file is one row group and so one task, whatever is computed on it. Inputs of
+    more than ``SMALL_BYTES`` a core have enough tasks and are not shuffled.
+    """
+    sc = df.sparkSession.sparkContext
+    files, cores = df.inputFiles(), sc.defaultParallelism
+    if len(files) >= cores:
+        return df
+    conf = sc._jsc.hadoopConfiguration()
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(sc._jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= cores * SMALL_BYTES else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import papers as P
 
 
-def task_summary(events: DataFrame) -> DataFrame:
-    """Requests of each session; every other one starts a task, the next one finishes it.
+def task_states(requests: DataFrame) -> DataFrame:
+    """States after each request of a batch (session, kind, at, ord): what ``single_flight`` does in a stream.
 
-    Only the last request and counts are needed, so sessions aggregate without sorting.
+    After a start, taken or refused, a session runs; after an end it does not. So the request
+    before tells whether it is busy, and the last accepted one its state.
     """
-    last = F.max_by("event_type", F.struct("ts", "event_id")).alias("last_request")
-    n = F.count("*")
-    return events.groupBy("user_id").agg(n.alias("requests"), last).withColumn("started", F.floor((F.col("requests") + 1) / 2)).select("user_id", "requests", "last_request", "started")
+    order = Window.partitionBy("session").orderBy("at", "ord")
+    busy = F.coalesce(F.lag("kind").over(order) == "start", F.lit(False))
+    reached = F.when(F.col("kind") == "start", "running").when(F.col("kind") == "succeed", "succeeded").otherwise("failed")
+    rows = requests.withColumn("accepted", busy != (F.col("kind") == "start"))
+    state = F.last(F.when(F.col("accepted"), reached), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("state", F.coalesce(state, F.lit("idle")))
+
+
+def task_status(requests: DataFrame) -> DataFrame:
+    """What polling a session shows: its last state, and how many requests it had and refused."""
+    return task_states(requests).groupBy("session").agg(F.count("*").alias("requests"), F.count_if(~F.col("accepted")).alias("refused"), F.max_by("state", F.struct("at", "ord")).alias("state"))
 
 
 def single_flight(requests: DataFrame) -> DataFrame:
