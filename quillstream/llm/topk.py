@@ -8,7 +8,9 @@ pruning (coordinates of a candidate must lie in the interval that the threshold
 the query's largest coordinates); else by length pruning (only the longest vectors that can
 still reach the bound). What remains is verified by exact integer products.
 
-Queries meet buckets in blocks: a task holds one bucket and one block of queries.
+Queries meet buckets in blocks: a task holds one bucket and one block of queries. Which blocks
+need which buckets is worked out on classes of lengths and levels of bounds, before any vector
+moves.
 
 Defined results: vectors that are null, empty or hold null, non-finite or too large components
 (beyond 2**31 after scaling) take no part, nor do rows without vec_id; vectors of different
@@ -35,6 +37,8 @@ CLASSES_AN_OCTAVE = 8
 COORDINATE_COSINE, FOCUS = 0.6, 4
 #: Vectors verified between two updates of the bounds.
 SLICE = 1024
+#: Levels of need by which queries are put into blocks.
+LEVELS = 32
 
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -130,13 +134,14 @@ def best_in_bucket(q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, c: np.nda
     return out_q[0], out_id[0], out_score[0]
 
 
-def _search(candidates: DataFrame, queries: DataFrame, buckets: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """The k best of each query in each bucket. queries: query_id, v, dim, block, bound.
+def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in each bucket.
 
-    ``buckets`` and ``blocks`` list those of each dimension.
+    ``candidates``: vec_id, v, dim, bucket, blocks (those that need the bucket). ``queries``:
+    query_id, v, dim, block, bound, buckets (those that may hold better ones).
     """
-    left = candidates.join(blocks, "dim").select("bucket", "block", "dim", "vec_id", "v")
-    right = queries.join(buckets.select("dim", "bucket"), "dim").select("bucket", "block", "query_id", F.col("v").alias("q"), "bound")
+    left = candidates.select("bucket", F.explode("blocks").alias("block"), "dim", "vec_id", "v")
+    right = queries.select(F.explode("buckets").alias("bucket"), "block", "query_id", F.col("v").alias("q"), "bound")
 
     def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
@@ -160,32 +165,61 @@ def top_k(vectors: DataFrame, asked, k: int = K, bucket_rows: int = BUCKET_ROWS,
     size_class = F.floor(F.log2(F.greatest(F.col("square"), F.lit(1.0))) * CLASSES_AN_OCTAVE).cast("int")
     rows = checkpointed(rows.withColumn("class", size_class))
     # a row for each dimension and length class: bounded by the range of lengths, not by the data
-    classes = rows.groupBy("dim", "class").agg(F.count("*").alias("n"), F.sum(F.when(asked, 1).otherwise(0)).alias("asked")).collect()
-    table, number, seeds = [], 0, []
+    classes = rows.groupBy("dim", "class").agg(F.count("*").alias("n"), F.sum(F.when(asked, 1).otherwise(0)).alias("asked"), F.sqrt(F.max("square")).alias("longest")).collect()
+    if not classes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # buckets are numbered by falling length within a dimension; the first ones, enough for k, are the seeds
+    table, seeds, number = [], {}, 0
     for dim in sorted({r["dim"] for r in classes}):
-        seeded = 0
+        seeded, seeds[dim] = 0, []
         for r in sorted((r for r in classes if r["dim"] == dim), key=lambda r: -r["class"]):
             parts = -(-r["n"] // bucket_rows)
-            table.append((dim, r["class"], parts, number))
+            table.append((dim, r["class"], parts, number, r["longest"]))
             for p in range(parts):
                 if seeded < bucket_rows:
-                    seeds.append(number + p)
+                    seeds[dim].append(number + p)
                     seeded += r["n"] // parts
             number += parts
-    if not table:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = max(1, -(-sum(r["asked"] for r in classes) // block_queries))
-    layout = F.broadcast(spark.createDataFrame(table, "dim int, class int, parts int, first int"))
+    layout = F.broadcast(spark.createDataFrame([t[:4] for t in table], "dim int, class int, parts int, first int"))
     placed = rows.join(layout, ["dim", "class"]).withColumn("bucket", (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "parts")).cast("int"))
-    buckets = spark.createDataFrame([(d, f + p) for d, _, n, f in table for p in range(n)], "dim int, bucket int")
-    asked_rows = rows.where(asked).select(F.col("vec_id").alias("query_id"), "v", "dim").distinct().withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked_rows = rows.where(asked).select(F.col("vec_id").alias("query_id"), "v", "dim", F.sqrt("square").alias("length")).distinct()
 
-    listed = spark.createDataFrame([(d, b) for d in sorted({r["dim"] for r in classes}) for b in range(blocks)], "dim int, block int")
-    early = F.col("bucket").isin(seeds)
-    seed = checkpointed(_search(placed.where(early), asked_rows.withColumn("bound", F.lit(None).cast("double")), buckets.where(early), listed, k))
+    early = F.col("bucket").isin([b for own in seeds.values() for b in own])
+    first = F.broadcast(spark.createDataFrame(list(seeds.items()), "dim int, buckets array<int>"))
+    spread = asked_rows.join(first, "dim").select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("double").alias("bound"))
+    seed = checkpointed(_search(placed.where(early).withColumn("blocks", F.sequence(F.lit(0), F.lit(blocks - 1))), spread, k))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    bounds = seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    if len(seeds) < number:
-        rest = _search(placed.where(~early), asked_rows.join(bounds, "query_id", "left"), buckets.where(~early), listed, k)
-        seed = seed.unionByName(rest)
+    if sum(map(len, seeds.values())) < number:
+        bounds = seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
+        seed = seed.unionByName(_rest(spark, placed.where(~early), asked_rows.join(bounds, "query_id", "left"), table, seeds, k, block_queries))
     return seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _rest(spark, candidates: DataFrame, queries: DataFrame, table: list[tuple], seeds: dict[int, list[int]], k: int, block_queries: int) -> DataFrame:
+    """The search of all buckets but the seeds, by queries (with bound) that may find better there.
+
+    A query needs buckets down to the length at which even a parallel vector falls below its
+    bound. Queries of like need share a level, and blocks hold queries of one level, so a
+    vector moves to the blocks that need its bucket, and a query to the buckets that it needs.
+    """
+    reach = F.when(F.col("length") > 0, (F.col("bound") - 1e-6) / (F.col("length") * (1 + 1e-6)))
+    queries = checkpointed(queries.withColumn("need", F.coalesce(reach, F.lit(-1e300))))
+    cuts = sorted(set(queries.approxQuantile("need", [i / LEVELS for i in range(1, LEVELS)], 0.005)))
+    level = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("need")))
+    queries = queries.withColumn("level", level)
+    levels = queries.groupBy("dim", "level").agg(F.count("*").alias("n"), F.min("need").alias("need")).collect()  # LEVELS for each dimension at most
+    plan, needed, number = [], {(d, c): [] for d, c, *_ in table}, 0
+    for r in sorted(levels, key=lambda r: (r["dim"], r["level"])):
+        own = -(-r["n"] // block_queries)
+        buckets = []
+        for dim, size_class, parts, first, longest in table:
+            if dim == r["dim"] and longest >= r["need"]:
+                buckets += [first + p for p in range(parts) if first + p not in seeds[dim]]
+                needed[dim, size_class] += range(number, number + own)
+        plan.append((r["dim"], r["level"], number, own, buckets))
+        number += own
+    plan = F.broadcast(spark.createDataFrame(plan, "dim int, level int, first_block int, level_blocks int, buckets array<int>"))
+    needed = F.broadcast(spark.createDataFrame([(d, c, b) for (d, c), b in needed.items()], "dim int, class int, blocks array<int>"))
+    block = (F.col("first_block") + F.pmod(F.xxhash64("query_id"), "level_blocks")).cast("int")
+    return _search(candidates.join(needed, ["dim", "class"]), queries.join(plan, ["dim", "level"]).withColumn("block", block), k)
