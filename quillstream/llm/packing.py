@@ -5,8 +5,12 @@ rest. The rests are dealt into groups of bounded size by a hash; inside a group,
 taken by falling length and go to the tightest open window that still holds them, found in
 a segment tree indexed by remaining capacity. Only narrow rows (no token ids) move.
 
-Defined results: a null or empty text is the end token alone; rows repeating a doc_id are
-packed each on its own; an empty table gives an empty result; other columns are ignored.
+Words of plain letters and punctuation up to ``LONG_WORD`` characters are tokenised by shared
+merge rounds, all others by the library itself, with the same ids.
+
+Defined results: a null or empty text is the end token alone; rows repeating a doc_id, or equal
+in all columns, are packed each on its own; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from .arrow_text import in_pieces, ragged, release
 from .pieces import PairTable, _Index
 
 WINDOW, END_ID = 2048, 1
-#: Documents whose rests one group packs on average.
-GROUP_DOCS = 20_000
+#: Documents, and bytes of text, that one group packs on average at most.
+GROUP_DOCS, GROUP_BYTES = 20_000, 256 << 20
 #: Distinct words, and parts of words, that a worker remembers; beyond it, it starts anew.
 CACHE_WORDS, CACHE_PARTS = 250_000, 300_000
 
@@ -206,13 +210,20 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset
 
 
-def pack(pieces: DataFrame, documents: int, window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
+def extent(docs: DataFrame) -> tuple[int, int]:
+    """Number of documents and bytes of their texts."""
+    return tuple(docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first())
+
+
+def pack(pieces: DataFrame, documents: int, size: int = 0, window: int = WINDOW, group_docs: int = GROUP_DOCS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``pieces`` (with doc_id, start and length; leave ids out) with sequence_id and offset.
 
-    ``documents`` is their number of documents, from which the number of groups follows.
+    The number of groups follows from the number of ``documents`` and the ``size`` of their texts,
+    so that neither many short nor a few long ones fill a group beyond its bound.
     """
-    groups = max(1, documents // group_docs)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
+    groups = max(1, documents // group_docs, size // group_bytes)
+    # the row's own number deals repeated rows as well
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     kept = [f for f in pieces.schema.fields]
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 

@@ -105,7 +105,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """One row per piece, with the digest of its ids instead of the ids."""
     found = packing.window_pieces(docs, WORD_MODEL)
     digests = found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digests, docs.count())
+    return packing.pack(digests, *packing.extent(docs))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where it lies in which sequence."""
     pieces = packing.window_pieces(docs, WORD_MODEL)
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digests, docs.count())
+    return packing.pack(digests, *packing.extent(docs))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -75,3 +75,16 @@ def test_every_id_once(spark, tokenizer):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert K.pack(K.window_pieces(docs, PATH).drop("ids"), 0).collect() == []
+
+
+def test_groups_follow_documents_and_bytes(spark):
+    """Few long documents, and rows equal in all columns, do not fill one group."""
+    n = 20 * 600
+    pieces = spark.range(n).selectExpr("id div 600 AS doc_id", "(id % 600) * 2048 AS start", "IF(id % 600 = 599, id % 2047 + 1, 2048) AS length", "0L AS ids_crc32", "1L AS doc_tokens")
+    got = K.pack(pieces, 20, 20 * 5_000_000, group_bytes=10_000_000).collect()
+    sizes = Counter(r.sequence_id >> 40 for r in got)
+    assert len(got) == n and len(sizes) == 10 and max(sizes.values()) < 2 * n / 10
+    same = spark.range(5000).selectExpr("7L AS doc_id", "0L AS start", "100L AS length", "0L AS ids_crc32", "1L AS doc_tokens")
+    got = K.pack(same, 5000, 0, group_docs=500).collect()
+    sizes = Counter(r.sequence_id >> 40 for r in got)
+    assert len(sizes) == 10 and max(sizes.values()) < 800 and len({(r.sequence_id, r.offset) for r in got}) == 5000

@@ -46,3 +46,14 @@ def test_against_brute_force(spark, kind):
 
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_repeated_rows(spark):
+    """Rows sharing a vec_id are never each other's candidates; repeated candidates rank as often as they occur."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1 + i % 5)]) for i in range(250)]
+    rows += [rows[0], rows[100], rows[7], rows[7]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(frame, F.col("vec_id") % 100 == 0, bucket_rows=32, block_queries=2)
+    want = sorted({(q, r, d, s) for q, r, d, s in brute(rows)})
+    assert sorted({tuple(r) for r in got.collect()}) == want
