@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detail_queries, paper_queries, passage_queries, people_queries, session_queries
+from .plans import detail_queries, paper_queries, passage_queries, people_queries, session_queries, source_queries
 
-_MODULES = (paper_queries, people_queries, passage_queries, session_queries, detail_queries)
+_MODULES = (paper_queries, people_queries, passage_queries, session_queries, detail_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

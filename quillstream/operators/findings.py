@@ -14,6 +14,13 @@ MENTIONS = "explicit_citation grouped_literature_mention weak_body_mention".spli
 METHOD_GROUPS = "reference_only background baseline application extension large_scale first_claim mention_only".split()
 INDEX_KINDS = "citation_index_exact citation_index_grouped citation_index_neighbor".split()
 QA_STATUSES = "fulltext_analyzed mention_only reference_only fulltext_no_finding".split()
+# Phrases of error messages, by class.
+LOCKED = ("password", "encrypted")
+BROKEN = ("stream has ended unexpectedly", "eof marker not found", "broken xref", "malformed", "trailer", "unexpectedly")
+TOO_LONG = ("exceeds the available context size", "available context size", "maximum context length", "context length exceeded")
+UNREACHABLE = ("connection refused", "max retries exceeded", "failed to establish a new connection", "name or service not known", "timed out")
+BAD_REQUEST = ("400 client error", "status code 400")
+RATE_LIMITED = ("429", "rate limit")
 
 
 def normalise_findings(raw: DataFrame) -> DataFrame:
@@ -29,11 +36,16 @@ def normalise_findings(raw: DataFrame) -> DataFrame:
     mention = F.when(text("mention_type").isin(MENTIONS), text("mention_type")).otherwise(F.when(keep, "explicit_citation").otherwise("weak_body_mention"))
     parsed = F.col("confidence_text").try_cast("double")
     confidence = F.when(parsed.isNull(), F.when(keep, 0.6).otherwise(0.35)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), parsed)))
-    grouped = F.coalesce("citation_text", F.lit("")).rlike(r"\[\s*\d+\s*(?:[,，;；]\s*\d+\s*)+\]")
-    consistent = F.when(~F.col("keep") & (F.col("mention_type") == "explicit_citation"), F.when(grouped, "grouped_literature_mention").otherwise("weak_body_mention")).otherwise(F.col("mention_type"))
     rows = raw.where("page IS NOT NULL AND span_index IS NOT NULL")
     typed = rows.select("doc_id", "ord", "page", "span_index", keep.alias("keep"), aspect.alias("aspect"), stance.alias("stance"), confidence.alias("confidence"), mention.alias("mention_type"), text("citation_text").alias("citation_text"))
-    return typed.withColumn("mention_type", consistent)
+    return consistent(typed)
+
+
+def consistent(findings: DataFrame) -> DataFrame:
+    """Findings that are not kept are no explicit citations: a group of numbers makes them grouped mentions, else they are weak."""
+    grouped = F.coalesce("citation_text", F.lit("")).rlike(r"\[\s*\d+\s*(?:[,，;；]\s*\d+\s*)+\]")
+    kind = F.when(~F.col("keep") & (F.col("mention_type") == "explicit_citation"), F.when(grouped, "grouped_literature_mention").otherwise("weak_body_mention")).otherwise(F.col("mention_type"))
+    return findings.withColumn("mention_type", kind)
 
 
 def weak_findings(spans: DataFrame, findings: DataFrame) -> DataFrame:
@@ -91,14 +103,6 @@ def method_statistics(summary: DataFrame) -> DataFrame:
     return F.broadcast(groups).join(counts, "method", "left").select("group_ord", "method", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def primary_evidence(spans: DataFrame, findings: DataFrame) -> DataFrame:
-    """The top span of each document with the first finding at its place."""
-    top = spans.where("place = 1")
-    first = findings.groupBy("doc_id", "page", "span_index").agg(F.min_by(F.struct("aspect", "mention_type"), "ord").alias("f"))
-    joined = top.join(first, ["doc_id", "page", "span_index"], "left")
-    return joined.select("doc_id", "page", "span_index", "match_type", "score", X.visible_length("text").alias("char_length"), X.sentence_count("text").alias("sentence_count"), X.truncated("text", 220).alias("excerpt"), F.col("f.aspect").alias("aspect"), F.col("f.mention_type").alias("mention_type"))
-
-
 def qa_ready(documents: DataFrame, spans: DataFrame, findings: DataFrame) -> DataFrame:
     """Documents with spans and findings and a status that allows answers."""
     ready = documents.where(F.col("status").isin(QA_STATUSES))
@@ -160,25 +164,20 @@ def probe_status(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _says(error: Column, phrases: tuple[str, ...]) -> Column:
+    e = F.lower(F.coalesce(error, F.lit("")))
+    return F.greatest(F.lit(False), *(e.contains(p) for p in phrases))
+
+
 def extract_failure(error: Column) -> Column:
     """Class of an extraction error by its message."""
-    e = F.lower(F.coalesce(error, F.lit("")))
-    broken = ["stream has ended unexpectedly", "eof marker not found", "broken xref", "malformed", "trailer", "unexpectedly"]
-    return F.when(e.contains("password") | e.contains("encrypted"), "pdf_encrypted").when(F.greatest(*(e.contains(b) for b in broken)), "pdf_corrupted_or_malformed").otherwise("pdf_extract_exception")
+    return F.when(_says(error, LOCKED), "pdf_encrypted").when(_says(error, BROKEN), "pdf_corrupted_or_malformed").otherwise("pdf_extract_exception")
 
 
 def request_failure(error: Column) -> Column:
     """Class of a model request's error by its message."""
-    e = F.lower(F.coalesce(error, F.lit("")))
-    any_of = lambda *words: F.greatest(F.lit(False), *(e.contains(w) for w in words))
-    return (
-        F.when(any_of("exceeds the available context size", "available context size", "maximum context length", "context length exceeded"), "context_length_exceeded")
-        .when(any_of("connection refused", "max retries exceeded", "failed to establish a new connection", "name or service not known", "timed out"), "service_unreachable")
-        .when(any_of("400 client error", "status code 400"), "bad_request")
-        .otherwise("request_failed")
-    )
+    return F.when(_says(error, TOO_LONG), "context_length_exceeded").when(_says(error, UNREACHABLE), "service_unreachable").when(_says(error, BAD_REQUEST), "bad_request").otherwise("request_failed")
 
 
 def rate_limited(error: Column) -> Column:
-    e = F.lower(F.coalesce(error, F.lit("")))
-    return e.contains("429") | e.contains("rate limit")
+    return _says(error, RATE_LIMITED)

@@ -69,7 +69,10 @@ def analyse_papers(pages: DataFrame, title: str, doi: str = "", contexts: DataFr
     """doc_id, status, spans and findings of every document; failures are statuses, not errors."""
     spans, numbers = candidate_spans(pages, title, doi, contexts)
     spans = checkpointed(spans)
-    found = semantics.analyse(spans.where(F.col("place") <= top).select("doc_id", "page", "span_index", F.col("window_text").alias("text")), provider).where("keep")
+    found = semantics.analyse(spans.where(F.col("place") <= top).select("doc_id", "page", "span_index", F.col("window_text").alias("text")), provider)
+    kept = M.consistent(found.where("keep").join(spans.select("doc_id", "page", "span_index", F.col("text").alias("citation_text")), ["doc_id", "page", "span_index"])).select("doc_id", "mention_type")
+    kept = checkpointed(kept)
+    found = kept.unionByName(M.weak_findings(spans, kept).select("doc_id", "mention_type"))
     counts = found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("mention_type") == "explicit_citation").alias("strong"))
     first = spans.groupBy("doc_id").agg(
         F.count("*").alias("spans"), F.count_if(F.col("match_type").isin(M.INDEX_KINDS)).alias("index_hits"),

@@ -32,16 +32,32 @@ def missing_urls(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def local_files(papers: DataFrame, files: DataFrame, least: float = 0.75) -> DataFrame:
-    """The best local file of each paper by name: equal, else the share of common words.
+    """The best local file of each paper by name.
 
-    Papers and files meet on shared words of their names. ``papers``: paper, title.
-    ``files``: path.
+    A name equal to the title's file name or to the preprint id scores 1, one that holds the
+    DOI 0.95, any other the share of common words. Papers and files meet in equality joins: on
+    names, on the DOI parts of paths, and on words, of which titles that share ``least`` of them
+    have one among the first of each (in any fixed order). ``papers``: paper, title, and doi and
+    arxiv_id if there are any. ``files``: path. The longest of the best paths is taken.
     """
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    words = lambda c: F.explode(F.array_distinct(X.tokens(X.title_key(c))))
-    p, f = papers.select("paper", "title", words("title").alias("word")), files.withColumn("file_name", name).select("path", "file_name", words("file_name").alias("word"))
-    pairs = p.join(f, "word").select("paper", "title", "path", "file_name").distinct()
-    scored = pairs.withColumn("similarity", X.title_similarity("title", "file_name")).where(F.col("similarity") >= least)
+    for c in {"doi", "arxiv_id"} - set(papers.columns):
+        papers = papers.withColumn(c, F.lit(None).cast("string"))
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
+    f = files.withColumn("file_name", base)
+    exact = papers.where(F.trim("title") != "").select("paper", F.lower(X.file_name("title")).alias("key")).join(f.select("path", F.lower("file_name").alias("key")), "key").select("paper", "path", F.lit(1.0).alias("similarity"))
+    ids = papers.select("paper", X.title_key(X.arxiv_strict("arxiv_id")).alias("key")).where("key <> ''").join(f.select("path", X.title_key("file_name").alias("key")), "key").select("paper", "path", F.lit(1.0).alias("similarity"))
+    # a DOI with underscores for slashes stands in a path as the beginning of a part that starts with "10."
+    part = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit(r"(?=(10\..*))"), F.lit(1))))
+    begins = F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.length("part"), F.lit(4))), lambda n: F.substring(F.col("part"), F.lit(1), n)))
+    hints = f.select("path", part.alias("part")).select("path", begins.alias("key")).distinct()
+    doi = papers.select("paper", F.replace(F.lower(F.coalesce("doi", F.lit(""))), F.lit("/"), F.lit("_")).alias("key")).where("key LIKE '10.%'")
+    by_doi = doi.join(hints, "key").select("paper", "path", F.lit(0.95).alias("similarity"))
+    # titles of n and m words share least * greatest(n, m) of them, so one is among the first n - ceil(least * n) + 1
+    words = lambda c: F.array_sort(F.array_distinct(X.tokens(X.title_key(c))))
+    prefix = lambda ws: F.explode(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - F.ceil(least * F.size(ws)).cast("int") + 1, F.lit(0))))
+    p_words, f_words = papers.select("paper", "title", prefix(words("title")).alias("word")), f.select("path", "file_name", prefix(words("file_name")).alias("word"))
+    alike = p_words.join(f_words, "word").select("paper", "path", "title", "file_name").distinct().select("paper", "path", X.title_similarity("title", "file_name").alias("similarity"))
+    scored = exact.unionByName(ids).unionByName(by_doi).unionByName(alike).where(F.col("similarity") >= least)
     return scored.groupBy("paper").agg(F.max_by(F.struct("path", "similarity"), F.struct("similarity", F.length("path"), "path")).alias("b")).select("paper", "b.path", "b.similarity")
 
 
@@ -84,3 +100,26 @@ def failures(pages: DataFrame) -> DataFrame:
     """Documents whose extraction failed, with the class of the failure."""
     e = F.col("error")
     return pages.where(e.isNotNull()).select("doc_id", F.when(e == "empty_text", "empty_text").otherwise(extract_failure(e)).alias("error_type"))
+
+
+def extraction_outcome(files: DataFrame, attempts: DataFrame) -> DataFrame:
+    """How the extraction of each file (doc_id, exists) ended: the extractor that succeeded, or the class of the failure.
+
+    ``attempts``: doc_id, ord, extractor, opened, chars, pages_with_text, image_pages, error.
+    They count in order up to the first success, or to an encrypted file at the first one.
+    """
+    good = (F.col("chars") >= 20) & (F.col("pages_with_text") > 0) & F.col("error").isNull()
+    kind = extract_failure(F.col("error"))
+    locked = (F.col("ord") == 0) & F.col("error").isNotNull() & (kind == "pdf_encrypted")
+    ended = F.min(F.when(good | locked, F.col("ord"))).over(Window.partitionBy("doc_id"))
+    tried = attempts.withColumn("last", ended).where(F.col("last").isNull() | (F.col("ord") <= F.col("last")))
+    said = F.array_sort(F.collect_list(F.when(F.trim(F.coalesce("error", F.lit(""))) != "", F.struct("ord", F.concat("extractor", F.lit(": "), F.trim("error")).alias("m")))))
+    ends = tried.groupBy("doc_id").agg(
+        F.min_by(F.when(good, F.col("extractor")), F.when(good, F.col("ord"))).alias("extractor"), F.max(locked).alias("locked"), F.max("opened").alias("opened"),
+        F.max(F.col("opened") & (F.col("image_pages") > 0)).alias("scanned"), F.count("*").alias("attempts"), F.array_join(F.transform(said, lambda x: x["m"]), "；").alias("errors"),
+    )
+    failure = (
+        F.when(~F.col("exists"), "pdf_file_missing").when(F.col("extractor").isNotNull(), F.lit(None)).when(F.col("locked"), "pdf_encrypted")
+        .when(F.col("opened") & F.col("scanned"), "likely_scanned_pdf").when(F.col("opened"), "empty_text_pdf").otherwise("pdf_parse_failed")
+    )
+    return files.join(ends, "doc_id", "left").select("doc_id", failure.alias("error_type"), F.when(F.col("exists"), F.col("extractor")).alias("extractor"), F.when(F.col("exists"), F.col("attempts")).alias("attempts"), F.when(failure == "pdf_parse_failed", F.col("errors")).alias("error"))

@@ -109,3 +109,51 @@ def fellow_list(lines: DataFrame) -> DataFrame:
     found = rows.select("file", "ord", F.regexp_replace(pattern(1), r"^[ \-*•]+|[ \-*•]+$", "").alias("name"), F.trim(pattern(2)).alias("citation"))
     found = found.where(F.col("name").isNotNull() & (F.col("name") != "") & (F.length("name") <= 100) & ~F.col("name").rlike(NO_NAME))
     return first_by_name(found).select("name", F.lit("ieee_fellow").alias("tag_type"), "citation")
+
+
+def text_entries(lines: DataFrame) -> dict[str, DataFrame]:
+    """Text sources (file, ord, line) by what they hold: an award table, a wiki table or a list of fellows.
+
+    A file is known by the words in it; one without any of them gives nothing.
+    """
+    has = lambda w: F.max(F.col("line").contains(w)).alias(w.split()[0].lower())
+    marks = lines.groupBy("file").agg(has("ACM Fellows"), has("Year"), has("Fellow"), has("Citation"), has("IEEE Computer Society"))
+    kind = F.when(F.col("acm"), "award_table").when(F.col("year") & F.col("fellow") & F.col("citation"), "wiki_table").when(F.col("ieee") & F.col("fellow"), "fellow_list")
+    known = lines.join(marks.select("file", kind.alias("kind")).where("kind IS NOT NULL"), "file")
+    of = lambda k: known.where(F.col("kind") == k).drop("kind")
+    return {"award_table": award_table(of("award_table")), "wiki_table": wiki_table(of("wiki_table")), "fellow_list": fellow_list(of("fellow_list"))}
+
+
+def read_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries of a source folder by the suffix of its files: name, tag_type, note.
+
+    JSON and CSV files hold entries, text files one of the known tables. Hidden files and
+    READMEs are passed over, and a kind of file of which there is none gives nothing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select(F.col("path").alias("file")).where(~F.lower(F.regexp_extract("file", "([^/]*)$", 1)).rlike(r"^(\.|readme\.md$)"))
+    suffix = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
+    paths: dict[str, list[str]] = {}
+    for r in files.select("file", suffix.alias("s")).orderBy("file").collect():  # names of the files of one folder
+        paths.setdefault(r.s, []).append(r.file)
+    parts = []
+    if paths.get("json"):
+        parts.append(entries(read_json(spark, paths["json"])).select("name", "tag_type", "note"))
+    if paths.get("csv"):
+        parts += [read_csv(spark, p).select("name", "tag_type", "note") for p in paths["csv"]]
+    if texts := paths.get("txt", []) + paths.get("tsv", []):
+        found = text_entries(read_lines(spark, texts))
+        said = lambda df: df.select("name", "tag_type", F.col("citation").alias("note"))
+        parts += [found["award_table"].select("name", "tag_type", "note"), said(found["wiki_table"]), said(found["fellow_list"])]
+    rows = spark.createDataFrame([], "name string, tag_type string, note string")
+    for p in parts:
+        rows = rows.unionByName(p)
+    return rows
+
+
+def env_values(lines: DataFrame) -> DataFrame:
+    """Settings of env files (file in reading order, ord, line): the last value of each key."""
+    line = F.trim("line")
+    rows = lines.where((line != "") & ~line.startswith("#") & line.contains("="))
+    key, value = F.trim(F.substring_index(line, "=", 1)), F.trim(F.regexp_replace(line, "^[^=]*=", ""))
+    bare = F.regexp_replace(F.regexp_replace(value, r'^"+|"+$', ""), "^'+|'+$", "")
+    return rows.select("file", "ord", key.alias("key"), bare.alias("value")).where("key <> ''").groupBy("key").agg(F.max_by("value", F.struct("file", "ord")).alias("value"))

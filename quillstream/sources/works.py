@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as X
+from ..session import checkpointed
 
 #: Rows of a page, and limits of requests.
 PAGE_ROWS = 100
@@ -79,14 +80,42 @@ def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]
 
 
 def scan(spark: SparkSession, primary: type[DataSource], secondary: type[DataSource] | None = None) -> DataFrame:
-    """Rows of the primary source; of the secondary one if the primary cannot be read at all."""
+    """Rows of the primary source; of the secondary one if any page of the primary cannot be read.
+
+    With a secondary source the primary is read once into the checkpoint folder, so that a
+    failure on a late page falls back as well and nothing is fetched twice.
+    """
     spark.dataSource.register(primary)
     rows = spark.read.format(primary.name()).load()
+    if secondary is None:
+        rows.limit(1).collect()  # raises at once where nothing can be read
+        return rows
     try:
-        rows.limit(1).collect()
-    except Exception:  # whatever a remote source raises; without another source it is raised
-        if secondary is None:
-            raise
+        return checkpointed(rows)
+    except Exception:  # whatever a remote source raises
         spark.dataSource.register(secondary)
         return spark.read.format(secondary.name()).load()
-    return rows
+
+
+def common_schema(foreign: DataFrame) -> DataFrame:
+    """Citing papers of the fallback source under the names of the primary one.
+
+    ``foreign``: ord, title, publication_year, doi, primary_location (with source.display_name)
+    and authorships.
+    """
+    authors = F.transform("authorships", lambda a: F.struct(
+        a["author"]["display_name"].alias("name"), a["author"]["id"].alias("id"),
+        F.filter(a["institutions"], lambda i: F.coalesce(i["display_name"], F.lit("")) != "").alias("institutions"),
+    ))
+    venue = F.coalesce(F.nullif("primary_location.source.display_name", F.lit("")), F.lit("Unknown Venue"))
+    return foreign.select(
+        "ord", F.coalesce("title", F.lit("Unknown Title")).alias("title"), F.col("publication_year").cast("int").alias("year"), venue.alias("venue"),
+        F.replace(F.coalesce("doi", F.lit("")), F.lit("https://doi.org/"), F.lit("")).alias("doi"), authors.alias("authors"),
+    )
+
+
+def best_hits(hits: DataFrame) -> DataFrame:
+    """Of the hits for each query (query_id, query, hit_ord, title, year) the most similar title, then the newest, then the first."""
+    rows = hits.withColumn("similarity", X.title_similarity("query", "title"))
+    best = F.max_by(F.struct("hit_ord", "title", "year", "similarity"), F.struct("similarity", F.coalesce("year", F.lit(0)), -F.col("hit_ord"))).alias("b")
+    return rows.groupBy("query_id").agg(best).select("query_id", "b.*")

@@ -38,5 +38,35 @@ def test_paged_scan_and_fallback(spark):
     bad = works.paged_source("paged_bad", "n int", fails, 100)
     assert works.scan(spark, good).agg(F.count("*"), F.sum("n")).first() == (250, sum(range(250)))
     assert works.scan(spark, bad, good).count() == 250
+
+    def fails_late(offset, count):
+        if offset >= 300:
+            raise RuntimeError("unreachable")
+        return [(k,) for k in range(offset, offset + count)]
+
+    late = works.paged_source("paged_late", "n int", fails_late, 400)
+    assert works.scan(spark, late, good).count() == 250
     with pytest.raises(Exception):
         works.scan(spark, bad)
+
+
+def test_weak_findings_reach_the_status(spark):
+    """Without a kept finding, a top span at the paper's number counts as a weak mention."""
+    reference = "References\n\n[7] A. Author. Quantum widgets: reliable gadget assembly. Proc. vol. 3, 2001, 2002."
+    pages = spark.createDataFrame([(1, 1, "Intro text.\n\nPlain words of [7] here.\n\nOther text."), (1, 2, reference)], "doc_id long, page int, text string")
+    quiet = lambda text: {"keep": False, "aspect": "other", "stance": "neutral", "confidence": 0.1, "mention_type": "explicit_citation"}
+    got = analysis.analyse_papers(pages, TITLE, provider=quiet).collect()
+    assert [(r.status, r.findings) for r in got] == [("mention_only", 1)]
+
+
+def test_streamed_task_states_are_those_of_the_batch(spark, tmp_path):
+    from quillstream.streaming import tasks
+
+    rows = [("a", "start", 1), ("a", "start", 2), ("a", "succeed", 3), ("a", "fail", 4), ("b", "fail", 1), ("b", "start", 2), ("b", "fail", 3), ("b", "start", 4)]
+    frame = spark.createDataFrame(rows, "session string, kind string, n int").selectExpr("session", "kind", "timestamp_seconds(n) AS at", "n AS ord")
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = tasks.single_flight(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.session, r.at, r.state, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.session, r.at, r.state, r.accepted) for r in tasks.task_states(frame).collect()} and len(got) == 8

@@ -96,3 +96,22 @@ def test_streams(spark, tmp_path, kind):
         q.awaitTermination(120)
         got = [(r.state, r.accepted) for r in spark.table("task_states").orderBy("at").collect()]
         assert got == [("running", True), ("running", False), ("succeeded", True), ("succeeded", False), ("running", True)]
+
+
+def test_local_files_by_hints(spark):
+    papers = spark.createDataFrame([(1, "One Thing Here", "10.1/ab", None), (2, "Two", None, "2401.00001v2"), (3, "", None, None)], "paper long, title string, doi string, arxiv_id string")
+    files = spark.createDataFrame([("/x/paper 10.1_abc.pdf",), ("/x/2401.00001.pdf",), ("/x/else.pdf",)], "path string")
+    got = {(r.paper, r.path, r.similarity) for r in fulltext.local_files(papers, files).collect()}
+    assert got == {(1, "/x/paper 10.1_abc.pdf", 0.95), (2, "/x/2401.00001.pdf", 1.0)}
+
+
+def test_source_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"name": "Ann", "tag_type": "acm_fellow", "note": "j"}]))
+    (tmp_path / "b.csv").write_text("name,tag_type,note\nBo,ieee_fellow,c\n")
+    (tmp_path / "c.txt").write_text("Cy Lee\tACM Fellows\t2019\n")
+    (tmp_path / "d.tsv").write_text("Year\tFellow\tCitation\n2004\tDi\tfor work\n")
+    (tmp_path / "e.txt").write_text("IEEE Computer Society Fellows\nEd Mo – for things\n")
+    (tmp_path / "f.txt").write_text("nothing known\n")
+    (tmp_path / "README.md").write_text("ACM Fellows")
+    got = {(r.name, r.tag_type, r.note) for r in registries.read_sources(spark, str(tmp_path)).collect()}
+    assert got == {("Ann", "acm_fellow", "j"), ("Bo", "ieee_fellow", "c"), ("Cy Lee", "acm_fellow", "ACM Fellow, elected 2019"), ("Di", "ieee_fellow", "for work"), ("Ed Mo", "ieee_fellow", "for things")}
