@@ -205,7 +205,8 @@ def _rest(spark, candidates: DataFrame, queries: DataFrame, table: list[tuple],
     """
     reach = F.when(F.col("length") > 0, (F.col("bound") - 1e-6) / (F.col("length") * (1 + 1e-6)))
     queries = checkpointed(queries.withColumn("need", F.coalesce(reach, F.lit(-1e300))))
-    cuts = sorted(set(queries.approxQuantile("need", [i / LEVELS for i in range(1, LEVELS)], 0.005)))
+    count = min(LEVELS, queries.count() // block_queries)  # no more levels than full blocks
+    cuts = sorted(set(queries.approxQuantile("need", [i / count for i in range(1, count)], 0.005))) if count > 1 else []
     level = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("need")))
     queries = queries.withColumn("level", level)
     levels = queries.groupBy("dim", "level").agg(F.count("*").alias("n"), F.min("need").alias("need")).collect()  # LEVELS for each dimension at most
