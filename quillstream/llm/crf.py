@@ -85,8 +85,10 @@ def _sums(odds: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tup
 
 def fit(x: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> Chain:
     """Maximum likelihood with a ridge, by Adam on all sequences."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-6
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    for k in range(0, len(x), 20_000):
+        z[k : k + 20_000, :-1] = (x[k : k + 20_000] - mean) / scale
     y = labels.astype(np.int64)
     lengths = np.asarray(lengths, np.int64)
     inner = np.ones(len(y), bool)
@@ -96,8 +98,8 @@ def fit(x: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 15
     w = np.zeros(z.shape[1] + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        p, expected, _ = _sums(z @ w[:-4], w[-4:].reshape(2, 2), lengths)
-        grad = np.concatenate([z.T @ (y - p), (seen - expected).ravel()]) / max(1, len(y)) - ridge * w
+        p, expected, _ = _sums((z @ w[:-4].astype(np.float32)).astype(np.float64), w[-4:].reshape(2, 2), lengths)
+        grad = np.concatenate([z.T @ (y - p).astype(np.float32), (seen - expected).ravel()]) / max(1, len(y)) - ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
     return Chain(w[:-4], w[-4:].reshape(2, 2), mean, scale)

@@ -74,12 +74,12 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.hstack([
         share, np.minimum(share, 0.05) * 20,
         np.stack([np.log1p(size), size == 0, np.minimum(size / words, 30) / 10, count[:, 5] / words, count[:, 4] / words, count[:, 6] / words, (first == 0) & (size > 0), _repeats(data, starts)], 1),
-    ])
+    ]).astype(np.float32)
     edge = np.zeros(len(ends), bool)
     edge[(np.cumsum(lines) - lines)] = True
-    before = np.where(edge[:, None], 0, np.roll(own, 1, 0))
+    before = np.where(edge[:, None], np.float32(0), np.roll(own, 1, 0))
     tail = np.roll(edge, -1)
-    after = np.where(tail[:, None], 0, np.roll(own, -1, 0))
+    after = np.where(tail[:, None], np.float32(0), np.roll(own, -1, 0))
     return np.hstack([own, before, after, edge[:, None], tail[:, None]]), lines, size
 
 
