@@ -67,11 +67,14 @@ def carry_over(current: DataFrame, prior: DataFrame, state: list[str]) -> DataFr
 def match_venues(papers: DataFrame, registry: DataFrame) -> DataFrame:
     """The best registry entry of each paper's venue.
 
-    Only distinct venues meet the registry, which is a fixed list of a few entries.
+    Only distinct venues meet the registry, in an equality join: names that match are equal
+    without spaces or share a word.
     """
-    known = F.broadcast(registry.select("ord", "alias_ord", "name", "tier", "alias"))
+    known = registry.select("ord", "alias_ord", "name", "tier", "alias")
     venue = F.trim("venue")
-    pairs = papers.select(venue.alias("venue_name")).where("venue_name <> ''").distinct().join(known)
+    keys = lambda c: F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.replace(X.norm_venue(c), F.lit(" ")))), X.venue_words(c)))).alias("key")
+    venues = papers.select(venue.alias("venue_name")).where("venue_name <> ''").distinct()
+    pairs = venues.select("venue_name", keys("venue_name")).join(known.select("*", keys("alias")), "key").drop("key").distinct()
     a, v = X.norm_venue("alias"), X.norm_venue("venue_name")
     aw, vw = F.array_distinct(X.venue_words("alias")), X.venue_words("venue_name")
     inside = lambda x, y: F.size(F.array_except(x, y)) == 0

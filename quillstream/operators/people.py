@@ -15,13 +15,13 @@ def match_people(authors: DataFrame, registry: DataFrame) -> DataFrame:
     """Registered people among the authors of papers, by shared name variants.
 
     ``authors``: paper, author, affiliation. ``registry``: name, aliases, affiliations, tag_type.
-    Variants of distinct author names meet the registry's (a small list); one row for each
+    Variants of distinct author names meet the registry's; one row for each
     paper, author and entry, with how the name matched and whether an affiliation confirms it.
     """
     known = registry.select("*", F.array_distinct(F.flatten(F.transform(F.concat(F.array("name"), "aliases"), X.name_variants))).alias("variants"))
     names = authors.select("author").distinct().select("author", F.explode(X.name_variants("author")).alias("variant"))
     entries = known.select("name", "aliases", "affiliations", "tag_type", F.explode("variants").alias("variant"))
-    meets = names.join(F.broadcast(entries), "variant").groupBy("author", "name", "aliases", "affiliations", "tag_type").agg(F.min("variant").alias("variant"))
+    meets = names.join(entries, "variant").groupBy("author", "name", "aliases", "affiliations", "tag_type").agg(F.min("variant").alias("variant"))
     how = (
         F.when(X.norm_name("author") == X.norm_name("name"), "exact_name")
         .when(F.exists("aliases", lambda a: X.norm_name(a) == X.norm_name("author")), "alias")
@@ -61,12 +61,21 @@ def match_institutions(rows: DataFrame, registry: DataFrame, affiliation: str =
     """The first institution, in registry order, that a raw affiliation names.
 
     Compact names of at most four characters must stand alone in the raw text; longer ones
-    may be part of its compact form. Only distinct affiliations meet the registry.
+    may be part of its compact form. Only distinct affiliations meet the registry, in an equality
+    join: on the first five characters of a longer name, the first word of a short one, or its
+    first character where it has no Latin word.
     """
     names = registry.select("ord", F.col("name").alias("institution"), F.posexplode(F.concat(F.array("name"), "aliases")).alias("name_ord", "known"))
-    pairs = rows.select(F.col(affiliation).alias("raw")).distinct().join(F.broadcast(names))
     small = X.norm_name("known")
-    alone = F.rlike(F.lower("raw"), F.concat(F.lit("(^|[^a-z0-9])"), F.lower(F.trim("known")), F.lit("($|[^a-z0-9])")))
+    word = F.regexp_extract(F.lower("known"), "([a-z0-9]+)", 1)
+    first = F.when(F.length(small) > 4, F.concat(F.lit("g"), F.substring(small, 1, 5))).when(word != "", F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("c"), F.substring(F.lower(F.trim("known")), 1, 1)))
+    compact, lower = X.norm_name("raw"), F.lower("raw")
+    grams = F.when(F.length(compact) >= 5, F.transform(F.sequence(F.lit(1), F.length(compact) - 4), lambda i: F.concat(F.lit("g"), F.substring(compact, i, F.lit(5))))).otherwise(F.array().cast("array<string>"))
+    words = F.transform(F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.concat(F.lit("w"), w))
+    others = F.transform(F.regexp_extract_all(lower, F.lit("([^a-z0-9])"), F.lit(1)), lambda c: F.concat(F.lit("c"), c))
+    raw = rows.select(F.col(affiliation).alias("raw")).distinct().select("raw", F.explode(F.array_distinct(F.concat(grams, words, others))).alias("key"))
+    pairs = raw.join(names.select("*", first.alias("key")), "key").drop("key").distinct()
+    alone = F.rlike(lower, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.lower(F.trim("known")), F.lit(r"\E($|[^a-z0-9])")))
     found = pairs.where((small != "") & F.when(F.length(small) <= 4, alone).otherwise(X.norm_name("raw").contains(small)))
     place = F.row_number().over(Window.partitionBy("raw").orderBy("ord", "name_ord"))
     first = found.withColumn("place", place).where("place = 1").select(F.col("raw").alias(affiliation), "institution", F.col("known").alias("matched_name"))

@@ -29,20 +29,8 @@ def citation_numbers(references: DataFrame, title: str, doi: str = "") -> DataFr
 
 def numbered_hits(body: DataFrame, numbers: DataFrame) -> DataFrame:
     """Body paragraphs with the kind of their marker of the document's own number."""
-    t = F.col("text")
-    n = F.col("number").cast("string")
     rows = body.join(numbers, "doc_id")
-    exact = F.rlike(t, F.concat(F.lit(r"\[\s*"), n, F.lit(r"\s*\]"))) | F.rlike(t, F.concat(F.lit(r"\(\s*"), n, F.lit(r"\s*\)")))
-    groups = F.concat(F.regexp_extract_all(t, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"\(([^()]+)\)"), F.lit(1)))
-
-    def within(g):
-        numbers_ = F.transform(F.regexp_extract_all(g, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
-        spans = F.regexp_extract_all(g, F.lit(r"(\d+\s*[-–—]\s*\d+)"), F.lit(1))
-        ends = lambda s: (F.regexp_extract(s, r"^(\d+)", 1).try_cast("long"), F.regexp_extract(s, r"(\d+)$", 1).try_cast("long"))
-        return (F.array_contains(numbers_, F.col("number").cast("long")) & (F.size(F.array_distinct(numbers_)) > 1)) | F.exists(spans, lambda s: F.col("number").between(F.least(*ends(s)), F.greatest(*ends(s))))
-
-    kind = F.when(exact, "citation_index_exact").when(F.exists(groups, within), "citation_index_grouped")
-    return rows.withColumn("kind", kind).withColumn("reference_like", X.is_reference_entry("text"))
+    return rows.withColumn("kind", X.citation_hit("text", F.col("number"))).withColumn("reference_like", X.is_reference_entry("text"))
 
 
 def candidate_spans(pages: DataFrame, title: str, doi: str = "", contexts: DataFrame | None = None, k: int = 20) -> tuple[DataFrame, DataFrame]:

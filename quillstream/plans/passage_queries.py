@@ -198,7 +198,11 @@ def char_budget(spark, sf_dir):
     return rows.select("doc_id", "seq", F.col("used").cast("long").alias("used"), F.length("block").alias("chars"), F.md5("block").alias("block_md5"))
 
 
-@query()
+@query(r"""WITH RECURSIVE s0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z0-9\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda x: x <> '') AS ss FROM documents),
+g AS (SELECT doc_id, ss, 1 AS i, CAST([] AS VARCHAR[]) AS done, '' AS held, 0 AS size FROM s0 UNION ALL SELECT doc_id, ss, i + 1, CASE WHEN size + length(ss[i]) >= 350 THEN list_append(done, CASE WHEN held = '' THEN ss[i] ELSE held || ' ' || ss[i] END) ELSE done END,
+  CASE WHEN size + length(ss[i]) >= 350 THEN '' WHEN held = '' THEN ss[i] ELSE held || ' ' || ss[i] END, CASE WHEN size + length(ss[i]) >= 350 THEN 0 ELSE size + length(ss[i]) END FROM g WHERE i <= len(ss)),
+f AS (SELECT doc_id, CASE WHEN held = '' THEN done ELSE list_append(done, held) END AS parts FROM g WHERE i = len(ss) + 1), u AS (SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS k FROM f)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS at, CAST(length(text) AS INTEGER) AS chars FROM u""")
 def sentence_pack(spark, sf_dir):
     rows = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.packed_sentences(F.coalesce("text", F.lit("")))).alias("at", "text"))
     return rows.select("doc_id", "at", F.length("text").alias("chars"))
