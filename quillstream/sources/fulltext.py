@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -123,3 +124,62 @@ def extraction_outcome(files: DataFrame, attempts: DataFrame) -> DataFrame:
         .when(F.col("opened") & F.col("scanned"), "likely_scanned_pdf").when(F.col("opened"), "empty_text_pdf").otherwise("pdf_parse_failed")
     )
     return files.join(ends, "doc_id", "left").select("doc_id", failure.alias("error_type"), F.when(F.col("exists"), F.col("extractor")).alias("extractor"), F.when(F.col("exists"), F.col("attempts")).alias("attempts"), F.when(failure == "pdf_parse_failed", F.col("errors")).alias("error"))
+
+
+# Seconds to wait after each refusal for too many requests.
+WAITS = (3, 8, 15, 30, 45)
+
+
+def with_retries(fetch: Callable[[str], tuple[int, str, bytes]], waits: tuple[float, ...] = WAITS, pause: float = 3) -> Callable[[str], tuple[int, str, bytes]]:
+    """``fetch`` (url to status, content type and bytes), tried once for each of ``waits``.
+
+    Status 429 waits its turn of ``waits``, an exception waits ``pause``, any other failure is
+    tried again at once; the last answer or exception stands.
+    """
+
+    def tried(url: str) -> tuple[int, str, bytes]:
+        for k, wait in enumerate(waits):
+            last = k == len(waits) - 1
+            try:
+                answer = fetch(url)
+            except Exception:  # whatever a client raises
+                if last:
+                    raise
+                time.sleep(pause)
+                continue
+            if answer[0] == 200 or last:
+                return answer
+            if answer[0] == 429:
+                time.sleep(wait)
+        raise ValueError("waits must not be empty")
+
+    return tried
+
+
+def download(plan: DataFrame, fetch: Callable[[str], tuple[int, str, bytes]]) -> DataFrame:
+    """The first PDF of each paper of a plan (paper, url, place): paper, url, content, error.
+
+    URLs are tried in order of ``place``. What is served as HTML, or does not begin like a PDF, is
+    passed over. A paper without any success has the last error and no content. Each paper is
+    one small group, so fetches run side by side and a lost task repeats its own papers only.
+    """
+    ship(plan.sparkSession)
+    kind = plan.schema["paper"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        paper, error = rows["paper"].iloc[0], "no_url"
+        for url in rows.sort_values("place")["url"]:
+            try:
+                status, content_type, content = fetch(url)
+            except Exception as e:  # a client may raise anything; the row says so
+                error = str(e) or type(e).__name__
+                continue
+            if status != 200:
+                error = f"status {status}"
+            elif "html" in (content_type or "").lower() or not content.startswith(b"%PDF"):
+                error = "downloaded_non_pdf"
+            else:
+                return pd.DataFrame([(paper, url, content, None)], columns=["paper", "url", "content", "error"])
+        return pd.DataFrame([(paper, None, None, error)], columns=["paper", "url", "content", "error"])
+
+    return plan.select("paper", "url", "place").groupBy("paper").applyInPandas(run, f"paper {kind}, url string, content binary, error string")

@@ -115,3 +115,27 @@ def test_source_folder(spark, tmp_path):
     (tmp_path / "README.md").write_text("ACM Fellows")
     got = {(r.name, r.tag_type, r.note) for r in registries.read_sources(spark, str(tmp_path)).collect()}
     assert got == {("Ann", "acm_fellow", "j"), ("Bo", "ieee_fellow", "c"), ("Cy Lee", "acm_fellow", "ACM Fellow, elected 2019"), ("Di", "ieee_fellow", "for work"), ("Ed Mo", "ieee_fellow", "for things")}
+
+
+def test_downloads_in_order(spark):
+    plan = spark.createDataFrame([(1, "bad", 1), (1, "html", 2), (1, "good", 3), (1, "late", 4), (2, "html", 1), (3, "gone", 1)], "paper long, url string, place int")
+
+    def fetch(url):
+        if url == "bad":
+            raise OSError("unreachable")
+        return {"html": (200, "text/html", b"<html>"), "good": (200, "application/pdf", b"%PDF-1"), "gone": (404, "", b"")}[url]
+
+    got = {(r.paper, r.url, r.content and bytes(r.content), r.error) for r in fulltext.download(plan, fetch).collect()}
+    assert got == {(1, "good", b"%PDF-1", None), (2, None, None, "downloaded_non_pdf"), (3, None, None, "status 404")}
+
+
+def test_retries():
+    answers = iter([(429, "", b""), (500, "", b""), (200, "", b"x")])
+    assert fulltext.with_retries(lambda url: next(answers), (0, 0, 0), 0)("u") == (200, "", b"x")
+    assert fulltext.with_retries(lambda url: (503, "", b""), (0, 0), 0)("u") == (503, "", b"")
+
+    def fails(url):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        fulltext.with_retries(fails, (0, 0), 0)("u")
