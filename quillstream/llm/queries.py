@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, with their SQL where SQL can express them."""
+"""The queries of the thirteen operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, near_dedup, packing, pieces, quality, sharding, suffix_dedup, topk
+from . import exact_dedup, filter_audit, html_extract, langid, mixing, near_dedup, packing, pieces, quality, resampling, sharding, suffix_dedup, topk
 
 #: Vocabulary files of public tokenizers; a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -125,6 +125,113 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_documents(spark, sf_dir))
+
+
+# a mix of whole targets takes a first part of each source's shuffled line, whatever the order of its blocks
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source
+), w AS (
+  SELECT *, [3.0::DOUBLE, 1, 2][((number - 1) % 3 + 1)::BIGINT] AS weight, 2 * source_size AS cap FROM s
+), r AS (
+  SELECT *, cap / weight AS ratio, (SELECT sum(source_size) FROM s) * 1.5::DOUBLE AS goal FROM w
+), l AS (
+  SELECT *, (goal - coalesce(sum(cap) OVER (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY ratio, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r
+), t AS (
+  SELECT source, source_size, CASE WHEN ratio > level THEN weight * max(CASE WHEN ratio > level THEN level END) OVER () ELSE cap::DOUBLE END AS target FROM l
+), e AS (
+  SELECT d.*, epoch, coalesce(sum(size) OVER (PARTITION BY source, epoch ORDER BY md5('11:' || epoch || ':' || doc_id || ':' || digest || ':0') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d, (VALUES (0), (1)) x(epoch)
+)
+SELECT doc_id, e.size::BIGINT AS size, source_size, target,
+       sum(greatest(0, least(epoch * source_size + before + e.size, floor(target)::BIGINT) - epoch * source_size - before))::BIGINT AS taken
+FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source
+GROUP BY ALL
+"""
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS crc
+  FROM range(256) r(i)
+), f AS (
+  SELECT doc_id, text IS NULL AS missing, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)
+), i AS (SELECT doc_id, unnest(w) AS word FROM f
+), h AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+                   lambda a, b: xor(crc[xor(a, b) % 256 + 1], a // 256)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM i), crc
+), c AS (
+  SELECT bucket, count(*) FILTER (doc_id >= 0) AS s, count(*) FILTER (doc_id < 0) AS t FROM i JOIN h USING (word) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000))))::BIGINT AS gain FROM c
+), d AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM i JOIN h USING (word) JOIN g USING (bucket) WHERE doc_id >= 0 GROUP BY doc_id
+), z AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN d USING (doc_id)
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all_of_them FROM z WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, rank
+FROM z LEFT JOIN (SELECT doc_id, rank FROM r WHERE rank <= 10 * all_of_them // 100) USING (doc_id)
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), f AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+         map {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+              'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY text)} AS fails
+  FROM d LEFT JOIN labels USING (doc_id)
+), m AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, s::INTEGER AS step, filter_order[s] AS letter, list_transform(range(1, s), lambda k: filter_order[k]) AS before,
+         list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: x <> filter_order[s]) AS others
+  FROM orders, range(1, 6) r(s)
+), p AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails[letter] AS failing,
+         len(list_filter(before, lambda x: fails[x])) > 0 AS gone, len(list_filter(others, lambda x: fails[x])) > 0 AS other
+  FROM m, steps
+), q AS (
+  SELECT part, filter_order, step, letter,
+         sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (NOT gone AND failing) AS removed, sum(n) FILTER (gone AND failing) AS redundant,
+         sum(n) FILTER (failing AND NOT other) AS unique_fails, sum(n) FILTER (NOT gone AND failing AND good) AS good_lost, sum(n) FILTER (NOT gone AND failing AND toxic) AS toxic_lost
+  FROM p GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -137,6 +244,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_html_extract": op9_html_extract,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_mixing": op11_mixing,
+        "op12_resampling": op12_resampling,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -145,4 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": OP1_SQL,
         "op3_exact_dedup": OP3_SQL,
         "op6_near_dedup": OP6_SQL,
+        "op11_mixing": OP11_SQL,
+        "op12_resampling": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
