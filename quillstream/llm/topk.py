@@ -10,17 +10,26 @@ still reach the bound). What remains is verified by exact integer products.
 
 Queries meet buckets in blocks: a task holds one bucket and one block of queries. Which blocks
 need which buckets is worked out on classes of lengths and levels of bounds, before any vector
-moves.
+moves. Blocks and buckets grow with the tables, up to ``TILE_ROWS``, as a vector moves once for
+each block of queries that needs its bucket.
 
-Defined results: vectors that are null, empty or hold null, non-finite or too large components
-(beyond 2**31 after scaling) take no part, nor do rows without vec_id; vectors of different
-dimensions do not meet; rows sharing a vec_id are one another's own and so never each other's
-candidates, a repeated query row is asked once and a repeated candidate row ranks as often as
-it occurs; with fewer than k candidates all are returned; other columns are ignored.
+Products of two lengths below 2**62 are exact in 64 bits. Beyond it, doubles with a bound of
+their error choose the candidates that may be among the best, and these are multiplied in
+integers of any size.
+
+Defined results: vectors that are null, empty or hold null or non-finite components (or such
+that are no longer finite after scaling) take no part, nor do rows without vec_id; a score
+outside of 64 bits is ranked by its exact value and shown as the nearest long; vectors of
+different dimensions do not meet; rows sharing a vec_id are one another's own and so never each
+other's candidates, a repeated query row is asked once and a repeated candidate row ranks as
+often as it occurs; with fewer than k candidates all are returned; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,8 +38,10 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, ship
 
 K = 10
-#: Vectors of a bucket and queries of a block at most, on average.
-BUCKET_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Vectors of a bucket and queries of a block on average, and how far both grow for large tables.
+BUCKET_ROWS, BLOCK_QUERIES, TILE_ROWS = 8192, 4096, 32_768
+#: Buckets (and blocks) from which they grow.
+TILES = 1024
 #: Length classes to an octave of squared length.
 CLASSES_AN_OCTAVE = 8
 #: Local cosine threshold from which coordinates prune, and how many coordinates do.
@@ -39,18 +50,22 @@ COORDINATE_COSINE, FOCUS = 0.6, 4
 SLICE = 1024
 #: Levels of need by which queries are put into blocks.
 LEVELS = 32
+#: Lengths whose product stays below this have scores of 64 bits.
+PLAIN = 2.0**62
 
-_FOUND = "query_id long, vec_id long, score long"
+#: ``beyond`` orders scores that do not fit into a long; null for all others.
+_FOUND = "query_id long, vec_id long, score long, beyond string"
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v (floor(scale * x) of each component), dim and squared length of usable rows."""
-    big = float(1 << 31)
-    x = F.col("embedding").cast("array<double>")
-    usable = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: F.coalesce(F.abs(e) * scale < big, F.lit(False)) & ~F.coalesce(F.isnan(e), F.lit(True)))
-    return vectors.where(F.coalesce(usable, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v")
-    ).select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e).alias("square"))
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda e: e * scale)
+    finite = lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)) & ~F.coalesce(F.isnan(e), F.lit(True))
+    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, finite)
+    whole = lambda e: F.when(F.abs(e) < 2.0**53, F.floor(e).cast("double")).otherwise(e)  # noqa: E731  larger doubles have no fraction
+    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
+    return rows.select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e).alias("square"))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -58,12 +73,46 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; doubles hold them up to 2**53, longs beyond."""
+    """Exact integer products of lengths below ``PLAIN``; doubles hold them up to 2**53, longs beyond."""
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[-1]) < 2.0**53:
         return (a @ b.T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def _sortable(score: int) -> str | None:
+    """Text that sorts as the score does, for scores that do not fit into a long."""
+    if abs(score) < (1 << 63) - 1:
+        return None
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):04d}{digits}"
+    return f"{9999 - len(digits):04d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def best_of_any_length(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query position, vec_id, score) of the k best candidates of each query, of components of any size.
+
+    Doubles of the query by its own power of two and of the candidates by 2**-40 do not
+    overflow, and err by less than ``slack``; what is not surely behind the k-th is exact.
+    """
+    small = c * 2.0**-40
+    reach = np.sqrt(np.square(small / max(1.0, float(np.abs(small).max(initial=0)))).sum(1)) * max(1.0, float(np.abs(small).max(initial=0)))
+    for i in range(len(q)):
+        other = np.flatnonzero(c_id != q_id[i])
+        if not len(other):
+            continue
+        unit = q[i] * 2.0 ** -np.ceil(np.log2(max(1.0, float(np.abs(q[i]).max()))))
+        near = small[other] @ unit
+        slack = reach[other] * len(unit) ** 2 * 2.0**-50 + 1e-300
+        if len(other) > k:
+            least = np.partition(near - slack, len(other) - k)[len(other) - k]
+            other = other[near + slack >= least]
+        own = [int(x) for x in q[i].tolist()]
+        found = sorted((-sum(a * int(b) for a, b in zip(own, c[j].tolist(), strict=True)), int(c_id[j])) for j in other.tolist())
+        for score, vec in found[:k]:
+            yield i, vec, -score
+
+
 def best_in_bucket(q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vec_id, score) of candidates that may be among the k best.
 
@@ -134,6 +183,24 @@ def best_in_bucket(q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, c: np.nda
     return out_q[0], out_id[0], out_score[0]
 
 
+def _best(q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> Iterator[pa.Table]:
+    """The results of one bucket and block, ``BLOCK_QUERIES`` queries at a time."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    with np.errstate(over="ignore"):
+        longest, lengths = np.sqrt((c * c).sum(1)).max(), np.sqrt((q * q).sum(1))
+    plain = lengths * longest < PLAIN
+    some = np.flatnonzero(plain)
+    for a in range(0, len(some), BLOCK_QUERIES):
+        part = some[a : a + BLOCK_QUERIES]
+        i, vec, score = best_in_bucket(q[part], q_id[part], bound[part], c, c_id, k)
+        yield pa.table([pa.array(x, t) for x, t in zip((q_id[part][i], vec, score, [None] * len(i)), kinds, strict=True)], names=_NAMES)
+    wide = np.flatnonzero(~plain)
+    if len(wide):
+        top = (1 << 63) - 1
+        rows = [(int(q_id[wide[i]]), vec, max(-top, min(top, score)), _sortable(score)) for i, vec, score in best_of_any_length(q[wide], q_id[wide], c, c_id, k)]
+        yield pa.table([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], names=_NAMES)
+
+
 def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best of each query in each bucket.
 
@@ -145,12 +212,10 @@ def _search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+            return pa.table({n: pa.array([], pa.string() if n == "beyond" else pa.int64()) for n in _NAMES})
         dim = c.column("dim")[0].as_py()
-        ids = q.column("query_id").to_numpy()
         bound = np.array(q.column("bound").fill_null(-np.inf).to_numpy())
-        i, vec, score = best_in_bucket(_matrix(q.column("q"), dim), ids, bound, _matrix(c.column("v"), dim), c.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": ids[i], "vec_id": vec, "score": score})
+        return pa.concat_tables(_best(_matrix(q.column("q"), dim), q.column("query_id").to_numpy(), bound, _matrix(c.column("v"), dim), c.column("vec_id").to_numpy(), k))
 
     return left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(run, _FOUND)
 
@@ -162,12 +227,14 @@ def top_k(vectors: DataFrame, asked, k: int = K, bucket_rows: int = BUCKET_ROWS,
     """
     spark = ship(vectors.sparkSession)
     rows = integer_vectors(vectors)
-    size_class = F.floor(F.log2(F.greatest(F.col("square"), F.lit(1.0))) * CLASSES_AN_OCTAVE).cast("int")
+    size_class = F.floor(F.log2(F.least(F.greatest(F.col("square"), F.lit(1.0)), F.lit(1e308))) * CLASSES_AN_OCTAVE).cast("int")
     rows = checkpointed(rows.withColumn("class", size_class))
     # a row for each dimension and length class: bounded by the range of lengths, not by the data
     classes = rows.groupBy("dim", "class").agg(F.count("*").alias("n"), F.sum(F.when(asked, 1).otherwise(0)).alias("asked"), F.sqrt(F.max("square")).alias("longest")).collect()
     if not classes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    grown = lambda rows, least: max(least, min(TILE_ROWS, rows // TILES))
+    bucket_rows, block_queries = grown(sum(r["n"] for r in classes), bucket_rows), grown(sum(r["asked"] for r in classes), block_queries)
     # buckets are numbered by falling length within a dimension; the first ones, enough for k, are the seeds
     table, seeds, number = [], {}, 0
     for dim in sorted({r["dim"] for r in classes}):
@@ -189,9 +256,11 @@ def top_k(vectors: DataFrame, asked, k: int = K, bucket_rows: int = BUCKET_ROWS,
     first = F.broadcast(spark.createDataFrame(list(seeds.items()), "dim int, buckets array<int>"))
     spread = asked_rows.join(first, "dim").select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("double").alias("bound"))
     seed = checkpointed(_search(placed.where(early).withColumn("blocks", F.sequence(F.lit(0), F.lit(blocks - 1))), spread, k))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     if sum(map(len, seeds.values())) < number:
-        bounds = seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
+        bounds = seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        # a score below all longs is no bound
+        bounds = bounds.where(F.col("beyond").isNull() | (F.col("score") > 0)).select("query_id", F.col("score").cast("double").alias("bound"))
         seed = seed.unionByName(_rest(spark, placed.where(~early), asked_rows.join(bounds, "query_id", "left"), table, seeds, k, block_queries))
     return seed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
