@@ -6,11 +6,12 @@ come out overfull are sampled again and subdivided. Exact byte counts per range,
 prefix sums, then place the shard boundaries inside the ranges, so shards differ by about one
 document and not by the sampling error.
 
-Copies of a text share a shard wherever one can hold them. Small groups never straddle a
-boundary. Groups of more than ``BIG_SHARE`` of a shard (or of half a range: so few that
-the driver may know them) are dealt to shards first, the largest to the emptiest, and
-the line of all other records fills what these leave. Only a group larger than a whole shard
-is cut, between its rows.
+The law comes first: shards of near equal bytes. Texts that weigh more than ``BIG_SHARE`` of a
+shard (single documents and groups of copies alike; so few that the driver may know them) are
+dealt before all others, the largest to the emptiest shard, and the line of all other records
+fills what these leave, so shards differ by about that share of a shard. Copies of a text
+share a shard: small groups never straddle a boundary, and large ones stay whole unless that
+took a shard above the mean by more than ``TOLERANCE``. Then the group is cut between its rows.
 
 Defined results: a null text has size 8 like an empty one and the group of the empty text;
 rows repeating a doc_id are placed each on its own, and rows equal in all columns too; an
@@ -21,6 +22,8 @@ columns of the input are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -33,40 +36,33 @@ from ..session import checkpointed
 RANGES_A_SHARD, RANGE_ROWS = 8, 2_000_000
 #: Sampled keys for each range.
 SAMPLES_A_RANGE = 40
-#: A text whose copies hold more than this part of a shard is placed as a whole, before all others.
-BIG_SHARE = 0.01
+#: A text whose copies hold more than this part of a shard is dealt before all others.
+BIG_SHARE = 0.001
+#: How far above the mean a shard may come, as a part of it, to keep a group whole.
+TOLERANCE = 0.002
 
 LOWEST = -(1 << 63)
 
 
-def splitters(sample: list[tuple[int, int, float]], ranges: int, cut: set[int] | None = None) -> list[tuple[int, int]]:
-    """Quantile boundaries of weighted keys (hash, row, weight).
-
-    A boundary stands before all rows of its hash, unless several fall on one hot hash; with
-    ``cut``, the only hashes that may be hot.
-    """
+def splitters(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[int, int]]:
+    """Quantile boundaries of weighted keys (hash, row, weight); each stands before all rows of its hash."""
     sample = sorted(sample)
     total, passed, cuts = sum(w for *_, w in sample), 0.0, []
-    for h, d, w in sample:
+    for h, _, w in sample:
         if passed > 0 and int(passed * ranges / total) < int((passed + w) * ranges / total):
-            cuts.append((h, d))
+            cuts.append((h, LOWEST))
         passed += w
-    hot = {a for (a, _), (b, _) in zip(cuts[:-1], cuts[1:], strict=True) if a == b and (cut is None or a in cut)}
-    return sorted({c if c[0] in hot else (c[0], LOWEST) for c in cuts})
+    return sorted(set(cuts))
 
 
 def _range_of(cuts: list[tuple[int, int]]):
     heads = np.array([h for h, _ in cuts], np.int64)
-    hot = {int(h) for h in heads[1:][heads[1:] == heads[:-1]]}
 
     @F.pandas_udf("int")
-    def number(h: pd.Series, row: pd.Series) -> pd.Series:
-        out = np.searchsorted(heads, h.to_numpy(), "right")
-        for i in np.flatnonzero(h.isin(hot).to_numpy()) if hot else ():
-            out[i] = bisect_right(cuts, (int(h.iloc[i]), int(row.iloc[i])))
-        return pd.Series(out.astype(np.int32))
+    def number(h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(heads, h.to_numpy(), "right").astype(np.int32))
 
-    return number(F.col("h"), F.col("row"))
+    return number(F.col("h"))
 
 
 def _sample(records: DataFrame, total: int, wanted: int, seed: int) -> list[tuple[int, int, float]]:
@@ -77,27 +73,41 @@ def _sample(records: DataFrame, total: int, wanted: int, seed: int) -> list[tupl
     return [(r[0], r[1], r[2]) for r in rows.collect()]
 
 
-def deal_groups(groups: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[int, int], list[float]]:
-    """Shards of whole groups (hash, bytes), and where the shards begin on the line of all the rest.
+def deal_groups(groups: list[tuple[int, int, int]], shards: int, total: int, tolerance: float = TOLERANCE) -> tuple[dict[int, list[tuple[int, int]]], list[float]]:
+    """Shards of the groups (hash, bytes, rows), and where the shards begin on the line of all the rest.
 
-    The largest group goes to the emptiest shard. The rest then levels the shards: each takes
-    what it lacks to the lowest level at which all of the rest finds room.
+    A group is a list of (shard, rows). The largest goes to the emptiest shard. Where that
+    comes above the mean by more than ``tolerance``, the shard takes the rows that it has room
+    for, one at least, and the others are a group of their own. The rest then levels the shards:
+    each takes what it lacks to the lowest level at which all of the rest finds room.
     """
-    load, where = [0] * shards, {}
-    for h, size in sorted(groups, key=lambda g: (-g[1], g[0])):
-        k = min(range(shards), key=lambda s: (load[s], s))
-        where[h] = k
-        load[k] += size
-    rest, level, below = total - sum(load), 0.0, sorted(load)
+    mean = total / shards
+    empty, into = [(0, s) for s in range(shards)], {h: Counter() for h, *_ in groups}
+    waiting = [(-size, h, n) for h, size, n in groups]
+    heapify(waiting)
+    while waiting:
+        size, h, n = heappop(waiting)
+        load, shard = heappop(empty)
+        row, taken = -size // n, n
+        if n > 1 and load - size > mean * (1 + tolerance):
+            taken = min(n, max(1, int((mean - load) // row)))
+        into[h][shard] += taken
+        heappush(empty, (load + row * taken, shard))
+        if taken < n:
+            heappush(waiting, (-row * (n - taken), h, n - taken))
+    loads = [0] * shards
+    for load, shard in empty:
+        loads[shard] = load
+    rest, level, below = total - sum(loads), 0.0, sorted(loads)
     for n in range(1, shards + 1):
         level = (rest + sum(below[:n])) / n
         if n == shards or level <= below[n]:
             break
     begins, at = [], 0.0
-    for own in load:
+    for own in loads:
         begins.append(at)
         at += max(0.0, level - own)
-    return where, begins
+    return {h: list(own.items()) for h, own in into.items()}, begins
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SHARE, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -114,21 +124,21 @@ def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SH
     held = records.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     ranges = max(RANGES_A_SHARD * shards, -(-n // range_rows))
     least = min(big_share, shards / (2 * ranges))  # of a shard; never more than half a range
-    several = held.where((F.col("n") > 1) & (F.col("bytes") * shards > least * total)).collect()
-    big, cut = [r for r in several if r["bytes"] * shards <= total], {r["h"] for r in several if r["bytes"] * shards > total}
-    where, begins = deal_groups([(r["h"], r["bytes"]) for r in big], shards, total)
+    big = held.where(F.col("bytes") * shards > least * total).collect()  # shards / least of them at most
+    where, begins = deal_groups([(r["h"], r["bytes"], r["n"]) for r in big], shards, total)
     # rows of big groups are numbered in parts of bounded size; the parts come after all ranges
     parts, part_of = 0, []
     for r in big:
         own = -(-r["n"] // range_rows)
-        part_of.append((r["h"], where[r["h"]], parts, own))
+        placed, ends = where[r["h"]], np.cumsum([k for _, k in where[r["h"]]]).tolist()
+        part_of.append((r["h"], [shard for shard, _ in placed], ends, parts, own))
         parts += own
-    layout = F.broadcast(spark.createDataFrame(part_of, "h long, big_shard int, first_part int, parts int"))
+    layout = F.broadcast(spark.createDataFrame(part_of, "h long, into array<int>, ends array<long>, first_part int, parts int"))
     records = records.join(layout, "h", "left")
 
     line_bytes, line_rows = total - sum(r["bytes"] for r in big), n - sum(r["n"] for r in big)
-    line = records.where("big_shard IS NULL")
-    cuts = splitters(_sample(line, line_bytes, SAMPLES_A_RANGE * ranges, 0), ranges, cut) if line_rows else []
+    line = records.where("parts IS NULL")
+    cuts = splitters(_sample(line, line_bytes, SAMPLES_A_RANGE * ranges, 0), ranges) if line_rows else []
     for seed in range(1, 6):
         tagged = line.withColumn("range", _range_of(cuts))
         found = {r["range"]: (r["n"], r["bytes"]) for r in tagged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
@@ -141,7 +151,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SH
         for x in inside:
             of_range.setdefault(bisect_right(cuts, x[:2]), []).append(x)
         for k, size in full.items():
-            more += splitters(of_range.get(k, []), max(2, round(size * ranges / line_bytes)), cut)
+            more += splitters(of_range.get(k, []), max(2, round(size * ranges / line_bytes)))
         if set(more) <= set(cuts):
             break
         cuts = sorted({*cuts, *more})
@@ -153,18 +163,22 @@ def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SH
     base = F.broadcast(spark.createDataFrame(bases, "range int, bytes_before long"))
     order = Window.partitionBy("range").orderBy("h", "row")
     copies = Window.partitionBy("range", "h")
-    first = F.when(F.col("h").isin(list(cut)), F.col("before")).otherwise(F.min("before").over(copies)) if cut else F.min("before").over(copies)
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = (
         tagged.withColumn("number", F.row_number().over(order)).withColumn("before", before).join(base, "range")
-        # small groups go where they begin; those larger than a shard are cut
-        .withColumn("before", F.col("bytes_before") + first)
+        # the groups on the line go where they begin
+        .withColumn("before", F.col("bytes_before") + F.min("before").over(copies))
         .withColumn("shard", (F.size(F.filter(F.array(*map(F.lit, begins)), lambda b: b <= F.col("before"))) - 1).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", "range", "number")
     )
     part = F.col("first_part") + F.pmod("row", F.col("parts")).cast("int") + F.lit(1 + max(found, default=0))
-    dealt = records.where("big_shard IS NOT NULL").withColumn("range", part)
-    dealt = dealt.select("doc_id", "size", "text_crc32", F.col("big_shard").alias("shard"), "range", F.row_number().over(order).alias("number"))
+    dealt = records.where("parts IS NOT NULL").withColumn("range", part)
+    # a row's number in its group says which of the group's shards it goes to
+    earlier = Window.partitionBy("h").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead_of = dealt.groupBy("h", "range").agg(F.count("*").alias("n")).select("h", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    dealt = dealt.withColumn("number", F.row_number().over(order)).join(ahead_of, ["h", "range"]).withColumn("at", F.col("ahead") + F.col("number"))
+    shard = F.element_at("into", F.size(F.filter("ends", lambda e: e < F.col("at"))) + 1)
+    dealt = dealt.select("doc_id", "size", "text_crc32", shard.alias("shard"), "range", "number")
     placed = checkpointed(placed.unionByName(dealt))
     # rows of a shard and a range are numbered without gaps; the ranges of a shard follow one another
     counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("number").alias("lowest"))

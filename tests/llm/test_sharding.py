@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quillstream.llm.sharding import deal_groups, shard_documents, splitters
+from quillstream.llm.sharding import LOWEST, TOLERANCE, deal_groups, shard_documents, splitters
 
 
 def rows_of(kind):
@@ -43,29 +43,53 @@ def test_empty_table(spark):
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_splitters_cut_a_hot_hash_by_id():
+def test_splitters_stand_before_their_hash():
     cuts = splitters([(5, i, 1.0) for i in range(100)] + [(9, 1, 1.0)], 10)
-    assert len(cuts) > 5 and all(h == 5 and d >= 0 for h, d in cuts if h == 5)
+    assert cuts and all(h in (5, 9) and d == LOWEST for h, d in cuts)
+
+
+def plain_deal(groups, shards, total, tolerance=TOLERANCE):
+    """Row by row, as one would by hand: whole groups where they fit, else as many rows as there is room for."""
+    mean, load, where = total / shards, [0] * shards, {h: {} for h, *_ in groups}
+    waiting = [[size, h, n] for h, size, n in groups]
+    while waiting:
+        size, h, n = min(waiting, key=lambda g: (-g[0], g[1]))
+        waiting.remove([size, h, n])
+        k, row, taken = load.index(min(load)), size // n, n
+        if n > 1 and load[k] + size > mean * (1 + tolerance):
+            taken = 1
+            while taken < n and load[k] + row * (taken + 1) <= mean:
+                taken += 1
+        where[h][k] = where[h].get(k, 0) + taken
+        load[k] += row * taken
+        if taken < n:
+            waiting.append([row * (n - taken), h, n - taken])
+    return where, load
 
 
-def plain_deal(groups, shards):
-    """Largest first, to the emptiest, as one would by hand."""
-    load, where = [0] * shards, {}
-    for h, size in sorted(groups, key=lambda g: (-g[1], g[0])):
-        where[h] = load.index(min(load))
-        load[where[h]] += size
-    return where, load
+@pytest.mark.parametrize("kind", ["singles", "groups", "larger", "hot"])
+def test_dealing_levels_the_shards(kind):
+    if kind == "singles":
+        groups, shards = [(h, 10 * h, 1) for h in range(1, 30)], 6
+    elif kind == "groups":
+        groups, shards = [(h, 20 * 11, 20) for h in range(30)], 24
+    elif kind == "larger":
+        groups, shards = [(h, 7 * (h % 9 + 3), 7) for h in range(40)] + [(99, 2000, 100)], 5
+    else:
+        groups, shards = [(1, 9000, 900), (2, 50, 1)], 4
+    held = sum(size for _, size, _ in groups)
+    total = held + 1000 * shards
+    where, begins = deal_groups(groups, shards, total)
+    plain, load = plain_deal(groups, shards, total)
+    assert {h: dict(x) for h, x in where.items()} == plain
+    ends = [*begins[1:], float(total - held)]
+    filled = [own + e - b for own, b, e in zip(load, begins, ends, strict=True)]
+    assert max(filled) - min(filled) <= 0.01 * total / shards
 
 
-def test_dealing_levels_the_shards():
-    groups = [(h, 10 * h) for h in range(1, 30)]
-    where, begins = deal_groups(groups, 6, 6000)
-    plain, load = plain_deal(groups, 6)
-    assert where == plain
-    ends = [*begins[1:], 6000 - sum(load)]
-    assert [round(own + e - b, 6) for own, b, e in zip(load, begins, ends)] == [1000] * 6
-    where, begins = deal_groups([(1, 900), (2, 10)], 4, 1000)  # nothing more fits beside the first
-    assert where == {1: 0, 2: 1} and begins == [0, 0, pytest.approx(23.33, abs=0.01), pytest.approx(56.67, abs=0.01)]
+def test_what_does_not_fit_beside_one_row():
+    where, begins = deal_groups([(1, 900, 1), (2, 10, 1)], 4, 1000)
+    assert where == {1: [(0, 1)], 2: [(1, 1)]} and begins == [0, 0, pytest.approx(23.33, abs=0.01), pytest.approx(56.67, abs=0.01)]
 
 
 def by_group(rows, got):
@@ -77,14 +101,19 @@ def by_group(rows, got):
     return where, sizes
 
 
-@pytest.mark.parametrize("kind", ["copies", "hot", "mixed"])
-def test_groups_stay_whole_where_a_shard_holds_them(spark, kind):
+@pytest.mark.parametrize("kind", ["copies", "hot", "mixed", "heavy", "uneven"])
+def test_law_before_groups(spark, kind):
+    """Shards are level whatever the groups, and a group is cut only where the law asks for it."""
     if kind == "copies":
         rows = [(i, f"copy {i % 40} " * 5 if i % 15 == 0 else f"own text {i} of {i * 7}") for i in range(24_000)]
     elif kind == "hot":
         rows = [(i, "the same text everywhere" if i % 3 == 0 else f"own {i}" * 3) for i in range(6000)]
-    else:
+    elif kind == "mixed":
         rows = [(i, ("a" * 300 if i % 24 == 0 else f"g{i % 11}" * 20 if i % 3 == 0 else f"own {i}")) for i in range(4800)]
+    elif kind == "heavy":  # thirty groups of more than half a shard each
+        rows = [(i, f"text {i % 30:04d} " * 30 if i < 600 else f"single {i}" * 5) for i in range(840)]
+    else:
+        rows = [(i, "x" * (i * i % 4001) + str(i)) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = shard_documents(docs, range_rows=500).collect()
     assert len(got) == len(rows)
@@ -92,11 +121,13 @@ def test_groups_stay_whole_where_a_shard_holds_them(spark, kind):
     for r in got:
         load[r.shard] += r["size"]
     mean = sum(load.values()) / 24
+    spread = max(load.values()) - min(load[s] for s in range(24))
+    assert spread <= (0.01 * mean if kind != "heavy" else max(r["size"] for r in got)), (spread, mean)
     where, sizes = by_group(rows, got)
-    for text, shards in where.items():
-        assert len(shards) == 1 or sizes[text] > mean, text[:30]
-    largest = max([s for s in sizes.values() if s <= mean])
-    assert max(load.values()) - min(load[s] for s in range(24)) <= max(largest, 0.02 * mean)
+    whole = [len(shards) == 1 for shards in where.values()]
+    assert all(len(where[t]) == 1 for t in where if sizes[t] <= 0.001 * mean)
+    if kind in ("copies", "uneven"):
+        assert all(whole)
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
