@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Parts into which the neighbours of one node are dealt; a component's centre may have very many.
-SALTS = 32
+#: Parts into which the neighbours of one node are dealt (a component's centre may have very many): so many at least, and as many as give each part this many of all edges.
+SALTS, PART_EDGES = 32, 1_000_000
 
 
 def _with_least(edges: DataFrame, least, salts: int) -> DataFrame:
@@ -24,7 +24,7 @@ def _with_least(edges: DataFrame, least, salts: int) -> DataFrame:
     return dealt.join(settled, ["a", "salt"]).select("a", "b", "m")
 
 
-def connected_components(edges: DataFrame, salts: int = SALTS) -> DataFrame:
+def connected_components(edges: DataFrame, salts: int | None = None) -> DataFrame:
     """node, component (its smallest member) of every node of ``edges`` (a, b).
 
     Alternating large-star and small-star rounds: each replaces edges by edges to the
@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     loops are ignored; without edges the result is empty.
     """
     edges = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    salts = salts or max(SALTS, edges.count() // PART_EDGES)
     before = None
     while True:
         # large star: neighbours above a node link to the smallest of its neighbourhood

@@ -12,9 +12,11 @@
 A message carries each fingerprint once, so a text that a third of all rows share costs an
 owner one entry a message; the byte check pre-aggregates before its shuffle.
 
-Defined results: null text counts as empty; empty texts form one group; a row that repeats
+Defined results: null text counts as empty; empty texts form one group; a null doc_id comes
+after all others, and a group of null ids alone has a null keep_id; a row that repeats
 another's doc_id and text counts in ``group_size`` and only one of the two is ``kept``; an
-empty table gives an empty result; other columns of the input are ignored.
+empty table gives an empty result; other columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, ship
-from .rows import row_key
+from .rows import row_key, with_group
 
 #: Rows whose fingerprints one message holds at most.
 MESSAGE_ROWS = 200_000
@@ -35,8 +37,6 @@ MESSAGE_ROWS = 200_000
 OWNER_ROWS = 500_000
 #: Suspect ids are broadcast up to this count (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
-#: Parts into which the rows of a group are dealt when they join their keeper.
-SALTS = 8
 
 _SENT = "seq long, owner int, n int, bits int, unary binary, low binary, uids binary, heads binary"
 
@@ -162,10 +162,10 @@ def exact_duplicates(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, owner_
         .where("group_size > 1")
         .select("print", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     )
-    first = F.min(F.struct((-F.col("points")).alias("points"), "doc_id", "uid")).alias("first")
+    first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     groups = suspects.groupBy("print", "sha").agg(first).join(same, ["print", "sha"])
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one text may hold a third of all rows
-    members = suspects.select("uid", "print", "sha", F.pmod("uid", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["print", "sha", "salt"]).select("uid", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size")
+    groups = checkpointed(groups.select("print", "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size"))
+    members = with_group(suspects.select("uid", "print", "sha"), groups, ["print", "sha"], "group_size", n).drop("print", "sha")
     return prints.join(members, "uid", "left").select(
         "doc_id",
         F.when(F.col("keep_uid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed, ship
 from .arrow_text import in_pieces, ragged, release, utf8
 from .components import connected_components
-from .rows import row_key
+from .rows import row_key, with_group
 
 HASHES = 144
 #: Representatives of a region whose signatures are compared with each other at most.
@@ -46,8 +46,6 @@ TOLERANCE = 0.15
 DENSE_ORDERS, DEEPER = 4, 3
 #: Members are broadcast up to this count; beyond it their texts are found by a shuffled join.
 BROADCAST_ROWS = 300_000
-#: Parts into which the rows of one set are dealt when they join its component.
-SALTS = 8
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -323,7 +321,7 @@ def near_duplicates(
     same = ["n_shingles", "set_a", "set_b"]
     full = rows.where("n_shingles > 0" if by_row else "n_shingles > 0 AND id IS NOT NULL")
     first = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
-    reps = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")))
+    reps = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"), F.count("*").alias("same_rows")))
 
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
@@ -347,11 +345,11 @@ def near_duplicates(
     parts = connected_components(links).withColumnRenamed("node", "rep")
     linked_ = reps.select(F.col("doc_id").alias("rep"), "first").join(parts, "rep")
     parts = checkpointed(parts.join(linked_.groupBy("component").agg(F.min("first").alias("least")), "component").select("rep", "least"))
-    merged = reps.select(*same, "first", F.col("doc_id").alias("rep")).join(parts, "rep", "left").select(*same, F.coalesce("least", "first").alias("least"))
-    # many rows may have one set; they are dealt over salts when they join its component
-    salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = (rows if by_row else rows.where("id IS NOT NULL")).select("id", "doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = dealt.join(salted, [*same, "salt"], "left")
+    merged = reps.select(*same, "first", "same_rows", F.col("doc_id").alias("rep")).join(parts, "rep", "left")
+    merged = checkpointed(merged.select(*same, "same_rows", F.coalesce("least", "first").alias("least")))
+    told = (rows if by_row else rows.where("id IS NOT NULL")).select("id", "doc_id", *same)
+    found = with_group(told.where("n_shingles > 0"), merged, same, "same_rows", rows.count()).drop("same_rows")
+    found = found.unionByName(told.where("n_shingles = 0"), allowMissingColumns=True)
     if by_row:
         return found.select(
             F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"),

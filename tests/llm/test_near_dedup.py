@@ -49,7 +49,7 @@ def make(seed=1, cloud=120):
 @pytest.mark.parametrize("limits", [{}, {"region_rows": 20, "cluster_rows": 30, "broadcast_rows": 0}])
 def test_against_brute_force(spark, limits):
     rows = make()
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_shingles string").repartition(6)
+    docs = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, n_shingles string, least int, id int, set_a int").repartition(6)
     assert sorted(map(tuple, N.near_duplicates(docs, **limits).collect())) == brute(rows)
 
 
