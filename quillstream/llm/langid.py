@@ -15,8 +15,8 @@ are one. So the count is that of one parse of the unbroken text. Letters count i
 all other characters look the same.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; ties go to
-the language that sorts first; with nothing to learn from, all texts are ``und``; repeated
-rows are judged one by one, and other columns pass through, but for lang_pred and score.
+the language that sorts first; with nothing to learn from, all texts are ``und``; a null
+doc_id counts as the empty text where its crc32 decides what teaches; repeated rows are judged one by one, and other columns pass through, but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -245,12 +245,19 @@ def learn(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, chars: int = WINDOW_CHAR
     """Labelled windows by language: at most ``rows`` * ``chars`` characters each.
 
     ``docs`` must hold training rows alone; rows with the lowest hashes of id and text teach.
+    Windows are cut where the texts are read, and of the range of hashes only the part that
+    surely holds the lowest ``rows`` of a language (by its count) moves at all.
     """
-    picked = docs.where(F.col("lang").isNotNull() & (F.char_length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    picked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= rows)
+    able = docs.where(F.col("lang").isNotNull() & (F.char_length("text") > 0))
+    counts = able.groupBy("lang").agg(F.count("*").alias("n"))
     begin = (F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.char_length("text") - chars + 1))).cast("int")
+    windows = able.withColumn("h", F.xxhash64("doc_id", "text")).select("lang", "h", F.substring("text", begin, F.lit(chars)).alias("part"))
+    place = F.col("h").cast("double") / 2.0**64 + 0.5
+    # one row a language; a language is a tag, and their number does not follow that of the documents
+    drawn = windows.join(F.broadcast(counts), "lang").where(place < (4 * rows + 64) / F.col("n"))
+    picked = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("at") <= rows)
     found: dict[str, list[str]] = {}
-    for r in sorted(picked.select("lang", "at", F.substring("text", begin, F.lit(chars)).alias("part")).collect()):
+    for r in sorted(picked.select("lang", "at", "part").collect()):
         found.setdefault(r.lang, []).append(r.part)
     return found
 

@@ -221,7 +221,7 @@ def pack(pieces: DataFrame, documents: int, size: int = 0, window: int = WINDOW,
     The number of groups follows from the number of ``documents`` and the ``size`` of their texts,
     so that neither many short nor a few long ones fill a group beyond its bound.
     """
-    groups = max(1, documents // group_docs, size // group_bytes)
+    groups = max(1, -(-documents // group_docs), -(-size // group_bytes))
     # the row's own number deals repeated rows as well
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     kept = [f for f in pieces.schema.fields]

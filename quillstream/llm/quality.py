@@ -10,7 +10,8 @@ Defined results: a null or empty text is one empty line and gets that line's sco
 training documents of a class every score is the share of label 1 among the training
 documents (0.5 with none at all); null labels and labels other than 0 and 1 teach nothing, nor
 do rows without an id; repeated rows are scored one by one; other columns pass through, but for
-one with the name of the result.
+one with the name of the result. A null doc_id counts as the empty text where its crc32 decides
+what teaches.
 """
 
 from __future__ import annotations
