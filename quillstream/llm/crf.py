@@ -30,7 +30,11 @@ class Chain:
 
     def best(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The likeliest labelling of each sequence (Viterbi); ties go to label 0."""
-        odds, steps = self.odds(x), _steps(lengths)
+        return self.decoded(self.odds(x), lengths)
+
+    def decoded(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The same from the items' ``odds``."""
+        steps = _steps(lengths)
         back = np.zeros((len(odds), 2), np.int8)
         label = np.zeros(len(odds), np.int8)
         score = None
