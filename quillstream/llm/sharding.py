@@ -34,6 +34,8 @@ from ..session import checkpointed
 
 #: Ranges for each shard, and rows that a range holds at most on average.
 RANGES_A_SHARD, RANGE_ROWS = 8, 2_000_000
+#: Rows of a part of a large group: this share of all rows, within these bounds.
+PART_SHARE, PART_ROWS = 256, 256
 #: Sampled keys for each range.
 SAMPLES_A_RANGE = 40
 #: A text whose copies hold more than this part of a shard is dealt before all others.
@@ -127,9 +129,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, big_share: float = BIG_SH
     big = held.where(F.col("bytes") * shards > least * total).collect()  # shards / least of them at most
     where, begins = deal_groups([(r["h"], r["bytes"], r["n"]) for r in big], shards, total)
     # rows of big groups are numbered in parts of bounded size; the parts come after all ranges
-    parts, part_of = 0, []
+    parts, part_of, part_rows = 0, [], min(range_rows, max(PART_ROWS, n // PART_SHARE))
     for r in big:
-        own = -(-r["n"] // range_rows)
+        own = -(-r["n"] // part_rows)
         placed, ends = where[r["h"]], np.cumsum([k for _, k in where[r["h"]]]).tolist()
         part_of.append((r["h"], [shard for shard, _ in placed], ends, parts, own))
         parts += own
