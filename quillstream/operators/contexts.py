@@ -11,9 +11,9 @@ from .ordering import with_position
 
 def score_contexts(contexts: DataFrame, text: str, title: str, doi: str = "", year: int | None = None, venue: str = "") -> DataFrame:
     """``contexts`` with score, confidence and hit counts for the target they cite."""
-    terms = X.target_terms(contexts.sparkSession, title, doi, year, venue)
-    parts = X.context_parts(F.col("_normal"), **{k: terms[k] for k in ("kw", "ph", "doi", "year", "venues")})
-    scored = contexts.withColumn("_normal", X.norm_ctx(text)).withColumns(parts).drop("_normal")
+    terms = X.terms_of(contexts.sparkSession, title, doi, year, venue)
+    rows = contexts.withColumn("_normal", X.norm_ctx(text)).withColumn("_terms", terms)
+    scored = rows.withColumns(X.context_parts(F.col("_normal"), F.col("_terms"))).drop("_normal", "_terms")
     return scored.withColumn("confidence", X.confidence_of(F.col("score")))
 
 

@@ -5,12 +5,19 @@ Paragraphs are rows (doc_id, page, seq, text) with ``seq`` the order within the
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
+from . import similarity as J
+
+#: Patterns of indices, of headings and of the marks that make a page a reference list.
+BRACKET_INDEX, LEADING_INDEX = r"\[\s*(\d+)\s*\]", r"(?dm)^\s*(\d+)[.)]\s+"
+HEADINGS = (r"(?mi)^\s*(references|bibliography)\s*$", r"(?mi)^\s*[ivxlcdm.\s]*(references|bibliography)\s*$")
+LIST_MARKS = {
+    "bracket": r"\[\s*\d+\s*\]", "numbered": r"(?m)^\s*\[?\d+\]?[.)]\s+[A-Z]", "doi": r"(?i)10\.\d{4,9}/\S+", "years": r"\b(?:19|20)\d{2}\b",
+    "proc": r"\b(?:proc\.?|proceedings|vol\.?|no\.?|pp\.?|doi:)\b",
+}
 #: Kinds of spans, best first.
 PRIORITY = ["citation_index_exact", "citation_index_grouped", "context_similarity", "citation_index_neighbor", "keyword_fallback"]
 
@@ -61,13 +68,9 @@ def reference_start(pages: DataFrame) -> DataFrame:
     """First page of the reference list of each document: by heading, else by density."""
     t, n = F.coalesce(F.col("text"), F.lit("")), X.norm_span("text")
     total = F.max("page").over(Window.partitionBy("doc_id"))
-    heading = t.rlike(r"(?mi)^\s*(references|bibliography)\s*$") | t.rlike(r"(?mi)^\s*[ivxlcdm.\s]*(references|bibliography)\s*$")
-    f = pages.select(
-        "doc_id", "page", total.alias("total"), heading.alias("heading"),
-        X.count_of(t, r"\[\s*\d+\s*\]").alias("bracket"), X.count_of(t, r"(?m)^\s*\[?\d+\]?[.)]\s+[A-Z]").alias("numbered"),
-        X.count_of(t, r"(?i)10\.\d{4,9}/\S+").alias("doi"), X.count_of(t, r"\b(?:19|20)\d{2}\b").alias("years"),
-        X.count_of(n, r"\b(?:proc\.?|proceedings|vol\.?|no\.?|pp\.?|doi:)\b").alias("proc"),
-    )
+    heading = t.rlike(HEADINGS[0]) | t.rlike(HEADINGS[1])
+    counts = [X.count_of(n if name == "proc" else t, pattern).alias(name) for name, pattern in LIST_MARKS.items()]
+    f = pages.select("doc_id", "page", total.alias("total"), heading.alias("heading"), *counts)
     dense = ((F.col("bracket") >= 20) & (F.col("years") >= 15)) | ((F.col("numbered") >= 20) & (F.col("years") >= 15)) | ((F.col("doi") >= 2) & (F.col("years") >= 10)) | ((F.col("bracket") + F.col("numbered") >= 30) & (F.col("proc") >= 20))
     after = lambda percent: F.col("page") >= F.greatest(F.lit(2), F.floor(F.col("total") * percent / 100))
     return f.groupBy("doc_id").agg(
@@ -113,33 +116,21 @@ def local_windows(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
 def context_similarity(paragraphs: DataFrame, contexts: DataFrame, least_percent: int = 18, k: int = 30) -> DataFrame:
     """Paragraphs that share enough words with a context, the ``k`` best of each document.
 
-    Words are exploded and joined by equality; counts of shared words then give the overlap
-    coefficient. Contexts (context_id, text) are few; paragraphs may be many.
+    The overlap is that of ``similarity.overlaps``: only words that contexts hold move, and pairs
+    meet on their rarer ones. Contexts: context_id, text.
     """
     p = paragraphs.where(~X.is_reference_entry("text")).select("doc_id", "seq", X.overlap_tokens("text").alias("words"))
     c = contexts.select("context_id", X.overlap_tokens("text").alias("words"))
-    shared = (
-        p.select("doc_id", "seq", F.size("words").alias("n"), F.explode("words").alias("word"))
-        .join(c.select("context_id", F.size("words").alias("m"), F.explode("words").alias("word")), "word")
-        .groupBy("doc_id", "seq", "context_id")
-        .agg(F.count("*").alias("shared"), F.min(F.least("n", "m")).alias("smaller"))
-    )
-    good = shared.where(F.col("shared") * 100 >= F.col("smaller") * least_percent).withColumn("overlap", F.col("shared") / F.col("smaller"))
+    good = J.overlaps(p, ["doc_id", "seq"], c, "context_id", least_percent).withColumn("overlap", F.col("shared") / F.col("smaller"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("overlap").desc(), "seq", "context_id"))
     return good.withColumn("place", place).where(F.col("place") <= k)
 
 
-def keyword_fallback(paragraphs: DataFrame, title: str, doi: str = "", k: int = 20) -> DataFrame:
-    """Paragraphs scored by words, aliases and DOI of the target; the ``k`` best of each document."""
-    spark = paragraphs.sparkSession
-    keywords = spark.range(1).select(X.span_keywords(F.lit(title))).first()[0]
-    aliases = [a for a in X.target_aliases(title) if a not in keywords]
-    plain = paragraphs.withColumn("_n", X.norm_span("text"))
-    found = sum((2 * F.col("_n").contains(w).cast("int") for w in keywords), F.lit(0)) + 3 * F.size(X.alias_hits("text", aliases))
-    if doi:
-        found = found + 8 * F.col("_n").contains(doi.lower()).cast("int")
-    score = found + F.col("text").rlike(r"\[\d+\]").cast("int") + (F.length("text") > 120).cast("int")
-    rows = plain.withColumn("score", score).where((F.col("score") > 0) & ~X.is_reference_entry("text")).drop("_n")
+def keyword_fallback(paragraphs: DataFrame, signs: Column, k: int = 20) -> DataFrame:
+    """Paragraphs scored by words, names and DOI of the target (``signs``); the ``k`` best of each document."""
+    rows = paragraphs.withColumn("_signs", signs)
+    score = X.sign_score("text", F.col("_signs"), 8) + F.col("text").rlike(r"\[\d+\]").cast("int") + (F.length("text") > 120).cast("int")
+    rows = rows.withColumn("score", score).where((F.col("score") > 0) & ~X.is_reference_entry("text")).drop("_signs")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "seq"))
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
@@ -180,56 +171,48 @@ def within_budget(rows: DataFrame, budget: int, k: int, each: int) -> DataFrame:
     return cut.withColumn("used", used).where(F.col("used") < budget).withColumn("block", F.expr(f"substring(block, 1, cast({budget} - used as int))"))
 
 
-_INDEX = "picked string, style string, distance int, inferred boolean"
+#: How far before an index (in characters) a sign of the target belongs to the entry before; weights of the rank.
+BEFORE, PICKED, INFERRED = (5, 260), 8, 5
 
 
-def pick_index(rows: DataFrame, keywords: list[str], aliases: list[str], doi: str = "") -> DataFrame:
-    """The number of a reference entry: the index nearest to a sign of the target.
+def picked_index(text: Column, signs: Column) -> Column:
+    """The number of a reference entry, as a struct: picked, style, distance, inferred.
 
-    If the nearest sign stands 5 to 260 characters before the index, the entry's own number
-    came before the sign and is one less. Match positions are needed, which Column functions do
-    not give; hence an Arrow-batched pandas function.
+    It is the index nearest to a sign of the target; of equally near ones the first. If the
+    nearest sign stands within ``BEFORE`` characters before the index, the entry's own number
+    came before the sign and is one less. Without signs the first index counts.
     """
-
-    @F.pandas_udf(_INDEX)
-    def picked(texts: pd.Series, plains: pd.Series) -> pd.DataFrame:
-        import re
-
-        marks = (("bracket", re.compile(r"\[\s*(\d+)\s*\]")), ("leading_number", re.compile(r"(?m)^\s*(\d+)[.)]\s+")))
-        signs = [re.compile(re.escape(w)) for w in [*keywords, *([doi.lower()] if doi else [])]] + [re.compile(rf"(?<![a-z0-9]){re.escape(a.lower())}(?![a-z0-9])") for a in aliases]
-        out = []
-        for text, plain in zip(texts, plains, strict=True):
-            found = sorted((m.start(), m.group(1), style) for style, mark in marks for m in mark.finditer(text or ""))
-            at = sorted({m.start() for s in signs for m in s.finditer(plain or "")})
-            if not found:
-                out.append((None, None, None, False))
-            elif not at:
-                out.append((found[0][1], found[0][2], None, False))
-            else:
-                pos, number, style = min(found, key=lambda f: min(abs(f[0] - s) for s in at))
-                near = min(at, key=lambda s: abs(pos - s))
-                before = 5 <= pos - near <= 260 and int(number) > 1
-                out.append((str(int(number) - 1) if before else number, style, abs(pos - near), before))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _INDEX.split(", ")])
-
-    return rows.withColumn("p", picked("text", X.norm_span("text"))).select("*", "p.*").drop("p")
-
-
-def best_reference(rows: DataFrame, title: str, doi: str = "") -> DataFrame:
-    """The reference entry of the target in each document and its number.
+    none = F.lit(None)
+    marks = F.array_sort(F.concat(X.marks_of(text, BRACKET_INDEX, "bracket"), X.marks_of(text, LEADING_INDEX, "leading_number")))
+    plain = X.norm_span(text)
+    words = F.transform(F.filter(F.array_append(signs["keywords"], signs["doi"]), lambda w: w != ""), lambda w: X.places_of(plain, w))
+    names = F.transform(signs["all_names"], lambda a: X.places_of(plain, a["plain"], bounded=True))
+    at = F.flatten(F.concat(words, names))
+
+    def near(found: Column) -> Column:
+        marks, at = found["marks"], found["at"]
+        best = F.array_min(F.transform(marks, lambda m: F.struct(F.array_min(F.transform(at, lambda s: F.abs(m["pos"] - s))).alias("d"), m["pos"].alias("pos"), m["number"].alias("number"), m["style"].alias("style"))))
+        sign = F.array_min(F.transform(at, lambda s: F.struct(F.abs(best["pos"] - s).alias("d"), s.alias("at"))))["at"]
+        number = best["number"].try_cast("decimal(38,0)")
+        before = (best["pos"] - sign).between(*BEFORE) & F.coalesce(number > 1, F.lit(False))
+        told = F.struct(F.when(before, (number - 1).cast("string")).otherwise(best["number"]).alias("picked"), best["style"].alias("style"), F.abs(best["pos"] - sign).alias("distance"), before.alias("inferred"))
+        first = F.get(marks, F.lit(0))
+        untold = F.struct(first["number"].alias("picked"), first["style"].alias("style"), none.cast("int").alias("distance"), F.lit(False).alias("inferred"))
+        return F.when((F.size(marks) > 0) & (F.size(at) > 0), told).otherwise(untold)
+
+    # one element, so that marks and signs are worked out once
+    return F.element_at(F.transform(F.array(F.struct(marks.alias("marks"), at.alias("at"))), near), 1)
+
+
+def best_reference(rows: DataFrame, signs: Column) -> DataFrame:
+    """The reference entry of the target (``signs``) in each document and its number.
 
     ``rows``: doc_id, page, span_index, text of the reference section.
     """
-    keywords = rows.sparkSession.range(1).select(X.span_keywords(F.lit(title))).first()[0]
-    aliases = X.target_aliases(title)
-    n = X.norm_span("text")
-    score = sum((2 * n.contains(w).cast("int") for w in keywords), F.lit(0)) + 3 * F.size(X.alias_hits("text", [a for a in aliases if a not in keywords])) + 2 * X.is_reference_entry("text").cast("int")
-    if doi:
-        score = score + 15 * n.contains(doi.lower()).cast("int")
-    scored = pick_index(rows.withColumn("score", score).where("score > 0"), keywords, aliases, doi)
-    rank = F.col("score") + F.when(F.col("picked").isNotNull(), 8).otherwise(0) + F.when(F.col("inferred"), 5).otherwise(0)
+    rows = rows.withColumn("_signs", signs)
+    score = X.sign_score("text", F.col("_signs"), 15) + 2 * X.is_reference_entry("text").cast("int")
+    scored = rows.withColumn("score", score).where("score > 0").withColumn("p", picked_index(F.coalesce("text", F.lit("")), F.col("_signs"))).select("*", "p.*")
+    rank = F.col("score") + F.when(F.col("picked").isNotNull(), PICKED).otherwise(0) + F.when(F.col("inferred"), INFERRED).otherwise(0)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("rank_score").desc(), "page", "span_index"))
     best = scored.withColumn("rank_score", rank).withColumn("place", place).where("place = 1 AND picked IS NOT NULL")
     return best.select("doc_id", "page", "span_index", F.col("picked").alias("citation_index"), "style", "inferred", "score", "rank_score")
-
-

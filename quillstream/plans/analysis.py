@@ -24,7 +24,7 @@ def sections(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def citation_numbers(references: DataFrame, title: str, doi: str = "") -> DataFrame:
     """doc_id and the number under which its reference list names the target."""
-    return S.best_reference(references, title, doi).select("doc_id", F.col("citation_index").try_cast("int").alias("number")).where("number IS NOT NULL")
+    return S.best_reference(references, X.signs_of(references.sparkSession, title, doi)).select("doc_id", F.col("citation_index").try_cast("int").alias("number")).where("number IS NOT NULL")
 
 
 def numbered_hits(body: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def candidate_spans(pages: DataFrame, title: str, doi: str = "", contexts: DataF
     if contexts is not None:
         near = S.context_similarity(body, contexts).select("doc_id", "seq", "overlap").groupBy("doc_id", "seq").agg(F.max("overlap").alias("overlap"))
         parts.append(near.join(body.select(*place), ["doc_id", "seq"]).select(*place, F.lit("context_similarity").alias("match_type"), F.round(F.col("overlap") * 100, 2).alias("score"), F.lit(1).alias("ord"), "overlap"))
-    words = S.keyword_fallback(body, title, doi)
+    words = S.keyword_fallback(body, X.signs_of(body.sparkSession, title, doi))
     parts.append(words.select(*place, F.lit("keyword_fallback").alias("match_type"), F.col("score").cast("double").alias("score"), F.lit(2).alias("ord"), none))
     spans = parts[0]
     for p in parts[1:]:

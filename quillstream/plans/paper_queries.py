@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import text as X
 from ..operators import papers as P
+from ..operators import similarity as J
 
 QUERIES, SQL = {}, {}
 
@@ -163,7 +164,5 @@ r AS (SELECT *, CASE WHEN same THEN 1.0 ELSE CAST(shared AS DOUBLE) / greatest(l
 SELECT item_id, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other) AS place FROM r) WHERE place = 1""")
 def title_similarity_best(spark, sf_dir):
     items = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    words = items.select("item_id", "title", F.explode(F.array_distinct(X.tokens(X.title_key("title")))).alias("word"))
-    pairs = words.alias("a").join(words.alias("b"), "word").where("a.item_id <> b.item_id").select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), F.col("a.title").alias("t"), F.col("b.title").alias("u")).distinct()
-    scored = pairs.withColumn("similarity", X.title_similarity("t", "u"))
-    return scored.groupBy("item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m")).select("item_id", "m.other", (-F.col("m.s")).alias("similarity"))
+    sets = items.select(F.col("item_id").alias("id"), F.array_distinct(X.tokens(X.title_key("title"))).alias("words"))
+    return J.best_partner(sets).withColumnRenamed("id", "item_id")

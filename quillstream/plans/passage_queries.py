@@ -135,25 +135,17 @@ def context_similarity_topk(spark, sf_dir):
 _HIT = lambda a: f"(regexp_matches({_N.format('text')}, '(^|[^a-z0-9]){a}($|[^a-z0-9])')" + (f" OR contains(regexp_replace({_N.format('text')}, '[^a-z0-9]+', '', 'g'), '{a.replace('-', '').replace(' ', '')}')" if "-" in a or " " in a else "") + ")"
 
 
-def _fallback_sql() -> str:
-    aliases = X.target_aliases(TITLE)
-    import re
-
-    words = [w for w in re.findall("[a-z0-9]+(?:-[a-z0-9]+)?", TITLE.lower()) if not w.startswith("pre-") and not w.endswith("-based") and len(w) >= 4 and w not in X.SPAN_KEYWORD_STOP]
-    seen, tests = set(), []
-    for a in aliases:
-        small = re.sub("[^a-z0-9]+", "", a.lower())
-        if a not in words and small not in seen:
-            seen.add(small)
-            tests.append(f"3 * CAST({_HIT(a.lower())} AS INTEGER)")
-    score = " + ".join([f"2 * CAST(contains({_N.format('text')}, '{w}') AS INTEGER)" for w in words] + tests + [r"CAST(regexp_matches(text, '\[\d+\]') AS INTEGER)", "CAST(length(text) > 120 AS INTEGER)"])
-    return MARKED + f""", s AS (SELECT doc_id, seq, CAST({score} AS INTEGER) AS score FROM marked WHERE {REF_SCORE} < 6)
-SELECT doc_id, seq, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) AS place FROM s WHERE score > 0) WHERE place <= 20"""
-
-
-@query(_fallback_sql())
+#: What the title gives, worked out by hand.
+WORDS, NAMES = ["onthen", "erthly", "design", "tishe", "onble"], ["thention-based onthen", "tboedto", "tb-oedto"]
+_CONTAINS = lambda w: f"contains({_N.format('text')}, '{w}')"
+# the third name is the second one in compact form, and counts once
+_SIGNS = " + ".join([f"2 * CAST({_CONTAINS(w)} AS INTEGER)" for w in WORDS] + [f"3 * CAST({_HIT(a)} AS INTEGER)" for a in NAMES[:2]])
+
+
+@query(MARKED + rf""", s AS (SELECT doc_id, seq, CAST({_SIGNS} + CAST(regexp_matches(text, '\[\d+\]') AS INTEGER) + CAST(length(text) > 120 AS INTEGER) AS INTEGER) AS score FROM marked WHERE {REF_SCORE} < 6)
+SELECT doc_id, seq, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seq) AS place FROM s WHERE score > 0) WHERE place <= 20""")
 def keyword_fallback(spark, sf_dir):
-    return S.keyword_fallback(A.marked(spark, sf_dir), TITLE).select("doc_id", "seq", "score", "place")
+    return S.keyword_fallback(A.marked(spark, sf_dir), X.signs_of(spark, TITLE)).select("doc_id", "seq", "score", "place")
 
 
 _GEN = f"""gen AS (SELECT doc, seq, score, CASE WHEN hit AND exact THEN 'citation_index_exact' WHEN hit THEN 'citation_index_grouped' ELSE 'citation_index_neighbor' END AS match_type, 0 AS ord, CAST(NULL AS DOUBLE) AS overlap FROM lines WHERE seq <= 4
@@ -208,10 +200,26 @@ def sentence_pack(spark, sf_dir):
     return rows.select("doc_id", "at", F.length("text").alias("chars"))
 
 
-@query()
+DOI = "10.1000/x7"
+_PLACES = "list_transform(range(1, len(string_split(n, '{0}'))), lambda i: CAST(list_sum(list_transform(string_split(n, '{0}')[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * length('{0}'))"
+_BOUNDED = "list_filter({1}, lambda p: NOT regexp_matches(substr(n, CAST(p AS BIGINT), 1), '[a-z0-9]') AND NOT regexp_matches(substr(n, CAST(p + length('{0}') + 1 AS BIGINT), 1), '[a-z0-9]'))"
+_MARKS = "SELECT doc_id, seq, score, n, '{1}' AS style, unnest(regexp_extract_all(text, '{0}', 1)) AS number, unnest(regexp_extract_all(text, '{0}')) AS found, generate_subscripts(regexp_extract_all(text, '{0}'), 1) AS i, regexp_split_to_array(text, '{0}') AS parts, regexp_extract_all(text, '{0}') AS matched FROM scored"
+#: The number of the best reference entry of each document: {rows} gives doc_id, seq and text.
+PICK_SQL = f"""scored AS (SELECT * FROM (SELECT doc_id, seq, text, {_N.format('text')} AS n, CAST({_SIGNS} + 15 * CAST({_CONTAINS(DOI)} AS INTEGER) + 2 * CAST({REF_SCORE} >= 6 AS INTEGER) AS INTEGER) AS score FROM {{rows}}) WHERE score > 0),
+found AS ({_MARKS.format(r'\[\s*(\d+)\s*\]', 'bracket')} UNION ALL {_MARKS.format(r'(?m)^\s*(\d+)[.)]\s+', 'leading_number')}),
+marks AS (SELECT doc_id, seq, score, style, number, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(matched[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM found),
+signs AS (SELECT DISTINCT doc_id, seq, unnest(list_concat({', '.join([_PLACES.format(w) for w in [*WORDS, DOI]])}, {', '.join(_BOUNDED.format(a, _PLACES.format(a)) for a in NAMES)})) AS sign FROM scored),
+pairs AS (SELECT m.*, s.sign, abs(m.pos - s.sign) AS d FROM marks m LEFT JOIN signs s USING (doc_id, seq)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY d NULLS FIRST, pos, number, style, sign) AS place FROM pairs) WHERE place = 1),
+picked AS (SELECT doc_id, seq, score, style, coalesce(pos - sign BETWEEN 5 AND 260 AND TRY_CAST(number AS HUGEINT) > 1, FALSE) AS inferred, number FROM near),
+ranked AS (SELECT s.doc_id, s.seq, p.style, p.inferred, s.score, CASE WHEN p.inferred THEN CAST(TRY_CAST(number AS HUGEINT) - 1 AS VARCHAR) ELSE number END AS citation_index, s.score + CASE WHEN number IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN p.inferred THEN 5 ELSE 0 END AS rank_score FROM scored s LEFT JOIN picked p USING (doc_id, seq)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank_score DESC, seq) AS place FROM ranked) WHERE place = 1 AND citation_index IS NOT NULL)"""
+
+
+@query(MARKED + ", " + PICK_SQL.replace("{rows}", "marked") + " SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(seq AS INTEGER) AS span_index, citation_index, style, inferred, score, rank_score FROM best")
 def citation_index_pick(spark, sf_dir):
     rows = A.marked(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.col("seq").alias("span_index"), "text")
-    return S.best_reference(rows, TITLE, "10.1000/x7")
+    return S.best_reference(rows, X.signs_of(spark, TITLE, DOI))
 
 
 @query()

@@ -30,13 +30,75 @@ def test_venues(spark, venue, tier, score):
     assert r.tier == tier and (score is None or r.match_score == score)
 
 
-def test_aliases():
-    assert X.target_aliases("Training-Free Group Relative Policy Optimization")[:3] == ["tfgrpo", "tf-grpo"][:3]
-    assert "LoRA" in X.target_aliases("LoRA: Low-Rank Adaptation of Large Language Models")
+@pytest.mark.parametrize(
+    ("title", "explicit", "want"),
+    [
+        ("Training-Free Group Relative Policy Optimization", [], ["tfgrpo", "tf-grpo"]), ("LoRA: Low-Rank Adaptation of Large Language Models", [], ["LoRA", "llrallm"]),
+        ("A very long head that is no name of it: rest", [], ["vlhtnnir"]), ("One", ["One", " X-1 ", "x-1", "?"], ["One", "X-1"]), ("", [], []), (None, [], []),
+        ("The Art of Widgets", [" Widgets "], ["Widgets", "aw"]),
+    ],
+)
+def test_aliases(spark, title, explicit, want):
+    got = value(spark, X.target_aliases(F.lit(title).cast("string"), F.lit(explicit).cast("array<string>")))
+    assert got == want
 
 
 def test_alias_hits(spark):
-    assert value(spark, X.alias_hits(F.lit("TF-GRPO [14] simply mimics"), ["tfgrpo", "tf-grpo"])) == ["tfgrpo"] or value(spark, X.alias_hits(F.lit("TF-GRPO [14] simply mimics"), ["tf-grpo"])) == ["tf-grpo"]
+    def hits(text, title, explicit=()):
+        row = spark.range(1).select(X.signs_of(spark, title, "", list(explicit)).alias("s"))
+        return row.select(X.alias_hits(F.lit(text), F.col("s.names")).alias("v")).first()[0]
+
+    free = "Training-Free Group Relative Policy Optimization"
+    assert hits("tfgrpo [14] simply mimics", free) == ["tfgrpo"]  # the form with a hyphen is the same in compact form
+    assert hits("xtfgrpo", free) == [] and hits("", free) == []
+    assert hits("the Group-Relative way", "Quantum gadgets", ["Group Relative"]) == ["Group Relative"]
+    assert hits("relative group", "Quantum gadgets", ["Group Relative"]) == []
+
+
+def test_targets_as_rows(spark):
+    rows = spark.createDataFrame([("LoRA: Low-Rank Adaptation", "we use lora here"), ("Widgets of glass", "we use lora here")], "title string, text string")
+    got = rows.withColumn("s", X.target_signs("title")).select("title", X.sign_score("text", F.col("s"), 8).alias("score")).collect()
+    assert {r.title: r.score for r in got} == {"LoRA: Low-Rank Adaptation": 5, "Widgets of glass": 0}  # a keyword and a name
+
+
+@pytest.mark.parametrize("text", ["", "abc", "a, b and a", "aa aaa a", "xax a-a (a)", "é a ﬁ a", "aXa.*a"])
+def test_places(spark, text):
+    import re
+
+    at = lambda w, bounded: value(spark, X.places_of(F.lit(text), F.lit(w), bounded))
+    for w in ("a", "aa", ".*"):
+        assert at(w, False) == [m.start() for m in re.finditer(re.escape(w), text)]
+        assert at(w, True) == [m.start() for m in re.finditer(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", text)]
+
+
+def plain_index(text, words, names):
+    """The pick, written as loops over match positions."""
+    import re
+
+    marks = [("bracket", r"\[\s*(\d+)\s*\]"), ("leading_number", r"(?m)^\s*(\d+)[.)]\s+")]
+    found = sorted((m.start(), m.group(1), style) for style, p in marks for m in re.finditer(p, text, re.ASCII))
+    low = text.lower()
+    at = sorted({m.start() for w in words for m in re.finditer(re.escape(w), low)} | {m.start() for a in names for m in re.finditer(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])", low)})
+    if not found:
+        return (None, None, None, False)
+    if not at:
+        return (found[0][1], found[0][2], None, False)
+    pos, number, style = min(found, key=lambda f: min(abs(f[0] - s) for s in at))
+    sign = min(at, key=lambda s: abs(pos - s))
+    before = 5 <= pos - sign <= 260 and int(number) > 1
+    return (str(int(number) - 1) if before else number, style, abs(pos - sign), before)
+
+
+def test_index_nearest_to_a_sign(spark):
+    import random
+
+    rng = random.Random(2)
+    pieces = ["[3]", "[ 12 ]", "4. ", "\n7) ", "\n 08. ", "glass widget", "widgets", "10.1/x", "gw", "gwx", " plain words ", "\n", "x" * 300, "[99999999999999999999]", "[0]", "[1]"]
+    texts = ["", "[5] nothing", *["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(120)]]
+    signs = X.signs_of(spark, "Glass Widgets", "10.1/X")
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("s", signs)
+    got = {r.n: tuple(r.p) for r in frame.select("n", S.picked_index(F.col("text"), F.col("s")).alias("p")).collect()}
+    assert got == {n: plain_index(t, ["glass", "widgets", "10.1/x"], ["gw"]) for n, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize(("a", "b"), [("Dean, Jeffrey A", "Jeffrey Dean"), ("Katz, Randy H.", "Randy H. Katz"), ("Andrew Chi-Chih Yao", "Andrew Yao")])
@@ -99,5 +161,5 @@ def test_sentence_packing(spark):
 
 def test_index_before_the_sign(spark):
     rows = spark.createDataFrame([(1, 9, 1, "12. Other, title. onthen target paper here 13. Next one 2001"), (2, 9, 1, "[4] The onthen paper")], "doc_id long, page int, span_index int, text string")
-    got = {r.doc_id: (r.citation_index, r.inferred) for r in S.best_reference(rows, "Onthen").collect()}
+    got = {r.doc_id: (r.citation_index, r.inferred) for r in S.best_reference(rows, X.signs_of(spark, "Onthen")).collect()}
     assert got == {1: ("12", False), 2: ("4", False)}
