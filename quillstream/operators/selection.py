@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpointed, ship
 
 #: Chinese numerals and words that join several references.
 NUMERALS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -36,53 +40,96 @@ def message_ids(text: Column | str) -> Column:
 
 def paper_aliases(papers: DataFrame) -> DataFrame:
     """id, normalised title, aliases and at most eight keywords of each paper."""
-    head = F.trim(F.element_at(F.filter(F.split("title", r"[:：\-|/]"), lambda p: F.trim(p) != ""), 1))
+    head = F.trim(F.get(F.filter(F.split("title", r"[:：\-|/]"), lambda p: F.trim(p) != ""), F.lit(0)))
     words = F.filter(X.tokens(X.norm_ref("title")), lambda w: ((F.length(w) >= 3) | w.rlike(r"^\d+$")) & ~w.isin(STOP))
     n = X.norm_ref("title")
     rows = papers.where(F.trim("title") != "")
     return rows.select("id", "title", n.alias("normal"), F.array_distinct(F.array(n, X.norm_ref(head))).alias("aliases"), F.slice(F.array_distinct(words), 1, 8).alias("keywords"))
 
 
-#: Characters of the grams by which parts of texts are found inside messages.
-GRAM = 5
+#: Patterns of this length and more count wherever they stand in a message, shorter ones as whole words.
+LONG = 5
+#: Patterns up to this many are searched by one automaton, which every task holds; beyond it messages and patterns meet by grams.
+AUTOMATON_PATTERNS = 200_000
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of ``GRAM`` characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))
+def _patterns(aliases: DataFrame) -> DataFrame:
+    """id, kind (title, alias or keyword), at (its order) and pattern: all that a message may name a paper by."""
+    each = lambda kind, values: aliases.select("id", F.lit(kind).alias("kind"), F.posexplode(values).alias("at", "pattern"))
+    titles = each("title", F.filter(F.array("normal"), lambda x: F.length(x) >= 6))
+    names = each("alias", F.filter("aliases", lambda x: F.length(x) >= LONG))
+    return titles.unionByName(names).unionByName(each("keyword", F.col("keywords")))
 
 
-def _meeting(said: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs (said, id) of which one alias or keyword may lie in the message.
+def _by_automaton(said: DataFrame, wanted: list[str]) -> DataFrame:
+    """Pairs (key, pattern): which of the long patterns stand in which message, in one pass over each message."""
+    spark = ship(said.sparkSession)
+    shared = spark.sparkContext.broadcast(wanted)
 
-    What is found inside a message (five characters and more) shows its first ``GRAM``
-    characters there; shorter keywords count as whole words only. Both are equality joins.
-    """
-    long = lambda c: F.filter(c, lambda x: F.length(x) >= GRAM)
-    starts = aliases.select("id", F.explode(F.array_distinct(F.transform(long(F.concat("aliases", "keywords")), lambda x: F.substring(x, 1, GRAM)))).alias("gram"))
-    grams = said.where(F.length("said") >= GRAM).select("said", F.explode(_grams(F.col("said"))).alias("gram"))
-    short = aliases.select("id", F.explode(F.filter("keywords", lambda x: F.length(x) < GRAM)).alias("word"))
-    words = said.select("said", F.explode(F.array_distinct(X.tokens(F.col("said")))).alias("word"))
-    return grams.join(starts, "gram").select("said", "id").unionByName(words.join(short, "word").select("said", "id")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, pattern in enumerate(shared.value):
+            machine.add_word(pattern, k)
+        if shared.value:
+            machine.make_automaton()
+        for batch in batches:
+            keys, found = [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("said").to_pylist(), strict=True):
+                hits = {k for _, k in machine.iter(text)} if shared.value else set()
+                keys += [key] * len(hits)
+                found += [shared.value[k] for k in sorted(hits)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["key", "pattern"])
+
+    return said.select("key", "said").mapInArrow(run, "key binary, pattern string")
 
 
-def score_messages(messages: DataFrame, papers: DataFrame) -> DataFrame:
+def _by_grams(said: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same for any number of patterns: a pattern in a message shows its first ``LONG`` characters there.
+
+    What moves are hashes of grams with the message's key; texts meet patterns once a message.
+    """
+    starts = wanted.select("pattern", F.xxhash64(F.substring("pattern", 1, LONG)).alias("gram"))
+    run = F.transform(F.sequence(F.lit(1), F.length("said") - (LONG - 1)), lambda i: F.xxhash64(F.substring("said", i, F.lit(LONG))))
+    grams = said.where(F.length("said") >= LONG).select("key", F.explode(F.array_distinct(run)).alias("gram"))
+    maybe = grams.join(starts, "gram").groupBy("key").agg(F.collect_set("pattern").alias("patterns"))  # at most what the message's own grams begin
+    held = said.join(maybe, "key").select("key", F.explode(F.filter("patterns", lambda x: F.col("said").contains(x))).alias("pattern"))
+    return held
+
+
+def named_in(said: DataFrame, patterns: DataFrame, automaton_patterns: int = AUTOMATON_PATTERNS) -> DataFrame:
+    """Pairs (key, pattern) of the messages (key, said) and the patterns (pattern) that stand in them."""
+    distinct = checkpointed(patterns.select("pattern").distinct())
+    long = distinct.where(F.length("pattern") >= LONG)
+    if long.count() <= automaton_patterns:
+        inside = _by_automaton(said, [r[0] for r in long.collect()])
+    else:
+        inside = _by_grams(said, long)
+    words = said.select("key", F.explode(F.array_distinct(X.tokens(F.col("said")))).alias("pattern"))
+    return inside.unionByName(words.join(distinct.where(F.length("pattern") < LONG), "pattern").select("key", "pattern"))
+
+
+def score_messages(messages: DataFrame, papers: DataFrame, automaton_patterns: int = AUTOMATON_PATTERNS) -> DataFrame:
     """Scores of papers that messages seem to name (message, text; id, title), with the keywords found.
 
-    Equal messages are scored once.
+    Equal messages are scored once. Messages meet the distinct names and keywords, and only what
+    stands in them goes on to the papers.
     """
-    aliases = paper_aliases(papers)
-    m = messages.select("message", X.norm_ref("text").alias("said"))
-    said = m.select("said").distinct()
-    rows = _meeting(said, aliases).join(aliases, "id").withColumn("words", F.array_distinct(X.tokens(F.col("said"))))
-    title = F.when((F.length("normal") >= 6) & F.col("said").contains(F.col("normal")), 120).otherwise(0)
-    fitting = F.filter("aliases", lambda a: (F.length(a) >= GRAM) & F.col("said").contains(a))
-    by_alias = F.when(F.size(fitting) > 0, 80 + F.least(F.array_max(F.transform(fitting, lambda a: F.length(a))), F.lit(30))).otherwise(0)
-    found = F.filter("keywords", lambda k: F.array_contains("words", k) | ((F.length(k) >= GRAM) & F.col("said").contains(k)))
-    longest = F.least(F.coalesce(F.array_max(F.transform("found", lambda k: F.length(k))), F.lit(0)), F.lit(20))
-    by_words = F.when(F.size("found") > 0, 16 * F.size("found") + longest + F.when(F.size("found") >= 2, 20).otherwise(0)).otherwise(0)
-    scored = rows.withColumn("found", found).withColumn("score", F.greatest(title, by_alias) + by_words).where(F.col("score") >= LEAST)
-    return m.join(scored.select("said", "id", "score", "found"), "said").select("message", "id", "score", "found")
+    patterns = _patterns(paper_aliases(papers))
+    m = messages.select("message", X.norm_ref("text").alias("said")).withColumn("key", F.unhex(F.md5("said")))
+    said = m.groupBy("key").agg(F.first("said").alias("said"))
+    hits = named_in(said, patterns, automaton_patterns).join(patterns, "pattern")
+    size = lambda kind: F.max(F.when(F.col("kind") == kind, F.length("pattern")))
+    rows = hits.groupBy("key", "id").agg(
+        size("title").alias("title"), size("alias").alias("alias"), size("keyword").alias("longest"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "keyword", F.struct("at", "pattern")))).alias("found"),
+    )
+    by_name = F.greatest(F.when(F.col("title").isNotNull(), 120).otherwise(0), F.when(F.col("alias").isNotNull(), 80 + F.least("alias", F.lit(30))).otherwise(0))
+    n = F.size("found")
+    by_words = F.when(n > 0, 16 * n + F.least("longest", F.lit(20)) + F.when(n >= 2, 20).otherwise(0)).otherwise(0)
+    scored = rows.withColumn("score", by_name + by_words).where(F.col("score") >= LEAST).withColumn("found", F.transform("found", lambda x: x["pattern"]))
+    return m.join(scored.select("key", "id", "score", "found"), "key").select("message", "id", "score", "found")
 
 
 def relaxed_matches(messages: DataFrame, papers: DataFrame) -> DataFrame:
@@ -112,9 +159,11 @@ def resolve(messages: DataFrame, papers: DataFrame) -> DataFrame:
     free = messages.join(told.select("message"), "message", "left_anti").where(F.coalesce("top_n", F.lit(0)) <= 0)
     named = told.select("message", F.posexplode("ids").alias("at", "id")).join(papers.select("id"), "id")
     by_id = told.select("message").join(_ids(named, "ids", ["at"]), "message", "left")
+    # papers have places up to the largest number asked for; each message meets as many as it asks for
     most = counted.agg(F.max("top_n")).first()[0] or 0
-    first = [r["id"] for r in papers.orderBy("ord").limit(most).collect()]  # as many ids as a message may ask for
-    by_count = counted.select("message", F.slice(F.array(*map(F.lit, first)).cast("array<string>"), F.lit(1), F.greatest("top_n", F.lit(1))).alias("ids"))
+    first = papers.orderBy("ord").limit(most).select("id", F.row_number().over(Window.orderBy("ord")).alias("at"))
+    wanted = counted.select("message", F.explode(F.sequence(F.lit(1), F.least("top_n", F.lit(most)))).alias("at"))
+    by_count = counted.select("message").join(_ids(wanted.join(first, "at"), "ids", ["at"]), "message", "left")
     plain = by_id.unionByName(by_count).select("message", F.when(F.size(F.coalesce("ids", F.array().cast("array<string>"))) > 0, "ok").otherwise("no_match").alias("status"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.array().cast("array<string>").alias("matches"))
 
     scored = score_messages(free, papers).withColumn("down", -F.col("score"))

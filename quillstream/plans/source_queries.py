@@ -154,7 +154,7 @@ def pdf_link_urls(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS ord, max(l_partkey) % 3 <> 0 AS opened, max(l_suppkey) % 5 * 8 AS chars, max(l_suppkey) % 2 AS pages_with_text, max(l_partkey) % 4 AS images, CASE max(l_partkey) % 6 WHEN 0 THEN 'is encrypted' WHEN 1 THEN 'EOF marker not found' END AS error FROM lineitem GROUP BY 1, 2),
-t AS (SELECT * FROM (SELECT *, ['pypdf', 'pymupdf', 'pdfplumber'][CAST(ord AS INTEGER) + 1] AS extractor, chars >= 20 AND pages_with_text > 0 AND error IS NULL AS good, ord = 0 AND coalesce(contains(error, 'encrypted'), FALSE) AS locked FROM a WHERE ord < 3)),
+t AS (SELECT * FROM (SELECT *, ['pypdf', 'pymupdf', 'pdfplumber'][CAST(ord % 3 AS INTEGER) + 1] AS extractor, chars >= 20 AND pages_with_text > 0 AND error IS NULL AS good, ord = 0 AND coalesce(contains(error, 'encrypted'), FALSE) AS locked FROM a)),
 u AS (SELECT *, min(CASE WHEN good OR locked THEN ord END) OVER (PARTITION BY doc_id) AS last FROM t), v AS (SELECT * FROM u WHERE last IS NULL OR ord <= last),
 g AS (SELECT doc_id, arg_min(extractor, ord) FILTER (good) AS extractor, bool_or(locked) AS locked, bool_or(opened) AS opened, bool_or(opened AND images > 0) AS scanned, count(*) AS attempts, coalesce(string_agg(extractor || ': ' || error, '；' ORDER BY ord) FILTER (error IS NOT NULL), '') AS errors FROM v GROUP BY 1),
 k AS (SELECT o_orderkey AS doc_id, o_orderkey % 10 <> 0 AS here, g.* EXCLUDE (doc_id) FROM orders LEFT JOIN g ON g.doc_id = o_orderkey),
@@ -162,10 +162,10 @@ r AS (SELECT *, CASE WHEN NOT here THEN 'pdf_file_missing' WHEN extractor IS NOT
 SELECT doc_id, error_type, CASE WHEN here THEN extractor END AS extractor, CASE WHEN here THEN attempts END AS attempts, CASE WHEN error_type = 'pdf_parse_failed' THEN errors END AS error FROM r""")
 def extraction_outcome(spark, sf_dir):
     m = lambda c: F.max(F.col(c))
-    tries = A.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("ord")).agg(
+    tries = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("ord")).agg(
         (m("l_partkey") % 3 != 0).alias("opened"), (m("l_suppkey") % 5 * 8).alias("chars"), (m("l_suppkey") % 2).alias("pages_with_text"), (m("l_partkey") % 4).alias("image_pages"),
         F.when(m("l_partkey") % 6 == 0, "is encrypted").when(m("l_partkey") % 6 == 1, "EOF marker not found").alias("error"),
-    ).withColumn("extractor", A.pick(["pypdf", "pymupdf", "pdfplumber"], F.col("ord")))
+    ).withColumn("extractor", A.pick(["pypdf", "pymupdf", "pdfplumber"], F.col("ord") % 3))
     files = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 10 != 0).alias("exists"))
     return L.extraction_outcome(files, tries)
 

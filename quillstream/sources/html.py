@@ -58,7 +58,7 @@ def joined_url(base: Column, link: Column) -> Column:
     own, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"([?#].*)$", 1)
     whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
     step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x))
-    parts = F.aggregate(F.slice(F.split(whole, "/"), 2, 10_000), F.array().cast("array<string>"), step)
+    parts = F.aggregate(F.slice(F.split(whole, "/"), F.lit(2), F.size(F.split(whole, "/"))), F.array().cast("array<string>"), step)
     ends = F.when(F.element_at(F.split(whole, "/"), -1).isin(".", ".."), "/").otherwise("")
     return (
         F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))

@@ -91,11 +91,11 @@ def wiki_table(lines: DataFrame, society: str = "Computer Society") -> DataFrame
     """Entries of tabbed wiki rows: year, name cells, then the citation that starts with 'for '."""
     cells = F.filter(F.transform(F.split("line", "\t"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
     rows = lines.where(F.col("line").contains("\t")).select("file", "ord", cells.alias("cells")).where((F.size("cells") >= 2) & F.element_at("cells", 1).rlike(r"^\d{4}$"))
-    rest = F.slice("cells", 2, 100)
+    rest = F.slice("cells", F.lit(2), F.size("cells"))
     starts = F.transform(rest, lambda c: F.lower(c).startswith("for "))
     at = F.array_position(starts, F.lit(True)).cast("int")
     names = F.when(at > 1, F.array_join(F.slice(rest, F.lit(1), at - 1), " ")).when(at == 0, F.element_at(rest, 1)).otherwise("")
-    said = F.when(at > 0, F.array_join(F.slice(rest, F.greatest(at, F.lit(1)), F.lit(100)), " ")).otherwise(F.array_join(F.slice(rest, 2, 100), " "))
+    said = F.when(at > 0, F.array_join(F.slice(rest, F.greatest(at, F.lit(1)), F.size(rest)), " ")).otherwise(F.array_join(F.slice(rest, F.lit(2), F.size(rest)), " "))
     found = rows.select("file", "ord", F.trim(F.regexp_replace(F.regexp_replace(names, r"\[[^\]]+\]", ""), r"\s+", " ")).alias("name"), F.element_at("cells", 1).alias("year"), said.alias("citation")).where("name <> ''")
     return first_by_name(found).select("name", F.lit("ieee_fellow").alias("tag_type"), "year", "citation", F.lit(society).alias("society"))
 
