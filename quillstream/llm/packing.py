@@ -16,16 +16,16 @@ columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .arrow_text import in_pieces, ragged, release
+from .arrow_text import binary_array, in_pieces, ragged, release, utf8
 from .pieces import PairTable, _Index
 
 WINDOW, END_ID = 2048, 1
@@ -35,8 +35,11 @@ GROUP_DOCS, GROUP_BYTES = 20_000, 256 << 20
 CACHE_WORDS, CACHE_PARTS = 250_000, 300_000
 
 #: Words that the tokenizer surely splits into their letters and their punctuation alone.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)?")
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
 LONG_WORD = 200
+#: Bytes of texts with blanks for line ends and tabs.
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[[9, 10, 13]] = 32
 #: Parts of words that merge at once.
 NEW_WORDS = 50_000
 
@@ -86,11 +89,14 @@ class WordTokens:
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and counts of distinct words; plain ones are put together from their parts."""
-        forms = [_PLAIN.fullmatch(w) for w in words]
-        plain = [k for k, m in enumerate(forms) if m and len(words[k]) <= LONG_WORD]
-        other = [k for k, m in enumerate(forms) if not m or len(words[k]) > LONG_WORD]
-        parts = [p for k in plain for p in (forms[k][1].lower(), forms[k][2] or "")]
-        number = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        forms = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
+        fits = forms.is_valid().to_numpy(zero_copy_only=False) & (pc.utf8_length(pa.array(words, pa.string())).to_numpy() <= LONG_WORD)
+        plain, other = np.flatnonzero(fits), np.flatnonzero(~fits).tolist()
+        kept = forms.take(pa.array(plain))
+        letters, marks = pc.utf8_lower(kept.field("letters")), kept.field("marks")
+        parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+        known = np.fromiter(map(self.parts.__getitem__, parts.dictionary.to_pylist()), np.int64, len(parts.dictionary))
+        number = known[parts.indices.to_numpy()].reshape(2, -1).T.ravel()  # letters and marks of a word side by side
         new, self.parts.new = self.parts.new, []
         for k in range(0, len(new), NEW_WORDS):
             ids, sizes = self._encode_parts(new[k : k + NEW_WORDS])
@@ -107,19 +113,17 @@ class WordTokens:
         flat[ragged(starts[other], counts[other])] = np.fromiter((i for x in single for i in x), np.uint32)
         return flat, counts
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets; each distinct word goes to the tokenizer once."""
         if len(self.index) > CACHE_WORDS:
             self._clear_words()
         if len(self.parts) > CACHE_PARTS:
             self._clear_parts()
-        words: list[str] = []
-        counts = []
-        for t in texts:
-            own = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            counts.append(len(own))
-            words += own
-        number = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        data, offsets = utf8(texts)
+        words = pc.split_pattern(binary_array(_BLANK[data], offsets, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        known = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        number = known[coded.indices.to_numpy()]
         new, self.index.new = self.index.new, []
         for k in range(0, len(new), NEW_WORDS):
             ids, sizes = self._encode_words(new[k : k + NEW_WORDS])
@@ -127,7 +131,7 @@ class WordTokens:
         starts = np.cumsum(self.counts) - self.counts
         sizes = self.counts[number]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[ragged(starts[number], sizes)], ends[np.concatenate([[0], np.cumsum(counts)])]
+        return self.flat[ragged(starts[number], sizes)], ends[words.offsets.to_numpy()]
 
 
 def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -143,7 +147,7 @@ def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
         for whole in batches:
             for batch in in_pieces(whole, "text", 1 << 20):
                 words = words or WordTokens(shared.value)
-                flat, at = words.encode(batch.column("text").to_pylist())
+                flat, at = words.encode(batch.column("text"))
                 doc, start, length, ids, total = [], [], [], [], []
                 for d, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -25,7 +26,7 @@ def test_ids_are_the_tokenizers(tokenizer):
     texts = TEXTS + ["".join(rng.choice("aB c, d. Él#-_*%\n\t'.é́ \x1c1中😀s") for _ in range(rng.randrange(300))) for _ in range(400)]
     words = K.WordTokens(open(PATH).read())
     for part in (texts[:200], texts[200:]):
-        flat, at = words.encode(part)
+        flat, at = words.encode(pa.array(part, pa.string()))
         for i, t in enumerate(part):
             assert flat[at[i] : at[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
