@@ -31,8 +31,10 @@ from .pieces import PairTable, _Index
 WINDOW, END_ID = 2048, 1
 #: Documents, and bytes of text, that one group packs on average at most.
 GROUP_DOCS, GROUP_BYTES = 20_000, 256 << 20
-#: Distinct words, and parts of words, that a worker remembers; beyond it, it starts anew.
-CACHE_WORDS, CACHE_PARTS = 250_000, 300_000
+#: Words that went to the library, and parts of words, that a worker remembers; beyond it, it starts anew.
+CACHE_WORDS, CACHE_PARTS = 50_000, 300_000
+#: Bytes of text whose words are told apart together.
+PIECE_BYTES = 2 << 20
 
 #: Words that the tokenizer surely splits into their letters and their punctuation alone.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)$"
@@ -66,12 +68,9 @@ class WordTokens:
         char = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*printable}))}
         self.inner = np.array([ids[char[b]] for b in range(256)], np.int64)
         self.final = np.array([ids[char[b] + "</w>"] for b in range(256)], np.int64)
-        self._clear_words()
+        self.others: dict[str, np.ndarray] = {}
         self._clear_parts()
 
-    def _clear_words(self) -> None:
-        self.index, self.flat, self.counts = _Index(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
     def _clear_parts(self) -> None:
         self.parts, self.part_flat, self.part_counts = _Index(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.parts[""] = 0
@@ -87,21 +86,29 @@ class WordTokens:
         ids, word = self.table.merge(sym, np.repeat(np.arange(len(parts)), size))
         return ids.astype(np.uint32), np.bincount(word, minlength=len(parts))
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words by the library itself, which sees each of them once as long as it is remembered."""
+        if len(self.others) > CACHE_WORDS:
+            self.others.clear()
+        new = [w for w in words if w not in self.others]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.others[w] = np.array(e.ids, np.uint32)
+        return [self.others[w] for w in words]
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and counts of distinct words; plain ones are put together from their parts."""
-        forms = pc.extract_regex(pa.array(words, pa.string()), _PLAIN)
-        fits = forms.is_valid().to_numpy(zero_copy_only=False) & (pc.utf8_length(pa.array(words, pa.string())).to_numpy() <= LONG_WORD)
-        plain, other = np.flatnonzero(fits), np.flatnonzero(~fits).tolist()
+        forms = pc.extract_regex(words, _PLAIN)
+        fits = forms.is_valid().to_numpy(zero_copy_only=False) & (pc.utf8_length(words).to_numpy() <= LONG_WORD)
+        plain, other = np.flatnonzero(fits), np.flatnonzero(~fits)
         kept = forms.take(pa.array(plain))
-        letters, marks = pc.utf8_lower(kept.field("letters")), kept.field("marks")
-        parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+        parts = pa.concat_arrays([pc.utf8_lower(kept.field("letters")), kept.field("marks")]).dictionary_encode()
         known = np.fromiter(map(self.parts.__getitem__, parts.dictionary.to_pylist()), np.int64, len(parts.dictionary))
         number = known[parts.indices.to_numpy()].reshape(2, -1).T.ravel()  # letters and marks of a word side by side
         new, self.parts.new = self.parts.new, []
         for k in range(0, len(new), NEW_WORDS):
             ids, sizes = self._encode_parts(new[k : k + NEW_WORDS])
             self.part_flat, self.part_counts = np.concatenate([self.part_flat, ids]), np.concatenate([self.part_counts, sizes])
-        single = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+        single = self._library(words.take(pa.array(other)).to_pylist())
         sizes = self.part_counts[number]
         counts = np.zeros(len(words), np.int64)
         counts[plain] = sizes.reshape(-1, 2).sum(1)
@@ -110,28 +117,21 @@ class WordTokens:
         starts = np.cumsum(counts) - counts
         at = np.cumsum(self.part_counts) - self.part_counts
         flat[ragged(starts[plain], counts[plain])] = self.part_flat[ragged(at[number], sizes)]
-        flat[ragged(starts[other], counts[other])] = np.fromiter((i for x in single for i in x), np.uint32)
+        flat[ragged(starts[other], counts[other])] = np.concatenate([np.zeros(0, np.uint32), *single])
         return flat, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and n + 1 offsets; each distinct word goes to the tokenizer once."""
-        if len(self.index) > CACHE_WORDS:
-            self._clear_words()
+        """Flat ids and n + 1 offsets; each distinct word of ``texts`` is put together once."""
         if len(self.parts) > CACHE_PARTS:
             self._clear_parts()
         data, offsets = utf8(texts)
         words = pc.split_pattern(binary_array(_BLANK[data], offsets, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
-        known = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        number = known[coded.indices.to_numpy()]
-        new, self.index.new = self.index.new, []
-        for k in range(0, len(new), NEW_WORDS):
-            ids, sizes = self._encode_words(new[k : k + NEW_WORDS])
-            self.flat, self.counts = np.concatenate([self.flat, ids]), np.concatenate([self.counts, sizes])
-        starts = np.cumsum(self.counts) - self.counts
-        sizes = self.counts[number]
+        flat, counts = self._encode_words(coded.dictionary)
+        number, starts = coded.indices.to_numpy(), np.cumsum(counts) - counts
+        sizes = counts[number]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[ragged(starts[number], sizes)], ends[words.offsets.to_numpy()]
+        return flat[ragged(starts[number], sizes)], ends[words.offsets.to_numpy()]
 
 
 def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -145,7 +145,7 @@ def window_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, en
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words = None
         for whole in batches:
-            for batch in in_pieces(whole, "text", 1 << 20):
+            for batch in in_pieces(whole, "text", PIECE_BYTES):
                 words = words or WordTokens(shared.value)
                 flat, at = words.encode(batch.column("text"))
                 doc, start, length, ids, total = [], [], [], [], []
