@@ -110,7 +110,7 @@ def citation_trace(documents: DataFrame, spans: DataFrame, findings: DataFrame,
     """
     short = lambda c: X.truncated(c, TRACE_CHARS)
     listed = lambda df, name, *cols: df.select("doc_id", F.struct("ord", *cols).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias(name))
-    f = listed(findings, "findings", "page", "span_index", short("citation_text").alias("citation_text"), "keep", "aspect", "stance", "confidence", "mention_type")
+    f = listed(findings, "findings", "page", "span_index", short("citation_text").alias("citation_text"), "keep", "aspect", "stance", "function", "reason", "confidence", "mention_type")
     s = listed(spans.withColumn("ord", F.col("place")), "candidate_spans", "page", "span_index", "score", "match_type", "citation_index", "evidence", short("text").alias("text"), short("window_text").alias("window_text"))
     c = listed(contexts, "fallback_contexts", short("text").alias("text"), "confidence")
     given = F.map_filter(F.coalesce("debug", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(DEBUG_KEYS) & v.isNotNull() & (v != ""))

@@ -78,7 +78,7 @@ def evidence_ready_count(spark, sf_dir):
     return index(spark, sf_dir).agg(F.count("*").alias("items"), F.count_if("qa_ready").alias("qa_ready_count"))
 
 
-@query(_PARTS + f""", f AS (SELECT doc_id, count(*) AS n, string_agg(page || '/' || span_index || '/' || aspect || '/' || mention_type || '/' || {_short('citation_text', 700)}, chr(10) ORDER BY ord) AS x FROM said GROUP BY 1),
+@query(_PARTS + f""", f AS (SELECT doc_id, count(*) AS n, string_agg(page || '/' || span_index || '/' || aspect || '/' || mention_type || '/' || function || '/' || reason || '/' || {_short('citation_text', 700)}, chr(10) ORDER BY ord) AS x FROM said GROUP BY 1),
 s AS (SELECT doc_id, count(*) AS n, string_agg(page || '/' || span_index || '/' || score || '/' || match_type || '/' || coalesce(citation_index, '') || '/' || array_to_string(evidence, ',') || '/' || {_short('text', 700)} || '/' || {_short('window_text', 700)}, chr(10) ORDER BY place) AS x FROM spans GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n, string_agg(text || '/' || confidence, chr(10) ORDER BY ord) AS x FROM ctx GROUP BY 1)
 SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'fulltext_direct' WHEN d.doc_id % 4 = 1 THEN 'debugged' ELSE 'candidate_spans' END AS analysis_scope, coalesce(f.n, 0) AS finding_count, coalesce(s.n, 0) AS candidate_span_count, coalesce(c.n, 0) AS fallback_context_count,
@@ -100,7 +100,7 @@ def citation_trace(spark, sf_dir):
     lines = lambda c, f: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("/", *f(x))), "\n"), F.lit("")).alias(c)
     return got.select(
         "doc_id", "analysis_scope", "finding_count", "candidate_span_count", "fallback_context_count",
-        lines("findings", lambda x: [text(x[c]) for c in ("page", "span_index", "aspect", "mention_type", "citation_text")]),
+        lines("findings", lambda x: [text(x[c]) for c in ("page", "span_index", "aspect", "mention_type", "function", "reason", "citation_text")]),
         lines("candidate_spans", lambda x: [text(x["page"]), text(x["span_index"]), text(x["score"]), x["match_type"], text(x["citation_index"]), F.array_join(x["evidence"], ","), x["text"], x["window_text"]]),
         lines("fallback_contexts", lambda x: [x["text"], x["confidence"]]),
         F.array_join(F.transform(F.array_sort(F.map_entries("debug")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("debug"),

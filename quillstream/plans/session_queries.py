@@ -281,13 +281,59 @@ def semantic_stub(spark, sf_dir):
     from ..operators import semantics
 
     spans = A.marked(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.col("seq").alias("span_index"), "text")
-    return semantics.analyse(spans)
+    return semantics.cue_findings(spans).drop("error_type")
 
 
-@query("""SELECT conv_id, turn, '{"findings": [{"page": 1, "span_index": ' || turn || '}]}' AS json FROM conversations""")
+#: Answers by remainder of conv_id + turn ({t}: the turn, {x}: what was said without brackets), and the JSON that each holds.
+_ANSWERS = [
+    ('{"findings": [{"page": 1, "span_index": {t}}]}', '{"findings":[{"page":1,"span_index":{t}}]}'),
+    ('<think>{"findings": [0]} {x}</think> Answer: ```json\n{"findings": [{t}]}\n```', '{"findings":[{t}]}'),
+    ('{x} first {"a": 1} then {"findings": [{t}]} and {"b": 2}', '{"findings":[{t}]}'),
+    ('```json\n{"findings": [{t}]}\n``` {x} ```\n{broken\n```', '{"findings":[{t}]}'),
+    ('{x} <think> never closed {"findings": [1]}', None),
+    ('{x} {"a": {"b": {t}}} end', '{"b":{t}}'),
+    ('{x} list [1, {t}] and {broken', '[1,{t}]'),
+    ('no {x}', None),
+    (' [{t}, 2] ', '[{t},2]'),
+    ('{x} {"x": "a } b", "findings": null} {"y": "q\\" {"}', '{"y":"q\\" {"}'),
+]
+
+
+def _answers_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''").replace("{t}", "' || turn || '") + "'"
+    cases = " ".join(f"WHEN {k} THEN {'NULL' if want is None else quote(want)}" for k, (_, want) in enumerate(_ANSWERS))
+    return f"SELECT conv_id, turn, CASE (conv_id + turn) % {len(_ANSWERS)} {cases} END AS json FROM conversations"
+
+
+@query(_answers_sql())
 def json_recover(spark, sf_dir):
     from ..operators import semantics
 
-    wrapped = F.concat(F.lit("<think>"), F.coalesce("text", F.lit("")), F.lit("</think> Answer: ```json\n{\"findings\": [{\"page\": 1, \"span_index\": "), F.col("turn").cast("string"), F.lit("}]}\n```"))
-    rows = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", wrapped.alias("answer"))
-    return rows.withColumn("json", semantics.recovered_json("answer")).select("conv_id", "turn", "json")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]{}`<>]", "")
+    filled = lambda form: F.replace(F.replace(F.lit(form), F.lit("{t}"), F.col("turn").cast("string")), F.lit("{x}"), said)
+    kind = (F.col("conv_id") + F.col("turn")) % len(_ANSWERS)
+    answer = F.coalesce(*(F.when(kind == k, filled(form)) for k, (form, _) in enumerate(_ANSWERS)))
+    rows = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"))
+    return semantics.recovered_json(rows, "answer").select("conv_id", "turn", "json")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 12 AS k, doc_id % 5 = 4 AS two, doc_id % 35 = 3 AS odd, doc_id % 11 = 5 AS bare FROM documents),
+r AS (SELECT doc_id, bare, CASE WHEN odd THEN 'invalid_analysis_mode' WHEN bare AND NOT two AND doc_id % 2 = 0 THEN 'fulltext_direct_empty_text' WHEN bare THEN NULL
+    WHEN two THEN CASE k WHEN 2 THEN 'local_model_request_failed' WHEN 3 THEN 'deepseek_request_failed' WHEN 4 THEN 'deepseek_request_failed' WHEN 5 THEN 'blank_model_output' WHEN 6 THEN 'blank_model_output' WHEN 7 THEN 'deepseek_json_parse_failed' WHEN 8 THEN 'deepseek_json_parse_failed' WHEN 9 THEN 'deepseek_json_parse_failed' END
+    ELSE CASE k WHEN 2 THEN 'single_model_request_failed' WHEN 3 THEN 'single_model_request_failed' WHEN 4 THEN 'single_model_request_failed' WHEN 5 THEN 'blank_model_output' WHEN 6 THEN 'single_model_json_parse_failed' WHEN 7 THEN 'single_model_schema_invalid' WHEN 8 THEN 'single_model_schema_invalid' WHEN 9 THEN 'single_model_schema_invalid' END END AS error_type, k FROM d)
+SELECT doc_id, error_type, CASE WHEN error_type LIKE '%request_failed' THEN CASE k WHEN 2 THEN 'request_failed' WHEN 3 THEN 'service_unreachable' WHEN 4 THEN 'context_length_exceeded' END END AS error_detail,
+  CASE WHEN error_type IS NULL AND NOT bare THEN (doc_id % 5 + 1) || '/' || (doc_id % 3) || '/method/' || CASE WHEN doc_id % 2 = 0 THEN 'explicit_citation' ELSE 'weak_body_mention' END || '/1.0|' || (doc_id % 5 + 1) || '/7/other/explicit_citation/0.6' ELSE '' END AS findings FROM r""")
+def model_analysis(spark, sf_dir):
+    from ..operators import semantics
+    from . import stubs
+
+    d = F.col("doc_id")
+    mode = F.when(d % 35 == 3, "odd").when(d % 5 == 4, " Legacy_Two_Stage").otherwise(F.when(d % 2 == 0, "single_model").otherwise(""))
+    scope = F.when(d % 2 == 0, "fulltext_direct").otherwise("candidate_spans")
+    prompt = F.concat(F.lit("paper "), d.cast("string"), F.lit(": "), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", mode.alias("mode"), scope.alias("scope"), F.when(d % 11 != 5, prompt).alias("prompt"))
+    found = semantics.by_mode(rows, stubs.answering, stubs.writing, stubs.answering)
+    said = F.concat_ws("/", F.col("page").cast("string"), F.col("span_index").cast("string"), "aspect", "mention_type", F.col("confidence").cast("string"))
+    listed = semantics.typed_findings(found).select("doc_id", F.struct("ord", said.alias("s")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    listed = listed.select("doc_id", F.array_join(F.transform("xs", lambda x: x["s"]), "|").alias("findings"))
+    return found.select("doc_id", "error_type", "error_detail").join(listed, "doc_id", "left").fillna("", ["findings"])

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.plans import analysis
+from quillstream.operators import semantics
+from quillstream.plans import analysis, stubs
 from quillstream.sources import works
 
 TITLE = "Quantum Widgets: Reliable Gadget Assembly"
@@ -54,8 +55,8 @@ def test_weak_findings_reach_the_status(spark):
     """Without a kept finding, a top span at the paper's number counts as a weak mention."""
     reference = "References\n\n[7] A. Author. Quantum widgets: reliable gadget assembly. Proc. vol. 3, 2001, 2002."
     pages = spark.createDataFrame([(1, 1, "Intro text.\n\nPlain words of [7] here.\n\nOther text."), (1, 2, reference)], "doc_id long, page int, text string")
-    quiet = lambda text: {"keep": False, "aspect": "other", "stance": "neutral", "confidence": 0.1, "mention_type": "explicit_citation"}
-    got = analysis.analyse_papers(pages, TITLE, provider=quiet).collect()
+    quiet = lambda spans: semantics.cue_findings(spans).withColumn("keep", F.lit(False))
+    got = analysis.analyse_papers(pages, TITLE, analyse=quiet).collect()
     assert [(r.status, r.findings) for r in got] == [("mention_only", 1)]
 
 
@@ -70,3 +71,34 @@ def test_streamed_task_states_are_those_of_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.session, r.at, r.state, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.session, r.at, r.state, r.accepted) for r in tasks.task_states(frame).collect()} and len(got) == 8
+
+
+REFERENCE = "References\n\n[7] A. Author. Quantum widgets: reliable gadget assembly. Proc. vol. 3, 2001, 2002."
+
+
+def test_each_failure_is_a_status(spark):
+    """What a stage could not do is told once, by the first stage that failed, and no document is dropped."""
+    text = "Intro text.\n\nWe apply the widgets of [7] to assembly.\n\nOther text."
+    pages = spark.createDataFrame([(d, p, t) for d in range(1, 7) for p, t in ((1, text), (2, REFERENCE))], "doc_id long, page int, text string")
+    downloads = spark.createDataFrame([(d, d not in (2, 7), "no_url" if d in (2, 7) else None) for d in (1, 2, 3, 4, 5, 7, 8)], "doc_id long, ok boolean, error_type string")
+    extraction = spark.createDataFrame([(2, "odd"), (3, "pdf_encrypted"), (4, None), (8, "empty_text_pdf")], "doc_id long, error_type string")
+
+    def analyse(spans):
+        lost = spans.where("doc_id = 5").select("doc_id", F.lit("blank_model_output").alias("error_type")).distinct()
+        return semantics.cue_findings(spans.where("doc_id <> 5")).unionByName(lost, allowMissingColumns=True)
+
+    got = {r.doc_id: (r.status, r.error_type, r.findings) for r in analysis.analyse_papers(pages, TITLE, downloads=downloads, extraction=extraction, analyse=analyse).collect()}
+    assert got == {
+        1: ("fulltext_analyzed", None, 3), 2: ("context_only", "no_url", 0), 3: ("fulltext_extract_failed", "pdf_encrypted", 0), 4: ("fulltext_analyzed", None, 3),
+        5: ("analysis_failed", "blank_model_output", 0), 6: ("fulltext_analyzed", None, 3), 7: ("context_only", "no_url", 0), 8: ("fulltext_extract_failed", "empty_text_pdf", 0),
+    }
+
+
+def test_analysis_by_prompts(spark):
+    """The endpoint sees one prompt a paper; its findings and refusals reach the statuses."""
+    text = "Intro.\n\nWe apply the widgets of [7], paper %d, to assembly.\n\nOther text."
+    pages = spark.createDataFrame([(d, p, t) for d in (2, 6, 12, 23) for p, t in ((1, text % d), (2, REFERENCE))], "doc_id long, page int, text string")
+    asked = analysis.prompted("Quantum Widgets", "2001", ["QW"], lambda payloads: semantics.single_model(payloads, stubs.answering))
+    got = {r.doc_id: (r.status, r.error_type) for r in analysis.analyse_papers(pages, TITLE, analyse=asked).collect()}
+    assert got[2] == ("analysis_failed", "single_model_request_failed") and got[6] == ("analysis_failed", "single_model_json_parse_failed")
+    assert got[12][1] is None and got[23][1] is None

@@ -6,7 +6,6 @@ from quillstream.operators import papers as P
 from quillstream.operators import passages as S
 from quillstream.operators import people as E
 from quillstream.operators import selection as N
-from quillstream.operators import semantics
 
 
 def value(spark, column):
@@ -138,17 +137,6 @@ def test_arxiv(spark, query, want):
     assert value(spark, X.arxiv_strict(F.lit(query))) == want
 
 
-@pytest.mark.parametrize(
-    ("answer", "want"),
-    [
-        ('{"findings": []}', '{"findings": []}'), ('<think>{"x": 1}</think> so ```json\n{"findings": [1]}\n```', '{"findings": [1]}'),
-        ('first {"a": 1} then {"findings": []} and {"b": 2}', '{"findings": []}'), ("nothing", None), (None, None), ("[1, 2] {broken", "[1, 2]"),
-    ],
-)
-def test_json_recovery(answer, want):
-    assert semantics.best_json(answer) == want
-
-
 def test_fetch_size():
     assert P.fetch_size(500) == 2500 and P.fetch_size(5001) == 10_000 and P.fetch_size(3) == 100
 
