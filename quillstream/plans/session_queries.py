@@ -9,8 +9,11 @@ from ..functions import text as X
 from ..operators import findings as M
 from ..operators import passages as S
 from ..operators import selection as N
+from ..session import scratch
 from ..sources import html as H
+from ..sources import snapshots as Z
 from ..streaming import tasks as T
+from ..streaming import views as U
 
 QUERIES, SQL = {}, {}
 
@@ -337,3 +340,50 @@ def model_analysis(spark, sf_dir):
     listed = semantics.typed_findings(found).select("doc_id", F.struct("ord", said.alias("s")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     listed = listed.select("doc_id", F.array_join(F.transform("xs", lambda x: x["s"]), "|").alias("findings"))
     return found.select("doc_id", "error_type", "error_detail").join(listed, "doc_id", "left").fillna("", ["findings"])
+
+
+@query(TASKS + "SELECT session, event_id AS ord, state, accepted FROM st")
+def task_stream(spark, sf_dir):
+    """The events in micro-batches through keyed state; the same rows as in one batch."""
+    found = T.replayed(requests(spark, sf_dir), scratch(spark))
+    return found.where("ord IS NOT NULL").select("session", "ord", "state", "accepted")
+
+
+@query("""WITH c AS (SELECT event_id, user_id, (['discover', 'extend', 'refresh', 'download', 'analyze', 'odd'])[CAST(event_id % 6 AS INTEGER) + 1] AS command FROM events)
+SELECT CAST(user_id AS VARCHAR) AS session, event_id AS ord, CASE command WHEN 'extend' THEN 'discover' ELSE command END AS task_type,
+  CASE command WHEN 'discover' THEN '正在发现引用论文…' WHEN 'extend' THEN '正在继续发现引用论文到 ' || greatest(event_id % 40, event_id % 17) || ' 篇…' WHEN 'refresh' THEN '正在刷新下载探测状态…' WHEN 'download' THEN '正在下载所选论文…' ELSE '正在进行全文分析…' END AS message,
+  CASE WHEN command IN ('refresh', 'download', 'analyze') THEN 'P' || event_id % 9 ELSE '' END AS ids, CASE WHEN command = 'analyze' THEN CASE WHEN event_id % 4 = 0 THEN 8 ELSE 3 END END AS top_k_spans,
+  CASE WHEN command = 'analyze' AND event_id % 12 = 4 THEN 'fulltext_direct' ELSE 'candidate_spans' END AS analysis_scope
+FROM c WHERE command <> 'odd'""")
+def task_starts(spark, sf_dir):
+    e = F.col("event_id")
+    commands = A.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), A.pick(["discover", "extend", "refresh", "download", "analyze", "odd"], e % 6).alias("command"), F.col("ts").alias("at"), e.alias("ord"),
+        F.array(F.concat(F.lit("P"), (e % 9).cast("string"))).alias("ids"), F.when(e % 4 != 0, 3).alias("top_k"), F.when(e % 12 == 4, " Full-Text ").otherwise("spans").alias("scope"), (e % 40).alias("wanted"), (e % 17).alias("held"),
+    )
+    return T.task_starts(commands).select("session", "ord", "task_type", "message", F.array_join("requested_ids", ",").alias("ids"), "top_k_spans", "analysis_scope")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS session_id, o_custkey, o_orderkey % 3 AS r FROM orders)
+SELECT session_id, CASE r WHEN 0 THEN 'again ' || o_custkey WHEN 1 THEN 'query ' || o_custkey ELSE '' END AS query, CASE r WHEN 0 THEN 'succeeded' ELSE 'idle' END AS task_status, CASE r WHEN 0 THEN 2 WHEN 1 THEN o_custkey % 30 ELSE 0 END::BIGINT AS paper_count, 'candidate_spans' AS analysis_scope, FALSE AS task_active FROM s""")
+def session_versions(spark, sf_dir):
+    """Sessions of a first version, a third of them replaced by a second one with other fields."""
+    orders = A.table(spark, sf_dir, "orders")
+    key, who = F.col("o_orderkey").alias("session_id"), F.col("o_custkey")
+    store = Z.Snapshots(spark, scratch(spark))
+    store.publish(orders.select(key, F.when(F.col("o_orderkey") % 3 != 2, F.concat(F.lit("query "), who.cast("string"))).alias("query"), F.when(F.col("o_orderkey") % 3 == 1, who % 30).alias("paper_count")))
+    newer = orders.where("o_orderkey % 3 = 0").select(key, F.concat(F.lit("again "), who.cast("string")).alias("query"), F.lit("succeeded").alias("task_status"), F.lit(2).cast("long").alias("paper_count"))
+    store.update(lambda old: Z.replaced(old, newer, "session_id"))
+    return Z.with_defaults(store.read()).select("session_id", "query", "task_status", "paper_count", "analysis_scope", "task_active")
+
+
+_KEY = "coalesce(nullif(corpus_id, ''), nullif(doi, ''), nullif(arxiv_id, ''), nullif(lower(trim(title)), ''))"
+
+
+@query(f"""WITH {A.PAPERS_SQL}, f AS (SELECT * FROM papers WHERE {_KEY} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY ord % 4, ord) = 1),
+g AS (SELECT venue, count(*) AS n, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence IN ('high', 'medium')) AS confident, min(year) AS year_min, max(year) AS year_max FROM f GROUP BY venue)
+SELECT *, CASE WHEN n >= 10 OR high >= 2 OR confident >= 4 THEN 'high' WHEN n >= 5 OR confident >= 2 THEN 'medium' ELSE 'low' END AS impact_level FROM g""")
+def incremental_views(spark, sf_dir):
+    """Papers that come in four batches; the views follow by deltas."""
+    papers = A.papers(spark, sf_dir)
+    return U.follow([papers.where(F.col("ord") % 4 == k) for k in range(4)], scratch(spark), "venue")

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions import text as X
+from ..session import scratch
+from ..sources import cache as K
+from ..sources import cursors as C
 from ..sources import fulltext as L
 from ..sources import html as H
 from ..sources import registries as G
 from ..sources import works as W
+from . import stubs
 
 QUERIES, SQL = {}, {}
 
@@ -75,15 +79,32 @@ def common_schema(spark, sf_dir):
     return W.common_schema(foreign).withColumn("authors", who)
 
 
-@query("""SELECT i AS n, 'row ' || i AS text FROM range(250) t(i)""")
+@query("SELECT page_id, url FROM pages")
 def paged_scan(spark, sf_dir):
-    def fails_late(offset, count):
-        if offset >= 100:
-            raise RuntimeError("unreachable")
-        return [(k, "partial") for k in range(offset, offset + count)]
+    """Pages of a service by offset; the first service fails on a late page, so all rows are those of the second."""
+    service = stubs.TableService(f"{sf_dir}/pages.parquet", ["page_id", "url"])
+    wanted = A.table(spark, sf_dir, "pages").count()
+    good = W.paged_source("quill_secondary", "page_id long, url string", service.page, wanted)
+    return W.scan(spark, W.paged_source("quill_primary", "page_id long, url string", stubs.late_failure(service, 100), wanted + 100), good)
 
-    good = W.paged_source("quill_secondary", "n long, text string", lambda offset, count: [(k, f"row {k}") for k in range(offset, min(offset + count, 250))], 400)
-    return W.scan(spark, W.paged_source("quill_primary", "n long, text string", fails_late, 300), good)
+
+@query("SELECT page_id, url FROM pages")
+def cursor_scan(spark, sf_dir):
+    """All pages of a service that gives the next cursor with each page."""
+    service = stubs.TableService(f"{sf_dir}/pages.parquet", ["page_id", "url"])
+    return C.cursor_rows(spark, "quill_cursors", "page_id long, url string", service.at, service.following)
+
+
+@query("""WITH u AS (SELECT url, min(page_id) AS first, list_sum(list_transform(range(octet_length(encode(url))), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::BIGINT)) AS k FROM pages WHERE url IS NOT NULL GROUP BY url),
+s AS (SELECT url, first, CASE WHEN k % 5 = 0 THEN 'status 404' WHEN k % 7 = 0 THEN 'timed out' END AS error FROM u)
+SELECT url, CASE WHEN error IS NULL THEN 'page of ' || url END AS text, error, error IS NULL AND first % 2 = 0 AS cached FROM s""")
+def cached_fetch(spark, sf_dir):
+    """Half of the pages are in the cache when all of them are wanted."""
+    pages = A.table(spark, sf_dir, "pages")
+    path = scratch(spark)
+    first = pages.where("url IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id")).where("page_id % 2 = 0")
+    K.read_through(first, path, stubs.fetching, waits=(0.0,), pause=0)
+    return K.read_through(pages, path, stubs.fetching, waits=(0.0, 0.0), pause=0)
 
 
 _SOURCES = "['local', 'open_access', 'unpaywall', 'landing_page', 'openalex', 'arxiv', 'core', 'odd']"

@@ -45,3 +45,54 @@ def writing(request: dict) -> tuple[int, str]:
     if n % KINDS == 2:
         return 500, "boom"
     return 200, body("" if n % KINDS in (5, 6) else f"It cites paper {n}.", "" if n % KINDS == 6 else f"I think of paper {n}.")
+
+
+class TableService:
+    """A remote service over the rows of a Parquet table: pages by offset or by cursor, in the order of the files.
+
+    ``path`` must be one that the tasks can open; a real service would be called over the network.
+    """
+
+    def __init__(self, path: str, columns: list[str], page_rows: int = 100):
+        self.path, self.columns, self.page_rows = path, columns, page_rows
+
+    def _table(self):
+        import pyarrow.dataset as ds
+
+        return ds.dataset(self.path.removeprefix("file:"))
+
+    def rows(self) -> int:
+        return self._table().count_rows()
+
+    def page(self, offset: int, count: int) -> list[tuple]:
+        total = self.rows()
+        found = self._table().take(list(range(min(offset, total), min(offset + count, total))), columns=self.columns)
+        return list(zip(*(found.column(c).to_pylist() for c in self.columns), strict=True))
+
+    def at(self, cursor: str) -> list[tuple]:
+        return self.page(0 if cursor == "*" else int(cursor[1:]), self.page_rows)
+
+    def following(self, cursor: str) -> str | None:
+        after = (0 if cursor == "*" else int(cursor[1:])) + self.page_rows
+        return f"c{after}" if after < self.rows() else None
+
+
+def late_failure(service: TableService, good_rows: int):
+    """The service's pages, of which all from ``good_rows`` on are out of reach."""
+
+    def page(offset: int, count: int) -> list[tuple]:
+        if offset >= good_rows:
+            raise RuntimeError("unreachable")
+        return [(None, "partial")] * count
+
+    return page
+
+
+def fetching(url: str) -> tuple[int, str]:
+    """A page about the URL itself; every fifth is missing, every seventh out of reach."""
+    k = sum(url.encode())
+    if k % 5 == 0:
+        return 404, "not here"
+    if k % 7 == 0:
+        raise TimeoutError("timed out")
+    return 200, f"page of {url}"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SMALL_BYTES else df
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session, set up where it is not yet."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
@@ -63,10 +76,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     local session (tests, notebooks) gets a temporary one; on a cluster, whose machines do
     not share local folders, this is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path beside the checkpoints, for tables that several steps of a query share."""
+    return f"{_checkpoint_folder(spark)}/{uuid.uuid4()}"

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import papers as P
+from ..operators.views import analysis_scope
+
+#: What a task that ran too long fails with.
+TIMED_OUT = "timed out"
+_STATES_SCHEMA = "session string, at timestamp, ord long, state string, accepted boolean, reason string"
+_STATES = [x.split()[0] for x in _STATES_SCHEMA.split(", ")]
 
 
 def task_states(requests: DataFrame) -> DataFrame:
@@ -28,30 +37,119 @@ def task_status(requests: DataFrame) -> DataFrame:
     return task_states(requests).groupBy("session").agg(F.count("*").alias("requests"), F.count_if(~F.col("accepted")).alias("refused"), F.max_by("state", F.struct("at", "ord")).alias("state"))
 
 
-def single_flight(requests: DataFrame) -> DataFrame:
-    """States of tasks in a stream: a request is refused while its session is busy.
+class _Flight(StatefulProcessor):
+    """One task a session: refuses a start while one runs, and fails a task that runs too long."""
 
-    ``requests``: session string, kind string ('start', 'succeed' or 'fail'), at timestamp.
-    Works on streams and emits one row per request that changed a state or was refused.
-    """
-    import pandas as pd
+    def __init__(self, stuck_ms: int | None):
+        self.stuck_ms = stuck_ms
 
-    out = T.StructType([T.StructField("session", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("state", T.StringType()), T.StructField("accepted", T.BooleanType())])
-    kept = T.StructType([T.StructField("state", T.StringType())])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "state string, ends long")
 
-    def step(key, batches, state):
-        now = state.get[0] if state.exists else "idle"
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("at").itertuples():
-            busy = now == "running"
-            accepted = busy != (r.kind == "start")
+    def handleInputRows(self, key, rows, timerValues):
+        state, ends = self.task.get() if self.task.exists() else ("idle", None)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at", "ord"]).itertuples():
+            now = r.at.value // 1_000_000
+            if ends is not None and now >= ends:  # the time ran out before this request
+                out.append((key[0], pd.Timestamp(ends, unit="ms"), None, "failed", True, TIMED_OUT))
+                state, ends = "failed", self._stop(ends)
+            accepted = (state == "running") != (r.kind == "start")
             if accepted:
-                now = {"start": "running", "succeed": "succeeded", "fail": "failed"}[r.kind]
-            rows.append((key[0], r.at, now, accepted))
-        state.update((now,))
-        yield pd.DataFrame(rows, columns=out.names)
+                ends = self._stop(ends)
+                state = {"start": "running", "succeed": "succeeded", "fail": "failed"}[r.kind]
+                if state == "running" and self.stuck_ms is not None:
+                    ends = now + self.stuck_ms
+                    self.handle.registerTimer(ends)
+            out.append((key[0], r.at, r.ord, state, accepted, ""))
+        self.task.update((state, ends))
+        yield pd.DataFrame(out, columns=_STATES).astype({"ord": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        state, ends = self.task.get() if self.task.exists() else ("idle", None)
+        if state == "running" and ends is not None and expiredTimerInfo.getExpiryTimeInMs() >= ends:
+            self.task.update(("failed", None))
+            yield pd.DataFrame([(key[0], pd.Timestamp(ends, unit="ms"), None, "failed", True, TIMED_OUT)], columns=_STATES).astype({"ord": "Int64"})
+
+    def _stop(self, ends):
+        if ends is not None:
+            self.handle.deleteTimer(ends)
+        return None
+
+    def close(self) -> None:
+        """Nothing is open between batches."""
+
+
+def single_flight(requests: DataFrame, stuck_after: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """States of tasks in a stream: a request is refused while its session is busy.
 
-    return requests.groupBy("session").applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    ``requests``: session string, kind string ('start', 'succeed' or 'fail'), at timestamp, ord
+    long; requests of one time count in the order of ord. Emits a row per request (ord, state,
+    accepted) and, with ``stuck_after`` (an interval such as '2 hours'), one without ord for each
+    task that ran so long in the time of the requests: it failed, and the session is free again.
+    ``delay`` is how late requests may come in then. The state needs the RocksDB state store (``streaming_conf``).
+    """
+    ms = None if stuck_after is None else int(pd.Timedelta(stuck_after).total_seconds() * 1000)
+    rows = requests.select("session", "kind", F.col("at").cast("timestamp").alias("at"), F.col("ord").cast("long").alias("ord"))
+    rows = rows if ms is None else rows.withWatermark("at", delay)
+    mode = "None" if ms is None else "EventTime"
+    return rows.groupBy("session").transformWithStateInPandas(_Flight(ms), _STATES_SCHEMA, "Append", mode)
+
+
+@contextmanager
+def streaming_conf(spark: SparkSession):
+    """The settings that keyed state with timers needs, for queries that start inside; the session's own come back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def replayed(requests: DataFrame, path: str, slices: int = 3, files: int = 2, stuck_after: str | None = None) -> DataFrame:
+    """The states of a table of requests, run through the stream in micro-batches; ``path`` is a new shared folder.
+
+    Requests are written as slices of time, one after another; a session's requests of a slice
+    lie in one file, and files are read in the order in which they were written.
+    """
+    spark = requests.sparkSession
+    requests = requests.select("session", "kind", F.col("at").cast("timestamp").alias("at"), "ord")
+    low, high = requests.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    part = F.least(F.floor((F.unix_micros("at") - F.lit(low or 0)) * slices / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(slices - 1))
+    for k in range(slices):
+        requests.where(part == k).repartition(files, "session").write.mode("append").parquet(f"{path}/in")
+    with streaming_conf(spark):
+        source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        run = single_flight(source, stuck_after).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(_STATES_SCHEMA).parquet(f"{path}/out")
+
+
+# What tasks of each type say while they run and when they succeed.
+RUNNING = {"discover": "正在发现引用论文…", "extend": "正在继续发现引用论文到 %s 篇…", "refresh": "正在刷新下载探测状态…", "download": "正在下载所选论文…", "analyze": "正在进行全文分析…"}
+DONE = {"discover": "Discover 完成", "extend": "继续 Discover 完成", "refresh": "Refresh 完成", "download": "Download 完成", "analyze": "Analyze 完成"}
+TOP_SPANS = 8
+
+
+def task_starts(commands: DataFrame) -> DataFrame:
+    """Start requests of commands, for ``task_states`` and ``single_flight``: what each task is called, asks for and says.
+
+    ``commands``: session, command (discover, extend, refresh, download or analyze), at, ord, ids
+    (array), top_k, scope, wanted and held (papers that an extension wants, and that are there).
+    An extension is a discover task and never shrinks; others than these are passed over.
+    """
+    said = lambda texts: F.try_element_at(F.create_map(*(F.lit(x) for p in texts.items() for x in p)), F.col("command"))
+    extend, analyze = F.col("command") == "extend", F.col("command") == "analyze"
+    limit = F.when(extend, F.greatest(F.coalesce("wanted", "held", F.lit(0)), F.coalesce("held", F.lit(0))))
+    running = F.when(extend, F.format_string(RUNNING["extend"], limit.cast("string"))).otherwise(said(RUNNING))
+    return commands.where(F.col("command").isin(list(RUNNING))).select(
+        "session", F.lit("start").alias("kind"), "at", "ord", F.when(extend, "discover").otherwise(F.col("command")).alias("task_type"), running.alias("message"), said(DONE).alias("success_message"),
+        F.coalesce(F.when(F.col("command").isin("refresh", "download", "analyze"), F.col("ids")), F.array().cast("array<string>")).alias("requested_ids"), limit.alias("limit"),
+        F.when(analyze, F.coalesce("top_k", F.lit(TOP_SPANS))).alias("top_k_spans"), F.when(analyze, analysis_scope(F.col("scope"))).otherwise("candidate_spans").alias("analysis_scope"),
+    )
 
 
 def arrivals(papers: DataFrame, delay: str = "1 hour") -> DataFrame:

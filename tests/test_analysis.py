@@ -60,19 +60,6 @@ def test_weak_findings_reach_the_status(spark):
     assert [(r.status, r.findings) for r in got] == [("mention_only", 1)]
 
 
-def test_streamed_task_states_are_those_of_the_batch(spark, tmp_path):
-    from quillstream.streaming import tasks
-
-    rows = [("a", "start", 1), ("a", "start", 2), ("a", "succeed", 3), ("a", "fail", 4), ("b", "fail", 1), ("b", "start", 2), ("b", "fail", 3), ("b", "start", 4)]
-    frame = spark.createDataFrame(rows, "session string, kind string, n int").selectExpr("session", "kind", "timestamp_seconds(n) AS at", "n AS ord")
-    frame.write.parquet(str(tmp_path / "in"))
-    stream = tasks.single_flight(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.session, r.at, r.state, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(r.session, r.at, r.state, r.accepted) for r in tasks.task_states(frame).collect()} and len(got) == 8
-
-
 REFERENCE = "References\n\n[7] A. Author. Quantum widgets: reliable gadget assembly. Proc. vol. 3, 2001, 2002."
 
 
