@@ -2,11 +2,15 @@
 
 1. Every document gets its set of word shingles, a MinHash signature and a digest of the set.
    Documents with equal sets are collapsed to one representative.
-2. The forest: several orders of the signature (rotations), each sorted by prefix. Documents
-   that share the first ``depth`` hashes of an order form a region. ``depth`` and the number
-   of orders follow from the similarity: a pair at it is missed with a chance below 2e-5.
-3. In a region, representatives whose whole signatures agree well enough are joined. The
-   joins of all regions give clusters: a superset of the true groups.
+2. The forest: several orders of the signature (rotations by ``depth`` hashes), each sorted. In a
+   sorted order, neighbours have the longest common prefixes: a region is a run of neighbours
+   that share ``depth`` hashes and more. ``depth`` and the number of orders follow from the
+   similarity: a pair at it is missed with a chance below 2e-5. Signatures without company at
+   ``depth`` in an order take no part in it.
+3. In a region, neighbours are candidates from the longest common prefix downwards: runs that
+   share more are joined first, and what is joined already is compared through one
+   of its members in the end. Signatures that agree well enough are joined. The joins of all
+   regions give clusters: a superset of the true groups.
 4. A cluster goes to one task with the full sets of its members, which are compared exactly
    (members already connected are not compared again) and cut into components.
 5. Dense clusters, with more than ``CLUSTER_ROWS`` different sets, do not fit one task. There
@@ -158,27 +162,66 @@ class Forest:
         return x != y
 
 
-def _alike(sketch: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of rows that agree in ``least`` of their bytes."""
-    joined, edges = Forest(len(sketch)), []
-    need = least * sketch.shape[1]
-    for i in range(1, len(sketch)):
-        for j in np.flatnonzero((sketch[:i] == sketch[i]).sum(1) >= need).tolist():
-            if joined.join(i, j):
-                edges.append((i, j))
+def common_lengths(turned: np.ndarray) -> np.ndarray:
+    """Of sorted signatures, how many first hashes each shares with the one before it; 0 for the first."""
+    same = turned[1:] == turned[:-1]
+    length = np.where(same.all(1), turned.shape[1], same.argmin(1))
+    return np.concatenate([np.zeros(min(1, len(turned)), np.int64), length])
+
+
+def neighbours_joined(turned: np.ndarray, common: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the sorted signatures of a region that agree in ``least`` of their hashes.
+
+    Neighbours are compared from the longest common prefix downwards. Afterwards each signature is
+    compared with all before it that it is not joined with yet.
+    """
+    part, edges, need = np.arange(len(turned)), [], least * turned.shape[1]
+
+    def join(i: int, j: int) -> None:
+        if part[i] != part[j]:
+            part[part == part[j]] = part[i]
+            edges.append((i, j))
+
+    close = np.flatnonzero((turned[1:] == turned[:-1]).sum(1) >= need)
+    for i in close[np.argsort(-common[1:][close], kind="stable")].tolist():
+        join(i, i + 1)
+    for i in range(1, len(turned)):
+        others = np.flatnonzero(part[:i] != part[i])
+        if len(others):
+            for j in others[(turned[others] == turned[i]).sum(1) >= need].tolist():
+                join(i, j)
     return edges
 
 
-def _regions(least: float):
+def _regions(least: float, depth: int):
+    """Joins inside the regions of one partition: rows sorted by region and turned signature."""
+
+    def of_region(ids: np.ndarray, turned: np.ndarray) -> list[tuple[int, int]]:
+        common = common_lengths(turned)
+        common[1:] = np.maximum(common[1:], depth)  # a region's prefix is known by all of its bits
+        return [(ids[i], ids[j]) for i, j in neighbours_joined(turned, common, least)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held_id, held_row = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8)
+
+        def flush(upto: int) -> pa.RecordBatch:
+            """The regions that end before ``upto``."""
+            cuts = [0, *(np.flatnonzero(np.diff(held_key[:upto])) + 1).tolist(), upto]
+            pairs = [p for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1 for p in of_region(held_id[s:e], held_row[s:e])]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for members in batch.column("members").to_pylist():
-                ids = [m["doc_id"] for m in members]
-                for i, j in _alike(np.stack([np.frombuffer(m["sketch"], np.uint8) for m in members]), least):
-                    a.append(ids[i])
-                    b.append(ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            data, _ = utf8(batch.column("turned"))
+            held_key = np.concatenate([held_key, batch.column("key").to_numpy()])
+            held_id = np.concatenate([held_id, batch.column("doc_id").to_numpy()])
+            held_row = np.concatenate([held_row, data.reshape(-1, HASHES)])
+            last = int(np.searchsorted(held_key[::-1] != held_key[-1], True)) if len(held_key) else 0
+            done = len(held_key) - last  # the last region may go on
+            if done:
+                yield flush(done)
+                held_key, held_id, held_row = held_key[done:], held_id[done:], held_row[done:]
+        if len(held_key):
+            yield flush(len(held_key))
 
     return run
 
@@ -323,12 +366,14 @@ def near_duplicates(
     first = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
     reps = checkpointed(full.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"), F.count("*").alias("same_rows")))
 
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("keys").alias("t", "key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     met = checkpointed(keyed.join(counted, "key"))
     sketches = reps.select("doc_id", "sketch").join(met.select("doc_id").distinct(), "doc_id")
-    small = met.where(F.col("n") <= region_rows).join(sketches, "doc_id").groupBy("key").agg(F.collect_list(F.struct("doc_id", "sketch")).alias("members"))
-    near = small.mapInArrow(_regions(numerator / denominator - TOLERANCE), "a long, b long")
+    # each order sorted: a region lies in one partition, its neighbours side by side
+    turned = F.expr(f"concat(substring(sketch, t * {depth} + 1), substring(sketch, 1, t * {depth}))")
+    sorted_ = met.where(F.col("n") <= region_rows).join(sketches, "doc_id").select("key", "doc_id", turned.alias("turned")).repartition("key").sortWithinPartitions("key", "turned", "doc_id")
+    near = sorted_.mapInArrow(_regions(numerator / denominator - TOLERANCE, depth), "a long, b long")
     crowd = met.where(F.col("n") > region_rows).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     clusters = checkpointed(connected_components(near.unionByName(crowd)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 

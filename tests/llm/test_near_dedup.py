@@ -83,3 +83,39 @@ def test_signatures_estimate_similarity():
     sig = N.signatures(np.concatenate([x[:800], x[100:]]), np.array([800, 0, 800]))
     assert abs((sig[0] == sig[2]).mean() - 700 / 900) < 0.12
     assert N.forest_shape(85, 100) == (6, 24)
+
+
+def test_neighbours_in_sorted_order():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 4, (12, 16)).astype(np.uint8)
+    rows = np.array(sorted(map(bytes, np.concatenate([base, base[:6], np.where(rng.random((12, 16)) < 0.2, 9, base).astype(np.uint8)]))))
+    turned = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in rows.tolist()), np.uint8).reshape(-1, 16)
+    common = N.common_lengths(turned)
+    plain = [next((k for k in range(16) if a[k] != b[k]), 16) for a, b in zip(turned[:-1], turned[1:], strict=True)]
+    assert common.tolist() == [0, *plain]
+    edges = N.neighbours_joined(turned, common, 0.7)
+    parent = list(range(len(turned)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(turned)):  # all pairs, by hand
+        for j in range(i):
+            if (turned[i] == turned[j]).sum() >= 0.7 * 16:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    found = N.Forest(len(turned))
+    assert all(found.join(i, j) for i, j in edges)  # no edge too many
+    assert [found.root(i) for i in range(len(turned))] == [root(i) for i in range(len(turned))]
+
+
+def test_regions_across_batches():
+    """A region that is cut by the end of a batch is the same region."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted((int(k), rng.integers(0, 2, N.HASHES).astype(np.uint8).tobytes(), 100 + i) for i, k in enumerate(rng.integers(0, 6, 60)))
+    table = pa.table({"key": [r[0] for r in rows], "doc_id": [r[2] for r in rows], "turned": pa.array([r[1] for r in rows], pa.binary())})
+    parts = lambda size: {tuple(r.values()) for b in N._regions(0.5, 0)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()}
+    assert parts(7) == parts(60) == parts(1) and parts(60)
