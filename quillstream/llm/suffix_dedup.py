@@ -6,15 +6,17 @@ anchors, and the windows of one anchor are consecutive, so a text falls into con
 anchor, its run of window starts, and the bytes that these windows cover.
 
 1. Where documents are read, contexts are cut and their digests sent to the anchor's shard
-   (packed, one entry for contexts that repeat within a message).
+   (packed, one entry for contexts that repeat within a message). A first pass finds the hot
+   anchors, those of very many different contexts (a very common line): their contexts go to
+   shards by anchor and digest together, so no shard gets all of them.
 2. A shard sorts by anchor and context. A context seen before is repeated as a whole. Anchors
    with several different contexts need the bytes of the first of each.
 3. Texts, grouped in buckets of documents, deliver these bytes to the shards.
 4. A shard lays the contexts out in document order, builds the suffix array by induced sorting
    and the permuted common prefixes; runs of suffixes with a common prefix of ``length``
-   bytes are equal windows, and all but the first in the text are repeated. Anchors with
-   more than ``HOT_CONTEXTS`` different contexts (a very common line) would make a shard
-   uneven; their windows are matched by digests of the windows themselves instead.
+   bytes are equal windows, and all but the first in the text are repeated. The windows of hot
+   anchors are matched by digests of the windows themselves instead; of windows that are equal
+   in a bucket of documents, one is sent.
 5. The buckets of documents receive all repeated ranges and cut their union.
 
 Digests of contexts, windows and rows have 64 bits.
@@ -48,6 +50,8 @@ LENGTH, GRAM = 100, 20
 SHARD_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Contexts in a message, bytes of a suffix array, different contexts of an anchor at most.
 MESSAGE_ROWS, ARRAY_BYTES, HOT_CONTEXTS = 150_000, 1 << 20, 4096
+#: Different contexts of an anchor in one message from which it may be hot; hot anchors are at most this many of all bytes.
+MESSAGE_HOT, HOT_SHARE = 16, 1 << 18
 #: What a row without text takes in a bucket.
 ROW_BYTES = 64
 BLOCK = 1 << 16
@@ -210,14 +214,65 @@ def _repeats(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, row: np.nd
     return order, new, ~new & ((r != r[first]) | (p != p[first]))
 
 
-def _send(length: int, shard_bits: int):
+def _count_anchors(length: int, message_hot: int):
+    """Anchors with many different contexts in a message, and how many."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, digest = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((digest, anchor))
+        anchor, digest = anchor[order], digest[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+        own = anchor[new]
+        head = np.flatnonzero(np.diff(own, prepend=own[:1] ^ np.uint64(1)) != 0)
+        n = np.diff(head, append=len(own))
+        many = n >= message_hot
+        return pa.RecordBatch.from_arrays([pa.array(own[head][many].view(np.int64)), pa.array(n[many])], ["anchor", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for whole in batches:
+            for batch in in_pieces(whole, "text", 1 << 20):
+                held.append(contexts(*utf8(batch.column("text")), length)[:2])
+                if sum(len(a) for a, _ in held) >= MESSAGE_ROWS:
+                    yield flush(held)
+                    held = []
+        if held:
+            yield flush(held)
+        del held
+        release()
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, length: int, least: int, message_hot: int = MESSAGE_HOT) -> np.ndarray:
+    """Sorted hashes of the anchors with ``least`` and more contexts, as messages count them.
+
+    What a message has few of is not counted; an anchor that a part of all text shares is hot in
+    some messages at least. Any set of anchors gives right results, as only the way of
+    their contexts depends on it.
+    """
+    counts = docs.select("text").mapInArrow(_count_anchors(length, message_hot), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = [r[0] for r in counts.where(F.col("n") >= least).select("anchor").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _send(length: int, shard_bits: int, hot: np.ndarray):
     schema = _schema("to", _MESSAGE, {"cut_" + k: v for k, v in _CUT.items()})
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.Table:
         anchor, digest, doc, row, pos, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order, new, again = _repeats(anchor, digest, doc, row, pos)
         rows, keep, drop = [], order[new], order[again]
-        for shard, own in _by_key((anchor[keep] >> np.uint64(64 - shard_bits)).astype(np.int64)):
+        place = np.where(_among(anchor[keep], hot), _mixed(anchor[keep] ^ digest[keep]), anchor[keep])
+        for shard, own in _by_key((place >> np.uint64(64 - shard_bits)).astype(np.int64)):
             at = keep[own]
             rows.append({"to": shard} | _packed({"anchor": anchor[at], "digest": digest[at], "doc": doc[at], "row": row[at], "pos": pos[at].astype(np.uint32), "n": n[at].astype(np.uint8)}))
         # repeated inside this message: known already, and only passed on by some shard
@@ -246,7 +301,7 @@ def _send(length: int, shard_bits: int):
     return run, schema
 
 
-def _sort(length: int, buckets: Buckets, hot_contexts: int):
+def _sort(length: int, buckets: Buckets, hot_contexts: int, hot: np.ndarray):
     schema = _schema("bucket", _CUT, _NEED)
 
     def run(table: pa.Table) -> pa.Table:
@@ -259,13 +314,15 @@ def _sort(length: int, buckets: Buckets, hot_contexts: int):
         anchor = m["anchor"][first]
         head = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] ^ np.uint64(1)) != 0)
         several = np.repeat(np.diff(head, append=len(anchor)), np.diff(head, append=len(anchor)))
-        need, many = first[several > 1], several[several > 1]
+        split = _among(anchor, hot)  # others of these anchors are in other shards
+        wanted = (several > 1) | split
+        need, many = first[wanted], (split | (several > hot_contexts))[wanted]
         rows: dict[int, dict] = {}
         for bucket, own in buckets.by_key(cut[0]):
             rows.setdefault(bucket, {"bucket": bucket}).update(_packed({k: c[own] for k, c in zip(_CUT, cut, strict=True)}))
         for bucket, own in buckets.by_key(m["row"][need]):
             at = need[own]
-            rows.setdefault(bucket, {"bucket": bucket}).update(_packed({"need_doc": m["doc"][at], "need_row": m["row"][at], "need_pos": m["pos"][at], "need_n": m["n"][at], "need_anchor": m["anchor"][at], "hot": (many[own] > hot_contexts).astype(np.uint8)}))
+            rows.setdefault(bucket, {"bucket": bucket}).update(_packed({"need_doc": m["doc"][at], "need_row": m["row"][at], "need_pos": m["pos"][at], "need_n": m["n"][at], "need_anchor": m["anchor"][at], "hot": many[own].astype(np.uint8)}))
         return _batch(list(rows.values()), schema)
 
     return run, schema
@@ -281,7 +338,7 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _deliver(length: int, shard_bits: int):
     """The bytes that shards need, from one bucket of documents."""
-    schema = _schema("shard", _CONTEXT, {"bytes": ""}, _WINDOW)
+    schema = _schema("shard", _CONTEXT, {"bytes": ""}, _WINDOW, {"cut_" + k: v for k, v in _CUT.items()})
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         need = _joined(asked, _NEED)
@@ -303,8 +360,14 @@ def _deliver(length: int, shard_bits: int):
             n = need["need_n"][hot].astype(np.int64)
             doc, key = np.repeat(need["need_doc"][hot], n), np.repeat(need["need_row"][hot], n)
             pos = ragged(need["need_pos"][hot], n).astype(np.uint32)
-            for shard, own in _by_key((window >> np.uint64(64 - shard_bits)).astype(np.int64)):
-                rows.setdefault(shard, {"shard": shard}).update(_packed({"window": window[own], "window_doc": doc[own], "window_row": key[own], "window_pos": pos[own]}))
+            order, new, again = _repeats(window, np.zeros(len(window), np.uint64), doc, key, pos)
+            keep, drop = order[new], order[again]  # of equal windows the first goes on, the others are known already
+            for shard, own in _by_key((window[keep] >> np.uint64(64 - shard_bits)).astype(np.int64)):
+                at = keep[own]
+                rows.setdefault(shard, {"shard": shard}).update(_packed({"window": window[at], "window_doc": doc[at], "window_row": key[at], "window_pos": pos[at]}))
+            cut = _merged(key[drop], pos[drop], length)
+            for shard, own in _by_key(cut["row"] & ((1 << shard_bits) - 1)):
+                rows.setdefault(shard, {"shard": shard}).update(_packed({"cut_" + k: c[own] for k, c in cut.items()}))
         return _batch(list(rows.values()), schema)
 
     return run, schema
@@ -377,6 +440,8 @@ def _match(length: int, buckets: Buckets, array_bytes: int):
         row.append(w["window_row"][order[again]])
         pos.append(w["window_pos"][order[again]].astype(np.int64))
         cut = _merged(np.concatenate(row), np.concatenate(pos), length)
+        passed = _joined(table, {"cut_" + k: v for k, v in _CUT.items()})
+        cut = {k: np.concatenate([c, passed["cut_" + k]]) for k, c in cut.items()}
         found = _batch([{"bucket": b} | _packed({k: c[own] for k, c in cut.items()}) for b, own in buckets.by_key(cut["row"])], schema)
         release()
         return found
@@ -424,7 +489,7 @@ def _remove(with_text: bool, characters: bool, carried: list[str]):
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, with_text: bool = True, carry: tuple[str, ...] = (), characters: bool = False,
-    shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES, hot_contexts: int = HOT_CONTEXTS,
+    shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, array_bytes: int = ARRAY_BYTES, hot_contexts: int = HOT_CONTEXTS, message_hot: int = MESSAGE_HOT,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` of each document.
 
@@ -445,8 +510,9 @@ def remove_repeats(
     shard_bits = max(5, int(np.ceil(np.log2((total - rows * ROW_BYTES) / shard_bytes + 1))))
     buckets = Buckets(max(16, -(-total // bucket_bytes)), dict(map(tuple, wide)))
 
-    send, send_schema = _send(length, shard_bits)
-    sort, sort_schema = _sort(length, buckets, hot_contexts)
+    hot = hot_anchors(docs, length, max(hot_contexts, (total - rows * ROW_BYTES) // HOT_SHARE), message_hot)
+    send, send_schema = _send(length, shard_bits, hot)
+    sort, sort_schema = _sort(length, buckets, hot_contexts, hot)
     sorted_ = checkpointed(docs.mapInArrow(send, send_schema).groupBy("to").applyInArrow(sort, sort_schema))
     placed = buckets.column(with_others)  # one exchange serves both uses
     deliver, deliver_schema = _deliver(length, shard_bits)

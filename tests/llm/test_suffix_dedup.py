@@ -38,7 +38,10 @@ def make(seed):
     return [(3 * i - 40, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3}, {"array_bytes": 20_000}])
+HOT = {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3, "message_hot": 1}
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3}, {"array_bytes": 20_000}, HOT, HOT | {"hot_contexts": 1}])
 def test_against_brute_force(spark, limits):
     rows = make(len(limits))
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, bucket string").repartition(5)
@@ -67,7 +70,7 @@ def test_edges(spark):
     assert S.remove_repeats(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3}])
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 2000, "bucket_bytes": 3000, "array_bytes": 4000, "hot_contexts": 3}, HOT])
 def test_rows_that_lack_or_share_an_id(spark, limits):
     rng = random.Random(7)
     text = lambda n: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 8))) for _ in range(n))
@@ -81,3 +84,14 @@ def test_rows_that_lack_or_share_an_id(spark, limits):
     got = sorted((tuple(r) for r in S.remove_repeats(docs, **limits).collect()), key=repr)
     assert got == sorted(((r[0], *cut[r][1:4], bytearray(cut[r][4])) for r in rows), key=repr)
     assert sum(g[2] > 0 for g in got) > 20
+
+
+def test_hot_anchors_are_found(spark):
+    """The anchor of a line that many texts share has very many contexts; those of other lines have few."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("etaoinshr ") for _ in range(n))
+    line = text(95)
+    docs = spark.createDataFrame([(text(150) + line + text(150),) for _ in range(300)] + [(text(400),) for _ in range(100)], "text string").repartition(3)
+    found = S.hot_anchors(docs, 100, 100)
+    assert 1 <= len(found) <= 8 and len(S.hot_anchors(docs, 100, 5000)) == 0
+    assert (np.diff(found.astype(object)) > 0).all()
