@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import findings as M
+from . import papers as P
 
 # What a trace shows of its debug data, and lengths of excerpts.
 DEBUG_KEYS = "analysis_mode analysis_scope candidate_span_count fulltext_page_count fulltext_char_count prompt_chars llm_url llm_model output_source finish_reason content_len reasoning_len candidate_pages fulltext_pages".split()
@@ -214,12 +215,40 @@ def report_entries(results: DataFrame, labels: list[tuple[str, str]]) -> DataFra
     )
 
 
-def highlights(papers: DataFrame, group: str, k: int = 3) -> DataFrame:
+def highlights(papers: DataFrame, group: str, k: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first ``k`` papers (ord, title, confidence, context) of each group with a context to show."""
     excerpt = X.truncated("context", HIGHLIGHT_CHARS)
     rows = papers.withColumn("excerpt", excerpt).where("excerpt <> ''")
     place = F.row_number().over(Window.partitionBy(group).orderBy("ord"))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select(group, "place", "ord", "title", "confidence", "excerpt")
+    return rows.withColumn("place", place).where(F.col("place") <= k).select(group, "place", "ord", "title", "confidence", "excerpt", *keep)
+
+
+# What a quick analysis says, and how levels are called.
+LEVELS = {"high": "较高", "medium": "中等", "low": "初步"}
+NO_PAPERS = "当前会话中还没有发现引用论文。"
+OF_TOTAL, OF_SHOWN = "Semantic Scholar 当前记录总引用数约 %s 篇，本会话先展示其中 %s 篇候选论文。", "当前会话先展示 %s 篇引用论文候选。"
+SIGNALS = "%s 其中 %s 篇在 citation contexts 中呈现出中高置信度引用信号。"
+FOREMOST = "从现有上下文看，较值得优先关注的引用论文包括 %s。"
+JUDGED = "基于现有 citation contexts 的初步判断，这篇目标论文的外部影响力处于%s水平；如果需要回答“具体怎么引用、引用了多长段落”，还需要继续做全文级全面分析。"
+
+
+def quick_analysis(sessions: DataFrame, papers: DataFrame) -> DataFrame:
+    """session, status, impact_level, summary and highlights of each session from its contexts alone.
+
+    ``sessions``: session, total (all citations that are known of, or null). ``papers``: session,
+    ord, id, title, confidence, context. A session without papers is empty and says so.
+    """
+    counts = P.impact_level(papers, "session")
+    shown = highlights(papers.withColumn("named", F.concat_ws(" ", "id", "title")), "session", keep=("id", "named"))
+    best = shown.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "id", "named", "excerpt"))).alias("highlights"))  # three at most
+    rows = sessions.join(counts, "session", "left").join(best, "session", "left")
+    said = lambda form, *cols: F.format_string(form, *(F.col(c).cast("string") if isinstance(c, str) else c for c in cols))
+    intro = F.when(F.coalesce("total", F.lit(0)) > 0, said(OF_TOTAL, "total", "n")).otherwise(said(OF_SHOWN, "n"))
+    top = F.array_join(F.transform(F.slice("highlights", 1, 2), lambda h: h["named"]), "、")
+    label = F.element_at(F.create_map(*(F.lit(x) for p in LEVELS.items() for x in p)), F.col("impact_level"))
+    summary = F.concat_ws(" ", said(SIGNALS, intro, "confident"), F.when(F.size("highlights") > 0, said(FOREMOST, top)), said(JUDGED, label))
+    empty = F.col("n").isNull()
+    return rows.select("session", F.when(empty, "empty").otherwise("ready").alias("status"), "impact_level", F.when(empty, NO_PAPERS).otherwise(summary).alias("summary"), F.coalesce(F.transform("highlights", lambda h: h["excerpt"]), F.array().cast("array<string>")).alias("highlights"))
 
 
 def impact_statistics(people: DataFrame, methods: DataFrame) -> DataFrame:

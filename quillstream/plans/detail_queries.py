@@ -196,6 +196,25 @@ def context_highlights(spark, sf_dir):
     return V.highlights(A.papers(spark, sf_dir).where("year IS NOT NULL").withColumnRenamed("year", "session").join(second, "ord"), "session")
 
 
+@query(f"""WITH {A.PAPERS_SQL}, c AS (SELECT p.ord % 40 AS session, p.ord, 'P' || p.ord AS id, p.title, p.confidence, {_short("split_part(coalesce(d.text, ''), chr(10), 2)", 180)} AS excerpt FROM papers p JOIN documents d ON d.doc_id = p.ord WHERE p.ord % 40 < 35),
+h AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord) AS place FROM c WHERE excerpt <> '' QUALIFY place <= 3),
+b AS (SELECT session, string_agg(excerpt, chr(10) ORDER BY place) AS highlights, string_agg(id || ' ' || title, '、' ORDER BY place) FILTER (place <= 2) AS top FROM h GROUP BY 1),
+n AS (SELECT session, count(*) AS n, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence IN ('high', 'medium')) AS confident FROM c GROUP BY 1),
+l AS (SELECT *, CASE WHEN n >= 10 OR high >= 2 OR confident >= 4 THEN 'high' WHEN n >= 5 OR confident >= 2 THEN 'medium' ELSE 'low' END AS impact_level FROM n),
+s AS (SELECT DISTINCT doc_id % 40 AS session FROM documents)
+SELECT s.session, CASE WHEN n IS NULL THEN 'empty' ELSE 'ready' END AS status, impact_level, coalesce(highlights, '') AS highlights, CASE WHEN n IS NULL THEN '当前会话中还没有发现引用论文。' ELSE
+  CASE WHEN s.session % 3 <> 0 THEN 'Semantic Scholar 当前记录总引用数约 ' || s.session * 10 || ' 篇，本会话先展示其中 ' || n || ' 篇候选论文。' ELSE '当前会话先展示 ' || n || ' 篇引用论文候选。' END || ' 其中 ' || confident || ' 篇在 citation contexts 中呈现出中高置信度引用信号。' ||
+  CASE WHEN top IS NOT NULL THEN ' 从现有上下文看，较值得优先关注的引用论文包括 ' || top || '。' ELSE '' END || ' 基于现有 citation contexts 的初步判断，这篇目标论文的外部影响力处于' || CASE impact_level WHEN 'high' THEN '较高' WHEN 'medium' THEN '中等' ELSE '初步' END || '水平；如果需要回答“具体怎么引用、引用了多长段落”，还需要继续做全文级全面分析。' END AS summary
+FROM s LEFT JOIN l USING (session) LEFT JOIN b USING (session)""")
+def quick_analysis(spark, sf_dir):
+    """Sessions of forty groups of papers, five of them without any."""
+    session = F.col("ord") % 40
+    second = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.coalesce(F.try_element_at(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(2)), F.lit("")).alias("context"))
+    papers = A.papers(spark, sf_dir).withColumn("session", session).where("session < 35").join(second, "ord").withColumn("id", F.concat(F.lit("P"), F.col("ord").cast("string")))
+    sessions = second.select(session.alias("session")).distinct().withColumn("total", F.when(F.col("session") % 3 != 0, F.col("session") * 10))
+    return V.quick_analysis(sessions, papers).withColumn("highlights", F.array_join("highlights", "\n"))
+
+
 _PERSON = PQ.SQL["person_group_stats"]
 _METHOD = SQ.SQL["method_group_stats"]
 

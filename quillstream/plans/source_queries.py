@@ -40,11 +40,13 @@ def works(spark, sf_dir):
 
 
 _WORKS = f"""{A.PAPERS_SQL}, works AS (SELECT ord, title, year, venue, doi, CASE WHEN ord % 5 = 0 THEN lpad(CAST(ord % 9000 + 1000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(ord AS VARCHAR), 5, '0') END AS arxiv_id, ord * 3 AS citations FROM papers)"""
-_TARGETS = ["https://doi.org/10.1000/7", "1035.00035v2", "10.48550/arXiv.1040.00040", "10.1000/none"]
+_TARGETS = ["https://doi.org/10.1000/7", "1035.00035v2", "10.48550/arXiv.1040.00040", "10.1000/none", "The of and River", "Der die und zu"]
 
 
-@query(f"""WITH {_WORKS}, d AS (SELECT 0 AS asked, ord, citations FROM works WHERE lower(trim(coalesce(doi, ''))) = '10.1000/7' ORDER BY ord LIMIT 1), a AS (SELECT 1 AS asked, ord, citations FROM works WHERE arxiv_id = '1035.00035' ORDER BY ord LIMIT 1), b AS (SELECT 2 AS asked, ord, citations FROM works WHERE arxiv_id = '1040.00040' ORDER BY ord LIMIT 1)
-SELECT CAST(asked AS INTEGER) AS asked, ord, CASE WHEN asked = 0 THEN NULL ELSE citations END AS citations FROM (SELECT * FROM d UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b)""")
+@query(f"""WITH {_WORKS}, d AS (SELECT 0 AS asked, ord, citations FROM works WHERE lower(trim(coalesce(doi, ''))) = '10.1000/7' ORDER BY ord LIMIT 1), a AS (SELECT 1 AS asked, ord, citations FROM works WHERE arxiv_id = '1035.00035' ORDER BY ord LIMIT 1), b AS (SELECT 2 AS asked, ord, citations FROM works WHERE arxiv_id = '1040.00040' ORDER BY ord LIMIT 1),
+k AS (SELECT asked, {_TK.format('q')} AS a, {_TK.format('title')} AS b, ord, citations FROM works, (VALUES (4, 'The of and River'), (5, 'Der die und zu')) t(asked, q)), w AS (SELECT *, {_WORDS.format('a')} AS x, {_WORDS.format('b')} AS y FROM k),
+t AS (SELECT asked, ord, citations FROM (SELECT *, {_SIM.format('a', 'b', 'x', 'y')} AS similarity FROM w) WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, ord) = 1)
+SELECT CAST(asked AS INTEGER) AS asked, ord, CASE WHEN asked = 0 THEN NULL ELSE citations END AS citations FROM (SELECT * FROM d UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM t)""")
 def resolve_target(spark, sf_dir):
     w = works(spark, sf_dir)
     found = [W.resolve_target(w, q).select(F.lit(k).alias("asked"), "ord", "citations") for k, q in enumerate(_TARGETS)]
@@ -147,11 +149,14 @@ def local_file_match(spark, sf_dir):
 _NAMES = ["a/b\\c:d*e?f\"g<h>i|j", "", "  ", " plain "]
 
 
-@query("SELECT (['a_b_c_d_e_f_g_h_i_j', 'paper', 'paper', 'plain'])[CAST(doc_id % 4 AS INTEGER) + 1] || CASE WHEN doc_id % 4 = 3 THEN doc_id::VARCHAR ELSE '' END AS name, count(*) AS n FROM documents GROUP BY 1")
+@query(f"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/b' || chr(92) || 'c:d*e?f"g<h>i|j' WHEN 3 THEN ' plain' ELSE '' END || CASE WHEN doc_id % 4 = 2 THEN '' ELSE left(split_part(coalesce(text, ''), chr(10), 1), 200) END AS raw FROM documents)
+SELECT doc_id, {_FN.format('raw')} AS name FROM r""")
 def file_names(spark, sf_dir):
+    """Names made of the first lines of texts, with signs that file systems refuse in front of some."""
     d = F.col("doc_id")
-    raw = F.concat(F.rtrim(A.pick(_NAMES, d % 4)), F.when(d % 4 == 3, d.cast("string")).otherwise(""))
-    return A.table(spark, sf_dir, "documents").groupBy(X.file_name(raw).alias("name")).agg(F.count("*").alias("n"))
+    line = F.substring(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), 1, 200)
+    raw = F.concat(F.rtrim(A.pick(_NAMES, d % 4)), F.when(d % 4 == 2, "").otherwise(line))
+    return A.table(spark, sf_dir, "documents").select("doc_id", X.file_name(raw).alias("name"))
 
 
 _IDS = ["arXiv:2401.01234v3", "2401.1234", "10.48550/arXiv.2401.01234", "1706", " 2401.01234 ", "10.1000/x", "A title 3.0"]

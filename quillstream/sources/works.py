@@ -27,7 +27,7 @@ def query_kind(query: str) -> str:
 
 
 def resolve_target(works: DataFrame, query: str) -> DataFrame:
-    """The work that a query names: by DOI, by preprint id, else the first by title.
+    """The work that a query names: by DOI, by preprint id, else the one of the most similar title.
 
     ``works``: ord, title, year, venue, doi, arxiv_id, citations. A DOI lookup leaves the
     citation count empty.
@@ -37,9 +37,8 @@ def resolve_target(works: DataFrame, query: str) -> DataFrame:
         return works.where(X.norm_doi("doi") == X.norm_doi(F.lit(q))).withColumn("citations", F.lit(None).cast("long")).orderBy("ord").limit(1)
     if kind == "arxiv":
         return works.where(X.arxiv_strict("arxiv_id") == X.arxiv_strict(F.lit(q))).orderBy("ord").limit(1)
-    words = [w for w in q.lower().split() if w]
-    score = sum((X.title_key("title").contains(w).cast("int") for w in words), F.lit(0))
-    return works.withColumn("_score", score).where("_score > 0").orderBy(F.col("_score").desc(), "ord").limit(1).drop("_score")
+    near = works.withColumn("_score", X.title_similarity("title", F.lit(q)))
+    return near.where("_score > 0").orderBy(F.col("_score").desc(), "ord").limit(1).drop("_score")
 
 
 def clamp(limit: int, most: int = DISCOVER_MOST, least: int = 1) -> int:
@@ -82,14 +81,13 @@ def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]
 def scan(spark: SparkSession, primary: type[DataSource], secondary: type[DataSource] | None = None) -> DataFrame:
     """Rows of the primary source; of the secondary one if any page of the primary cannot be read.
 
-    With a secondary source the primary is read once into the checkpoint folder, so that a
-    failure on a late page falls back as well and nothing is fetched twice.
+    The primary is read once into the checkpoint folder, so that a failure on a late page
+    falls back as well (or shows at once, without a secondary source) and nothing is fetched twice.
     """
     spark.dataSource.register(primary)
     rows = spark.read.format(primary.name()).load()
     if secondary is None:
-        rows.limit(1).collect()  # raises at once where nothing can be read
-        return rows
+        return checkpointed(rows)
     try:
         return checkpointed(rows)
     except Exception:  # whatever a remote source raises
