@@ -149,11 +149,14 @@ def analysis_reason(spark, sf_dir):
     return V.analysis_reason(papers).select("doc_id", "status", F.array_join("tags", "|").alias("tags"), "message", F.array_join("errors", "|").alias("errors"))
 
 
-@query(f"WITH {_PICKED} SELECT {_case({k: _quote(v) for k, v in V.NOTES.items()}, _quote(V.NOTE_OTHER))} || CASE WHEN analysis_error <> '' THEN ' 详情：' || analysis_error ELSE '' END AS note, count(*) AS n FROM p GROUP BY 1")
+@query(f"""WITH {_PICKED}, e AS (SELECT p.*, CASE WHEN doc_id % 5 < 2 THEN left(split_part(coalesce(text, ''), chr(10), 1), 80) ELSE '' END AS said FROM p JOIN documents USING (doc_id))
+SELECT doc_id, {_case({k: _quote(v) for k, v in V.NOTES.items()}, _quote(V.NOTE_OTHER))} || CASE WHEN said <> '' THEN ' 详情：' || said ELSE '' END AS note FROM e""")
 def failure_notes(spark, sf_dir):
+    """Notes whose details are first lines of texts."""
     d = F.col("doc_id")
-    note = V.failure_note(A.pick(_KIND, F.floor(d / 6) % 7), F.when(d % 5 == 0, "it broke").otherwise(""))
-    return A.table(spark, sf_dir, "documents").groupBy(note.alias("note")).agg(F.count("*").alias("n"))
+    line = F.substring(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), 1, 80)
+    note = V.failure_note(A.pick(_KIND, F.floor(d / 6) % 7), F.when(d % 5 < 2, line).otherwise(""))
+    return A.table(spark, sf_dir, "documents").select("doc_id", note.alias("note"))
 
 
 @query(_PARTS + """, bare AS (SELECT * FROM spans WHERE place = 1 AND match_type LIKE 'citation_index%' AND doc_id NOT IN (SELECT doc_id FROM normal WHERE keep))
@@ -237,10 +240,20 @@ def refresh_targets(spark, sf_dir):
 _SCOPES = ["", "Candidate", "full-text", "DIRECT ", "fulltext_direct", "spans", "odd", " fulltext"]
 
 
-@query(f"""SELECT s AS value, CASE WHEN replace(lower(trim(s)), '-', '_') IN ('fulltext', 'full_text', 'direct', 'fulltext_direct') THEN 'fulltext_direct' ELSE 'candidate_spans' END AS scope, count(*) AS n FROM (SELECT ({A._quoted(_SCOPES)})[CAST(doc_id % 8 AS INTEGER) + 1] AS s FROM documents) GROUP BY 1, 2""")
+#: First words of texts, some with a known name of a scope or mode in front, in capitals, or behind blanks.
+_FIRST_SQL = "trim(split_part(coalesce(text, ''), ' ', 1))"
+
+
+def _first(spark, sf_dir):
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.trim(F.element_at(F.split(F.coalesce("text", F.lit("")), " "), 1)).alias("word"))
+
+
+@query(f"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 9 < 8 THEN ({A._quoted(_SCOPES)})[CAST(doc_id % 9 AS INTEGER) + 1] ELSE '' END || CASE WHEN doc_id % 4 = 3 THEN {_FIRST_SQL} ELSE '' END AS s FROM documents)
+SELECT doc_id, s AS value, CASE WHEN replace(lower(trim(s)), '-', '_') IN ('fulltext', 'full_text', 'direct', 'fulltext_direct') THEN 'fulltext_direct' ELSE 'candidate_spans' END AS scope FROM v""")
 def scope_alias(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select(A.pick(_SCOPES, F.col("doc_id") % 8).alias("value"))
-    return rows.groupBy("value", V.analysis_scope(F.col("value")).alias("scope")).agg(F.count("*").alias("n"))
+    d = F.col("doc_id")
+    value = F.concat(F.when(d % 9 < 8, A.pick(_SCOPES, F.least(d % 9, F.lit(7)))).otherwise(""), F.when(d % 4 == 3, F.col("word")).otherwise(""))
+    return _first(spark, sf_dir).select("doc_id", value.alias("value")).select("*", V.analysis_scope(F.col("value")).alias("scope"))
 
 
 _PAGE_SQL = """pg AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS ord, (['3', 'x', NULL, ' 8 ', '2.5'])[CAST((conv_id + turn) % 5 AS INTEGER) + 1] AS page_text, CASE WHEN turn % 5 = 1 THEN '  ' ELSE text END AS text FROM conversations),
@@ -278,10 +291,11 @@ def analysis_prompt(spark, sf_dir):
 _MODES = ["", "single_model", " Legacy_Two_Stage ", "odd"]
 
 
-@query(f"SELECT m AS value, CASE lower(trim(m)) WHEN '' THEN 'single_model' WHEN 'single_model' THEN 'single_model' WHEN 'legacy_two_stage' THEN 'legacy_two_stage' END AS mode, count(*) AS n FROM (SELECT ({A._quoted(_MODES)})[CAST(doc_id % 4 AS INTEGER) + 1] AS m FROM documents) GROUP BY 1, 2")
+@query(f"""WITH v AS (SELECT doc_id, ({A._quoted(_MODES)})[CAST(doc_id % 4 AS INTEGER) + 1] || CASE WHEN doc_id % 5 = 4 THEN {_FIRST_SQL} ELSE '' END AS m FROM documents)
+SELECT doc_id, m AS value, CASE lower(trim(m)) WHEN '' THEN 'single_model' WHEN 'single_model' THEN 'single_model' WHEN 'legacy_two_stage' THEN 'legacy_two_stage' END AS mode FROM v""")
 def analysis_modes(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select(A.pick(_MODES, F.col("doc_id") % 4).alias("value"))
-    return rows.groupBy("value", R.mode_of(F.col("value")).alias("mode")).agg(F.count("*").alias("n"))
+    value = F.concat(A.pick(_MODES, F.col("doc_id") % 4), F.when(F.col("doc_id") % 5 == 4, F.col("word")).otherwise(""))
+    return _first(spark, sf_dir).select("doc_id", value.alias("value")).select("*", R.mode_of(F.col("value")).alias("mode"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'answer ' || turn ELSE '' END AS content, CASE WHEN (conv_id + turn) % 2 = 0 THEN 'thought ' || conv_id ELSE '' END AS thought FROM conversations)

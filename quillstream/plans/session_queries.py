@@ -178,15 +178,16 @@ _ERRORS = ["File has not been decrypted: password needed", "EOF marker not found
 _ERRORS_SQL = "([" + ", ".join("NULL" if e is None else f"'{e}'" for e in _ERRORS) + "])[CAST(event_id % 10 AS INTEGER) + 1]"
 
 
-@query(f"""WITH e AS (SELECT lower(coalesce({_ERRORS_SQL}, '')) AS e FROM events)
-SELECT CASE WHEN contains(e, 'password') OR contains(e, 'encrypted') THEN 'pdf_encrypted' WHEN regexp_matches(e, 'stream has ended unexpectedly|eof marker not found|broken xref|malformed|trailer|unexpectedly') THEN 'pdf_corrupted_or_malformed' ELSE 'pdf_extract_exception' END AS extract_class,
+@query(f"""WITH e AS (SELECT doc_id, lower(left(coalesce(text, ''), 60) || ' ' || coalesce({_ERRORS_SQL.replace('event_id', 'doc_id')}, '')) AS e FROM documents)
+SELECT doc_id, CASE WHEN contains(e, 'password') OR contains(e, 'encrypted') THEN 'pdf_encrypted' WHEN regexp_matches(e, 'stream has ended unexpectedly|eof marker not found|broken xref|malformed|trailer|unexpectedly') THEN 'pdf_corrupted_or_malformed' ELSE 'pdf_extract_exception' END AS extract_class,
 CASE WHEN regexp_matches(e, 'available context size|maximum context length|context length exceeded') THEN 'context_length_exceeded' WHEN regexp_matches(e, 'connection refused|max retries exceeded|failed to establish a new connection|name or service not known|timed out') THEN 'service_unreachable' WHEN regexp_matches(e, '400 client error|status code 400') THEN 'bad_request' ELSE 'request_failed' END AS request_class,
-contains(e, '429') OR contains(e, 'rate limit') AS rate_limited, count(*) AS n FROM e GROUP BY 1, 2, 3""")
+contains(e, '429') OR contains(e, 'rate limit') AS rate_limited FROM e""")
 def extract_failure_class(spark, sf_dir):
+    """Classes of messages that begin with what texts begin with."""
     values = F.array(*(F.lit(e).cast("string") for e in _ERRORS))
-    error = F.element_at(values, (F.col("event_id") % 10 + 1).cast("int"))
-    rows = A.table(spark, sf_dir, "events").select(error.alias("e"))
-    return rows.groupBy(M.extract_failure(F.col("e")).alias("extract_class"), M.request_failure(F.col("e")).alias("request_class"), M.rate_limited(F.col("e")).alias("rate_limited")).agg(F.count("*").alias("n"))
+    error = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit(" "), F.coalesce(F.element_at(values, (F.col("doc_id") % 10 + 1).cast("int")), F.lit("")))
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", error.alias("e"))
+    return rows.select("doc_id", M.extract_failure(F.col("e")).alias("extract_class"), M.request_failure(F.col("e")).alias("request_class"), M.rate_limited(F.col("e")).alias("rate_limited"))
 
 
 # pages

@@ -159,14 +159,21 @@ def file_names(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", X.file_name(raw).alias("name"))
 
 
-_IDS = ["arXiv:2401.01234v3", "2401.1234", "10.48550/arXiv.2401.01234", "1706", " 2401.01234 ", "10.1000/x", "A title 3.0"]
+_NUMBER = "lpad(CAST(doc_id % 9000 + 1000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END, '0')"
 
 
-@query("""SELECT v AS value, v IN ('arXiv:2401.01234v3', '10.48550/arXiv.2401.01234') OR (regexp_matches(trim(v), '^\\d') AND contains(v, '.')) AS loose, CASE v WHEN '2401.1234' THEN '2401.1234' WHEN 'arXiv:2401.01234v3' THEN '2401.01234' WHEN '10.48550/arXiv.2401.01234' THEN '2401.01234' WHEN ' 2401.01234 ' THEN '2401.01234' END AS strict, count(*) AS n
-FROM (SELECT (""" + A._quoted(_IDS) + """)[CAST(doc_id % 7 AS INTEGER) + 1] AS v FROM documents) GROUP BY 1, 2, 3""")
+@query(f"""WITH v AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'arXiv:' || {_NUMBER} || 'v3' WHEN 1 THEN {_NUMBER} WHEN 2 THEN '10.48550/arXiv.' || {_NUMBER} WHEN 3 THEN ' ' || {_NUMBER} || ' ' WHEN 4 THEN 'ARXIV : ' || {_NUMBER} || 'V12' WHEN 5 THEN {_NUMBER} || ' ' || left(coalesce(text, ''), 30) ELSE left(coalesce(text, ''), 40) END AS value FROM documents)
+SELECT doc_id, value, regexp_matches(trim(regexp_replace(value, '10\.48550/ar[xX]iv\.|ar[xX]iv:', '', 'g')), '^\d') AND contains(trim(regexp_replace(value, '10\.48550/ar[xX]iv\.|ar[xX]iv:', '', 'g')), '.') AS loose, nullif(regexp_extract(lower(trim(value)), '^(?:10\.48550/arxiv\.)?(?:arxiv\s*:\s*)?(\d{{4}}\.\d{{4,5}})(?:v\d+)?$', 1), '') AS strict FROM v""")
 def arxiv_ids(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select(A.pick(_IDS, F.col("doc_id") % 7).alias("value"))
-    return rows.groupBy("value", X.arxiv_loose("value").alias("loose"), X.arxiv_strict("value").alias("strict")).agg(F.count("*").alias("n"))
+    """Numbers of preprints in all forms, and texts that hold or are none."""
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    number = F.concat(F.lpad((d % 9000 + 1000).cast("string"), 4, "0"), F.lit("."), F.when(d % 2 == 0, F.lpad(d.cast("string"), 5, "0")).otherwise(F.lpad(d.cast("string"), 4, "0")))
+    value = (
+        F.when(d % 7 == 0, F.concat(F.lit("arXiv:"), number, F.lit("v3"))).when(d % 7 == 1, number).when(d % 7 == 2, F.concat(F.lit("10.48550/arXiv."), number)).when(d % 7 == 3, F.concat(F.lit(" "), number, F.lit(" ")))
+        .when(d % 7 == 4, F.concat(F.lit("ARXIV : "), number, F.lit("V12"))).when(d % 7 == 5, F.concat(number, F.lit(" "), F.substring(text, 1, 30))).otherwise(F.substring(text, 1, 40))
+    )
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", value.alias("value"))
+    return rows.select("doc_id", "value", X.arxiv_loose("value").alias("loose"), X.arxiv_strict("value").alias("strict"))
 
 
 _LINKS = [("https://o.org/x.pdf?a=1", "https://o.org/x.pdf?a=1"), ("//cdn.org/y.pdf", "https://cdn.org/y.pdf"), ("/f/z.pdf", "https://h.org/f/z.pdf"), ("q.pdf", "https://h.org/a/b/q.pdf"), ("../up.pdf?p=2&amp;q=3", "https://h.org/a/up.pdf?p=2&q=3"), ("./../../../top.pdf", "https://h.org/top.pdf")]
