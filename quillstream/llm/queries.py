@@ -116,6 +116,37 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op7_packing, as one row: documents, and how often it does not."""
+    found = op7_packing(spark, sf_dir)
+    docs = found.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("start").alias("begin"), F.countDistinct("start").alias("starts"), F.count("*").alias("pieces"))
+    chained = (F.col("n") == F.col("all")) & (F.col("end") == F.col("all")) & (F.col("begin") == 0) & (F.col("starts") == F.col("pieces"))
+    windows = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("offsets"), F.count("*").alias("pieces"))
+    filled = (F.col("n") == F.col("end")) & (F.col("end") <= packing.WINDOW) & (F.col("offsets") == F.col("pieces"))
+    of_docs = docs.agg(F.count("*").alias("documents"), F.count_if(~chained).alias("broken_documents"))
+    of_windows = windows.agg(F.count_if(~filled).alias("broken_sequences"), (F.sum("n") / (packing.WINDOW * F.count("*")) < 0.95).alias("wasteful"))
+    both = of_docs.unionByName(of_windows, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
+PACKING_INVARIANTS_SQL = "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken_documents, 0::BIGINT AS broken_sequences, FALSE AS wasteful FROM documents"
+
+
+def sharding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op8_sharding, as one row: documents and bytes, and how often it does not."""
+    found = op8_sharding(spark, sf_dir)
+    shards = found.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("size").alias("largest"), F.count_if(F.col("law") != "bytes").alias("odd"))
+    mean = F.sum("bytes") / 24
+    apart = F.greatest(F.max("bytes") - mean, mean - F.min("bytes"))
+    return shards.agg(
+        F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.count_if((F.col("slots") != F.col("n")) | (F.col("last") != F.col("n") - 1) | ~F.col("shard").between(0, 23) | (F.col("odd") > 0)).alias("broken_shards"),
+        (apart > F.greatest(0.01 * mean, F.max("largest"))).alias("uneven"),
+    )
+
+
+SHARDING_INVARIANTS_SQL = "SELECT count(*) AS documents, CAST(sum(octet_length(encode(coalesce(text, ''))) + 8) AS BIGINT) AS bytes, 0::BIGINT AS broken_shards, FALSE AS uneven FROM documents"
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -247,6 +278,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_mixing": op11_mixing,
         "op12_resampling": op12_resampling,
         "op13_filter_audit": op13_filter_audit,
+        "packing_invariants": packing_invariants,
+        "sharding_invariants": sharding_invariants,
     }
 
 
@@ -258,4 +291,6 @@ def oracle_sql() -> dict[str, str]:
         "op11_mixing": OP11_SQL,
         "op12_resampling": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
+        "packing_invariants": PACKING_INVARIANTS_SQL,
+        "sharding_invariants": SHARDING_INVARIANTS_SQL,
     }
