@@ -8,9 +8,9 @@ a segment tree indexed by remaining capacity. Only narrow rows (no token ids) mo
 Words of plain letters and punctuation up to ``LONG_WORD`` characters are tokenised by shared
 merge rounds, all others by the library itself, with the same ids.
 
-Defined results: a null or empty text is the end token alone; rows repeating a doc_id, or equal
-in all columns, are packed each on its own; an empty table gives an empty result; other
-columns are ignored.
+Defined results: a null or empty text is the end token alone; rows that lack a doc_id or repeat
+one, or are equal in all columns, are packed each on its own (a null id stays null); an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

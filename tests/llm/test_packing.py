@@ -89,3 +89,14 @@ def test_groups_follow_documents_and_bytes(spark):
     got = K.pack(same, 5000, 0, group_docs=500).collect()
     sizes = Counter(r.sequence_id >> 40 for r in got)
     assert len(sizes) == 10 and max(sizes.values()) < 800 and len({(r.sequence_id, r.offset) for r in got}) == 5000
+
+
+def test_null_ids_and_clashing_columns(spark, tokenizer):
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (5, "four"), (5, "five six")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, "x") for d, t in rows], "doc_id long, text string, pack_group int, sequence_id int, length int, ids string")
+    pieces = K.window_pieces(docs, PATH)
+    got = K.pack(pieces.drop("ids"), *K.extent(docs)).collect()
+    want = sorted((str(d), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got) == want and all(r.start == 0 and r.length == r.doc_tokens for r in got)
+    ends = sorted((r.offset, r.length) for r in got)
+    assert [o for o, _ in ends] == [0, *np.cumsum([n for _, n in ends])[:-1]]  # one sequence without gaps
