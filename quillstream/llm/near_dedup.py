@@ -16,8 +16,8 @@
 5. Dense clusters, with more than ``CLUSTER_ROWS`` different sets, do not fit one task. There
    the forest goes deeper: every region that is too large splits by further hashes of its
    order until it fits, and its exact links are found in there. What this leaves outside the
-   largest component of its cluster is then compared with all members, block by block, so
-   no link between components is lost.
+   largest component of its cluster then meets the other members on its rarest shingles, of
+   which similar sets share one, and is compared exactly, so no link between components is lost.
 
 Defined results: null, empty and blank texts have the empty set, are linked with nothing and
 stay; a document of fewer words than a shingle has one shingle of all its words; repeated rows
@@ -48,6 +48,8 @@ CLUSTER_ROWS = 3000
 TOLERANCE = 0.15
 #: Orders of the forest that look for links inside dense clusters, and hashes a step deeper.
 DENSE_ORDERS, DEEPER = 4, 3
+#: Items of a dense cluster that are counted to tell rare ones from common ones, about.
+SAMPLE_ITEMS = 300_000
 #: Members are broadcast up to this count; beyond it their texts are found by a shuffled join.
 BROADCAST_ROWS = 300_000
 
@@ -226,11 +228,8 @@ def _regions(least: float, depth: int):
     return run
 
 
-def linked(sets: list[np.ndarray], numerator: int, denominator: int, asked: range | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets that are similar enough, compared exactly.
-
-    With ``asked``, only pairs with a set among these positions are compared.
-    """
+def linked(sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that are similar enough, compared exactly."""
     sizes = np.array([len(s) for s in sets], np.int64)
     joined, edges = Forest(len(sets)), []
     if len(sets) == 2:
@@ -242,14 +241,12 @@ def linked(sets: list[np.ndarray], numerator: int, denominator: int, asked: rang
     posting = owner[order]  # the sets of each item, ascending
     start = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(item)))])
     ends = np.cumsum(sizes)
-    for i in asked if asked is not None else range(1, len(sets)):
+    for i in range(1, len(sets)):
         own = number[ends[i] - sizes[i] : ends[i]]
         found = posting[ragged(start[own], start[own + 1] - start[own])]
         both = np.bincount(found, minlength=len(sets))
         good = denominator * both >= numerator * (sizes + sizes[i] - both)
-        good[i] = False
-        if asked is None:
-            good[i:] = False
+        good[i:] = False
         for j in np.flatnonzero(good).tolist():
             if joined.join(i, j):
                 edges.append((i, j))
@@ -294,7 +291,7 @@ def _exact(numerator: int, denominator: int, group: str):
 
 
 def _dense_links(items: DataFrame, numerator: int, denominator: int, depth: int, region_rows: int) -> DataFrame:
-    """Links inside dense clusters: deeper regions first, then block by block for the rest.
+    """Links inside dense clusters: deeper regions first, then rare shingles for the rest.
 
     ``items``: doc_id, cluster, sketch, items.
     """
@@ -324,25 +321,79 @@ def _dense_links(items: DataFrame, numerator: int, denominator: int, depth: int,
     parts = checkpointed(parts)
     totals = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     largest = totals.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("rest"))
-    block = region_rows // 2
-    placed = parts.join(largest, "cluster").where("rest > 0").select(
-        "doc_id", "cluster", (F.col("component") != F.col("largest")).alias("asked"),
-        F.ceil(F.col("total") / block).alias("blocks"), F.ceil(F.col("rest") / block).alias("asked_blocks"),
-    )
-    full = items.select("doc_id", "items").join(placed, "doc_id")
-    left = full.withColumn("x", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked_blocks") - 1)))
-    right = full.where("asked").withColumn("y", F.pmod(F.xxhash64("doc_id"), "asked_blocks")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("asked", "ascending"), ("doc_id", "ascending")])
-        ids, others = table.column("doc_id").to_numpy(), table.num_rows - sum(table.column("asked").to_pylist())
-        pairs = linked(_unpacked(table), numerator, denominator, range(others, len(ids))) if 0 < others < len(ids) else []
-        return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
-
-    keys = ("cluster", "x", "y")
-    meet = left.select(*keys, "doc_id", "items", F.lit(False).alias("asked")).unionByName(right.select(*keys, "doc_id", "items", F.lit(True).alias("asked")))
-    rest = meet.groupBy(*keys).applyInArrow(compare, "a long, b long")
-    return first.unionByName(rest)
+    placed = parts.join(largest.where("rest > 0"), "cluster").select("doc_id", "cluster", "component", (F.col("component") != F.col("largest")).alias("asked"))
+    return first.unionByName(_rest_links(items.drop("cluster", "sketch").join(placed, "doc_id"), numerator, denominator, region_rows))
+
+
+def _items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster and item of every item of the members."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("items"))
+        of = np.repeat(batch.column("cluster").to_numpy(), np.diff(offsets) // 8)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(data.view(np.int64))], ["cluster", "item"])
+
+
+def _prefixes(numerator: int, denominator: int):
+    """The rarest items of each member, so many that two similar members share one of them."""
+
+    def run(members: pa.Table, known: pa.Table) -> pa.Table:
+        often = known.column("known").combine_chunks().flatten() if known.num_rows else pa.array([], pa.struct([("item", pa.int64()), ("n", pa.int64())]))
+        item, n = often.field("item").to_numpy().view(np.uint64), often.field("n").to_numpy()
+        order = np.argsort(item)
+        item, n = item[order], n[order]
+        out, size = [], []
+        for own in _unpacked(members):
+            at = np.minimum(np.searchsorted(item, own), max(0, len(item) - 1))
+            count = np.where(item[at] == own, n[at], 0) if len(item) else np.zeros(len(own), np.int64)
+            keep = len(own) + (-numerator * len(own)) // denominator + 1  # two sets this similar share the rest of either
+            out.append(own[np.lexsort((own, count))[:keep]])
+            size.append(len(own))
+        times = np.array([len(x) for x in out], np.int64)
+        which = pa.array(np.repeat(np.arange(len(out)), times))
+        kept = members.select(["cluster", "doc_id", "component", "asked"]).take(which)
+        return kept.append_column("size", pa.array(np.repeat(np.array(size, np.int64), times))).append_column("item", pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)))
+
+    return run
+
+
+def _verified(numerator: int, denominator: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("items", "others"))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            sizes = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64)
+            good = pa.array(denominator * both >= numerator * (sizes - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    return run
+
+
+def _rest_links(members: DataFrame, numerator: int, denominator: int, bucket_rows: int) -> DataFrame:
+    """Links of the asked members (those outside the largest component of their cluster) with members of other components.
+
+    Two sets of the least similarity share an item among the rarest of each, in any one order; so
+    members meet on these alone, and pairs that sizes allow are compared exactly. Which items are
+    rare is estimated on a sample of members; the order decides the work, not the result.
+    ``members``: doc_id, cluster, component, asked, items.
+    """
+    members = checkpointed(members)
+    weights = members.groupBy("cluster").agg(F.count("*").alias("total"), F.sum(F.octet_length("items") / 8).cast("long").alias("weight"))
+    weights = checkpointed(weights.select("cluster", F.ceil(F.col("total") / bucket_rows).alias("buckets"), F.greatest(F.lit(1), F.floor(F.col("weight") / SAMPLE_ITEMS)).alias("step")))
+    sized = members.join(weights, "cluster")
+    sampled = sized.where(F.pmod(F.xxhash64("doc_id"), "step") == 0).select("cluster", "items").mapInArrow(_items_of, "cluster long, item long")
+    often = sampled.groupBy("cluster", "item").agg(F.count("*").alias("n")).where("n > 1")
+    known = often.groupBy("cluster").agg(F.collect_list(F.struct("item", "n")).alias("known"))  # half of SAMPLE_ITEMS, about
+    known = known.join(weights, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"), "known")
+    dealt = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets")).select("cluster", "bucket", "doc_id", "component", "asked", "items")
+    kind = "cluster long, doc_id long, component long, asked boolean, size long, item long"
+    marks = checkpointed(dealt.groupBy("cluster", "bucket").cogroup(known.groupBy("cluster", "bucket")).applyInArrow(_prefixes(numerator, denominator), kind))
+    one = marks.where("asked").select("cluster", "item", F.col("doc_id").alias("a"), F.col("component").alias("part_a"), F.col("size").alias("size_a"))
+    other = marks.select("cluster", "item", F.col("doc_id").alias("b"), F.col("component").alias("part_b"), F.col("size").alias("size_b"), F.col("asked").alias("also"))
+    fits = F.least("size_a", "size_b") * denominator >= F.greatest("size_a", "size_b") * numerator
+    pairs = one.join(other, ["cluster", "item"]).where((F.col("part_a") != F.col("part_b")) & fits & (~F.col("also") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    sets = members.select("doc_id", "items")
+    full = pairs.join(sets.withColumnRenamed("doc_id", "a"), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("others")), "b")
+    return full.mapInArrow(_verified(numerator, denominator), "a long, b long")
 
 
 def near_duplicates(

@@ -119,3 +119,37 @@ def test_regions_across_batches():
     table = pa.table({"key": [r[0] for r in rows], "doc_id": [r[2] for r in rows], "turned": pa.array([r[1] for r in rows], pa.binary())})
     parts = lambda size: {tuple(r.values()) for b in N._regions(0.5, 0)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()}
     assert parts(7) == parts(60) == parts(1) and parts(60)
+
+
+@pytest.mark.parametrize("ratio", [(85, 100), (80, 100), (1, 2), (1, 1)])
+def test_similar_sets_share_a_rare_item(ratio):
+    """Whatever the order of items is, two similar sets share one of the first of each."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 60, 40, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(1, 40)), replace=False), rng.integers(1, 1 << 60, int(rng.integers(0, 8)), np.uint64)])) for _ in range(120)]
+    members = pa.table({"cluster": [1] * 120, "doc_id": range(120), "component": range(120), "asked": [True] * 120, "items": pa.array([s.tobytes() for s in sets], pa.binary())})
+    known = pa.table({"known": pa.array([[{"item": int(x), "n": int(n)} for x, n in zip(base, rng.integers(2, 9, 40))]], pa.list_(pa.struct([("item", pa.int64()), ("n", pa.int64())])))})
+    for often in (known, known.slice(0, 0)):
+        marks = N._prefixes(*ratio)(members, often).to_pylist()
+        own = {d: {m["item"] for m in marks if m["doc_id"] == d} for d in range(120)}
+        found = 0
+        for i in range(120):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if ratio[1] * both >= ratio[0] * (len(sets[i]) + len(sets[j]) - both):
+                    found += 1
+                    assert own[i] & own[j]
+        assert found or ratio == (1, 1)
+
+
+def test_dense_clusters_against_brute_force(spark):
+    """Clusters of one template with more and less noise, so that many members lie outside of the largest component."""
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(2)]
+    rows = [(k, noisy(rng, base[k % 2], rng.choice([0.01, 0.02, 0.03, 0.05, 0.08]))) for k in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, N.near_duplicates(docs, region_rows=10, cluster_rows=12).collect()))
+    want = brute(rows)
+    assert got == want and len({r[2] for r in want}) > 20
