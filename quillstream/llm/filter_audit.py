@@ -55,10 +55,11 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words = F.array_remove(F.split("body", _WHITE), "")
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("body"), digest.alias("digest"))
     rows = rows.withColumn("words", words).withColumn("distinct", F.size(F.array_distinct("words"))).withColumn("words", F.size("words"))
+    capitals = F.length("body") - F.length(F.regexp_replace("body", "[A-Z]+", ""))
     mask = (
         F.when(F.col("words") < LEAST_WORDS, 1).otherwise(0)
         + F.when(100 * F.col("distinct").cast("long") < DISTINCT_PERCENT * F.col("words").cast("long"), 2).otherwise(0)
-        + F.when(100 * F.length(F.regexp_replace("body", "[^A-Z]", "")).cast("long") > CAPITAL_PERCENT * F.length("body").cast("long"), 4).otherwise(0)
+        + F.when(100 * capitals.cast("long") > CAPITAL_PERCENT * F.length("body").cast("long"), 4).otherwise(0)
         + F.when(F.col("body").rlike(SIGNS), 8).otherwise(0)
     )
     rows = rows.select("doc_id", "part", "digest", mask.alias("mask")).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n"))
