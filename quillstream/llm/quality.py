@@ -32,6 +32,8 @@ from .arrow_text import in_pieces, release, utf8
 
 #: The model learns from at most so many documents of each label, whole, of so many bytes together.
 TRAIN_DOCS, TRAIN_BYTES = 1000, 4 << 20
+#: Characters of whole documents whose features are worked out together while the model is fitted.
+FIT_BYTES = 256 << 10
 
 _CLASSES = ("upper", "lower", "digit", "space", "bang", "bar", "symbol", "stop", "mark", "lead", "trail", "other")
 _OF_BYTE = np.full(256, 11, np.uint8)
@@ -84,6 +86,18 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.hstack([own, before, after, edge[:, None], tail[:, None]]), lines, size
 
 
+def features_in_parts(texts: list[str], part_bytes: int = FIT_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of whole documents, some at a time: what is needed on the way is several times their text."""
+    parts, held, size = [], [], 0
+    for k, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= part_bytes or k + 1 == len(texts):
+            parts.append(line_features(pa.array(held, pa.string())))
+            held, size = [], 0
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 @dataclass
 class QualityModel:
     chain: crf.Chain | None
@@ -124,7 +138,7 @@ def fit_quality(texts: list[str], labels: list[int]) -> QualityModel:
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return QualityModel(None, 0.0, float(y.mean()) if len(y) else 0.5)
-    x, lines, size = line_features(pa.array(texts, pa.string()))
+    x, lines, size = features_in_parts(texts)
     spread = np.repeat(y, lines)
     chain = crf.fit(x, spread, lines)
     alone = crf.Chain(chain.weights, np.zeros((2, 2)), chain.mean, chain.scale)  # what a line says without its chain
@@ -164,7 +178,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, most_
     text = F.coalesce("text", F.lit(""))
     texts = docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min_by(text, F.struct(F.octet_length(text), text)).alias("text"))
     found = sorted((chosen[r.doc_id], r.text) for r in texts.collect())
-    return fit_quality([t for _, t in found], [label for label, _ in found])
+    model = fit_quality([t for _, t in found], [label for label, _ in found])
+    release()  # the driver lives on
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

@@ -88,3 +88,12 @@ def test_scores_against_a_plain_version(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
     got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx([plain_scores(model, t) for t in texts], abs=1e-9)
+
+
+def test_features_in_parts_are_those_of_all():
+    from quillstream.llm import quality as Q
+
+    rng = np.random.default_rng(2)
+    texts = ["\n".join("word! " * int(n) for n in rng.integers(0, 9, int(k))) for k in rng.integers(0, 12, 60)] + ["", "x" * 5000, "\n\n"]
+    whole, parts = Q.line_features(pa.array(texts, pa.string())), Q.features_in_parts(texts, 300)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
