@@ -162,7 +162,7 @@ def file_names(spark, sf_dir):
 _NUMBER = "lpad(CAST(doc_id % 9000 + 1000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END, '0')"
 
 
-@query(f"""WITH v AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'arXiv:' || {_NUMBER} || 'v3' WHEN 1 THEN {_NUMBER} WHEN 2 THEN '10.48550/arXiv.' || {_NUMBER} WHEN 3 THEN ' ' || {_NUMBER} || ' ' WHEN 4 THEN 'ARXIV : ' || {_NUMBER} || 'V12' WHEN 5 THEN {_NUMBER} || ' ' || left(coalesce(text, ''), 30) ELSE left(coalesce(text, ''), 40) END AS value FROM documents)
+@query(rf"""WITH v AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'arXiv:' || {_NUMBER} || 'v3' WHEN 1 THEN {_NUMBER} WHEN 2 THEN '10.48550/arXiv.' || {_NUMBER} WHEN 3 THEN ' ' || {_NUMBER} || ' ' WHEN 4 THEN 'ARXIV : ' || {_NUMBER} || 'V12' WHEN 5 THEN {_NUMBER} || ' ' || left(coalesce(text, ''), 30) ELSE left(coalesce(text, ''), 40) END AS value FROM documents)
 SELECT doc_id, value, regexp_matches(trim(regexp_replace(value, '10\.48550/ar[xX]iv\.|ar[xX]iv:', '', 'g')), '^\d') AND contains(trim(regexp_replace(value, '10\.48550/ar[xX]iv\.|ar[xX]iv:', '', 'g')), '.') AS loose, nullif(regexp_extract(lower(trim(value)), '^(?:10\.48550/arxiv\.)?(?:arxiv\s*:\s*)?(\d{{4}}\.\d{{4,5}})(?:v\d+)?$', 1), '') AS strict FROM v""")
 def arxiv_ids(spark, sf_dir):
     """Numbers of preprints in all forms, and texts that hold or are none."""

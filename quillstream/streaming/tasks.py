@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import papers as P
 from ..operators.views import analysis_scope
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_DEFAULT_STORE, _KEYED_STORE = (f"org.apache.spark.sql.execution.streaming.state.{x}StateStoreProvider" for x in ("HDFSBacked", "RocksDB"))
 #: What a task that ran too long fails with.
 TIMED_OUT = "timed out"
 _STATES_SCHEMA = "session string, at timestamp, ord long, state string, accepted boolean, reason string"
@@ -50,7 +50,7 @@ class _Flight(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         state, ends = self.task.get() if self.task.exists() else ("idle", None)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "ord"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["at", "ord"], kind="stable").itertuples():
             now = r.at.value // 1_000_000
             if ends is not None and now >= ends:  # the time ran out before this request
                 out.append((key[0], pd.Timestamp(ends, unit="ms"), None, "failed", True, TIMED_OUT))
@@ -84,12 +84,19 @@ class _Flight(StatefulProcessor):
 def single_flight(requests: DataFrame, stuck_after: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """States of tasks in a stream: a request is refused while its session is busy.
 
-    ``requests``: session string, kind string ('start', 'succeed' or 'fail'), at timestamp, ord
-    long; requests of one time count in the order of ord. Emits a row per request (ord, state,
+    ``requests``: session string, kind string ('start', 'succeed' or 'fail'), at timestamp, and
+    ord long if there is one; requests of one time count in the order of ord. Emits a row per request (ord, state,
     accepted) and, with ``stuck_after`` (an interval such as '2 hours'), one without ord for each
     task that ran so long in the time of the requests: it failed, and the session is free again.
-    ``delay`` is how late requests may come in then. The state needs the RocksDB state store (``streaming_conf``).
+    ``delay`` is how late requests may come in then. Keyed state with timers needs the RocksDB
+    state store, to which the session's setting goes where it has its default; a query that was
+    started before keeps the one that its checkpoint names.
     """
+    spark = requests.sparkSession
+    if spark.conf.get(_STORE) == _DEFAULT_STORE:
+        spark.conf.set(_STORE, _KEYED_STORE)
+    if "ord" not in requests.columns:
+        requests = requests.withColumn("ord", F.lit(0))
     ms = None if stuck_after is None else int(pd.Timedelta(stuck_after).total_seconds() * 1000)
     rows = requests.select("session", "kind", F.col("at").cast("timestamp").alias("at"), F.col("ord").cast("long").alias("ord"))
     rows = rows if ms is None else rows.withWatermark("at", delay)
@@ -97,18 +104,6 @@ def single_flight(requests: DataFrame, stuck_after: str | None = None, delay: st
     return rows.groupBy("session").transformWithStateInPandas(_Flight(ms), _STATES_SCHEMA, "Append", mode)
 
 
-@contextmanager
-def streaming_conf(spark: SparkSession):
-    """The settings that keyed state with timers needs, for queries that start inside; the session's own come back after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def replayed(requests: DataFrame, path: str, slices: int = 3, files: int = 2, stuck_after: str | None = None) -> DataFrame:
     """The states of a table of requests, run through the stream in micro-batches; ``path`` is a new shared folder.
 
@@ -121,10 +116,9 @@ def replayed(requests: DataFrame, path: str, slices: int = 3, files: int = 2, st
     part = F.least(F.floor((F.unix_micros("at") - F.lit(low or 0)) * slices / F.lit(max(1, (high or 0) - (low or 0)))), F.lit(slices - 1))
     for k in range(slices):
         requests.where(part == k).repartition(files, "session").write.mode("append").parquet(f"{path}/in")
-    with streaming_conf(spark):
-        source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        run = single_flight(source, stuck_after).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
+    source = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = single_flight(source, stuck_after).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
     return spark.read.schema(_STATES_SCHEMA).parquet(f"{path}/out")
 
 
