@@ -59,9 +59,10 @@ def candidates(left: DataFrame, right: DataFrame, need: Column, keep_left: Colum
 
 def verified(found: DataFrame) -> DataFrame:
     """``candidates`` with ``shared``, the number of common words, each pair once."""
-    common = F.array_intersect("left_own", "right_own")
-    rows = found.withColumn("common", common).where(F.element_at("common", 1) == F.col("word"))
-    return rows.withColumn("shared", F.size("common")).where(F.col("shared") >= F.col("need")).drop("common", "word")
+    # a generator keeps the intersection from being worked out once for each use
+    common = F.transform(F.array(F.array_intersect("left_own", "right_own")), lambda c: F.struct(F.get(c, F.lit(0)).alias("first"), F.size(c).alias("shared")))
+    rows = found.select("*", F.inline(common))
+    return rows.where((F.col("first") == F.col("word")) & (F.col("shared") >= F.col("need"))).drop("first", "word")
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
