@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import once
 from .ordering import with_position
 
 
 def score_contexts(contexts: DataFrame, text: str, title: str, doi: str = "", year: int | None = None, venue: str = "") -> DataFrame:
     """``contexts`` with score, confidence and hit counts for the target they cite."""
     terms = X.terms_of(contexts.sparkSession, title, doi, year, venue)
-    rows = contexts.withColumn("_normal", X.norm_ctx(text)).withColumn("_terms", terms)
-    scored = rows.withColumns(X.context_parts(F.col("_normal"), F.col("_terms"))).drop("_normal", "_terms")
-    return scored.withColumn("confidence", X.confidence_of(F.col("score")))
+    rows = once(contexts, _normal=X.norm_ctx(text)).withColumn("_terms", terms)
+    found = once(rows, **X.context_parts(F.col("_normal"), F.col("_terms"))).drop("_normal", "_terms")
+    return found.withColumn("score", X.context_score()).withColumn("confidence", X.confidence_of(F.col("score")))
 
 
 def usable() -> Column:

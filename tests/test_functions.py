@@ -151,3 +151,20 @@ def test_index_before_the_sign(spark):
     rows = spark.createDataFrame([(1, 9, 1, "12. Other, title. onthen target paper here 13. Next one 2001"), (2, 9, 1, "[4] The onthen paper")], "doc_id long, page int, span_index int, text string")
     got = {r.doc_id: (r.citation_index, r.inferred) for r in S.best_reference(rows, X.signs_of(spark, "Onthen")).collect()}
     assert got == {1: ("12", False), 2: ("4", False)}
+
+
+def test_contexts_are_normalised_once(spark):
+    """A filter on the score must not bring the normaliser back for each of its parts."""
+    from quillstream.operators import contexts as C
+
+    rows = spark.createDataFrame([(1, "On the Widget Engines of 2001"), (2, "nothing\t–  here"), (3, None)], "id long, said string")
+    kept = C.score_contexts(rows, "said", "Widget Engines at Work", year=2001).where(C.usable())
+    assert [(r.id, r.keyword_hits, r.phrase_hits, r.score) for r in kept.collect()] == [(1, 2, 1, 5)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(said") == 1
+
+
+def test_spelled_out_classes(spark):
+    said = "Ünder-Score_9  — a\tb\x0b[Z] 中文\n-q"
+    assert value(spark, X.norm_ctx(F.lit(said))) == "nder-score 9 a b z -q"
+    assert value(spark, X.title_key(F.lit(said))) == "nder score 9 a b z q"
+    assert value(spark, X.norm_ref(F.lit(said))) == "nder score 9 a b z 中文 q"
