@@ -142,7 +142,7 @@ def local_file_match(spark, sf_dir):
     rows = A.table(spark, sf_dir, "benchmark")
     preprint = F.concat(F.lit("2401."), F.lpad(t, 5, "0"))
     papers = rows.select(d.alias("paper"), F.col("text").alias("title"), F.when(d % 4 == 1, F.concat(F.lit("10.1000/"), t)).alias("doi"), F.when(d % 4 == 2, F.concat(preprint, F.lit("v2"))).alias("arxiv_id"))
-    name = F.when(d % 4 == 0, F.concat(X.file_name("text"), F.lit(".pdf"))).when(d % 4 == 1, F.concat(F.lit("x 10.1000_"), t, F.lit(" final.pdf"))).when(d % 4 == 2, F.concat(preprint, F.lit(".pdf"))).otherwise(F.concat(F.upper(X.file_name("text")), F.lit(" more words.pdf")))
+    name = F.when(d % 4 == 0, F.concat(X.file_name("text"), F.lit(".pdf"))).when(d % 4 == 1, F.concat(F.lit("x 10.1000_"), t, F.lit(" final.pdf"))).when(d % 4 == 2, F.concat(preprint, F.lit(".pdf"))).otherwise(F.concat(X.upper(X.file_name("text")), F.lit(" more words.pdf")))
     return L.local_files(papers, rows.select(F.concat(F.lit("/pdf/"), name).alias("path")))
 
 
