@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import once
 from . import similarity as J
 
 #: Patterns of indices, of headings and of the marks that make a page a reference list.
@@ -38,9 +39,10 @@ def split_pages(pages: DataFrame) -> DataFrame:
     """
     whole = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     squeezed = F.transform(F.split("_text", r"\n\s*\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
-    rows = pages.select("doc_id", "page", whole.alias("_text")).withColumn("_parts", F.filter(squeezed, lambda x: x != ""))
+    rows = once(once(pages, _text=whole), _parts=F.filter(squeezed, lambda x: x != ""))
     rough = F.when((F.size("_parts") <= 1) & (F.length("_text") > ROUGH_CHARS), packed_sentences(F.col("_text")))
-    parts = F.when(F.size(F.coalesce(rough, F.array().cast("array<string>"))) > 0, rough).otherwise(F.col("_parts"))
+    rows = once(rows, _rough=rough)
+    parts = F.when(F.size(F.coalesce("_rough", F.array().cast("array<string>"))) > 0, F.col("_rough")).otherwise(F.col("_parts"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at"))
     return rows.select("doc_id", "page", F.posexplode(parts).alias("at", "text")).select("doc_id", "page", (F.col("at") + 1).alias("span_index"), order.alias("seq"), "text")
 
@@ -130,7 +132,7 @@ def keyword_fallback(paragraphs: DataFrame, signs: Column, k: int = 20) -> DataF
     """Paragraphs scored by words, names and DOI of the target (``signs``); the ``k`` best of each document."""
     rows = paragraphs.withColumn("_signs", signs)
     score = X.sign_score("text", F.col("_signs"), 8) + F.col("text").rlike(r"\[\d+\]").cast("int") + (F.length("text") > 120).cast("int")
-    rows = rows.withColumn("score", score).where((F.col("score") > 0) & ~X.is_reference_entry("text")).drop("_signs")
+    rows = once(rows, score=score).where((F.col("score") > 0) & ~X.is_reference_entry("text")).drop("_signs")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "seq"))
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
@@ -184,24 +186,28 @@ def picked_index(text: Column, signs: Column) -> Column:
     """
     none = F.lit(None)
     marks = F.array_sort(F.concat(X.marks_of(text, BRACKET_INDEX, "bracket"), X.marks_of(text, LEADING_INDEX, "leading_number")))
-    plain = X.norm_span(text)
-    words = F.transform(F.filter(F.array_append(signs["keywords"], signs["doi"]), lambda w: w != ""), lambda w: X.places_of(plain, w))
-    names = F.transform(signs["all_names"], lambda a: X.places_of(plain, a["plain"], bounded=True))
-    at = F.flatten(F.concat(words, names))
+
+    def places(plain: Column) -> Column:
+        words = F.transform(F.filter(F.array_append(signs["keywords"], signs["doi"]), lambda w: w != ""), lambda w: X.places_of(plain, w))
+        names = F.transform(signs["all_names"], lambda a: X.places_of(plain, a["plain"], bounded=True))
+        return F.flatten(F.concat(words, names))
 
     def near(found: Column) -> Column:
         marks, at = found["marks"], found["at"]
-        best = F.array_min(F.transform(marks, lambda m: F.struct(F.array_min(F.transform(at, lambda s: F.abs(m["pos"] - s))).alias("d"), m["pos"].alias("pos"), m["number"].alias("number"), m["style"].alias("style"))))
-        sign = F.array_min(F.transform(at, lambda s: F.struct(F.abs(best["pos"] - s).alias("d"), s.alias("at"))))["at"]
-        number = best["number"].try_cast("decimal(38,0)")
-        before = (best["pos"] - sign).between(*BEFORE) & F.coalesce(number > 1, F.lit(False))
-        told = F.struct(F.when(before, (number - 1).cast("string")).otherwise(best["number"]).alias("picked"), best["style"].alias("style"), F.abs(best["pos"] - sign).alias("distance"), before.alias("inferred"))
+        nearest = F.array_min(F.transform(marks, lambda m: F.struct(F.array_min(F.transform(at, lambda s: F.abs(m["pos"] - s))).alias("d"), m["pos"].alias("pos"), m["number"].alias("number"), m["style"].alias("style"))))
+
+        def tell(best: Column, sign: Column) -> Column:
+            number = best["number"].try_cast("decimal(38,0)")
+            before = (best["pos"] - sign).between(*BEFORE) & F.coalesce(number > 1, F.lit(False))
+            return F.struct(F.when(before, (number - 1).cast("string")).otherwise(best["number"]).alias("picked"), best["style"].alias("style"), F.abs(best["pos"] - sign).alias("distance"), before.alias("inferred"))
+
+        closest = lambda best: F.array_min(F.transform(at, lambda s: F.struct(F.abs(best["pos"] - s).alias("d"), s.alias("at"))))["at"]
+        told = X.let(nearest, lambda best: X.let(closest(best), lambda sign: tell(best, sign)))
         first = F.get(marks, F.lit(0))
         untold = F.struct(first["number"].alias("picked"), first["style"].alias("style"), none.cast("int").alias("distance"), F.lit(False).alias("inferred"))
         return F.when((F.size(marks) > 0) & (F.size(at) > 0), told).otherwise(untold)
 
-    # one element, so that marks and signs are worked out once
-    return F.element_at(F.transform(F.array(F.struct(marks.alias("marks"), at.alias("at"))), near), 1)
+    return X.let(F.struct(marks.alias("marks"), X.let(X.norm_span(text), places).alias("at")), near)
 
 
 def best_reference(rows: DataFrame, signs: Column) -> DataFrame:
@@ -211,7 +217,7 @@ def best_reference(rows: DataFrame, signs: Column) -> DataFrame:
     """
     rows = rows.withColumn("_signs", signs)
     score = X.sign_score("text", F.col("_signs"), 15) + 2 * X.is_reference_entry("text").cast("int")
-    scored = rows.withColumn("score", score).where("score > 0").withColumn("p", picked_index(F.coalesce("text", F.lit("")), F.col("_signs"))).select("*", "p.*")
+    scored = once(once(rows, score=score).where("score > 0"), p=picked_index(F.coalesce("text", F.lit("")), F.col("_signs"))).select("*", "p.*")
     rank = F.col("score") + F.when(F.col("picked").isNotNull(), PICKED).otherwise(0) + F.when(F.col("inferred"), INFERRED).otherwise(0)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("rank_score").desc(), "page", "span_index"))
     best = scored.withColumn("rank_score", rank).withColumn("place", place).where("place = 1 AND picked IS NOT NULL")

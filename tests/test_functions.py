@@ -160,7 +160,7 @@ def test_contexts_are_normalised_once(spark):
     rows = spark.createDataFrame([(1, "On the Widget Engines of 2001"), (2, "nothing\t–  here"), (3, None)], "id long, said string")
     kept = C.score_contexts(rows, "said", "Widget Engines at Work", year=2001).where(C.usable())
     assert [(r.id, r.keyword_hits, r.phrase_hits, r.score) for r in kept.collect()] == [(1, 2, 1, 5)]
-    assert kept._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(said") == 1
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("coalesce(said") == 1
 
 
 def test_spelled_out_classes(spark):
@@ -168,3 +168,19 @@ def test_spelled_out_classes(spark):
     assert value(spark, X.norm_ctx(F.lit(said))) == "nder-score 9 a b z -q"
     assert value(spark, X.title_key(F.lit(said))) == "nder score 9 a b z q"
     assert value(spark, X.norm_ref(F.lit(said))) == "nder score 9 a b z 中文 q"
+
+
+def test_signs_read_a_text_once(spark):
+    """Words and names are sought in one normalised text: once for the score, twice for the look of an entry."""
+    rows = spark.createDataFrame([(1, 1, "The onthen engine [3]"), (1, 2, "nothing")], "doc_id long, seq int, text string")
+    kept = S.keyword_fallback(rows, X.signs_of(spark, "Onthen: the erthly engine", "10.1/x"))
+    assert [(r.seq, r.score) for r in kept.collect()] == [(1, 8)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("translate(lower(replace(coalesce(text") <= 3
+
+
+def test_places_in_a_long_text(spark):
+    text = "design, " * 4000 + "Design[7]designs design"
+    lower = text.lower()
+    want = [k for k in range(len(lower)) if lower.startswith("design", k)]
+    assert value(spark, X.places_of(F.lit(lower), F.lit("design"))) == want
+    assert value(spark, X.places_of(F.lit(lower), F.lit("design"), bounded=True)) == [k for k in want if not lower[k + 6 : k + 7].isalnum() and not lower[k - 1 : k].isalnum()]
