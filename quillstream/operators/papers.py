@@ -161,8 +161,10 @@ def same_work(papers: DataFrame, works: DataFrame) -> DataFrame:
     """
     p = papers.select("ord", X.norm_doi("doi").alias("d"), X.title_match("title").alias("t"))
     w = works.select("work", X.norm_doi("doi").alias("wd"), X.title_match("title").alias("wt"))
-    by_doi = p.join(w, (p.d == w.wd) & (p.d != "")).select("ord", "work", F.lit(1).alias("how"))
-    by_title = p.join(w, (p.t == w.wt) & (p.t != "")).select("ord", "work", F.lit(2).alias("how"))
+    # of the works with one DOI or title the first is taken, so papers never meet all of them
+    least = lambda c: w.where(F.col(c) != "").groupBy(c).agg(F.min("work").alias("work"))
+    by_doi = p.join(least("wd"), F.col("d") == F.col("wd")).select("ord", "work", F.lit(1).alias("how"))
+    by_title = p.join(least("wt"), F.col("t") == F.col("wt")).select("ord", "work", F.lit(2).alias("how"))
     own, foreign = p.where(F.length("t") >= CONTAINED).select("t").distinct(), w.where(F.length("wt") >= CONTAINED).select("wt").distinct()
     head = lambda c: F.substring(c, 1, CONTAINED).alias("gram")
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (CONTAINED - 1)), lambda i: F.substring(F.col(c), i, F.lit(CONTAINED))))).alias("gram")

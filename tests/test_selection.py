@@ -68,3 +68,14 @@ def test_resolution(spark):
     assert got[1] == ("ok", ["P003", "P001"], []) and got[2] == ("ok", ["P001", "P002"], []) and got[3] == ("ok", ["P001", "P002", "P003"], [])
     assert got[4][:2] == ("ok", ["P001"]) and got[6] == ("no_match", [], []) and got[7][:2] == ("ok", ["P003"]) and got[8] == ("no_match", [], [])
     assert got[5][0] == "ok" and set(got[5][1]) == {"P001", "P002"}
+
+
+def test_works_of_one_doi_meet_as_one(spark):
+    """Papers and works that share a DOI or a title are not paired one by one."""
+    from quillstream.operators import papers as P
+
+    papers = spark.createDataFrame([(k, "10.1/x" if k % 2 else "", "One title of some length here") for k in range(40)], "ord long, doi string, title string")
+    works = spark.createDataFrame([(k, "doi:10.1/X" if k % 3 == 1 else "", "One Title of some length here") for k in range(5, 45)], "work long, doi string, title string")
+    found = P.same_work(papers, works)
+    assert {(r.ord, r.work, r.how) for r in found.collect()} == {(k, 7, 1) if k % 2 else (k, 5, 2) for k in range(40)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("min(work") >= 3
