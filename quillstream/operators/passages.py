@@ -118,12 +118,13 @@ def local_windows(paragraphs: DataFrame, spans: DataFrame) -> DataFrame:
 def context_similarity(paragraphs: DataFrame, contexts: DataFrame, least_percent: int = 18, k: int = 30) -> DataFrame:
     """Paragraphs that share enough words with a context, the ``k`` best of each document.
 
-    The overlap is that of ``similarity.overlaps``: only words that contexts hold move, and pairs
-    meet on their rarer ones. Contexts: context_id, text.
+    The overlap is that of ``similarity.overlaps``: few contexts are an index in every task, with
+    many only words that contexts hold move. Contexts: context_id, text.
     """
-    p = paragraphs.where(~X.is_reference_entry("text")).select("doc_id", "seq", X.overlap_tokens("text").alias("words"))
+    rows = once(paragraphs.select("doc_id", "seq", "text"), plain=X.norm_span("text"))
+    p = rows.where(~X.is_reference_entry("text", "plain")).select("doc_id", "seq", F.col("plain").alias("text"), X.plain_tokens("plain").alias("words"))
     c = contexts.select("context_id", X.overlap_tokens("text").alias("words"))
-    good = J.overlaps(p, ["doc_id", "seq"], c, "context_id", least_percent).withColumn("overlap", F.col("shared") / F.col("smaller"))
+    good = J.overlaps(p, ["doc_id", "seq"], c, "context_id", least_percent, words=X.plain_words).withColumn("overlap", F.col("shared") / F.col("smaller"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("overlap").desc(), "seq", "context_id"))
     return good.withColumn("place", place).where(F.col("place") <= k)
 

@@ -4,17 +4,26 @@ Words have one order for both sides, rare ones first. Two sets that share at lea
 one of these among the first size - a + 1 words of each, so only these prefixes meet, in an
 equality join; sizes and the places of the word in both sets rule out further pairs before
 the sets are compared. A pair is compared where its first common word meets, so once.
+Where one side has few words, every task holds an index of them and counts without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, ship
 
 #: Word and set tables up to this many rows are broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 100_000
+#: Counters that a task holds at once while it counts by an index.
+CELLS = 1 << 22
+#: Types of ids that an index gives back.
+ID_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 #: Least similarities that the search for best partners goes through, one round each.
 ROUNDS = (0.75, 0.5, 0.3, 0.15, 0.0)
 
@@ -81,12 +90,54 @@ def overlap_candidates(sets: DataFrame, keys: list[str], others: DataFrame, othe
     return candidates(left, right, least(F.least("left_size", "right_size")), F.size("left_own") - own + 1, F.size("right_own"), most)
 
 
-def overlaps(sets: DataFrame, keys: list[str], others: DataFrame, other: str, least_percent: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def _by_index(sets: DataFrame, keys: list[str], others: list, other: str, kind: str, least_percent: int, words: Callable[[str], Collection[str]] | None) -> DataFrame:
+    """``overlaps`` with the few ``others`` (rows of id and words) as an index in every task: a set's words count where it lies."""
+    spark = ship(sets.sparkSession)
+    shared = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in others])
+    given, id_type = "words" if words is None else "text", ID_TYPES[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        sizes, index = np.array([len(w) for _, w in table], np.int64), {}
+        for at, (_, own) in enumerate(table):
+            for w in own:
+                index.setdefault(w, []).append(at)
+        number = {w: k for k, w in enumerate(index)}
+        lengths = np.array([len(x) for x in index.values()], np.int64)
+        begins, holders = np.cumsum(lengths) - lengths, np.array([at for x in index.values() for at in x], np.int64)
+        ids = pa.array([k for k, _ in table], id_type)
+        step = max(1, CELLS // max(1, len(holders)))  # no set has more counters or more hits than the index has words
+        for batch in batches:
+            for part in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
+                held = [words(t) if words else t for t in part.column(given).to_pylist()]
+                known = [[number[w] for w in own if w in number] for own in held]
+                row = np.repeat(np.arange(len(held)), [len(x) for x in known])
+                word = np.array([k for x in known for k in x], np.int64)
+                times = lengths[word]
+                inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                counts = np.bincount(np.repeat(row, times) * len(table) + holders[np.repeat(begins[word], times) + inside], minlength=len(held) * len(table))
+                met = np.flatnonzero(counts)
+                left, right, count = met // len(table), met % len(table), counts[met]
+                smaller = np.minimum(np.array([len(x) for x in held], np.int64)[left], sizes[right])
+                good = count * 100 >= smaller * least_percent
+                left, right = pa.array(left[good]), pa.array(right[good])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(left) for k in keys), ids.take(right), pa.array(count[good]), pa.array(smaller[good].astype(np.int32))], [*keys, other, "shared", "smaller"])
+
+    schema = ", ".join([*(f"`{k}` {sets.schema[k].dataType.simpleString()}" for k in keys), f"`{other}` {kind}", "shared long, smaller int"])
+    return sets.select(*keys, given).mapInArrow(run, schema)
+
+
+def overlaps(sets: DataFrame, keys: list[str], others: DataFrame, other: str, least_percent: int, most: int = BROADCAST_ROWS, words: Callable[[str], Collection[str]] | None = None) -> DataFrame:
     """keys, ``other``, shared and smaller of all pairs whose overlap is ``least_percent`` and more.
 
     ``sets``: keys, words. ``others`` (the smaller table): other, words. Sets without words pair
-    with nothing.
+    with nothing. Up to ``most`` words of all others are an index in every task; ``sets`` may then
+    hold text, from which ``words`` tells the words.
     """
+    others = checkpointed(others.select(other, "words").where(F.size("words") > 0))
+    kind = others.schema[other].dataType.simpleString()
+    if kind in ID_TYPES and (others.agg(F.sum(F.size("words"))).first()[0] or 0) <= most:
+        return _by_index(sets, keys, others.collect(), other, kind, least_percent, words)
     found = verified(overlap_candidates(sets, keys, others, other, least_percent, most))
     return found.select(*keys, other, F.col("shared").cast("long").alias("shared"), F.least("left_size", "right_size").alias("smaller"))
 

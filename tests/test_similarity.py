@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quillstream.operators import passages as S
 from quillstream.operators import similarity as J
 
 
@@ -33,6 +34,17 @@ def test_overlaps(spark, least, most):
     assert got == sorted(want)
 
 
+def test_few_others_are_an_index(spark, monkeypatch):
+    """Few contexts are counted where the paragraphs lie, in small steps as well, without a join on words."""
+    monkeypatch.setattr(J, "overlap_candidates", None)
+    monkeypatch.setattr(J, "CELLS", 300)
+    texts = {1: "Alpha beta-gamma, the DELTA alpha “x”", 2: None, 3: "nothing here", 4: "alpha delta epsilon zeta eta theta"}
+    paragraphs = spark.createDataFrame([(k % 2, k, t) for k, t in texts.items()], "doc_id long, seq int, text string")
+    contexts = spark.createDataFrame([(7, "delta alpha with that"), (8, "epsilon beta-gamma"), (9, None)], "context_id int, text string")
+    got = {(r.seq, r.context_id): (r.shared, r.smaller) for r in S.context_similarity(paragraphs, contexts).collect()}
+    assert got == {(1, 7): (2, 2), (1, 8): (1, 2), (4, 7): (2, 2), (4, 8): (1, 2)}
+
+
 @pytest.mark.parametrize("rounds", [J.ROUNDS, (0.0,), (0.9, 0.0)])
 def test_best_partner(spark, rounds):
     sets = made(120, 3) | {200: ["only"], 201: [], 202: ["w0", "w1"], 203: ["w0", "w1"]}
