@@ -146,3 +146,26 @@ def test_empty_payloads_make_no_calls(spark):
 )
 def test_schema(spark, stated, valid):
     assert S.stated_findings(spark.createDataFrame([(stated,)], "json string")).first().valid is valid
+
+
+def test_an_answer_is_parsed_a_few_times_only(spark):
+    """Values that are used several times are worked out once; before, they were parsed anew for each use (38 times in the plan, now 20)."""
+    rows = spark.range(3).select(F.concat(F.lit(stubs.content_of(10)), F.col("id").cast("string")).alias("answer"))
+    found = S.stated_findings(S.recovered_json(rows, "answer"))
+    assert all(r.valid and len(r.stated) == 2 for r in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("(?i)parse_?json", plan)) < 25
+
+
+def test_second_calls_are_dealt_over_tasks(spark):
+    """What the second endpoint is asked keeps as many tasks as the first has, however short the rows."""
+    rows = spark.range(0, 80, 1, 4).select(F.col("id").alias("doc_id"), F.lit("candidate_spans").alias("scope"), F.concat(F.lit("paper "), F.col("id").cast("string")).alias("prompt"))
+    seen, asked, size = [], S.ask, "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(size, "-1")
+    S.ask = lambda requests, *a, **k: seen.append(requests.rdd.getNumPartitions()) or asked(requests, *a, **k)
+    try:
+        S.two_stage(rows, stubs.writing, stubs.answering)
+    finally:
+        S.ask = asked
+        spark.conf.unset(size)
+    assert seen == [4, 4]
