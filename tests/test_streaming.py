@@ -253,3 +253,12 @@ def test_cursor_stream_goes_on_after_a_failure(spark, tmp_path):
     assert got == list(range(60))
     with open(str(tmp_path / "fetched")) as f:
         assert set(f.read().split()) == {f"c{k}" for k in range(30, 60, 5)}  # pages before are not fetched again
+
+
+def test_a_slice_of_time_is_one_batch(spark, tmp_path):
+    """All files of a slice are read together, so a session is visited once a slice (before, once a file of it)."""
+    rows = [(f"s{k % 5}", "start" if k % 2 else "succeed", 1_700_000_000 + 60 * k, k) for k in range(60)]
+    frame = spark.createDataFrame(rows, "session string, kind string, t long, ord long").withColumn("at", F.timestamp_seconds("t")).drop("t")
+    got = {(r.session, r.ord, r.at, r.state, r.accepted) for r in tasks.replayed(frame, str(tmp_path / "x"), 3, 2).collect()}
+    assert got == {(r.session, r.ord, r.at, r.state, r.accepted) for r in tasks.task_states(frame).collect()}
+    assert len([f for f in os.listdir(tmp_path / "x" / "checkpoint" / "commits") if f.isdigit()]) == 3
