@@ -17,11 +17,11 @@ from ..session import checkpointed
 
 
 def sections(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Body and reference paragraphs of pages (doc_id, page, text)."""
+    """Body and reference paragraphs of pages (doc_id, page, text); the pages are cut once for both."""
     start = S.reference_start(pages)
-    rows = S.split_pages(pages).join(start, "doc_id")
     inside = F.col("reference_start").isNotNull() & (F.col("page") >= F.col("reference_start"))
-    return rows.where(~inside).drop("reference_start"), rows.where(inside).drop("reference_start")
+    rows = checkpointed(S.split_pages(pages).join(start, "doc_id").withColumn("inside", inside).drop("reference_start"))
+    return rows.where("NOT inside").drop("inside"), rows.where("inside").drop("inside")
 
 
 def citation_numbers(references: DataFrame, title: str, doi: str = "") -> DataFrame:
@@ -37,7 +37,7 @@ def numbered_hits(body: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def candidate_spans(pages: DataFrame, title: str, doi: str = "", contexts: DataFrame | None = None, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Ranked spans with their surroundings, and the citation numbers of the documents."""
-    body, references = map(checkpointed, sections(pages))  # cut once, used by every generator
+    body, references = sections(pages)  # used by every generator
     numbers = checkpointed(citation_numbers(references, title, doi))
     place = ["doc_id", "seq", "page", "span_index"]
     none = F.lit(None).cast("double").alias("overlap")

@@ -89,3 +89,11 @@ def test_analysis_by_prompts(spark):
     got = {r.doc_id: (r.status, r.error_type) for r in analysis.analyse_papers(pages, TITLE, analyse=asked).collect()}
     assert got[2] == ("analysis_failed", "single_model_request_failed") and got[6] == ("analysis_failed", "single_model_json_parse_failed")
     assert got[12][1] is None and got[23][1] is None
+
+
+def test_pages_are_cut_once_for_body_and_references(spark):
+    """Both parts come from one checkpoint; before, each cut all pages anew."""
+    pages = spark.createDataFrame([(1, 1, "one\n\ntwo"), (1, 2, "References\n\n[1] three")], "doc_id long, page int, text string")
+    parts = analysis.sections(pages)
+    assert [[r.text for r in p.orderBy("seq").collect()] for p in parts] == [["one", "two"], ["References", "[1] three"]]
+    assert not any("Generate" in p._jdf.queryExecution().optimizedPlan().toString() for p in parts)
