@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpointed
+from .containment import numbered, pieces
 
 TIERS = ["Top", "CCF-A", "CCF-B", "CCF-C", "Unmatched"]
 
@@ -155,27 +157,27 @@ CONTAINED = 24
 def same_work(papers: DataFrame, works: DataFrame) -> DataFrame:
     """Foreign works of papers: by DOI, else by equal title, else by a long title that contains it.
 
-    A compact title of ``CONTAINED`` characters or more lies inside another only where its first
-    ``CONTAINED`` characters do, so both sides meet on these in an equality join and are then
-    compared. Equal titles meet once. ``works``: work, doi, title. Returns ord, work, how.
+    Of the works with one DOI or title the first is taken, so papers never meet all of them. Only
+    titles without an equal one are looked for inside others, each once, by ``containment``.
+    ``works``: work, doi, title. Returns ord, work, how.
     """
     p = papers.select("ord", X.norm_doi("doi").alias("d"), X.title_match("title").alias("t"))
     w = works.select("work", X.norm_doi("doi").alias("wd"), X.title_match("title").alias("wt"))
-    # of the works with one DOI or title the first is taken, so papers never meet all of them
     least = lambda c: w.where(F.col(c) != "").groupBy(c).agg(F.min("work").alias("work"))
-    by_doi = p.join(least("wd"), F.col("d") == F.col("wd")).select("ord", "work", F.lit(1).alias("how"))
-    by_title = p.join(least("wt"), F.col("t") == F.col("wt")).select("ord", "work", F.lit(2).alias("how"))
-    own, foreign = p.where(F.length("t") >= CONTAINED).select("t").distinct(), w.where(F.length("wt") >= CONTAINED).select("wt").distinct()
-    head = lambda c: F.substring(c, 1, CONTAINED).alias("gram")
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (CONTAINED - 1)), lambda i: F.substring(F.col(c), i, F.lit(CONTAINED))))).alias("gram")
-    around = own.select("t", grams("t")).join(foreign.select("wt", head("wt")), "gram").where(F.col("t").contains(F.col("wt")))
-    within = own.select("t", head("t")).join(foreign.select("wt", grams("wt")), "gram").where(F.col("wt").contains(F.col("t")))
-    pairs = around.select("t", "wt").unionByName(within.select("t", "wt")).distinct()
-    # of the works that hold a title the first is enough
-    first = pairs.join(w.groupBy("wt").agg(F.min("work").alias("work")), "wt").groupBy("t").agg(F.min("work").alias("work"))
-    inside = p.join(first, "t").select("ord", "work", F.lit(3).alias("how"))
-    place = F.row_number().over(Window.partitionBy("ord").orderBy("how", "work"))
-    return by_doi.unionByName(by_title).unionByName(inside).withColumn("place", place).where("place = 1").drop("place")
+    foreign = numbered(least("wt").withColumnRenamed("wt", "text"))
+    by_doi = least("wd").select(F.col("wd").alias("d"), F.struct(F.lit(1).alias("how"), "work").alias("same_doi"))
+    by_title = foreign.select(F.col("text").alias("t"), F.struct(F.lit(2).alias("how"), "work").alias("same_title"))
+    met = p.join(by_doi, "d", "left").join(by_title, "t", "left").select("ord", "t", F.coalesce("same_doi", "same_title").alias("met"))
+    met = checkpointed(met.where(F.col("met").isNotNull() | (F.length("t") >= CONTAINED)))
+    rest = met.where(F.col("met").isNull()).select("ord", F.col("t").alias("text"))
+    own, long = numbered(rest.select("text").distinct()), foreign.where(F.length("text") >= CONTAINED)
+    around = pieces(own, long, CONTAINED, "id").join(long.select("digest", "work"), "digest").groupBy("id").agg(F.min("work").alias("work")).join(own, "id")
+    within = pieces(long, own, CONTAINED, "work").groupBy("digest").agg(F.min("work").alias("work")).join(own, "digest")
+    # of the works that hold a title or lie in it the first is enough
+    first = around.select("text", "work").unionByName(within.select("text", "work")).groupBy("text").agg(F.min("work").alias("work"))
+    inside = rest.join(first, "text").select("ord", F.lit(3).alias("how"), "work")
+    found = met.where(F.col("met").isNotNull()).select("ord", "met.how", "met.work").unionByName(inside)
+    return found.groupBy("ord").agg(F.min(F.struct("how", F.col("work").isNull().alias("none"), "work")).alias("best")).select("ord", "best.work", "best.how")
 
 
 def first_by_authors(papers: DataFrame, authors: DataFrame, k: int = 3) -> DataFrame:
